@@ -49,3 +49,12 @@ def ascii_lower(col: Column) -> Column:
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of the id's decimal text, modulo folds, equals fold; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+#: Up to this many ids are broadcast (16 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 4_000_000
+
+
+def broadcast_if_small(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting the rows."""
+    return F.broadcast(ids) if ids.count() <= most else ids
