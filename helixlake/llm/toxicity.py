@@ -1,12 +1,14 @@
 """Toxic passages by maximum-scoring segment search.
 
-Words (runs of letters, digits and non-ASCII bytes, A-Z lower-cased) are hashed to 2^bits buckets, whose counts in toxic
-and other labelled texts give log-odds under an informative Dirichlet prior. Log-odds that are not significant count
-as zero. All are shifted down by drift, so that the score of ordinary text falls with its length. A linear scan
-(Ruzzo and Tompa) then finds every maximal segment of positive score. As for local alignments, the number of segments
-of score S or more in n ordinary words is K n exp(-lambda S): lambda solves E[exp(lambda score)] = 1 over the words of
-the texts that are not toxic, K comes from their best segments. A text's evidence is lambda S - ln(K n) of its best
-segment plus that of every other significant one; a logistic curve over the labelled texts makes it a probability.
+Tokens are words (runs of letters, digits and non-ASCII bytes, A-Z lower-cased) and, where a word itself says nothing,
+its first 5 or 4 bytes. The number of toxic and of other labelled texts that hold a token gives its log-odds under an
+informative Dirichlet prior; those below least_z standard errors count as zero, and the model keeps at most model_tokens
+of the others, the most certain ones. All are shifted down by drift, so that the score of ordinary text falls with its
+length. A linear scan (Ruzzo and Tompa) then finds every maximal segment of positive score. As for local alignments, the
+number of segments of score S or more in n ordinary words is K n exp(-lambda S): lambda solves E[exp(lambda score)] = 1
+over the words of the texts that are not toxic, K comes from their best segments. A text's evidence is
+lambda S - ln(K n) of its best segment plus that of every other significant one; a logistic curve over the labelled
+texts makes it a probability.
 
 Defined results: a null or empty text has no segment and the score that the curve gives to no evidence; repeated rows
 are scored each, and count as often in training; rows without a label, or whose id is null, train nothing; with labels
@@ -24,22 +26,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.llm.calibration import bin_of, fit_logistic, labelled, probability
-from helixlake.llm.common import held_out, table
-from helixlake.llm.textvec import slices, words
+from helixlake.llm.common import held_out, stored, table
+from helixlake.llm.textvec import Words, mix, raw, slices, words
 
-BITS = 18
-PRIOR_WORDS, LEAST_Z, DRIFT, SIGNIFICANT_E = 500.0, 4.0, 1.5, 0.01
+MODEL_TOKENS, PRIOR_TEXTS, LEAST_Z, DRIFT, SIGNIFICANT_E = 1 << 18, 50.0, 3.0, 1.5, 0.01
+#: Bytes of a token: of whole words, then of their beginnings.
+PREFIXES = (0, 5, 4)
 
 
 class Model(NamedTuple):
-    score: np.ndarray  # of a bucket, shifted
+    key: np.ndarray  # sorted token hashes
+    odds: np.ndarray
     rate: float  # lambda
     count: float  # K
     curve: tuple[float, float]
 
 
-def buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+def tokens(w: Words) -> list[np.ndarray]:
+    """For each kind of token the hashes of all words."""
+    out = [w.hash]
+    for size in PREFIXES[1:]:
+        code = np.zeros(len(w.hash), np.uint64)
+        for k in range(size):
+            at = w.start + k
+            code = code * np.uint64(257) + np.where(at < w.end, w.data[np.minimum(at, len(w.data) - 1)] + np.uint64(1), np.uint64(0))
+        out.append(mix(code + np.uint64(size << 56)))
+    return out
+
+
+def word_scores(w: Words, key: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Log-odds of each word's first kind of token that the model knows, shifted down."""
+    out = np.zeros(len(w.hash))
+    if len(key) and len(out):
+        for hashes in reversed(tokens(w)):
+            at = np.minimum(np.searchsorted(key, hashes), len(key) - 1)
+            out = np.where(key[at] == hashes, odds[at], out)
+    return out - DRIFT
 
 
 def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -61,16 +83,6 @@ def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(r - l)) for a, b, l, r in zip(first, last, left, right)]
 
 
-def log_odds(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Log-odds of each bucket under a Dirichlet prior of PRIOR_WORDS words shared out as in all texts; 0 below LEAST_Z standard errors."""
-    n1, n0 = toxic.sum(), other.sum()
-    prior = PRIOR_WORDS * (toxic + other) / max(1.0, n1 + n0) + 1e-3
-    total = prior.sum()
-    a, b = toxic + prior, other + prior
-    delta = np.log(a / (n1 + total - a)) - np.log(b / (n0 + total - b))
-    return np.where(np.abs(delta) >= LEAST_Z * np.sqrt(1 / a + 1 / b), delta, 0.0)
-
-
 def rate_of(score: np.ndarray, weight: np.ndarray) -> float:
     """The positive root of E[exp(rate * score)] = 1; scores are negative on average."""
     p = weight / max(1.0, weight.sum())
@@ -81,90 +93,112 @@ def rate_of(score: np.ndarray, weight: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
-def _scan(batch: pa.RecordBatch, score: np.ndarray):
-    """For each text: number of words, its segments, and its words' byte ranges."""
+def _scan(batch: pa.RecordBatch, key: np.ndarray, odds: np.ndarray):
+    """For each text: its words' scores, its segments, its words' byte ranges within it."""
     for part in slices(batch, "text"):
+        _, offsets = raw(part.column("text"))
         w = words(part.column("text"), "not_alnum")
-        s = score[buckets(w.hash)]
+        s = word_scores(w, key, odds)
         positive = np.concatenate([[0], np.cumsum(s > 0)])
         for k, (lo, hi) in enumerate(zip(w.first[:-1], w.first[1:])):
             found = maximal_segments(s[lo:hi]) if positive[hi] > positive[lo] else []
-            yield int(hi - lo), found, (w.start[lo:hi], w.end[lo:hi]), k, part
+            yield s[lo:hi], found, w.start[lo:hi] - offsets[k], w.end[lo:hi] - offsets[k]
 
 
-def evidence(n: int, found: list[tuple[int, int, float]], rate: float, count: float) -> float:
-    base = np.log(count * max(n, 1))
-    each = sorted((rate * s - base for _, _, s in found), reverse=True)
+def evidence(n: int, scores: list[float], rate: float, count: float) -> float:
+    base = float(np.log(count * max(n, 1)))
+    each = sorted((rate * s - base for s in scores), reverse=True)
     return each[0] + sum(x for x in each[1:] if x > -np.log(SIGNIFICANT_E)) if each else min(0.0, -base)
 
 
+def learn_tokens(train: DataFrame, model_tokens: int = MODEL_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and log-odds of the tokens that tell toxic (y = 1) from other texts."""
+    def counts(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                w = words(part.column("text"), "not_alnum")
+                text = np.repeat(np.arange(part.num_rows), np.diff(w.first)).astype(np.uint64)
+                y = part.column("y").to_numpy(zero_copy_only=False)
+                for hashes in tokens(w):
+                    once = np.lexsort((text, hashes))
+                    h, t = hashes[once], text[once]
+                    new = np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])) if len(h) else np.zeros(0, bool)
+                    h, toxic = h[new], y[t[new].astype(np.int64)]
+                    begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+                    if len(begin):
+                        n1 = np.add.reduceat(toxic.astype(np.int64), begin)
+                        n = np.diff(np.append(begin, len(h)))
+                        yield pa.RecordBatch.from_arrays([pa.array(h[begin].view(np.int64)), pa.array(n - n1), pa.array(n1)], names=["token", "n0", "n1"])
+
+    totals = train.agg(F.sum(1 - F.col("y")), F.sum("y")).first()
+    n0, n1 = float(totals[0] or 0), float(totals[1] or 0)
+    if not n0 or not n1:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    seen = train.mapInArrow(counts, "token long, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    prior = PRIOR_TEXTS * (F.col("n0") + F.col("n1")) / (n0 + n1) + 0.5
+    a, b = F.col("n1") + prior, F.col("n0") + prior
+    delta = F.log(a / (n1 + PRIOR_TEXTS + 1 - F.col("n1"))) - F.log(b / (n0 + PRIOR_TEXTS + 1 - F.col("n0")))
+    rows = seen.select("token", delta.alias("odds"), (F.abs(delta) / F.sqrt(1 / a + 1 / b)).alias("z")).where(F.col("z") >= LEAST_Z)
+    rows = rows.orderBy(F.col("z").desc(), "token").limit(model_tokens).toPandas()
+    key = rows["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return key[order], rows["odds"].to_numpy(float)[order]
+
+
 def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic") -> Model:
     """Learn from the rows of labels whose ids keep(id) admits."""
     spark = docs.sparkSession
     train = labelled(docs, labels, label, keep)
-    size = 1 << BITS
+    key, odds = learn_tokens(train)
+    shared = spark.sparkContext.broadcast((key, odds))
 
-    def counts(batches):
-        seen = np.zeros(2 * size, np.int64)
+    def scanned(batches):
+        """A row for each text, and for the scores of the words of those that are not toxic a row for each tenth (y -1)."""
         for batch in batches:
-            for part in slices(batch, "text"):
-                w = words(part.column("text"), "not_alnum")
-                y = np.repeat(part.column("y").to_numpy(zero_copy_only=False), np.diff(w.first))
-                seen += np.bincount(buckets(w.hash) + size * y, minlength=2 * size)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["at", "n"])
-
-    seen = np.zeros(2 * size)
-    rows = train.mapInArrow(counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * 2^BITS rows
-    seen[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy()
-    other, toxic = seen[:size], seen[size:]
-    score = (log_odds(toxic, other) - DRIFT).astype(np.float32)
-    rate = rate_of(score, other)
-    shared = spark.sparkContext.broadcast(score)
-
-    def bests(batches):
-        for batch in batches:
-            n, best, y = [], [], batch.column("y").to_pylist()
-            for size_, found, *_ in _scan(batch, shared.value):
-                n.append(size_)
-                best.append(max((s for _, _, s in found), default=0.0))
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int64()), pa.array(best, pa.float64())], names=["y", "n", "best"])
-
-    # K n exp(-rate S) segments of at least S are expected: of the texts that are not toxic, count those at the least positive score.
-    least = float(score[score > 0].min()) if (score > 0).any() else 1.0
-    clean = train.where("y = 0").mapInArrow(bests, "y int, n long, best double").agg(F.sum((F.col("best") >= least).cast("long")), F.sum("n")).first()
-    count = max(1.0, float(clean[0] or 0)) / (max(1.0, float(clean[1] or 0)) * np.exp(-rate * least))
+            rows = []
+            tenths: dict[int, int] = {}
+            for y, (s, found, _, _) in zip(batch.column("y").to_pylist(), _scan(batch, *shared.value)):
+                rows.append((y, len(s), [x for _, _, x in found]))
+                if not y:
+                    for t, n in zip(*(x.tolist() for x in np.unique(np.rint(s * 10).astype(np.int64), return_counts=True))):
+                        tenths[t] = tenths.get(t, 0) + n
+            rows += [(-1, n, [t / 10]) for t, n in tenths.items()]
+            y, n, scores = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=["y", "n", "scores"])
+
+    seen = stored(train.mapInArrow(scanned, "y int, n long, scores array<double>"), "toxic-segments")
+    words_ = seen.where("y = -1").groupBy(F.col("scores")[0].alias("s")).agg(F.sum("n").alias("n")).toPandas()  # a row for each tenth
+    rate = rate_of(words_["s"].to_numpy(float), words_["n"].to_numpy(float))
+    # K n exp(-rate S) segments of at least S are expected: count those of the texts that are not toxic at the least score of a token.
+    least = max(0.1, float(odds[odds > DRIFT].min()) - DRIFT) if (odds > DRIFT).any() else 1.0
+    clean = seen.where("y = 0").agg(F.sum(F.coalesce(F.array_max("scores") >= least, F.lit(False)).cast("long")), F.sum("n")).first()
+    count = max(1.0, float(clean[0] or 0)) / (max(1.0, float(clean[1] or 0)) * float(np.exp(-rate * least)))
 
     def binned(batches):
         for batch in batches:
-            raw = np.array([evidence(n, found, rate, count) for n, found, *_ in _scan(batch, shared.value)])
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(bin_of(raw), pa.int32())], names=["y", "bin"])
+            found = [evidence(n, s, rate, count) for n, s in zip(batch.column("n").to_pylist(), batch.column("scores").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(bin_of(np.array(found, float)), pa.int32())], names=["y", "bin"])
 
-    bins = train.mapInArrow(binned, "y int, bin int").groupBy("bin").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")).toPandas()
+    bins = seen.where("y >= 0").mapInArrow(binned, "y int, bin int").groupBy("bin").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")).toPandas()
     curve = fit_logistic(*(bins[c].to_numpy(float) for c in ("bin", "n0", "n1"))) if len(bins) else (0.0, 0.0)
-    return Model(score, rate, float(count), curve)
+    return Model(key, odds, rate, count, curve)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, and passages: the UTF-8 byte ranges, scores and E-values of all significant segments."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
     def scored(batches):
         for batch in batches:
             m = shared.value
-            raw, passages = [], []
-            for n, found, (start, end), k, part in _scan(batch, m.score):
-                raw.append(evidence(n, found, m.rate, m.count))
-                base = int(start[0]) if len(start) else 0
-                if found:  # byte ranges count from the text's first byte
-                    lengths = part.column("text").slice(0, k).to_pylist()
-                    base = sum(len((t or "").encode()) for t in lengths)
-                e = [(int(start[a]) - base, int(end[b]) - base, s, float(m.count * n * np.exp(-m.rate * s))) for a, b, s in found]
-                passages.append([dict(zip(("start", "end", "score", "e_value"), x)) for x in e if x[3] <= SIGNIFICANT_E])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probability(np.array(raw, float), m.curve), pa.float64()),
-                                              pa.array(passages, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())])))],
-                                             names=["doc_id", "score", "passages"])
+            found_, passages = [], []
+            for s, found, start, end in _scan(batch, m.key, m.odds):
+                found_.append(evidence(len(s), [x for _, _, x in found], m.rate, m.count))
+                each = [{"start": int(start[a]), "end": int(end[b]), "score": x, "e_value": float(m.count * len(s) * np.exp(-m.rate * x))} for a, b, x in found]
+                passages.append([x for x in each if x["e_value"] <= SIGNIFICANT_E])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probability(np.array(found_, float), m.curve), pa.float64()), pa.array(passages, passage)], names=["doc_id", "score", "passages"])
 
     return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double, passages array<struct<start:long,end:long,score:double,e_value:double>>")
 
