@@ -77,9 +77,10 @@ def apportion(items: DataFrame, group: list[str], tie: list[str], value: str, se
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, block_tokens: int = 16,
-                rows_per_shard: int = 4096, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, shard, taken (tokens, repeats counted)."""
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
+                rows_per_shard: int = 4096, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, shard, taken (tokens, repeats counted), and the columns in keep."""
+    keep = keep or []
+    rows = docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
     rows = stored(rows.withColumn("order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "mix-rows")
     targets = source_targets(rows, weights, max_repeats)
     sources = (targets.withColumn("one", F.lit(1)).withColumn("blocks", F.floor(F.sum("target").over(Window.partitionBy()) / block_tokens + 0.5))
@@ -101,7 +102,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
     rounds = F.when(F.col("cell_size") > 0, F.floor(F.col("take") / F.col("cell_size"))).otherwise(0)
     rest = F.col("take") - rounds * F.col("cell_size")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "shard", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "shard", *keep, taken.cast("long").alias("taken"))
 
 
 def op5_source_mixing(spark, sf_dir):
