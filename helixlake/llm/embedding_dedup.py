@@ -149,3 +149,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
 
 def op4_embedding_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS x, vec_id AS root FROM v UNION SELECT links.y, reach.root FROM reach JOIN links ON reach.x = links.x),
+roots AS (SELECT x, min(root) AS root FROM reach GROUP BY x), n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN roots ON roots.x = vec_id LEFT JOIN n ON n.x = vec_id
+"""

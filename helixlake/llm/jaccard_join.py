@@ -265,3 +265,14 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
 
 def op7_jaccard_join(spark, sf_dir):
     return similar_documents(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS shingle FROM w, LATERAL (SELECT unnest(range(1, greatest(len(w) - 1, 2))) AS k) AS u WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM both_ JOIN n AS nx ON x = nx.doc_id JOIN n AS ny ON y = ny.doc_id WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS root FROM n UNION SELECT links.y, reach.root FROM reach JOIN links ON reach.x = links.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(root), d.doc_id) AS component_id FROM documents AS d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN reach ON d.doc_id = reach.x GROUP BY d.doc_id
+"""

@@ -83,7 +83,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
     rows = docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
     rows = stored(rows.withColumn("order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "mix-rows")
     targets = source_targets(rows, weights, max_repeats)
-    sources = (targets.withColumn("one", F.lit(1)).withColumn("blocks", F.floor(F.sum("target").over(Window.partitionBy()) / block_tokens + 0.5))
+    sources = (targets.withColumn("one", F.lit(1)).withColumn("blocks", F.floor(F.sum("source_size").over(Window.partitionBy()) / block_tokens + 0.5))
                .withColumn("limit", F.ceil(F.col("source_size") * max_repeats / block_tokens)))
     sources = apportion(sources, ["one"], ["source"], "target", "blocks", "limit").withColumnRenamed("quota", "source_blocks")
     sources = stored(sources.select(F.col("source").alias("_source"), "source_size", "target", "source_blocks", F.ceil(F.col("rows") / rows_per_shard).alias("shards")), "mix-sources")
@@ -107,3 +107,22 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
 
 def op5_source_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n, [5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS w FROM d GROUP BY source),
+c AS (SELECT *, source_size * 3 AS lim, sum(source_size) OVER () AS total, sum(w) OVER () AS total_w, row_number() OVER (ORDER BY source_size * 3.0 / w, source NULLS LAST) AS r FROM s),
+p AS (SELECT *, CAST(total - coalesce(sum(lim) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) * w > lim * CAST(total_w - coalesce(sum(w) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS stopped FROM c),
+t AS (SELECT *, CASE WHEN stopped THEN CAST(lim AS DOUBLE) ELSE CAST(w * (total - coalesce(sum(lim) FILTER (WHERE stopped) OVER (), 0)) AS DOUBLE) / CAST(total_w - coalesce(sum(w) FILTER (WHERE stopped) OVER (), 0) AS DOUBLE) END AS target,
+  CAST(floor(CAST(total AS DOUBLE) / 16 + 0.5) AS BIGINT) AS blocks FROM p),
+q AS (SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST) AS rank, blocks FROM t, LATERAL (SELECT unnest(range(0, CAST(least(ceil(lim / 16.0), blocks) AS BIGINT))) AS k) AS u WHERE target > 0),
+sb AS (SELECT t.source, source_size, target, ceil(n / 4096.0) AS shards, (SELECT count(*) FROM q WHERE q.source IS NOT DISTINCT FROM t.source AND rank <= q.blocks) AS source_blocks FROM t),
+e AS (SELECT d.*, sb.source_size, sb.target, sb.source_blocks, CAST('0x' || substr(o, 1, 8) AS BIGINT) % CAST(shards AS BIGINT) AS shard FROM d JOIN sb ON d.source IS NOT DISTINCT FROM sb.source),
+ce AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS cell, any_value(source_blocks) AS b FROM e GROUP BY source, shard),
+cq AS (SELECT source, shard, b, row_number() OVER (PARTITION BY source ORDER BY CAST(cell AS DOUBLE) / (2 * k + 1) DESC, shard) AS rank FROM ce, LATERAL (SELECT unnest(range(0, CAST(least(ceil(cell * 3 / 16.0), b) AS BIGINT))) AS k) AS u),
+ct AS (SELECT source, shard, cell, least((SELECT count(*) FROM cq WHERE cq.source IS NOT DISTINCT FROM ce.source AND cq.shard = ce.shard AND rank <= cq.b) * 16, cell * 3) AS take FROM ce)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN cell = 0 THEN 0 ELSE take // cell * size + greatest(0, least(size, take % cell
+  - coalesce(sum(size) OVER (PARTITION BY e.source, e.shard ORDER BY o, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) END AS BIGINT) AS taken
+FROM e JOIN ct ON e.source IS NOT DISTINCT FROM ct.source AND e.shard = ct.shard
+"""
