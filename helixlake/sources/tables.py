@@ -14,14 +14,13 @@ from helixlake.functions.variants import split_alternates
 
 def read_lookup_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns by name, trimmed, empty for blank cells, with seq, the rows' order. A row too short or too long fails the whole read."""
-    rows = spark.read.csv(path, header=True, multiLine=True, mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, escape='"',
-                          columnPruning=False)
+    # Without column pruning every column is parsed, whatever is selected, or ragged rows would pass unseen.
+    rows = spark.read.option("columnPruning", False).csv(path, header=True, multiLine=True, mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, escape='"')
     if not rows.columns:  # a file without a header line
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in schemas.LOOKUP_NEEDED) + ", seq long")
     names = {c.strip(): c for c in rows.columns}
     if missing := [c for c in schemas.LOOKUP_NEEDED if c not in names]:
         raise ValueError(f"{path} has no column {missing}")
-    # Every column is read, or ragged rows would pass unseen.
     return rows.select(*[F.coalesce(trim(F.col(f"`{c}`")), F.lit("")).alias(n) for n, c in names.items()], F.monotonically_increasing_id().alias("seq"))
 
 

@@ -16,7 +16,7 @@ from helixlake.sources.genotype_text import file_stats, read_genotypes
 
 def ingest_files(spark: SparkSession, folder: str, store_path: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
     """Start a query that records the counts of all files that are in folder and have not been seen, and then stops."""
-    names = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{txt,tsv,csv,TXT,TSV,CSV}").option("maxFilesPerTrigger", files_per_batch).load(folder).select("path"))
+    names = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.{txt,tsv,csv,TXT,TSV,CSV}").option("maxFilesPerTrigger", files_per_batch).load(folder).select("path"))
 
     def record(batch: DataFrame, _: int) -> None:
         paths = [r["path"] for r in batch.collect()]  # at most files_per_batch names
