@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,6 +18,9 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: Words of more bytes are hashed one by one.
+_LONG = 64
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 SEPARATORS = {"white": _WHITE, "not_alnum": _NOT_ALNUM}
 
@@ -47,6 +51,29 @@ def powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: eight bytes at a time for all words at once, longer words by a digest."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, np.uint64, padded, strides=(1,))
+    size = end - start
+    out = size.astype(np.uint64) * _PRIME
+    rows = np.flatnonzero(size <= _LONG) if size.max(initial=0) > _LONG else slice(None)
+    at, left, h = start[rows], size[rows], out[rows]
+    while True:
+        h = (h ^ (eights[at] & _MASK[np.minimum(left, 8)])) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        more = left > 8
+        if not more.any():
+            break
+        out[rows] = h
+        rows = np.flatnonzero(more) if isinstance(rows, slice) else rows[more]
+        at, left, h = at[more] + 8, left[more] - 8, h[more]
+    out[rows] = h
+    for k in np.flatnonzero(size > _LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return mix(out)
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string array; null counts as empty."""
     texts = texts.fill_null("")
@@ -86,16 +113,7 @@ def words(texts: pa.Array, separators: str = "white", lower: bool = True) -> Wor
     ends[-1] = inside[-1]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     folded = _FOLD[data] if lower else data
-    if len(start):
-        which = np.cumsum(starts) - 1
-        at = np.arange(size) - start[np.maximum(which, 0)]
-        at[~inside] = 0
-        at = np.maximum(at, 0)
-        part = (folded.astype(np.uint64) + np.uint64(1)) * powers(int((end - start).max()) + 1)[at]
-        part[~inside] = 0
-        hashes = mix(np.add.reduceat(part, start))
-    else:
-        hashes = np.zeros(0, np.uint64)
+    hashes = _word_hashes(folded, start, end) if len(start) else np.zeros(0, np.uint64)
     return Words(folded, start, end, hashes, np.searchsorted(start, offsets))
 
 
