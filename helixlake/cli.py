@@ -15,20 +15,18 @@ from helixlake.sources import files, genotype_text, tables
 
 
 def genostats(spark, a):
-    paths = files.discover(a.input, a.max_files)
-    failed = [(p, "file is empty") for p in paths if os.path.getsize(p) == 0]
-    paths = [p for p in paths if os.path.getsize(p)]
+    paths, failures = files.split_failures(spark, files.discover(a.input, a.max_files))
     kept = store.Store(spark, a.sqlite)
     if a.skip_recorded_files:
-        names = spark.createDataFrame([(Path(p).as_uri(), p) for p in paths], "file_path string, path string")
+        names = spark.createDataFrame([(files.spark_name(p), p) for p in paths], "file_path string, path string")
         paths = sorted(r["path"] for r in kept.unrecorded(names).collect())
     stats = None
     if paths:
         stats = genotype_text.file_stats(genotype_text.read_genotypes(spark, paths))
         kept.record_files(stats)
         stats = kept.read("manifest")
-    for path, why in failed:
-        print(f"failed: {path}: {why}")
+    for r in failures.collect():
+        print(f"failed: {r['file_path']}: {r['error']}")
     report = summary.summary(kept.read("formats"), kept.read("references"), str(a.sqlite), stats if a.mode == "observed" else None)
     row = report.first()
     print(f"{row['files_processed']} files, {row['total_variants']} variants, {row['skipped_rows']} skipped rows; store at {a.sqlite}")

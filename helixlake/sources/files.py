@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+
 SUFFIXES = {".txt", ".tsv", ".csv"}
 
 
@@ -36,3 +40,33 @@ def discover(inputs: list[str | Path], max_files: int | None = None) -> list[str
     if not found:
         raise FileNotFoundError("no genotype files found")
     return sorted(found)[:max_files]
+
+
+def split_failures(spark: SparkSession, paths: list[str]) -> tuple[list[str], DataFrame]:
+    """The paths that can be read, and file_path, error of those that cannot: empty files and unreadable ones."""
+    good, bad = [], []
+    for p in paths:
+        try:
+            with open(p, "rb") as f:
+                (good.append(p) if f.read(1) else bad.append((p, "file is empty")))
+        except OSError as error:
+            bad.append((p, str(error)))
+    return good, spark.createDataFrame(bad, "file_path string, error string")
+
+
+def visible(paths: list[str], folder: str | None = None) -> dict[str, str]:
+    """For each path one that Spark does not hide: names that begin with _ or . are copied to folder under another name."""
+    out = {}
+    for k, p in enumerate(paths):
+        name = os.path.basename(p)
+        if name[0] in "_.":
+            folder = folder or tempfile.mkdtemp(prefix="helixlake-")
+            out[p] = shutil.copyfile(p, os.path.join(folder, f"shown-{k}{name}"))
+        else:
+            out[p] = p
+    return out
+
+
+def spark_name(path: str) -> str:
+    """A local path as Spark's file metadata has it."""
+    return Path(path).as_uri().replace("file:///", "file:/", 1)

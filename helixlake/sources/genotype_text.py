@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixlake.functions.text import normalize_name, parse_long, split_fields, strip_comment_prefix, strip_inline_comment, trim
+from helixlake.sources.files import spark_name, visible
 
 LOOK_AHEAD = 2048
 #: Normalised header names of each column, in the order in which they are tried.
@@ -91,5 +92,12 @@ def file_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file_path").agg(count("parsed").alias("variant_count"), count("skipped").alias("skipped_rows"))
 
 
-def read_genotypes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return parse_lines(read_lines(spark, paths))
+def read_genotypes(spark: SparkSession, paths: list[str], staging: str | None = None) -> DataFrame:
+    """Parsed rows of the files. staging: a folder that executors see, for copies of files whose names Spark hides."""
+    shown = visible(paths, staging)
+    lines = read_lines(spark, list(shown.values()))
+    renamed = [(spark_name(to), spark_name(p)) for p, to in shown.items() if to != p]
+    if renamed:
+        names = spark.createDataFrame(renamed, "file_path string, _given string")
+        lines = lines.join(names, "file_path", "left").select(F.coalesce("_given", "file_path").alias("file_path"), "line_no", "value")
+    return parse_lines(lines)

@@ -170,6 +170,9 @@ def test_command_line(spark, tmp_path, capsys):
     run("genostats", "-i", tmp_path / "out", "--sqlite", home, "--summary-json", tmp_path / "s.json")
     seen = json.loads((tmp_path / "s.json").read_text())
     assert (seen["files_processed"], seen["total_variants"], seen["skipped_rows"], seen["unique_rsids"]) == (3, 9, 0, 2)
+    written[2].rename(tmp_path / "out" / "_0003.txt")
+    run("genostats", "-i", tmp_path / "out", "--sqlite", home, "--skip-recorded-files", "--summary-json", tmp_path / "s.json")
+    assert json.loads((tmp_path / "s.json").read_text())["files_processed"] == 4 and store.Store(spark, home).read("manifest").where("file_path like '%/_0003.txt'").count() == 1
     run("genostats", "-i", tmp_path / "out", "--sqlite", home, "--skip-recorded-files", "--mode", "parity")
     run("diff", written[0], written[0])
     assert "Genotype/position differences: 0" in capsys.readouterr().out

@@ -140,3 +140,13 @@ def test_discovery(tmp_path):
     for bad in ([], [tmp_path / "none"]):
         with pytest.raises((ValueError, FileNotFoundError)):
             files.discover(bad)
+
+
+def test_hidden_and_empty_files(spark, tmp_path):
+    (tmp_path / "_h.txt").write_text("rs1 1 5 AA\n")
+    (tmp_path / "a.txt").write_text("rs2 1 5 AA\n")
+    (tmp_path / "empty.txt").write_text("")
+    good, failures = files.split_failures(spark, files.discover([tmp_path]))
+    assert [r.file_path.split("/")[-1] for r in failures.collect()] == ["empty.txt"]
+    rows = genotype_text.read_genotypes(spark, good).collect()
+    assert sorted((r.file_path.split("/")[-1], r.rsid) for r in rows) == [("_h.txt", "rs1"), ("a.txt", "rs2")]
