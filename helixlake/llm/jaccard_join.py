@@ -10,7 +10,10 @@ Empty parts count only for sets that have slack of them or more, which alone cou
 
 Regions are found by one range-partitioned, sorted stream over (part, document): a region of any size is streamed, and
 one that reaches over several partitions is put together from the first documents of its pieces. Regions that share
-documents make a cluster; small clusters are gathered in buckets, large ones cut into blocks of about block_rows, and
+documents make a cluster. Texts with passages in common can share a region by chance and chain into large clusters; a cluster of
+more than block_rows documents is therefore compared by sketches first. A sketch counts a set's elements in hash buckets, about two in each, and
+the sum of differences of two sketches is no more than that of the sets, so pairs it puts too far apart are no links, and
+what holds together without them are the clusters that stay. Small clusters are gathered in buckets, large ones cut into blocks of about block_rows, and
 each bucket and each pair of a cluster's blocks is joined in a task of its own, on whole sets. There document pivots
 make Voronoi regions: a document belongs to its nearest pivot's region and, by the triangle inequality, to every other
 whose pivot is less than twice the threshold's distance farther. Regions are joined recursively; those that are
@@ -34,7 +37,7 @@ from helixlake.llm.common import broadcast_if_small, shuffle_partitions, stored,
 from helixlake.llm.components import components
 from helixlake.llm.textvec import mix, shingles, slices, words
 
-RATIO, SLACK = 1.3, 2
+RATIO = 1.3
 
 
 def levels(upto: int) -> list[int]:
@@ -45,6 +48,18 @@ def levels(upto: int) -> list[int]:
     return out
 
 
+def parts_of(most: int, num: int, den: int) -> tuple[int, int]:
+    """Parts on a level whose largest size is most, and how many of them two linked sets agree on at least.
+
+    There are so many more parts than possible differences that a set seldom has as many empty ones as that surplus.
+    """
+    k = (den - num) * 2 * most // (den + num)
+    if not k:
+        return 1, 1
+    slack = 4 + int(6 * k * np.exp(-most / RATIO / k))
+    return k + slack, slack
+
+
 def signatures(s: np.ndarray, num: int, den: int, bounds: list[int]) -> np.ndarray:
     """The part hashes of a set (sorted, distinct) on its level, and on the next one where it is near its least size."""
     n = len(s)
@@ -55,9 +70,7 @@ def signatures(s: np.ndarray, num: int, den: int, bounds: list[int]) -> np.ndarr
     for level in (home, home + 1):
         if level > home and n * den < num * bounds[level]:
             break
-        most = max(bounds[level + 1] - 1, n)
-        k = (den - num) * 2 * most // (den + num)
-        parts, slack = (k + SLACK, SLACK) if k else (1, 1)
+        parts, slack = parts_of(bounds[level + 1] - 1, num, den)
         part = (((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)  # grows with s, so parts are runs
         begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         sums = np.add.reduceat(mix(s ^ np.uint64(0x5BD1E995)), begin)
@@ -69,6 +82,34 @@ def signatures(s: np.ndarray, num: int, den: int, bounds: list[int]) -> np.ndarr
     return np.concatenate(out)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts, 255 at most, of the elements in 2^b buckets, about two in each."""
+    bits = max(3, int(len(s) // 2).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def sketch_pairs(left: np.ndarray, right: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i of left, j of right) whose sketches leave a link possible."""
+    bits = np.array([len(x).bit_length() for x in sketches])
+    found = []
+    for b in np.unique(bits[left]):
+        for c in np.unique(bits[right]):
+            if abs(int(b) - int(c)) > 1 + int(np.log2(den / num)):
+                continue
+            width = 1 << (min(b, c) - 1)
+            fold = lambda rows: np.minimum(np.stack([sketches[r].reshape(width, -1).sum(axis=1, dtype=np.int32) for r in rows]), 255).astype(np.int16)  # noqa: E731, B023
+            i, j = left[bits[left] == b], right[bits[right] == c]
+            x, y = fold(i), fold(j)
+            for k, row in enumerate(x):
+                near = np.abs(y - row).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * (size[i[k]] + size[j])
+                hits = j[near]
+                hits = hits[hits != i[k]]
+                found.append((np.full(len(hits), i[k]), hits))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _sets(batch: pa.RecordBatch, width: int):
     for part in slices(batch, "text"):
         yield part, shingles(words(part.column("text")), width)
@@ -81,7 +122,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _described(width: int, num: int, den: int):
-    """id, number of shingles, 128-bit hash of the set, part hashes."""
+    """id, number of shingles, 128-bit hash of the set, part hashes, sketch."""
     def function(batches):
         for batch in batches:
             for part, sets in _sets(batch, width):
@@ -89,7 +130,8 @@ def _described(width: int, num: int, den: int):
                 n = pa.array([len(s) for s in sets], pa.int64())
                 h1 = pa.array(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64))
                 h2 = pa.array(np.array([mix(s + np.uint64(77)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("id"), n, h1, h2, _lists([signatures(s, num, den, bounds) for s in sets])], names=["id", "n", "h1", "h2", "parts"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), n, h1, h2, _lists([signatures(s, num, den, bounds) for s in sets]), pa.array([sketch(s) for s in sets], pa.binary())],
+                                                 names=["id", "n", "h1", "h2", "parts", "sketch"])
 
     return function
 
@@ -213,7 +255,7 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    described = stored(docs.mapInArrow(_described(width, num, den), f"id {kind}, n long, h1 long, h2 long, parts array<long>"), "shingle-parts")
+    described = stored(docs.mapInArrow(_described(width, num, den), f"id {kind}, n long, h1 long, h2 long, parts array<long>, sketch binary"), "shingle-parts")
 
     # Equal sets are one node, named by their smallest id.
     classes = described.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("parts").alias("parts"))
@@ -227,15 +269,35 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     # A region of several pieces has one pivot: the first of the first piece.
     members = members.join(joint.select("part", "first"), "part", "left").select("part", F.coalesce("first", "centre").alias("centre"), "id").distinct()
     clusters = components(members.select(F.col("centre").alias("u"), F.col("id").alias("v"))).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-
+    clusters = stored(clusters, "shingle-clusters")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+
+    large = clusters.join(sizes.where(F.col("size") > block_rows), "cluster").withColumn("blocks", F.ceil(F.col("size") / block_rows).cast("int"))
+    large = large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "cluster", "block", "blocks")
+    if not large.isEmpty():
+        drawn = described.select("id", "n", "sketch").join(broadcast_if_small(large.select("id")), "id", "left_semi")
+        spread = large.join(drawn, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = spread.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "sketch")
+
+        def near(group):
+            ids, block, size = (group.column(c).to_numpy() for c in ("id", "block", "n"))
+            sketches = [np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()]
+            i, j = sketch_pairs(np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max()), size, sketches, num, den)
+            u, v = smallest_linked(ids, i, j) if len(i) else (ids[:0], ids[:0])
+            return pa.table({"u": u, "v": v})
+
+        close = spread.groupBy("cluster", "lo", "hi").applyInArrow(near, f"u {kind}, v {kind}")
+        close = components(close).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+        clusters = stored(clusters.join(large.select("id"), "id", "left_anti").unionByName(close), "shingle-clusters")
+        sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+
     small = sizes.where(F.col("size") <= block_rows).agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-small // block_rows))
     blocks = F.when(F.col("size") <= block_rows, 1).otherwise(F.ceil(F.col("size") / block_rows))
     placed = clusters.join(sizes, "cluster").withColumn("blocks", blocks.cast("int"))
     placed = placed.withColumn("bucket", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(buckets))).otherwise(-1 - F.col("cluster")))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "cluster", "bucket", "block", "blocks")
-    placed = stored(placed, "shingle-clusters")
+    placed = stored(placed, "shingle-placed")
     sets = whole_sets(docs, placed.select("id"), width)
     spread = placed.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cluster", "id", "set")
