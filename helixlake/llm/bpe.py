@@ -58,29 +58,37 @@ def pattern():
 
 
 def tokens_udf(path: str):
-    """Encode texts or pieces: struct of the ids."""
-    @F.pandas_udf("tokens array<int>")
-    def encode(texts: pd.Series, whole: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<int>")
+    def encode(texts: pd.Series) -> pd.Series:
         enc = encoder(path)[0]
-        return pd.DataFrame({"tokens": [np.asarray(enc.encode_ordinary(t or ""), np.int32) for t in texts]})
+        return pd.Series([np.asarray(enc.encode_ordinary(t or ""), np.int32) for t in texts], dtype=object)
 
     return encode
 
 
-def digest_udf(path: str):
-    """Encode and decode texts or pieces: number of ids; ids as decimal text and decoded bytes, or for whole texts their digests."""
-    @F.pandas_udf("n_tokens long, ids string, decoded binary, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: pd.Series, whole: pd.Series) -> pd.DataFrame:
-        enc, parts, names = encoder(path)
-        out = []
-        for text, alone in zip(texts, whole):
-            ids = enc.encode_ordinary(text or "")
-            line, data = ",".join([names[k] for k in ids]), b"".join([parts[k] for k in ids])
-            if alone:
-                out.append((len(ids), None, None, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(data).hexdigest()))
-            else:
-                out.append((len(ids), line, data, None, None))
-        return pd.DataFrame(out, columns=["n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
+def _digests(ids: list[int], path: str) -> tuple[int, str, str]:
+    _, parts, names = encoder(path)
+    line, data = ",".join([names[k] for k in ids]), b"".join([parts[k] for k in ids])
+    return len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(data).hexdigest()
+
+
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def text_digests_udf(path: str):
+    """Encode whole texts and decode the ids again: their number and both digests."""
+    @F.pandas_udf(DIGESTS)
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        enc = encoder(path)[0]
+        return pd.DataFrame([_digests(enc.encode_ordinary(t or ""), path) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digest
+
+
+def token_digests_udf(path: str):
+    @F.pandas_udf(DIGESTS)
+    def digest(tokens: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_digests(list(ids), path) for ids in tokens], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest
 
@@ -102,42 +110,40 @@ def boundaries(chunk: pd.Series, at: pd.Series, size: pd.Series, overlap: pd.Ser
 
 
 def _pieces(long: DataFrame, chunk_chars: int, overlap: int) -> DataFrame:
-    """From (_id, _th, _text): rows (_id, _th, _no, _piece); a null piece where neighbours found no common boundary."""
+    """From (_key, _text): rows (_key, _no, _piece) of each distinct text; a null piece where neighbours found no common boundary.
+
+    Chunks are shuffled once; what decides on the pieces are short lists of boundaries.
+    """
     n = F.ceil(F.length("_text") / chunk_chars).cast("int")
-    rows = long.select("_id", "_th", "_text", n.alias("_n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_no")).withColumn("_at", F.col("_no") * chunk_chars)
-    rows = rows.withColumn("_chunk", F.expr(f"substring(_text, _at + 1, {chunk_chars + overlap})")).drop("_text").repartition("_id", "_th", "_no")
+    rows = long.select("_key", "_text", n.alias("_n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_no")).withColumn("_at", F.col("_no") * chunk_chars)
+    rows = rows.withColumn("_chunk", F.expr(f"substring(_text, _at + 1, {chunk_chars + overlap})")).drop("_text")
+    rows = rows.repartition("_key", "_no").dropDuplicates(["_key", "_no"])
     final = F.col("_no") == F.col("_n") - 1
-    rows = rows.withColumn("_b", boundaries("_chunk", "_at", F.lit(chunk_chars), F.lit(overlap), final))
-    order = Window.partitionBy("_id", "_th").orderBy("_no")
-    rows = rows.withColumn("_over", F.array_min(F.array_intersect("_b.tail", F.lead("_b.head").over(order))))
-    rows = rows.withColumn("_from", F.when(F.col("_no") == 0, 0).otherwise(F.lag("_over").over(order)))
-    upto = F.when(final, F.col("_at") + F.length("_chunk")).otherwise(F.col("_over"))
-    rows = rows.withColumn("_upto", upto).withColumn("_piece", F.expr("substring(_chunk, _from - _at + 1, _upto - _from)"))
-    return rows.select("_id", "_th", "_no", "_piece").repartition("_id", "_th", "_no")
-
-
-def _encoded(docs: DataFrame, udf, merge, chunk_chars: int, overlap: int, id_col: str, text_col: str) -> DataFrame:
-    """docs with the struct _e that udf makes of whole texts; merge makes it of the ordered structs (_no, _e) of a text's pieces."""
-    size, yes, no = F.coalesce(F.length(text_col), F.lit(0)), F.lit(True), F.lit(False)
-    short = docs.where(size <= chunk_chars).withColumn("_e", udf(F.coalesce(text_col, F.lit("")), yes))
-    long = docs.where(size > chunk_chars).withColumn("_th", F.xxhash64(text_col))
-    once = long.select(F.col(id_col).alias("_id"), "_th", F.col(text_col).alias("_text")).dropDuplicates(["_id", "_th"])
-    pieces = _pieces(once, chunk_chars, overlap).withColumn("_e", udf(F.coalesce("_piece", F.lit("")), no))
-    per = pieces.groupBy("_id", "_th").agg(F.bool_and(F.col("_piece").isNotNull()).alias("_whole"), F.array_sort(F.collect_list(F.struct("_no", "_e"))).alias("_list"))
-    per = per.withColumn("_e", F.when(F.col("_whole"), merge(F.col("_list")))).select(F.col("_id").alias("_id2"), F.col("_th").alias("_th2"), "_e")
-    met = long.join(per, F.col(id_col).eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2")))
-    done = met.where(F.col("_e").isNotNull())
-    left = met.where(F.col("_e").isNull()).drop("_e").withColumn("_e", udf(text_col, yes))
+    found = rows.select("_key", "_no", "_n", "_at", F.length("_chunk").alias("_size"), boundaries("_chunk", "_at", F.lit(chunk_chars), F.lit(overlap), final).alias("_b"))
+    order = Window.partitionBy("_key").orderBy("_no")
+    found = found.withColumn("_over", F.array_min(F.array_intersect("_b.tail", F.lead("_b.head").over(order))))
+    found = found.withColumn("_from", F.when(F.col("_no") == 0, 0).otherwise(F.lag("_over").over(order)))
+    found = found.select("_key", "_no", "_from", F.when(final, F.col("_at") + F.col("_size")).otherwise(F.col("_over")).alias("_upto"))
+    return rows.join(found, ["_key", "_no"]).select("_key", "_no", F.expr("substring(_chunk, _from - _at + 1, _upto - _from)").alias("_piece"))
+
+
+def _encoded(docs: DataFrame, whole, pieces, finish, chunk_chars: int, overlap: int, text_col: str) -> DataFrame:
+    """docs with the struct _e: whole makes it of a text, finish of the ids of a long text's pieces, which pieces encodes."""
+    size = F.coalesce(F.length(text_col), F.lit(0))
     columns = [*docs.columns, "_e"]
-    return short.select(*columns).unionByName(done.select(*columns)).unionByName(left.select(*columns))
+    short = docs.where(size <= chunk_chars).withColumn("_e", whole(F.coalesce(text_col, F.lit(""))))
+    long = docs.where(size > chunk_chars).withColumn("_key", F.md5(F.col(text_col).cast("binary")))
+    cut = _pieces(long.select("_key", F.col(text_col).alias("_text")), chunk_chars, overlap).withColumn("_ids", pieces(F.coalesce("_piece", F.lit(""))))
+    per = cut.groupBy("_key").agg(F.bool_and(F.col("_piece").isNotNull()).alias("_whole"), F.array_sort(F.collect_list(F.struct("_no", "_ids"))).alias("_list"))
+    done = per.where("_whole").select("_key", finish(F.flatten(F.transform("_list", lambda p: p["_ids"]))).alias("_e"))
+    left = long.join(per.where("not _whole").select("_key"), "_key", "left_semi").withColumn("_e", whole(text_col))
+    return short.select(*columns).unionByName(long.join(done, "_key").select(*columns)).unionByName(left.select(*columns))
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP, text_col: str = "text") -> DataFrame:
     """docs with the column tokens, the ids of the whole text."""
-    docs = docs.drop("tokens")
-    merge = lambda x: F.struct(F.flatten(F.transform(x, lambda p: p["_e"]["tokens"])).alias("tokens"))
-    out = _encoded(docs, tokens_udf(vocabulary(path)), merge, chunk_chars, overlap, id_col, text_col)
+    docs, ids = docs.drop("tokens"), tokens_udf(vocabulary(path))
+    out = _encoded(docs, lambda t: F.struct(ids(t).alias("tokens")), ids, lambda k: F.struct(k.alias("tokens")), chunk_chars, overlap, text_col)
     return out.select(*docs.columns, "_e.tokens")
 
 
@@ -153,20 +159,10 @@ def decode(encoded: DataFrame, path: str | None = None, tokens_col: str = "token
     return encoded.withColumn("decoded", raw(tokens_col))
 
 
-def encode_digests(docs: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_digests(docs: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP, text_col: str = "text") -> DataFrame:
     """docs with n_tokens and the SHA-256 of the ids (decimal, joined by commas) and of the bytes decoded from them."""
-    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256")
-
-    def merge(x):
-        ids = F.array_join(F.filter(F.transform(x, lambda p: p["_e"]["ids"]), lambda s: s != ""), ",")
-        data = F.unhex(F.array_join(F.transform(x, lambda p: F.hex(p["_e"]["decoded"])), ""))
-        count = F.aggregate(x, F.lit(0).cast("long"), lambda a, p: a + p["_e"]["n_tokens"])
-        none = F.lit(None)
-        return F.struct(count.alias("n_tokens"), none.cast("string").alias("ids"), none.cast("binary").alias("decoded"),
-                        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(data, 256).alias("decoded_sha256"))
-
-    out = _encoded(docs, digest_udf(vocabulary(path)), merge, chunk_chars, overlap, id_col, text_col)
+    docs, path = docs.drop("n_tokens", "ids_sha256", "decoded_sha256"), vocabulary(path)
+    out = _encoded(docs, text_digests_udf(path), tokens_udf(path), token_digests_udf(path), chunk_chars, overlap, text_col)
     return out.select(*docs.columns, "_e.n_tokens", "_e.ids_sha256", "_e.decoded_sha256")
 
 
