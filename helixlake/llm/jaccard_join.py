@@ -9,11 +9,11 @@ a pivot: the documents that hold exactly it form its region, and whoever is with
 Empty parts count only for sets that have slack of them or more, which alone could agree on nothing else.
 
 Regions are found by one range-partitioned, sorted stream over (part, document): a region of any size is streamed, and
-one that reaches over several partitions is put together from the first documents of its pieces. Regions that share
-documents make a cluster. Texts with passages in common can share a region by chance and chain into large clusters; a cluster of
-more than block_rows documents is therefore compared by sketches first. A sketch counts a set's elements in hash buckets, about two in each, and
-the sum of differences of two sketches is no more than that of the sets, so pairs it puts too far apart are no links, and
-what holds together without them are the clusters that stay. Small clusters are gathered in buckets, large ones cut into blocks of about block_rows, and
+one that reaches over several partitions is put together from the first documents of its pieces. Texts
+with passages in common can share a region by chance, so the documents of a region are compared by sketches first. A sketch
+counts a set's elements in hash buckets, a few in each; the sum of differences of two sketches is no more than that of the
+sets, so pairs it puts too far apart are no links. What is left of the regions makes clusters; one of more than
+block_rows documents is compared by sketches once more, in pairs of blocks. Small clusters are gathered in buckets, large ones cut into blocks of about block_rows, and
 each bucket and each pair of a cluster's blocks is joined in a task of its own, on whole sets. There document pivots
 make Voronoi regions: a document belongs to its nearest pivot's region and, by the triangle inequality, to every other
 whose pivot is less than twice the threshold's distance farther. Regions are joined recursively; those that are
@@ -37,7 +37,7 @@ from helixlake.llm.common import broadcast_if_small, shuffle_partitions, stored,
 from helixlake.llm.components import components
 from helixlake.llm.textvec import mix, shingles, slices, words
 
-RATIO = 1.3
+RATIO, LIST_ROWS = 1.3, 256
 
 
 def levels(upto: int) -> list[int]:
@@ -83,8 +83,8 @@ def signatures(s: np.ndarray, num: int, den: int, bounds: list[int]) -> np.ndarr
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts, 255 at most, of the elements in 2^b buckets, about two in each."""
-    bits = max(3, int(len(s) // 2).bit_length())
+    """Counts, 255 at most, of the elements in 2^b buckets, three to six in each."""
+    bits = max(3, int(len(s) // 6).bit_length())
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -136,32 +136,70 @@ def _described(width: int, num: int, den: int):
     return function
 
 
-def _stars(batches):
-    """Over rows sorted by (part, id): the other documents of each run with its first (centre); the runs at both ends are marked, whatever their length."""
-    centre, part = None, None
+def _regions(batches):
+    """Over rows sorted by (part, id): the documents of each run of two or more.
 
-    def rows(parts, centres, ids, border):
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(centres), pa.array(ids), pa.array(np.full(len(parts), border))], names=["part", "centre", "id", "border"])
+    A run of up to LIST_ROWS documents inside the partition is a list: a row for each of its documents, key the hash of them all.
+    Longer runs and those at the partition's ends are stars: the other documents with the first (centre), key 0; the ends are marked,
+    whatever their length, since their runs may go on in the next partition.
+    """
+    held_p = held_i = np.zeros(0, np.int64)
+    centre, part, star, first = None, None, False, True
+
+    def rows(parts, keys, centres, ids, border=False):
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(keys, pa.int64()), pa.array(centres), pa.array(ids), pa.array(np.full(n, border))], names=["part", "key", "centre", "id", "border"])
+
+    def as_star(p, i, at):
+        return rows(p, np.zeros(len(p), np.int64), np.full(len(p), at, i.dtype), i)
+
+    def mark(at_part, at):
+        return rows(np.array([at_part]), np.array([0]), np.array([at]), np.array([at]), True)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         p, i = batch.column("part").to_numpy(), batch.column("id").to_numpy()
-        new = np.append(part is None or p[0] != part, p[1:] != p[:-1])
-        begin = np.flatnonzero(new)
-        if part is None:
-            yield rows(p[:1], i[:1], i[:1], True)
-        run = np.cumsum(new) - 1
-        starts = i[begin]
-        if run[0] < 0:
-            starts, run = np.append(centre, starts), run + 1
-        centres = starts[run]
-        member = ~new & (i != centres)
-        if member.any():
-            yield rows(p[member], centres[member], i[member], False)
-        centre, part = centres[-1], p[-1]
+        if star:  # the run goes on
+            n = int(np.searchsorted(p, part, side="right"))
+            more = i[:n] != centre
+            if more.any():
+                yield as_star(p[:n][more], i[:n][more], centre)
+            p, i = p[n:], i[n:]
+            if not len(p):
+                continue
+            star = first = False
+        elif len(held_p):
+            p, i = np.concatenate([held_p, p]), np.concatenate([held_i, i])
+        begin = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        size = np.diff(np.append(begin, len(p)))
+        if first and len(begin) > 1:
+            yield mark(p[0], i[0])
+            if size[0] > 1:
+                yield as_star(p[1 : size[0]], i[1 : size[0]], i[0])
+        lo = 1 if first and len(begin) > 1 else 0
+        inner = np.arange(len(begin))
+        inner = (inner >= lo) & (inner < len(begin) - 1) & (size > 1)
+        first = first and len(begin) == 1
+        short = inner & (size <= LIST_ROWS)
+        if short.any():
+            take = np.repeat(short, size)
+            key = (mix(np.add.reduceat(mix(i.astype(np.uint64)), begin)) | np.uint64(1)).view(np.int64)
+            yield rows(p[take], np.repeat(key, size)[take], np.repeat(i[begin], size)[take], i[take])
+        for k in np.flatnonzero(inner & ~short).tolist():
+            yield as_star(p[begin[k] + 1 : begin[k] + size[k]], i[begin[k] + 1 : begin[k] + size[k]], i[begin[k]])
+        held_p, held_i = p[begin[-1] :], i[begin[-1] :]
+        part, centre = held_p[0], held_i[0]
+        if len(held_p) > LIST_ROWS:
+            if first:
+                yield mark(part, centre)
+            yield as_star(held_p[1:], held_i[1:], centre)
+            held_p = held_i = held_p[:0]
+            star = True
     if part is not None:
-        yield rows(np.array([part]), np.array([centre]), np.array([centre]), True)
+        yield mark(part, centre)
+        if len(held_i) > 1 and not star:
+            yield as_star(held_p[1:], held_i[1:], centre)
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
@@ -261,14 +299,35 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     classes = described.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("parts").alias("parts"))
     parts = classes.select(F.explode("parts").alias("part"), "id")
     order = parts.repartitionByRange(shuffle_partitions(spark), "part", "id").sortWithinPartitions("part", "id")
-    stars = stored(order.mapInArrow(_stars, f"part long, centre {kind}, id {kind}, border boolean"), "shingle-stars")
+    stars = stored(order.mapInArrow(_regions, f"part long, key long, centre {kind}, id {kind}, border boolean"), "shingle-regions")
     border = stars.where("border").select("part", "centre").distinct()
     joint = border.groupBy("part").agg(F.min("centre").alias("first"), F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
     pieces = border.join(joint, "part").where("centre <> first").select("part", F.col("first").alias("centre"), F.col("centre").alias("id"))
-    members = stars.where("not border").select("part", "centre", "id").unionByName(pieces)
+    members = stars.where("not border and key = 0").select("part", "centre", "id").unionByName(pieces)
     # A region of several pieces has one pivot: the first of the first piece.
     members = members.join(joint.select("part", "first"), "part", "left").select("part", F.coalesce("first", "centre").alias("centre"), "id").distinct()
-    clusters = components(members.select(F.col("centre").alias("u"), F.col("id").alias("v"))).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    # Many parts have the same documents; each list of documents is looked at once.
+    lists = stored(stars.where("key <> 0").select("key", "id").distinct(), "shingle-lists")
+    drawn = described.select("id", "n", "sketch").distinct()
+    bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-lists.count() // 4096))))
+
+    def close_in_lists(group):
+        key, ids, size = (group.column(c).to_numpy() for c in ("key", "id", "n"))
+        sketches = [np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()]
+        order = np.argsort(key, kind="stable")
+        out = []
+        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            i, j = sketch_pairs(at, at, size, sketches, num, den)
+            if len(i):
+                place = np.full(len(ids), -1)
+                place[at] = np.arange(len(at))
+                out.append(smallest_linked(ids[at], place[i], place[j]))
+        u, v = (np.concatenate(x) for x in zip(*out)) if out else (ids[:0], ids[:0])
+        return pa.table({"u": u, "v": v})
+
+    near_lists = lists.join(drawn, "id").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(close_in_lists, f"u {kind}, v {kind}")
+    edges = members.select(F.col("centre").alias("u"), F.col("id").alias("v")).unionByName(near_lists)
+    clusters = components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     clusters = stored(clusters, "shingle-clusters")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
