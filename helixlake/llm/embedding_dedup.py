@@ -1,15 +1,16 @@
-"""Near-duplicate embeddings by spherical k-means cells.
+"""Near-duplicate embeddings: every link, found over blocks of cells whose angles leave one possible.
 
 Equal vectors become one class with a multiplicity. Centroids are fitted by spherical k-means to sample_rows classes
-taken by a hash; every class goes to its probes nearest cells, for two vectors whose cosine is high can lie on two
-sides of a border. The members of a cell are cut into blocks of at most about block_rows, and cosine products are
-taken, in double precision, for every pair of blocks of a cell, each in a task of its own: a cell that holds a third
-of all rows is many tasks of bounded size. A pair that meets in several cells counts in the first of them. A block
+taken by a hash; every class belongs to its nearest cell and there to a ring by its angle to the centre. By the triangle inequality
+of angles, the angle between two centres and the rings' least and greatest angles bound the angle of any two members
+from below: two rings are compared unless that bound excludes a link, so no link is missed. Rings are cut into blocks
+of about block_rows, each packed into one row; a task takes a block and up to CHUNK blocks that it may link with. Products are
+taken in single precision with room for its error, and what they leave is decided in double precision. A pair of blocks
 returns a count for each vector and the edges of a spanning forest, never its pairs. Components then join the edges, and
 the smallest id of each is kept.
 
-Links below the threshold are never made. A link is missed only where the two share none of their nearest cells; README
-gives the recall that was measured.
+Where vectors are clustered, most rings exclude each other. Where they are spread evenly in many dimensions no bound excludes
+anything, and the products grow with the square of the rows; README has figures.
 
 Defined results: a vector that is null, empty, zero, or has null or non-finite components, or has no id, links with
 nothing; vectors of different lengths do not link; repeated rows are separate vectors that link with each other; an
@@ -27,7 +28,11 @@ from helixlake.llm.common import stored, table
 from helixlake.llm.components import components
 from helixlake.llm.vectors import is_valid, keyed, matrix
 
-CELL_ROWS, BLOCK_ROWS, PROBES, SAMPLE_ROWS = 512, 1024, 4, 16_384
+CELL_ROWS, BLOCK_ROWS, SAMPLE_ROWS = 8192, 8192, 16_384
+#: Rings have this width in radians; RINGS covers all angles. A task compares a block with at most CHUNK others.
+RING, RINGS, CHUNK = 0.25, 13, 8
+#: More than the error of an angle, in radians.
+ANGLE_SLACK = 1e-6
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -48,46 +53,52 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> n
     return c
 
 
-def block_links(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, x: np.ndarray, cells: np.ndarray, cell: int, threshold: float, rows: int = 256):
-    """Links counted here and each linked vector's smallest linked id within the block pair: (ids, counts, roots)."""
-    lo, hi = block.min(), block.max()
-    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    count = np.zeros(len(ids), np.int64)
-    pairs = []
-    for begin in range(0, len(left), rows):
-        a = left[begin : begin + rows]
-        i, j = np.nonzero(x[a] @ x[right].T >= threshold)
-        i, j = a[i], right[j]
-        keep = i < j if lo == hi else np.ones(len(i), bool)
-        i, j = i[keep], j[keep]
+def may_link(between: np.ndarray, lo: float, hi: float, los: np.ndarray, his: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether members at angles lo to hi of one centre can link with members at los to his of centres at the angles between."""
+    least = np.maximum(between - hi - his, np.maximum(lo - between - his, los - between - hi))
+    return least <= np.arccos(np.clip(threshold, -1, 1)) + ANGLE_SLACK
+
+
+def block_links(a: np.ndarray, b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray, same: bool, threshold: float, rows: int = 256):
+    """Of unit rows a and b (the same block where same is set): numbers of those that link, their links, and a number linked with each, the same
+    for all that hang together. Rows of b are numbered after those of a."""
+    n, off = len(a), 0 if same else len(a)
+    total = n + (0 if same else len(b))
+    count, label, linked = np.zeros(total, np.int64), np.arange(total), np.zeros(total, bool)
+    single_a, single_b = a.astype(np.float32), b.astype(np.float32)
+    room = (a.shape[1] + 8) * 2.0**-23
+    for begin in range(0, n, rows):
+        first = begin if same else 0
+        i, j = np.nonzero(single_a[begin : begin + rows] @ single_b[first:].T >= threshold - room)
         if not len(i):
             continue
-        pairs.append((i, j))
-        common = (cells[i][:, :, None] == cells[j][:, None, :]).any(axis=2)
-        here = np.where(common, cells[i], np.iinfo(np.int32).max).min(axis=1) == cell
-        np.add.at(count, i[here], copies[j[here]])
-        np.add.at(count, j[here], copies[i[here]])
-    if not pairs:
-        return ids[:0], count[:0], ids[:0]
-    i, j = (np.concatenate(p) for p in zip(*pairs))
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.arange(len(ids))
-    label = rank.copy()
-    while True:  # the smallest rank spreads over the links, with pointer jumping
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
-        new = np.minimum(new, new[order[new]])
-        if (new == label).all():
-            break
-        label = new
-    linked = np.zeros(len(ids), bool)
-    linked[i] = linked[j] = True
-    return ids[linked], count[linked], ids[order[label[linked]]]
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS, probes: int = PROBES,
+        if len(i) > 16 * rows:
+            exact = (a[begin : begin + rows] @ b[first:].T)[i, j]
+        else:
+            exact = np.einsum("ij,ij->i", a[begin + i], b[first + j])
+        i, j = begin + i, first + j
+        keep = (exact >= threshold) & (i < j if same else True)
+        i, j = i[keep], j[keep]
+        count += np.bincount(i, weights=copies_b[j], minlength=total).astype(np.int64)
+        count += np.bincount(j + off, weights=copies_a[i], minlength=total).astype(np.int64)
+        linked[i] = linked[j + off] = True
+        pairs = np.unique(label[i] * total + label[j + off])
+        i, j = pairs // total, pairs % total
+        root = np.arange(total)
+        while True:  # the smallest number spreads over the links of this run, with pointer jumping
+            new = root.copy()
+            np.minimum.at(new, i, root[j])
+            np.minimum.at(new, j, root[i])
+            new = np.minimum(new, new[new])
+            if (new == root).all():
+                break
+            root = new
+        label = root[label]
+    at = np.flatnonzero(linked)
+    return at, count[at], label[at]
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
                     sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
@@ -108,32 +119,83 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
     def assign(batches):
         for batch in batches:
             length = np.diff(batch.column("vector").offsets.to_numpy())
-            out = [None] * batch.num_rows
+            ring, angle = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
             for d in np.unique(length):
                 at = np.flatnonzero(length == d)
                 first, c = shared.value[int(d)]
                 dots = unit(matrix(batch.column("vector").take(pa.array(at)))) @ c.T
-                p = min(probes, dots.shape[1])
-                near = np.sort(np.argpartition(-dots, p - 1, axis=1)[:, :p] + first, axis=1).astype(np.int32)
-                for k, cells in zip(at, near):
-                    out[k] = cells
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "vector")), pa.array(out, pa.list_(pa.int32()))], names=["rep", "copies", "vector", "cells"])
+                near = dots.argmax(axis=1)
+                angle[at] = np.arccos(np.clip(dots[np.arange(len(at)), near], -1, 1))
+                ring[at] = (first + near) * RINGS + (angle[at] / RING).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "vector")), pa.array(ring), pa.array(angle)], names=["rep", "copies", "vector", "ring", "angle"])
 
     kind = rows.schema["id"].dataType.simpleString()
     vector_kind = rows.schema["vector"].dataType.simpleString()
-    assigned = stored(classes.mapInArrow(assign, f"rep {kind}, copies long, vector {vector_kind}, cells array<int>"), "vector-cells")
-    blocks = assigned.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n"))
-    spread = assigned.withColumn("cell", F.explode("cells")).join(F.broadcast(blocks), "cell")  # a row a cell, no more than sample_rows / 8
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    spread = spread.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    assigned = stored(classes.mapInArrow(assign, f"rep {kind}, copies long, vector {vector_kind}, ring int, angle double"), "vector-rings")
+    found_rings = assigned.groupBy("ring").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.first(F.size("vector")).alias("d"))
+    rings = sorted(found_rings.collect())  # at most RINGS for each of sample_rows / 8 cells
+    # A block has fewer rows where vectors are long: about the bytes of block_rows vectors of 64.
+    pieces = [-(-r["n"] // max(1, min(block_rows, block_rows * 64 // r["d"]))) for r in rings]
+    firsts = np.concatenate([[0], np.cumsum(pieces)]).astype(np.int64)
+    by_length = {}
+    for d, (base, c) in centres.items():
+        at = np.array([k for k, r in enumerate(rings) if r["d"] == d], np.int64)
+        cell = np.array([rings[k]["ring"] // RINGS - base for k in at], np.int64)
+        by_length[d] = (at, cell, c, np.array([rings[k]["lo"] for k in at]), np.array([rings[k]["hi"] for k in at]))
+    plan = spark.sparkContext.broadcast((firsts, by_length))
+    dealt = spark.createDataFrame([(r["ring"], k, int(firsts[k]), pieces[k]) for k, r in enumerate(rings)], "ring int, at int, first long, pieces int")
+    dealt = assigned.join(F.broadcast(dealt), "ring").withColumn("block", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("pieces")))
+
+    def pack(key, group):
+        """A block as one row, with the tasks it goes to: its own, and those of the blocks before it that it may link with."""
+        first, lengths = plan.value
+        block, k = key[0].as_py(), group.column("at")[0].as_py()
+        x = matrix(group.column("vector"))
+        at, cell, c, lo, hi = lengths[x.shape[1]]
+        own = int(np.searchsorted(at, k))
+        between = np.arccos(np.clip(c[cell] @ c[cell[own]], -1, 1))
+        near = at[may_link(between, lo[own], hi[own], lo, hi, threshold)]
+        others = np.concatenate([np.arange(first[o], first[o + 1]) for o in np.append(near, k)])
+        chunks = np.unique(others[others >= block] // CHUNK)
+        before = np.unique(others[others < block])
+        left = np.append(np.full(len(chunks), block), before)
+        tasks = pa.StructArray.from_arrays([pa.array(left), pa.array(np.append(chunks, np.full(len(before), block // CHUNK)))], names=["left", "chunk"])
+        one = lambda values, type_: pa.array([values], type_)
+        ids = group.column("rep").combine_chunks()
+        return pa.table({"block": one(block, pa.int64()), "d": one(x.shape[1], pa.int32()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                         "copies": one(group.column("copies").to_numpy().tobytes(), pa.binary()), "x": one(x.tobytes(), pa.binary()),
+                         "tasks": pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), tasks)})
+
+    packed = dealt.select("block", "at", "rep", "copies", "vector").groupBy("block").applyInArrow(
+        pack, f"block long, d int, ids array<{kind}>, copies binary, x binary, tasks array<struct<left: long, chunk: long>>")
+    packed = packed.withColumn("task", F.explode("tasks")).select("task.left", "task.chunk", "block", "d", "ids", "copies", "x")
+    wide = np.float32 if vector_kind == "array<float>" else np.float64 if vector_kind == "array<double>" else None
+    if wide is None:
+        raise ValueError(f"vectors must be array<float> or array<double>, not {vector_kind}")
 
     def compare(key, group):
-        cell = key[0].as_py()
-        ids, counts, roots = block_links(group.column("rep").to_numpy(), group.column("copies").to_numpy(), group.column("block").to_numpy(),
-                                         unit(matrix(group.column("vector"))), matrix(group.column("cells")), cell, threshold)
-        return pa.table({"rep": ids, "links": counts, "root": roots})
-
-    found = spread.select("cell", "lo", "hi", "rep", "copies", "block", "vector", "cells").groupBy("cell", "lo", "hi").applyInArrow(compare, f"rep {kind}, links long, root {kind}")
+        order = {b: k for k, b in enumerate(group.column("block").to_pylist())}
+        members = group.column("ids").combine_chunks()
+
+        def read(b):
+            k = order[b]
+            return (members[k].values, np.frombuffer(group.column("copies")[k].as_buffer(), np.int64),
+                    unit(np.frombuffer(group.column("x")[k].as_buffer(), wide).reshape(-1, group.column("d")[k].as_py())))
+
+        left, chunk = key[0].as_py(), key[1].as_py()
+        out = {"rep": [members.values[:0]], "links": [np.zeros(0, np.int64)], "root": [members.values[:0]]}
+        ids, copies, x = read(left)
+        for b in sorted(order):
+            if b // CHUNK != chunk:
+                continue
+            ids_b, copies_b, y = read(b)
+            at, count, label = block_links(x, y, copies, copies_b, b == left, threshold)
+            both = ids if b == left else pa.concat_arrays([ids, ids_b])
+            for name, value in (("rep", both.take(pa.array(at))), ("links", count), ("root", both.take(pa.array(label)))):
+                out[name].append(value)
+        return pa.table({"rep": pa.concat_arrays(out["rep"]), "links": np.concatenate(out["links"]), "root": pa.concat_arrays(out["root"])})
+
+    found = packed.groupBy("left", "chunk").applyInArrow(compare, f"rep {kind}, links long, root {kind}")
     found = stored(found, "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep")

@@ -269,6 +269,35 @@ def test_embedding_dedup(spark, vectors):
     assert embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_embedding_links_across_many_cells(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    away = rng.normal(size=(1500, 64))
+    away -= (away * x[:1500]).sum(axis=1, keepdims=True) * x[:1500]
+    away /= np.sqrt((away * away).sum(axis=1, keepdims=True))
+    cos = rng.uniform(0.6, 0.62, 1500)[:, None]
+    x = np.vstack([x, cos * x[:1500] + np.sqrt(1 - cos * cos) * away]).astype(np.float32).astype(np.float64)
+    dots = x @ x.T / np.sqrt((x * x).sum(axis=1)) / np.sqrt((x * x).sum(axis=1))[:, None]
+    n = (dots >= 0.6).sum(axis=1) - 1
+    assert n.sum() > 2900
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = embedding_dedup.near_duplicates(df, threshold=0.6, cell_rows=75, block_rows=500).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(n.tolist()))
+
+
+def test_rings_exclude_no_pair_that_links():
+    rng = np.random.default_rng(13)
+    c, d = embedding_dedup.unit(rng.normal(size=(2, 400, 3)).reshape(-1, 3)).reshape(2, 400, 3)
+    x = embedding_dedup.unit(rng.normal(size=(400, 3)))
+    y = embedding_dedup.unit(x + rng.normal(size=(400, 3)) * 0.2)
+    angle = lambda a, b: np.arccos(np.clip((a * b).sum(axis=1), -1, 1))
+    got = [embedding_dedup.may_link(g, lo, lo, np.array([o]), np.array([o]), 0.9)[0] for g, lo, o in zip(angle(c, d)[:, None], angle(x, c), angle(y, d))]
+    linked = (x * y).sum(axis=1) >= 0.9
+    assert linked.sum() > 50 and np.array(got)[linked].all()
+    assert not embedding_dedup.may_link(np.array([2.0]), 0.0, 0.3, np.array([0.0]), np.array([0.3]), 0.9)[0]
+
+
 def test_hnsw(spark, vectors):
     rows = sorted({v: tuple(x) for v, x in valid_rows(vectors)}.items())
     queries = vectors.where("vec_id % 20 = 0")
