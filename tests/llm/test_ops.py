@@ -384,6 +384,22 @@ def test_language_model(spark, docs, empty):
     assert language_model.score_texts(empty, held, language_model.fit(empty, held)).count() == 0
 
 
+def test_every_training_text_trains(spark):
+    texts = ["one two three", "four five", None, "six seven eight nine " * 20] * 3
+    rows = spark.createDataFrame([(None if k % 2 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    path = bpe.vocabulary(None)
+    encoded = language_model.encoded_texts(rows, path)
+    got = encoded.collect()
+    assert sum(len(r.sizes) // 8 for r in got) == len(texts)
+    encode = bpe.encoder(path)[0].encode_ordinary
+    want = Counter(i for t in texts for w in (t or "").split() for i in encode(" " + w)) + Counter({language_model.END_ID: len(texts)})
+    assert Counter(i for r in got for i in np.frombuffer(r.ids, np.uint16).tolist()) == want
+    held = language_model.held_out(F.col("doc_id"), 7, 2)
+    for few in (rows.where("doc_id is null"), *(rows.where(f"doc_id = {k}") for k in (0, 4))):
+        model = language_model.fit(few, held)
+        assert not np.allclose(model.parameters["embed"], language_model.new_parameters(np.ones(language_model.OUTPUTS))["embed"])
+
+
 def test_rare_words_join_as_frequent_ones_do(docs, monkeypatch):
     held = language_model.held_out(F.col("doc_id"), 7, 2)
     model = language_model.fit(docs, held)
