@@ -164,9 +164,9 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, links: int = L
 
 def search(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 20, breadth: int = BREADTH, query_rows: int = QUERY_ROWS,
            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of queries its k nearest of vectors, its own id left out."""
+    """query_id, rank, vec_id, score: for each distinct row of queries its k nearest of vectors, its own id left out."""
     index = stored(index, "hnsw-index")
-    asked = keyed(queries, id_col, vector_col).select(F.col("id").alias("query_id"), F.size("vector").alias("dim"), "vector")
+    asked = keyed(queries, id_col, vector_col).select(F.col("id").alias("query_id"), F.size("vector").alias("dim"), "vector").distinct()
     asked = stored(asked, "hnsw-queries")
     blocks = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("blocks"))
     asked = asked.join(F.broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))

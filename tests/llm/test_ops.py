@@ -319,6 +319,13 @@ def test_hnsw(spark, vectors):
     assert hnsw.search(hnsw.build_index(vectors.limit(0)), vectors.limit(0), queries.limit(0)).count() == 0
 
 
+def test_hnsw_repeated_query(spark, vectors):
+    once = vectors.where("vec_id = 40")
+    index = hnsw.build_index(vectors, shard_rows=150)
+    one, two = (sorted(map(tuple, hnsw.search(index, vectors, q, k=20, query_rows=10).collect())) for q in (once, once.unionByName(once)))
+    assert len(one) == 20 and one == two
+
+
 def labelled_corpus(spark, label):
     rng = np.random.default_rng(4)
     vocabulary = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
