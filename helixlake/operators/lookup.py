@@ -2,7 +2,7 @@
 
 A record answers a query only if it bears the query's identifier, so identifiers are exploded and joined by equality
 with the contig; the interval is a filter on what meets. No interval join is needed, and identifiers do not repeat much, so neither
-does a key.
+does a key. What is found depends on contig, identifier and position alone: each such key is looked up once, and joined back by its value.
 """
 
 from __future__ import annotations
@@ -22,31 +22,35 @@ def record_ids(vcf: DataFrame) -> DataFrame:
 
 
 def find_records(queries: DataFrame, vcf: DataFrame, window: int = 0, before: int | None = None, after: int | None = None) -> DataFrame:
-    """queries (rsid, chromosome, position, and others) with contig, record and status.
+    """queries (rsid, chromosome, position, and others) with contig, record and status, which replace columns of these names.
 
     status: no_contig (unknown chromosome), missing_contig (none of the records has it), exact (the first record with the
     identifier that overlaps the position), window (else, the first that overlaps the position widened by window), not_found.
     before and after, where given, widen the second interval unevenly: from position - before to before position + after.
+    A query without identifier or position finds nothing; queries that come twice are answered twice.
     """
-    asked = queries.withColumn("query_no", F.monotonically_increasing_id()).withColumn("contig", contig_of(F.col("chromosome")))
+    queries = queries.drop("contig", "record", "status")
+    asked = queries.withColumn("contig", contig_of(F.col("chromosome")))
     ids = record_ids(vcf).select(F.col("contig").alias("_contig"), "record_id", "file_order", (F.col("pos") - 1).alias("_start"),
                                  (F.col("pos") - 1 + F.length("ref")).alias("_stop"), F.struct("contig", "pos", "ref", "alts", "filters").alias("record"))
-    met = asked.select("query_no", "contig", "rsid", "position").join(ids, (F.col("contig") == F.col("_contig")) & (F.col("rsid") == F.col("record_id")))
+    keys = asked.select(*[F.col(c).alias(f"_{c}") for c in ("contig", "rsid", "position")]).distinct().withColumnRenamed("_contig", "_on")
+    met = keys.join(ids, (F.col("_on") == F.col("_contig")) & (F.col("_rsid") == F.col("record_id")))
 
     def overlaps(low, high):
         return (F.greatest(F.lit(0), low) < high) & (F.col("_start") < high) & (F.col("_stop") > F.greatest(F.lit(0), low))
 
-    at = F.col("position")
+    at = F.col("_position")
     exact = overlaps(at - 1, at)
     near = overlaps(at - before, at + after) if before is not None else overlaps(at - 1 - window, at + window)
     wide = window > 0 or before is not None
     hits = met.withColumn("rank", F.when(exact, 0).when(near if wide else F.lit(False), 1)).where("rank is not null")
-    first = hits.groupBy("query_no").agg(F.min_by(F.struct("record", "rank"), F.struct("rank", "_start", "file_order")).alias("hit"))
+    first = hits.groupBy("_on", "_rsid", "_position").agg(F.min(F.struct("rank", "_start", "file_order", "record")).alias("_hit"))
     known = vcf.select(F.col("contig").alias("_known")).distinct()
-    out = asked.join(first, "query_no", "left").join(known, F.col("contig") == F.col("_known"), "left")
-    status = (F.when(F.col("contig").isNull(), "no_contig").when(F.col("_known").isNull(), "missing_contig").when(F.col("hit").isNull(), "not_found")
-              .when(F.col("hit.rank") == 0, "exact").otherwise("window"))
-    return out.select(*queries.columns, "contig", F.col("hit.record").alias("record"), status.alias("status"))
+    same = (F.col("contig") == F.col("_on")) & (F.col("rsid") == F.col("_rsid")) & (F.col("position") == F.col("_position"))
+    out = asked.join(first, same, "left").join(known, F.col("contig") == F.col("_known"), "left")
+    status = (F.when(F.col("contig").isNull(), "no_contig").when(F.col("_known").isNull(), "missing_contig").when(F.col("_hit").isNull(), "not_found")
+              .when(F.col("_hit.rank") == 0, "exact").otherwise("window"))
+    return out.select(*queries.columns, "contig", F.col("_hit.record").alias("record"), status.alias("status"))
 
 
 def lookup_rows(found: DataFrame) -> DataFrame:
