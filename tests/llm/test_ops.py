@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -374,55 +375,128 @@ def test_toxic_passages_and_maximal_segments(spark):
         assert [(a, b) for a, b, _ in got] == brute(0, len(s))
 
 
-def test_language_model(spark, docs, empty):
+def is_held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
+def lm_tokens(t):
+    return [*WORD.findall((t or "").translate(FOLD)), None]
+
+
+@pytest.fixture(scope="module")
+def lm(docs):
+    """Scores of the documents, and the model that gave them."""
     held = language_model.held_out(F.col("doc_id"), 7, 2)
-    rows = docs.collect()
-    is_held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    tokens = lambda t: [*WORD.findall((t or "").translate(FOLD)), None]
-    count = Counter(w for r in rows if not is_held(r.doc_id) for w in tokens(r.text))
+    path = bpe.vocabulary(None)
+    counts = language_model.with_first_ids(language_model.word_counts(docs.where(~held)), path)
+    model = language_model.fit(language_model.encoded_pieces(docs, held, counts, path), counts, path)
+    return held, model, language_model.score_texts(docs, held).collect()
+
+
+def lm_counts(docs):
+    return Counter(w for r in docs.collect() if not is_held(r.doc_id) for w in lm_tokens(r.text))
+
+
+def test_language_model_counts(docs, empty, lm):
+    count = lm_counts(docs)
     n, v = sum(count.values()), len(count)
     want = Counter()
-    for r in rows:
-        t = tokens(r.text)
+    for r in docs.collect():
+        t = lm_tokens(r.text)
         want[r.doc_id, is_held(r.doc_id), len(t), sum(count[w] > 0 for w in t), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), 6)] += 1
-    got = language_model.score_texts(docs, held, language_model.fit(docs, held)).collect()
-    assert Counter((*r[:5], round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
-    assert language_model.score_texts(empty, held, language_model.fit(empty, held)).count() == 0
+    assert Counter((*r[:5], round(r.base_score, 6)) for r in lm[2]) == want
+    assert all(r.score < 0 and math.isfinite(r.score) for r in lm[2])
+    assert language_model.score_texts(empty, lm[0]).count() == 0
+
+
+def test_language_model_scores_word_by_word(docs, lm, tiktoken_encoder):
+    """Every word by itself, with plain loops over the inputs before it, in double precision."""
+    _, model, got = lm
+    count, p = lm_counts(docs), {c: v.astype(np.float64) for c, v in model.parameters.items()}
+    end, block = len(model.class_of) - 2, language_model.BLOCK
+    id_of = lambda w: end if w is None else tiktoken_encoder.encode_ordinary(" " + w)[0]
+    of = lambda w: int(model.class_of[id_of(w)])
+    tokens, distinct = Counter(), Counter()
+    for w, c in count.items():
+        tokens[of(w)] += c
+        distinct[of(w)] += 1
+    want = defaultdict(list)
+    for r in docs.collect():
+        t = lm_tokens(r.text)
+        if len(t) > 500:
+            continue
+        classes = [of(w) for w in t]
+        inputs, total = [language_model.START, *classes[:-1]], 0.0
+        for k, (w, c) in enumerate(zip(t, classes)):
+            first = max(0, (k // block - 1) * block)
+            shift = block - (k // block) * block  # place of an input in its window
+            e = np.array([p["embed"][inputs[j]] + p["place"][j + shift] for j in range(first, k + 1)])
+            weight = np.exp(e @ p["k"] @ (e[-1] @ p["q"]) / np.sqrt(language_model.DIM))
+            h = e[-1] + weight @ (e @ p["v"]) / weight.sum()
+            logit = h @ p["out"] + p["bias"]
+            total += (logit[c] - np.log(np.exp(logit).sum())) / np.log(10) + math.log10((count[w] + 1) / (tokens[c] + distinct[c] + 1))
+        want[r.doc_id].append(total)
+    assert len(want) > 100
+    for r in got:
+        if r.doc_id in want:
+            assert any(math.isclose(r.score, x, rel_tol=1e-4, abs_tol=1e-3) for x in want[r.doc_id])
 
 
-def test_every_training_text_trains(spark):
-    texts = ["one two three", "four five", None, "six seven eight nine " * 20] * 3
-    rows = spark.createDataFrame([(None if k % 2 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+def test_a_class_shares_its_probability_among_its_words(docs, lm):
+    """(c + 1) / (N + V + 1) over the words of a class, and one share for unseen words, make 1."""
     path = bpe.vocabulary(None)
-    encoded = language_model.encoded_texts(rows, path)
-    got = encoded.collect()
-    assert sum(len(r.sizes) // 8 for r in got) == len(texts)
-    encode = bpe.encoder(path)[0].encode_ordinary
-    want = Counter(i for t in texts for w in (t or "").split() for i in encode(" " + w)) + Counter({language_model.END_ID: len(texts)})
-    assert Counter(i for r in got for i in np.frombuffer(r.ids, np.uint16).tolist()) == want
-    held = language_model.held_out(F.col("doc_id"), 7, 2)
-    for few in (rows.where("doc_id is null"), *(rows.where(f"doc_id = {k}") for k in (0, 4))):
-        model = language_model.fit(few, held)
-        assert not np.allclose(model.parameters["embed"], language_model.new_parameters(np.ones(language_model.OUTPUTS))["embed"])
+    counts = language_model.with_first_ids(language_model.word_counts(docs.where(~lm[0])), path).collect()
+    seen = Counter()
+    for r in counts:
+        seen[int(lm[1].class_of[r.id])] += r.c + 1
+    assert all(math.isclose(10 ** lm[1].size[c], n + 1) for c, n in seen.items())
+    assert all(lm[1].size[c] == 0 for c in range(language_model.OUTPUTS) if c not in seen)
 
 
-def test_rare_words_join_as_frequent_ones_do(docs, monkeypatch):
-    held = language_model.held_out(F.col("doc_id"), 7, 2)
-    model = language_model.fit(docs, held)
-    one = sorted(map(tuple, language_model.score_texts(docs, held, model).fillna(-1).collect()))
+@pytest.mark.parametrize("parts", [1, 2, 8])
+def test_scores_do_not_depend_on_the_split(docs, lm, parts):
+    other = language_model.score_texts(docs.repartition(parts), lm[0]).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.base_score)
+    for a, b in zip(sorted(lm[2], key=key), sorted(other, key=key), strict=True):
+        assert a[:5] == b[:5] and math.isclose(a.score, b.score, rel_tol=1e-5) and math.isclose(a.base_score, b.base_score, rel_tol=1e-9)
+
+
+def test_pieces_of_long_texts_score_as_wholes(docs, lm):
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.base_score)
+    cut = language_model.score_texts(docs, lm[0], model=lm[1], piece=64).collect()
+    for a, b in zip(sorted(lm[2], key=key), sorted(cut, key=key), strict=True):
+        assert a[:5] == b[:5] and math.isclose(a.score, b.score, rel_tol=1e-5)
+
+
+def test_rare_words_join_as_frequent_ones_do(docs, lm, monkeypatch):
     monkeypatch.setattr(language_model, "HEAD_SHARE", 20)
-    two = sorted(map(tuple, language_model.score_texts(docs, held, model).fillna(-1).collect()))
-    assert all(a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-5) for a, b in zip(one, two, strict=True))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.base_score)
+    two = language_model.score_texts(docs, lm[0], model=lm[1]).collect()
+    for a, b in zip(sorted(lm[2], key=key), sorted(two, key=key), strict=True):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-5)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_attention_beats_the_baseline_on_held_out_texts(spark):
+    """By itself: nothing of the baseline is mixed in."""
+    rows = language_model.op10_attention_lm(spark, "/root/testdata/sf0.01").where("held_out").collect()
+    n = sum(r.n_tokens for r in rows)
+    assert sum(r.score - r.base_score for r in rows) / n > 0.3
+    assert np.mean([r.score > r.base_score for r in rows]) > 0.97
 
 
 def test_attention_gradients_and_distribution():
     rng = np.random.default_rng(2)
-    p = {c: v.astype(np.float64) for c, v in language_model.new_parameters(np.full(language_model.OUTPUTS, 1 / language_model.OUTPUTS)).items()}
-    x, y, _ = language_model.windows(rng.integers(0, 20, 70), np.array([0, 33, 70]))
-    logp, _ = language_model.forward(p, x)
-    assert np.allclose(np.exp(logp).sum(axis=2), 1, atol=1e-5)
-    loss = lambda: -np.take_along_axis(language_model.forward(p, x)[0], np.minimum(y, 61)[:, :, None].astype(int), 2)[:, :, 0][y != language_model.PAD].mean()
+    p = language_model.new_parameters(np.full(language_model.OUTPUTS, 1 / language_model.OUTPUTS))
+    p = {c: v.astype(np.float64) for c, v in p.items()} | {"out": rng.normal(size=p["out"].shape) * 0.1}
+    x, y, _ = language_model.windows([rng.integers(0, 20, 33), rng.integers(0, 20, 80)], np.array([True, True]))
+
+    def loss():
+        logit = language_model.forward(p, x)[0]
+        logp = logit - np.log(np.exp(logit).sum(axis=1, keepdims=True))
+        t = y.ravel()
+        return -logp[np.arange(len(t)), np.minimum(t, 61)][t != language_model.PAD].mean()
+
     g = language_model.gradients(p, x, y)
     for c in p:
         at = tuple(rng.integers(0, n) for n in p[c].shape) if c != "embed" else (int(x[0, -1]), 1)
@@ -436,10 +510,14 @@ def test_attention_gradients_and_distribution():
 
 
 def test_each_token_is_scored_once():
-    classes, offsets = np.arange(100) % 50, np.array([0, 1, 17, 49, 100])
-    x, y, place = language_model.windows(classes, offsets)
-    assert sorted(place[place >= 0]) == list(range(100))
-    for row, col in zip(*np.nonzero(place >= 0)):
-        k = place[row, col]
-        first = k in offsets
-        assert x[row, language_model.BLOCK + col] == (language_model.START if first else classes[k - 1]) and y[row, col] == classes[k]
+    classes = np.arange(400) % 50
+    texts = [classes[:1], classes[1:17], classes[17:116], classes[116:400]]
+    cut = [(p, k == 0) for t in texts for k, p in enumerate(language_model.pieces_of(t, 64))]
+    x, y, piece = language_model.windows([p for p, _ in cut], np.array([f for _, f in cut]))
+    assert y[y != language_model.PAD].tolist() == classes.tolist()  # in order, once
+    whole = language_model.windows(texts, np.ones(4, bool))
+    assert (whole[0] == x).all() and (whole[1] == y).all()
+    block = language_model.BLOCK
+    for row, col in zip(*np.nonzero(y != language_model.PAD)):
+        if x[row, block + col] != language_model.START:
+            assert x[row, block + col] == (int(y[row, col]) - 1) % 50
