@@ -6,19 +6,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixlake.llm.common import broadcast_if_small
+
 #: Raw scores are rounded to 1/STEPS and held within -REACH..REACH: at most 2 * REACH * STEPS + 1 bins.
 STEPS, REACH = 20, 100.0
-#: Up to this many labelled ids are broadcast (16 bytes each); more are joined by shuffle.
-BROADCAST_ROWS = 4_000_000
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, keep) -> DataFrame:
     """id, text, y of the documents whose ids keep(id) admits and that have a label; the largest where an id has several."""
     ids = labels.where(keep(F.col("doc_id")) & F.col(label).isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     ids = ids.select(F.col("doc_id").alias("_id"), "y")
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).drop("_id")
+    return docs.select("doc_id", "text").join(broadcast_if_small(ids), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
 def bin_of(raw: np.ndarray) -> np.ndarray:

@@ -5,31 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import stored
+from helixlake.llm.common import new_path, remove
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, str]:
+    path = new_path(edges.sparkSession, "edges")
+    edges.write.parquet(path)
+    return edges.sparkSession.read.schema(edges.schema).parquet(path), path
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u: then v is the component of u."""
+    one = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    centres = edges.select(F.col("v").alias("centre")).distinct()
+    return one.join(centres, F.col("u") == F.col("centre"), "left").where("n > 1 or centre is not null").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """From edges (u, v) of any direction: node, component, the smallest node it is linked with; nodes with edges only.
 
     Every step is a grouped minimum and a join on the same key, whose large groups adaptive execution may split; the
-    number of steps grows with the logarithm of the longest path. Each step's edges are stored, none come to the driver.
+    number of steps grows with the logarithm of the longest path. Each step's edges are stored, none come to the driver;
+    those of the step before are deleted.
     """
-    e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(e)
-    while mark[0]:
+    spark = edges.sparkSession
+    e, at = _written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "edges")
+        large, next_ = _written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        remove(spark, at)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        mark, before = _mark(e), mark
-        if mark == before:
-            break
+        e, at = _written(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+        remove(spark, next_)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

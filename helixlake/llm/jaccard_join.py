@@ -2,7 +2,7 @@
 
 The Jaccard distance is a metric, but nearly every two documents are at distance 1 exactly, so document pivots drawn
 from the whole corpus would put everything on every border. The first cut is therefore by size and by parts of the
-sets. Sizes fall into levels; a document within the threshold of the next level's least size is replicated into it. On
+sets. Sizes fall into levels; a document is replicated into every larger level whose least size is within the threshold of its own. On
 a level whose largest size is m, two sets within the threshold t differ in k = floor(2 m (1 - t) / (1 + t)) elements
 at most, so when a hash deals the elements to k + slack parts, they agree on slack parts at least. A part's content is
 a pivot: the documents that hold exactly it form its region, and whoever is within the threshold shares a region.
@@ -12,13 +12,16 @@ Regions are found by one range-partitioned, sorted stream over (part, document):
 one that reaches over several partitions is put together from the first documents of its pieces. Texts
 with passages in common can share a region by chance, so the documents of a region are compared by sketches first. A sketch
 counts a set's elements in hash buckets, a few in each; the sum of differences of two sketches is no more than that of the
-sets, so pairs it puts too far apart are no links. What is left of the regions makes clusters; one of more than
-block_rows documents is compared by sketches once more, in pairs of blocks. Small clusters are gathered in buckets, large ones cut into blocks of about block_rows, and
-each bucket and each pair of a cluster's blocks is joined in a task of its own, on whole sets. There document pivots
-make Voronoi regions: a document belongs to its nearest pivot's region and, by the triangle inequality, to every other
-whose pivot is less than twice the threshold's distance farther. Regions are joined recursively; those that are
-small, or that pivots do not divide, by exact intersection sizes. A task returns the edges of a spanning forest of
-its links, never its pairs.
+sets, so pairs it puts too far apart are no links. What is left of the regions makes clusters.
+
+A cluster of one block is joined in a task. A larger one is divided by document pivots, with the work spread over its blocks: PIVOTS of
+its documents, and the set of what most of these have in common. Documents near enough to one pivot are one
+component, whether they are linked with it or, by the triangle inequality, with each other; so a group of thousands of near copies takes a
+number of distances in proportion to its size. All others belong to the Voronoi region of their nearest pivot and, again by the triangle
+inequality, to every one whose pivot is less than twice the threshold's distance farther; of the near documents those come with them that
+can link with one of them. Regions are divided again, up to ROUNDS times, until they are a block; where pivots do not divide a region, its blocks are
+compared in pairs, by sketches and then exactly. Within tasks, document pivots make Voronoi regions in the same way, recursively, with exact intersections
+at the leaves. A task returns the edges of a spanning forest of its links, never its pairs.
 
 Defined results: a null or empty text, or one of separators only, has no shingles and links with nothing; with fewer
 words than width the whole sequence is one shingle; rows that share an id are one document in the components, each
@@ -28,6 +31,8 @@ id_col and text_col are read, so extra columns cannot clash. Ids are integers.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +43,9 @@ from helixlake.llm.components import components
 from helixlake.llm.textvec import mix, shingles, slices, words
 
 RATIO, LIST_ROWS = 1.3, 256
+PIVOTS, ROUNDS = 15, 3
+#: A block has at most this many shingles (16 MB), or one document.
+BLOCK_SHINGLES = 1 << 21
 
 
 def levels(upto: int) -> list[int]:
@@ -61,13 +69,13 @@ def parts_of(most: int, num: int, den: int) -> tuple[int, int]:
 
 
 def signatures(s: np.ndarray, num: int, den: int, bounds: list[int]) -> np.ndarray:
-    """The part hashes of a set (sorted, distinct) on its level, and on the next one where it is near its least size."""
+    """The part hashes of a set (sorted, distinct) on its level, and on every larger one whose least size is within the threshold of its own."""
     n = len(s)
     if not n:
         return np.zeros(0, np.uint64)
     home = int(np.searchsorted(bounds, n, side="right")) - 1
     out = []
-    for level in (home, home + 1):
+    for level in range(home, len(bounds) - 1):
         if level > home and n * den < num * bounds[level]:
             break
         parts, slack = parts_of(bounds[level + 1] - 1, num, den)
@@ -126,7 +134,7 @@ def _described(width: int, num: int, den: int):
     def function(batches):
         for batch in batches:
             for part, sets in _sets(batch, width):
-                bounds = levels(2 * max([len(s) for s in sets], default=1) + 2)
+                bounds = levels(max([len(s) for s in sets], default=1) * den // num + 2)
                 n = pa.array([len(s) for s in sets], pa.int64())
                 h1 = pa.array(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64))
                 h2 = pa.array(np.array([mix(s + np.uint64(77)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64))
@@ -276,16 +284,163 @@ def smallest_linked(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.n
     return ids[linked], ids[order[label[linked]]]
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, set of the documents in ids (a column id)."""
+def cross_links(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], core: np.ndarray, num: int, den: int, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i of left, j of right) of which not both are core."""
+    size = np.array([len(s) for s in sets], np.int64)
+    i, j = sketch_pairs(left, right, size, [np.frombuffer(sketch(s), np.uint8) for s in sets], num, den)
+    open_ = ~(core[i] & core[j])
+    i, j = i[open_], j[open_]
+    found = [(i[:0], j[:0])]
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    begin = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
+    for lo in range(0, len(begin), rows):
+        upto = begin[lo + rows] if lo + rows < len(begin) else len(i)
+        a, b = np.unique(i[begin[lo] : upto]), np.unique(j[begin[lo] : upto])
+        both = intersections([sets[r] for r in a], [sets[r] for r in b]).astype(np.int64)
+        linked = (den * both >= num * (size[a][:, None] + size[b][None, :] - both)) & (both > 0)
+        x, y = np.nonzero(linked)
+        found.append((a[x], b[y]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _arrays(column) -> list[np.ndarray]:
+    """The sets of an Arrow column of lists."""
+    column = column.combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    flat, offsets = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def pivot_distances(num: int, den: int):
+    """Of the rows of one piece of a region (id, key, set, pivot): a row for each document and each pivot it is near to or whose region it is in.
+
+    The set that most pivots have in common is a pivot too, the last one. Near (core) are documents linked with a pivot, and those within half the
+    threshold's distance of the common set, which are so linked with each other.
+    """
+    reach = 1 - num / den
+
+    def measure(group):
+        region, pivot, ids = group.column("region")[0], group.column("pivot").to_numpy(zero_copy_only=False).astype(bool), group.column("id").to_numpy()
+        sets = _arrays(group.column("set"))
+        at = np.flatnonzero(pivot)
+        keys = group.column("key").to_numpy()
+        chosen = [sets[k] for k in at[np.lexsort((keys[at], ids[at]))]]  # in the same order in every piece
+        values, times = np.unique(np.concatenate(chosen), return_counts=True)
+        common = values[2 * times > len(chosen)]
+        half = np.zeros(len(chosen) + (len(common) > 0), bool)
+        if len(common):
+            chosen.append(common)
+            half[-1] = True
+        rows = np.flatnonzero(~pivot)
+        size, other = np.array([len(sets[k]) for k in rows], np.int64), np.array([len(c) for c in chosen], np.int64)
+        both = np.vstack([intersections([sets[k] for k in rows[lo : lo + 128]], chosen) for lo in range(0, len(rows), 128)]).astype(np.int64) if len(rows) else np.zeros((0, len(chosen)), np.int64)
+        union = size[:, None] + other[None, :] - both
+        apart = den * (union - both)
+        near = np.where(half[None, :], 2 * apart <= (den - num) * union, apart <= (den - num) * union)
+        d = 1 - both / np.maximum(1, union)
+        i, k = np.nonzero(near | (d <= d.min(axis=1, keepdims=True) + 2 * reach + 1e-9))
+        return pa.table({"region": pa.array([region.as_py()] * len(i), pa.int64()), "pivot": pa.array(k.astype(np.int32)), "id": ids[rows[i]], "key": keys[rows[i]], "core": near[i, k], "d": d[i, k]})
+
+    return measure
+
+
+def divide(large: DataFrame, sets: DataFrame, num: int, den: int, block_rows: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """From (region, id, key) of regions larger than a block, and (id, key, n, set): edges (u, v), and tables (region, id, key, core) of what is
+    left to compare, where those whose core is set hang together already."""
+    kind = large.schema["id"].dataType.simpleString()
+    reach = 1 - num / den
+    edges, leaves = [], []
+    for round_ in range(ROUNDS):
+        if large.isEmpty():
+            break
+        rows = stored(large.join(sets, ["id", "key"]).select("region", "id", "key", "n", "set"), "pivot-rows")
+        sizes = with_blocks(rows, block_rows)
+        draw = F.xxhash64(F.lit(round_), "id", "key")
+        one = rows.groupBy("region", F.pmod(draw, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(draw.alias("draw"), F.col("id"), F.col("key"))).alias("p"))
+        pivots = one.select("region", "p.id", "p.key").join(rows.select("region", "id", "key", "set"), ["region", "id", "key"]).join(sizes.select("region", "blocks"), "region")
+        pivots = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("piece"), "id", "key", "set", F.lit(True).alias("pivot"))
+        members = rows.join(sizes.select("region", "blocks"), "region").select("region", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("piece"), "id", "key", "set", F.lit(False).alias("pivot"))
+        measured = members.unionByName(pivots).groupBy("region", "piece").applyInArrow(pivot_distances(num, den), f"region long, pivot int, id {kind}, key long, core boolean, d double")
+        measured = stored(measured, "pivot-distances")
+        by = stored(measured.groupBy("region", "pivot").agg(F.min(F.when(F.col("core"), F.col("id"))).alias("centre"), F.count_if("core").alias("cores"), F.min(F.when(~F.col("core"), F.col("d"))).alias("least")), "pivot-sums")
+        edges.append(measured.where("core").join(by, ["region", "pivot"]).select(F.col("id").alias("u"), F.col("centre").alias("v")))
+        # A core document links with none of the others that is more than the threshold's distance farther from the pivot.
+        parts = measured.join(by, ["region", "pivot"]).where(~F.col("core") | (F.col("d") >= F.col("least") - reach - 1e-9))
+        grown = parts.groupBy("region").agg(F.count(F.lit(1)).alias("rows_")).join(sizes.select("region", "size"), "region", "right")
+        divided = F.coalesce("rows_", F.lit(0)) <= 1.5 * F.col("size")
+        apart = parts.join(grown.where(divided).select("region"), "region", "left_semi").select(F.xxhash64("region", "pivot").alias("region"), "id", "key", "core")
+        whole = grown.where(~divided).select("region")
+        best = by.join(whole, "region", "left_semi").groupBy("region").agg(F.max_by(F.struct("pivot", "least"), F.struct("cores", -F.col("pivot"))).alias("b")).select("region", "b.*")
+        cores = measured.where("core").join(best, ["region", "pivot"])
+        own = ["region", "id", "key"]
+        others = rows.join(whole, "region", "left_semi").select(own).join(cores.select(own), own, "left_anti")
+        # Documents that have no row for the pivot are at least twice the threshold's distance away.
+        close = cores.where(F.col("d") >= F.least(F.coalesce("least", F.lit(2 * reach)), F.lit(2 * reach)) - reach - 1e-9)
+        leaves.append(stored(others.withColumn("core", F.lit(False)).unionByName(close.select(*own, "core")), "pivot-left"))
+        apart = stored(apart, "pivot-parts")
+        sizes = with_blocks(apart.join(sets.select("id", "key", "n"), ["id", "key"]), block_rows)
+        again = sizes.where("blocks > 1").select("region")
+        leaves.append(apart.join(again, "region", "left_anti"))
+        large = stored(apart.join(again, "region", "left_semi"), "pivot-again")
+        if round_ == ROUNDS - 1:
+            leaves.append(large)
+        large = large.select(own)
+    return edges, leaves
+
+
+def with_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """region, size, total (shingles) and blocks from (region, n)."""
+    by = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    return by.select("region", "size", "total", F.greatest(F.ceil(F.col("size") / block_rows), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+
+def whole_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """id, key, n, set of classes (id, n, h1, h2); key tells the sets of an id apart, where its rows have several."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def function(batches):
         for batch in batches:
             for part, sets in _sets(batch, width):
-                yield pa.RecordBatch.from_arrays([part.column("id"), _lists(sets)], names=["id", "set"])
+                h1, h2 = (pa.array(np.array([mix(s + np.uint64(k)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)) for k in (0, 77))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), h1, h2, _lists(sets)], names=["id", "n", "h1", "h2", "set"])
+
+    found = docs.join(broadcast_if_small(classes), "id", "left_semi").mapInArrow(function, f"id {kind}, n long, h1 long, h2 long, set array<long>")
+    return found.join(classes, ["id", "n", "h1", "h2"], "left_semi").groupBy("id", "n", F.col("h1").alias("key"), "h2").agg(F.first("set").alias("set")).drop("h2")
+
+
+def compared(left: DataFrame, sets: DataFrame, num: int, den: int, block_rows: int) -> DataFrame:
+    """Edges (u, v) from (region, id, key, core): small regions are gathered in buckets, large ones compared in pairs of blocks."""
+    kind = left.schema["id"].dataType.simpleString()
+    rows = left.join(sets, ["id", "key"])
+    sizes = stored(with_blocks(left.join(sets.select("id", "key", "n"), ["id", "key"]), block_rows).where("size > 1"), "shingle-sizes")
+    small = sizes.where("blocks <= 1").agg(F.sum("size"), F.sum("total")).first()
+    buckets = max(1, -(-(small[0] or 0) // block_rows), -(-(small[1] or 0) // BLOCK_SHINGLES))
+    spread = rows.join(sizes.select("region", "blocks"), "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("gathered", F.col("blocks") == 1)
+    spread = spread.select("gathered", F.when(F.col("gathered"), F.pmod(F.col("region"), F.lit(buckets))).otherwise(F.col("region")).alias("bucket"),
+                           F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "region", "block", "id", "core", "set")
+
+    def compare(key, group):
+        lo, hi = key[2].as_py(), key[3].as_py()
+        region, ids, block, core = (group.column(c).to_numpy(zero_copy_only=False) for c in ("region", "id", "block", "core"))
+        core, sets_ = core.astype(bool), _arrays(group.column("set"))
+        out = []
+        order = np.argsort(region, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(region[order])) + 1):
+            if core[rows].all():
+                continue
+            own = [sets_[r] for r in rows]
+            if lo == hi:
+                i, j = metric_join(own, num, den)
+            else:
+                i, j = cross_links(np.flatnonzero(block[rows] == lo), np.flatnonzero(block[rows] == hi), own, core[rows], num, den)
+            if len(i):
+                out.append(smallest_linked(ids[rows], i, j))
+        u, v = (np.concatenate(x) for x in zip(*out)) if out else (ids[:0], ids[:0])
+        return pa.table({"u": u, "v": v})
 
-    return docs.join(broadcast_if_small(ids), "id", "left_semi").mapInArrow(function, f"id {kind}, set array<long>")
+    return spread.groupBy("gathered", "bucket", "lo", "hi").applyInArrow(compare, f"u {kind}, v {kind}")
 
 
 def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, block_rows: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +464,7 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     # Many parts have the same documents; each list of documents is looked at once.
     lists = stored(stars.where("key <> 0").select("key", "id").distinct(), "shingle-lists")
     drawn = described.select("id", "n", "sketch").distinct()
-    bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-lists.count() // 4096))))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-lists.count() // 1024))))
 
     def close_in_lists(group):
         key, ids, size = (group.column(c).to_numpy() for c in ("key", "id", "n"))
@@ -328,54 +483,20 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     near_lists = lists.join(drawn, "id").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(close_in_lists, f"u {kind}, v {kind}")
     edges = members.select(F.col("centre").alias("u"), F.col("id").alias("v")).unionByName(near_lists)
     clusters = components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    known = classes.select("id", "n", "h1", "h2")
+    clusters = clusters.join(known, "id").select(F.xxhash64("cluster").alias("region"), "id", F.col("h1").alias("key"), "n", "h2")
     clusters = stored(clusters, "shingle-clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-
-    large = clusters.join(sizes.where(F.col("size") > block_rows), "cluster").withColumn("blocks", F.ceil(F.col("size") / block_rows).cast("int"))
-    large = large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "cluster", "block", "blocks")
-    if not large.isEmpty():
-        drawn = described.select("id", "n", "sketch").join(broadcast_if_small(large.select("id")), "id", "left_semi")
-        spread = large.join(drawn, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "sketch")
-
-        def near(group):
-            ids, block, size = (group.column(c).to_numpy() for c in ("id", "block", "n"))
-            sketches = [np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()]
-            i, j = sketch_pairs(np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max()), size, sketches, num, den)
-            u, v = smallest_linked(ids, i, j) if len(i) else (ids[:0], ids[:0])
-            return pa.table({"u": u, "v": v})
-
-        close = spread.groupBy("cluster", "lo", "hi").applyInArrow(near, f"u {kind}, v {kind}")
-        close = components(close).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-        clusters = stored(clusters.join(large.select("id"), "id", "left_anti").unionByName(close), "shingle-clusters")
-        sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-
-    small = sizes.where(F.col("size") <= block_rows).agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-small // block_rows))
-    blocks = F.when(F.col("size") <= block_rows, 1).otherwise(F.ceil(F.col("size") / block_rows))
-    placed = clusters.join(sizes, "cluster").withColumn("blocks", blocks.cast("int"))
-    placed = placed.withColumn("bucket", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(buckets))).otherwise(-1 - F.col("cluster")))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "cluster", "bucket", "block", "blocks")
-    placed = stored(placed, "shingle-placed")
-    sets = whole_sets(docs, placed.select("id"), width)
-    spread = placed.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cluster", "id", "set")
-
-    def compare(group):
-        cluster, ids, lists = group.column("cluster").to_numpy(), group.column("id").to_numpy(), group.column("set").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        order = np.argsort(cluster, kind="stable")
-        out = []
-        for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
-            i, j = metric_join([flat[offsets[r] : offsets[r + 1]] for r in rows], num, den)
-            if len(i):
-                out.append(smallest_linked(ids[rows], i, j))
-        u, v = (np.concatenate(x) for x in zip(*out)) if out else (ids[:0], ids[:0])
-        return pa.table({"u": u, "v": v})
-
-    links = spread.groupBy("bucket", "lo", "hi").applyInArrow(compare, f"u {kind}, v {kind}")
-    joined = components(links)
+    sizes = with_blocks(clusters, block_rows)
+    sets = stored(whole_sets(docs, clusters.select("id", "n", F.col("key").alias("h1"), "h2"), width), "shingle-sets")
+    clusters = clusters.select("region", "id", "key")
+    large = clusters.join(sizes.where("blocks > 1").select("region"), "region", "left_semi")
+    edges, leaves = divide(large, sets, num, den, block_rows)
+    left = clusters.join(sizes.where("blocks <= 1").select("region"), "region", "left_semi").withColumn("core", F.lit(False))
+    for leaf in leaves:
+        left = left.unionByName(leaf)
+    left = stored(left, "shingle-left")
+    links = [e.select("u", "v") for e in [*edges, compared(left, sets, num, den, block_rows)]]
+    joined = components(functools.reduce(DataFrame.unionByName, links))
 
     nodes = classes.select("n", "h1", "h2", F.col("id").alias("rep")).join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     nodes = nodes.select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))

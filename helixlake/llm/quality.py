@@ -4,7 +4,7 @@ Features are indicators of n-grams, hashed to 2^bits: of 1 to 3 bytes (digits as
 (capitals, digits, symbols, length, closing mark, equality with the word before). Log-count ratios of the two classes,
 over all labelled training texts, scale the indicators; each text's vector is brought to length 1. A linear hinge-loss
 model is fitted to them by dual coordinate descent on at most fit_rows texts, half of each class where there are
-enough, taken by a hash of their ids. A logistic curve over labelled texts that neither step has seen makes the margin a probability.
+enough, taken by a hash of their ids (of rows that share an id the smallest text), in one task. A logistic curve over labelled texts that neither step has seen makes the margin a probability.
 
 Defined results: a null or empty text has no features and the score of margin 0 without them; repeated rows are scored
 each, and count as often in training; rows without a label, or whose id is null, train nothing; with labels of one
@@ -146,25 +146,31 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "quality", fit_ro
 
     ids = labels.where(keep(F.col("doc_id")) & ~part(F.col("doc_id")) & F.col(label).isNotNull()).select("doc_id", label).distinct()
     half = [ids.where((F.col(label) > 0) == positive).orderBy(F.xxhash64(F.lit(5), "doc_id")).limit(fit_rows // 2) for positive in (True, False)]
-    sample = labelled(docs, half[0].unionByName(half[1]), label, lambda i: F.lit(True))
+    sample = labelled(docs, half[0].unionByName(half[1]), label, lambda i: F.lit(True)).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
     def listed(batches):
         for batch in batches:
             lists = [ids.astype(np.int32) for ids in features(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "y", "ids"])
 
+    def descend(group):
+        """The one group of at most fit_rows texts."""
+        group = group.sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
+        rows, values = [], []
+        for v in group.column("ids"):
+            rows.append(v.values.to_numpy())
+            r = ratios.value[rows[-1]]
+            values.append(r / max(1e-12, np.sqrt((r * r).sum())))
+        y = 2.0 * group.column("y").to_numpy() - 1
+        each = {s: len(y) / (2 * max(1, (y == s).sum())) for s in (-1.0, 1.0)}
+        weight, offset = dual_coordinate_descent(rows, values, y, dims, COST * np.array([each[s] for s in y]))
+        return pa.table({"weight": pa.array([weight], pa.list_(pa.float64())), "offset": pa.array([offset], pa.float64())})
+
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows, values, y = [], [], []
-    taken = sample.mapInArrow(listed, f"doc_id {kind}, y int, ids array<int>").toArrow().sort_by("doc_id")  # at most fit_rows rows
-    for k, v in zip(taken.column("y").to_pylist(), taken.column("ids")):
-        ids_ = v.values.to_numpy()
-        r = ratio[ids_]
-        rows.append(ids_)
-        values.append(r / max(1e-12, np.sqrt((r * r).sum())))
-        y.append(2 * k - 1)
-    y = np.array(y, float)
-    each = {s: len(y) / (2 * max(1, (y == s).sum())) for s in (-1.0, 1.0)}
-    weight, offset = dual_coordinate_descent(rows, values, y, dims, COST * np.array([each[s] for s in y]))
+    ratios = spark.sparkContext.broadcast(ratio)
+    taken = sample.mapInArrow(listed, f"doc_id {kind}, y int, ids array<int>").withColumn("one", F.lit(1))
+    fitted = taken.groupBy("one").applyInArrow(descend, "weight array<double>, offset double").toArrow()
+    weight, offset = (fitted.column("weight")[0].values.to_numpy(), fitted.column("offset")[0].as_py()) if fitted.num_rows else (np.zeros(dims), 0.0)
 
     shared = spark.sparkContext.broadcast((ratio, weight, offset))
 

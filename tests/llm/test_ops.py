@@ -227,6 +227,59 @@ def test_jaccard_join(spark, empty, width, num, den, block):
     assert jaccard_join.similar_documents(empty).count() == 0
 
 
+def jaccard_case(spark, texts, width, num, den, block=512):
+    sets = [set(zip(*(t.split()[k:] for k in range(width)))) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    want = brute_components(range(len(sets)), links)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_documents(df, width, num, den, block).collect()}
+    assert got == want
+    return Counter(want.values()).most_common(3)
+
+
+@pytest.mark.parametrize("num", [50, 60, 70, 80, 90])
+def test_jaccard_join_of_nested_sets(spark, num):
+    """Sets whose sizes differ by as much as the threshold allows, and a bit more."""
+    rng = np.random.default_rng(num)
+    texts = []
+    for k in range(30):
+        n = int(rng.integers(20, 200))
+        base = [f"w{k}x{i}" for i in range(n)]
+        texts += [" ".join(base), " ".join(base[: int(np.ceil(n * num / 100)) - k % 3 % 2])]
+    jaccard_case(spark, texts, 1, num, 100)
+
+
+@pytest.mark.parametrize("edits,num,den", [(2, 90, 100), (6, 90, 100), (9, 90, 100), (9, 80, 100), (14, 80, 100), (40, 80, 100)])
+def test_jaccard_join_of_large_groups(spark, edits, num, den):
+    """Groups of more than a block: near copies that are close, farther than the threshold from most others, or only share a passage."""
+    rng = np.random.default_rng(edits)
+    texts = []
+    for g in range(2):
+        base = [f"g{g}x{i}" for i in range(80)]
+        for k in range(110):
+            w = list(base)
+            for at in rng.integers(0, 70, edits):
+                w[at] = f"e{g}x{k}x{at}"
+            texts.append(" ".join(w))
+    texts += [texts[3] + " tail", " ".join(texts[0].split()[:40] + texts[150].split()[40:])]
+    jaccard_case(spark, texts, 1, num, den, 24)
+
+
+def test_pivots_take_a_group_of_near_copies_at_once(spark):
+    """Nothing is left to compare where all are within half the threshold's distance of what they have in common."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**62, 200)
+    rows = []
+    for k in range(300):
+        s = base.copy()
+        s[rng.integers(0, 200, 4)] = rng.integers(0, 2**62, 4)
+        rows.append((1, k, k, 200, np.unique(s).tolist()))
+    df = spark.createDataFrame(rows, "region long, id long, key long, n long, set array<long>")
+    edges, leaves = jaccard_join.divide(df.select("region", "id", "key"), df.select("id", "key", "n", "set"), 90, 100, 64)
+    linked = {r.u for e in edges for r in e.collect()}
+    assert linked == set(range(300)) and sum(x.count() for x in leaves) == 0
+
+
 def test_metric_join_finds_all_pairs():
     rng = np.random.default_rng(1)
     base = [np.unique(rng.integers(0, 2**62, 80).astype(np.uint64)) for _ in range(6)]
