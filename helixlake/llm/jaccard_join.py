@@ -355,7 +355,7 @@ def divide(large: DataFrame, sets: DataFrame, num: int, den: int, block_rows: in
         if large.isEmpty():
             break
         rows = stored(large.join(sets, ["id", "key"]).select("region", "id", "key", "n", "set"), "pivot-rows")
-        sizes = with_blocks(rows, block_rows)
+        sizes = broadcast_if_small(stored(with_blocks(rows, block_rows), "pivot-sizes"))
         draw = F.xxhash64(F.lit(round_), "id", "key")
         one = rows.groupBy("region", F.pmod(draw, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(draw.alias("draw"), F.col("id"), F.col("key"))).alias("p"))
         pivots = one.select("region", "p.id", "p.key").join(rows.select("region", "id", "key", "set"), ["region", "id", "key"]).join(sizes.select("region", "blocks"), "region")
@@ -363,26 +363,26 @@ def divide(large: DataFrame, sets: DataFrame, num: int, den: int, block_rows: in
         members = rows.join(sizes.select("region", "blocks"), "region").select("region", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("piece"), "id", "key", "set", F.lit(False).alias("pivot"))
         measured = members.unionByName(pivots).groupBy("region", "piece").applyInArrow(pivot_distances(num, den), f"region long, pivot int, id {kind}, key long, core boolean, d double")
         measured = stored(measured, "pivot-distances")
-        by = stored(measured.groupBy("region", "pivot").agg(F.min(F.when(F.col("core"), F.col("id"))).alias("centre"), F.count_if("core").alias("cores"), F.min(F.when(~F.col("core"), F.col("d"))).alias("least")), "pivot-sums")
+        by = broadcast_if_small(stored(measured.groupBy("region", "pivot").agg(F.min(F.when(F.col("core"), F.col("id"))).alias("centre"), F.count_if("core").alias("cores"), F.min(F.when(~F.col("core"), F.col("d"))).alias("least")), "pivot-sums"))
         edges.append(measured.where("core").join(by, ["region", "pivot"]).select(F.col("id").alias("u"), F.col("centre").alias("v")))
         # A core document links with none of the others that is more than the threshold's distance farther from the pivot.
         parts = measured.join(by, ["region", "pivot"]).where(~F.col("core") | (F.col("d") >= F.col("least") - reach - 1e-9))
-        grown = parts.groupBy("region").agg(F.count(F.lit(1)).alias("rows_")).join(sizes.select("region", "size"), "region", "right")
-        divided = F.coalesce("rows_", F.lit(0)) <= 1.5 * F.col("size")
-        apart = parts.join(grown.where(divided).select("region"), "region", "left_semi").select(F.xxhash64("region", "pivot").alias("region"), "id", "key", "core")
-        whole = grown.where(~divided).select("region")
-        best = by.join(whole, "region", "left_semi").groupBy("region").agg(F.max_by(F.struct("pivot", "least"), F.struct("cores", -F.col("pivot"))).alias("b")).select("region", "b.*")
-        cores = measured.where("core").join(best, ["region", "pivot"])
         own = ["region", "id", "key"]
-        others = rows.join(whole, "region", "left_semi").select(own).join(cores.select(own), own, "left_anti")
-        # Documents that have no row for the pivot are at least twice the threshold's distance away.
-        close = cores.where(F.col("d") >= F.least(F.coalesce("least", F.lit(2 * reach)), F.lit(2 * reach)) - reach - 1e-9)
-        leaves.append(stored(others.withColumn("core", F.lit(False)).unionByName(close.select(*own, "core")), "pivot-left"))
-        apart = stored(apart, "pivot-parts")
-        sizes = with_blocks(apart.join(sets.select("id", "key", "n"), ["id", "key"]), block_rows)
-        again = sizes.where("blocks > 1").select("region")
-        leaves.append(apart.join(again, "region", "left_anti"))
-        large = stored(apart.join(again, "region", "left_semi"), "pivot-again")
+        grown = parts.groupBy("region").agg(F.count(F.lit(1)).alias("rows_")).join(sizes.select("region", "size"), "region")
+        whole = stored(grown.where("rows_ > 1.5 * size").select("region"), "pivot-whole")
+        if not whole.isEmpty():
+            whole = broadcast_if_small(whole)
+            best = by.join(whole, "region", "left_semi").groupBy("region").agg(F.max_by(F.struct("pivot", "least"), F.struct("cores", -F.col("pivot"))).alias("b")).select("region", "b.*")
+            cores = measured.where("core").join(broadcast_if_small(best), ["region", "pivot"])
+            others = rows.join(whole, "region", "left_semi").select(own).join(cores.select(own), own, "left_anti")
+            # Documents that have no row for the pivot are at least twice the threshold's distance away.
+            close = cores.where(F.col("d") >= F.least(F.coalesce("least", F.lit(2 * reach)), F.lit(2 * reach)) - reach - 1e-9)
+            leaves.append(others.withColumn("core", F.lit(False)).unionByName(close.select(*own, "core")))
+            parts = parts.join(whole, "region", "left_anti")
+        apart = stored(parts.select(F.xxhash64("region", "pivot").alias("region"), "id", "key", "core").join(sets.select("id", "key", "n"), ["id", "key"]), "pivot-parts")
+        again = broadcast_if_small(stored(with_blocks(apart, block_rows).where("blocks > 1").select("region"), "pivot-again"))
+        leaves.append(apart.drop("n").join(again, "region", "left_anti"))
+        large = apart.drop("n").join(again, "region", "left_semi")
         if round_ == ROUNDS - 1:
             leaves.append(large)
         large = large.select(own)
@@ -412,11 +412,11 @@ def whole_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 def compared(left: DataFrame, sets: DataFrame, num: int, den: int, block_rows: int) -> DataFrame:
     """Edges (u, v) from (region, id, key, core): small regions are gathered in buckets, large ones compared in pairs of blocks."""
     kind = left.schema["id"].dataType.simpleString()
-    rows = left.join(sets, ["id", "key"])
-    sizes = stored(with_blocks(left.join(sets.select("id", "key", "n"), ["id", "key"]), block_rows).where("size > 1"), "shingle-sizes")
+    rows = stored(left.join(sets, ["id", "key"]), "shingle-rows")
+    sizes = with_blocks(rows, block_rows).where("size > 1")
     small = sizes.where("blocks <= 1").agg(F.sum("size"), F.sum("total")).first()
     buckets = max(1, -(-(small[0] or 0) // block_rows), -(-(small[1] or 0) // BLOCK_SHINGLES))
-    spread = rows.join(sizes.select("region", "blocks"), "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = rows.join(broadcast_if_small(sizes.select("region", "blocks")), "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("gathered", F.col("blocks") == 1)
     spread = spread.select("gathered", F.when(F.col("gathered"), F.pmod(F.col("region"), F.lit(buckets))).otherwise(F.col("region")).alias("bucket"),
                            F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "region", "block", "id", "core", "set")
@@ -486,15 +486,14 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     known = classes.select("id", "n", "h1", "h2")
     clusters = clusters.join(known, "id").select(F.xxhash64("cluster").alias("region"), "id", F.col("h1").alias("key"), "n", "h2")
     clusters = stored(clusters, "shingle-clusters")
-    sizes = with_blocks(clusters, block_rows)
+    many = broadcast_if_small(stored(with_blocks(clusters, block_rows).where("blocks > 1").select("region"), "shingle-large"))
     sets = stored(whole_sets(docs, clusters.select("id", "n", F.col("key").alias("h1"), "h2"), width), "shingle-sets")
     clusters = clusters.select("region", "id", "key")
-    large = clusters.join(sizes.where("blocks > 1").select("region"), "region", "left_semi")
+    large = clusters.join(many, "region", "left_semi")
     edges, leaves = divide(large, sets, num, den, block_rows)
-    left = clusters.join(sizes.where("blocks <= 1").select("region"), "region", "left_semi").withColumn("core", F.lit(False))
+    left = clusters.join(many, "region", "left_anti").withColumn("core", F.lit(False))
     for leaf in leaves:
         left = left.unionByName(leaf)
-    left = stored(left, "shingle-left")
     links = [e.select("u", "v") for e in [*edges, compared(left, sets, num, den, block_rows)]]
     joined = components(functools.reduce(DataFrame.unionByName, links))
 
