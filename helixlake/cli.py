@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import argparse
 import os
-from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from helixlake import session
+from helixlake import session, storage
 from helixlake.operators import diff, lookup, overlay, store, summary, synthetic
 from helixlake.sinks import genotype_files, reports
 from helixlake.sources import files, genotype_text, tables
@@ -65,8 +64,10 @@ def extract(spark, a):
         if not os.path.exists(path):
             raise FileNotFoundError(path)
     rows = tables.marker_rows(genotype_text.read_lines(spark, [a.input]), a.limit)
-    found = lookup.find_records(rows, tables.read_vcf_text(spark, [a.vcf]), a.window)
-    counts = reports.write_routed_csv(lookup.lookup_rows(found.orderBy("line_no")), a.output, a.missing_output)
+    vcf = tables.read_vcf(spark, a.vcf)
+    # What the queries cannot meet is not read, but every contig of the table is known.
+    found = lookup.find_records(rows, lookup.prune_records(vcf, rows, a.window), a.window, known=vcf.select("contig").distinct())
+    counts = reports.write_routed_csv(lookup.lookup_rows(found, "line_no"), a.output, a.missing_output, ["line_no"])
     print(f"{counts['exact']} exact rows to {a.output}, {counts['other']} others to {a.missing_output}")
 
 
@@ -81,14 +82,8 @@ def generate(spark, a):
     plan = spark.createDataFrame([(0, a.output)], "file_idx long, path string")
     made = synthetic.synthetic_rows(rows.withColumn("chromosome", F.lit("")).withColumn("position", F.col("rsid")), plan, None, a.alt_frequency, seed)
     made = made.select("rsid", "genotype", "gs", "baf", "lrr").join(rows.select("rsid", "label", "c", "p"), "rsid").orderBy("rsid")
-    Path(a.output).parent.mkdir(parents=True, exist_ok=True)
-    n = 0
-    with open(a.output, "w") as f:
-        f.write(genotype_files.HEADER)
-        for r in made.toLocalIterator():
-            f.write("\t".join((r["label"], r["c"], r["p"], r["genotype"], r["gs"], r["baf"], r["lrr"])) + "\n")
-            n += 1
-    print(f"{n} rows to {a.output}")
+    storage.write_text_file(made.select(F.concat_ws("\t", "label", "c", "p", "genotype", "gs", "baf", "lrr").alias("line")), a.output, genotype_files.HEADER)
+    print(f"{rows.count()} rows to {a.output}")
 
 
 def compare(spark, a):

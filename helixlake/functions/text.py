@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 _CUT = "\x01,\x02"
 
 
+#: The characters with Unicode's property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(c: Column) -> Column:
     """Strip white space of any script at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def normalize_name(c: Column) -> Column:

@@ -21,12 +21,14 @@ def record_ids(vcf: DataFrame) -> DataFrame:
     return vcf.withColumn("record_id", F.explode(F.array_distinct(F.concat(named, numbered))))
 
 
-def find_records(queries: DataFrame, vcf: DataFrame, window: int = 0, before: int | None = None, after: int | None = None) -> DataFrame:
+def find_records(queries: DataFrame, vcf: DataFrame, window: int = 0, before: int | None = None, after: int | None = None,
+                 known: DataFrame | None = None) -> DataFrame:
     """queries (rsid, chromosome, position, and others) with contig, record and status, which replace columns of these names.
 
     status: no_contig (unknown chromosome), missing_contig (none of the records has it), exact (the first record with the
     identifier that overlaps the position), window (else, the first that overlaps the position widened by window), not_found.
     before and after, where given, widen the second interval unevenly: from position - before to before position + after.
+    known: the contigs (column contig) that the records have, where vcf is but a part of them.
     A query without identifier or position finds nothing; queries that come twice are answered twice.
     """
     queries = queries.drop("contig", "record", "status")
@@ -45,7 +47,7 @@ def find_records(queries: DataFrame, vcf: DataFrame, window: int = 0, before: in
     wide = window > 0 or before is not None
     hits = met.withColumn("rank", F.when(exact, 0).when(near if wide else F.lit(False), 1)).where("rank is not null")
     first = hits.groupBy("_on", "_rsid", "_position").agg(F.min(F.struct("rank", "_start", "file_order", "record")).alias("_hit"))
-    known = vcf.select(F.col("contig").alias("_known")).distinct()
+    known = (vcf if known is None else known).select(F.col("contig").alias("_known")).distinct()
     same = (F.col("contig") == F.col("_on")) & (F.col("rsid") == F.col("_rsid")) & (F.col("position") == F.col("_position"))
     out = asked.join(first, same, "left").join(known, F.col("contig") == F.col("_known"), "left")
     status = (F.when(F.col("contig").isNull(), "no_contig").when(F.col("_known").isNull(), "missing_contig").when(F.col("_hit").isNull(), "not_found")
@@ -53,12 +55,21 @@ def find_records(queries: DataFrame, vcf: DataFrame, window: int = 0, before: in
     return out.select(*queries.columns, "contig", F.col("_hit.record").alias("record"), status.alias("status"))
 
 
-def lookup_rows(found: DataFrame) -> DataFrame:
-    """The columns of a lookup table, all text, blank where nothing was found."""
+def prune_records(vcf: DataFrame, queries: DataFrame, window: int = 0) -> DataFrame:
+    """Records of the queries' contigs that do not begin behind all of them: conditions that a table partitioned by contig and sorted by position is read by."""
+    reach = queries.groupBy(contig_of(F.col("chromosome")).alias("contig")).agg(F.max("position").alias("upto")).where("contig is not null and upto is not null")
+    wanted = F.lit(False)
+    for r in reach.collect():  # a row for each of the known contigs at most
+        wanted = wanted | ((F.col("contig") == r["contig"]) & (F.col("pos") <= r["upto"] + window))
+    return vcf.where(wanted)
+
+
+def lookup_rows(found: DataFrame, *more: str) -> DataFrame:
+    """The columns of a lookup table, all text, blank where nothing was found; and the columns named in more."""
     blank = lambda c: F.coalesce(c, F.lit(""))
     filters = F.when(F.col("record").isNotNull(), F.coalesce(F.array_join("record.filters", ";"), F.lit("PASS")))
     return found.select(F.col("rsid").alias("query_rsid"), F.col("chromosome").alias("query_chrom"), F.col("position").cast("string").alias("query_pos"), blank(F.col("record.contig")).alias("ref_contig"),
-                        blank(F.col("record.pos").cast("string")).alias("ref_pos"), blank(F.col("record.ref")).alias("ref"), blank(F.array_join("record.alts", ",")).alias("alt"), blank(filters).alias("filters"), "status")
+                        blank(F.col("record.pos").cast("string")).alias("ref_pos"), blank(F.col("record.ref")).alias("ref"), blank(F.array_join("record.alts", ",")).alias("alt"), blank(filters).alias("filters"), "status", *more)
 
 
 def status_counts(found: DataFrame) -> DataFrame:

@@ -1,48 +1,64 @@
 """The store: Parquet tables of formats, reference alleles and processed files, replaced as whole versions.
 
-A table is a folder of versions; the name of the current one stands in a small pointer file, which is written last. A
-reader sees the old version or the new one, and a load that fails anywhere leaves the store as it was.
+A table is a folder of versions and of numbered commits, small files that each name a version; the highest one counts. A
+version is written first and its commit last, and a commit that is there already cannot be written again. So a
+reader sees the old version or the new one, a load that fails anywhere leaves the store as it was, and of two writers that started from one
+version the second is refused. Versions before the last two are deleted. All goes through Spark's file systems.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake import schemas
+from helixlake import schemas, storage
 from helixlake.functions.text import parse_long, parse_rsid, trim
 
 TABLES = {"formats": schemas.FORMATS, "references": schemas.REFERENCES, "manifest": schemas.MANIFEST}
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str | Path, create: bool = True):
-        self.spark, self.path = spark, Path(path)
-        if not create and not self.path.exists():
-            raise FileNotFoundError(f"no store at {path}")
+    def __init__(self, spark: SparkSession, path, create: bool = True):
+        """create: make what is missing, and see that the default format is there; else nothing is written."""
+        self.spark, self.path, self.seen = spark, str(path).rstrip("/"), {}
+        if not create:
+            if not storage.exists(spark, self.path):
+                raise FileNotFoundError(f"no store at {path}")
+            return
         for name, schema in TABLES.items():
-            if not self._pointer(name).exists():
+            if not self.commits(name):
                 self.replace(name, spark.createDataFrame([], schema))
-        self.replace("formats", seed_formats(self.read("formats")))
+        formats = self.read("formats")
+        if not has_default(formats):
+            self.replace("formats", seed_formats(formats))
 
-    def _pointer(self, table: str) -> Path:
-        return self.path / table / "CURRENT"
+    def commits(self, table: str) -> list[int]:
+        return sorted(int(n) for n in storage.names(self.spark, f"{self.path}/{table}/commits") if n.isdigit())
+
+    def _version(self, table: str, commit: int) -> str:
+        return f"{self.path}/{table}/{storage.read_text(self.spark, f'{self.path}/{table}/commits/{commit:010d}')}"
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[table]).parquet(str(self.path / table / self._pointer(table).read_text()))
+        commits = self.commits(table)
+        if not commits:
+            return self.spark.createDataFrame([], TABLES[table])
+        self.seen[table] = commits[-1]
+        return self.spark.read.schema(TABLES[table]).parquet(self._version(table, commits[-1]))
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        folder = self.path / table
-        folder.mkdir(parents=True, exist_ok=True)
+        """Make rows, computed from what read() gave last, the table's next version; an error if another writer has been faster."""
+        commit = self.seen.get(table, 0) + 1
         version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(str(folder / version))
-        draft = folder / f".{version}"
-        draft.write_text(version)
-        os.replace(draft, self._pointer(table))
+        rows.write.parquet(f"{self.path}/{table}/{version}")
+        if not storage.write_new(self.spark, f"{self.path}/{table}/commits/{commit:010d}", version):
+            storage.remove(self.spark, f"{self.path}/{table}/{version}")
+            raise RuntimeError(f"{table} has been replaced by another writer")
+        self.seen[table] = commit
+        for old in [c for c in self.commits(table) if c < commit - 1]:
+            storage.remove(self.spark, self._version(table, old))
+            storage.remove(self.spark, f"{self.path}/{table}/commits/{old:010d}")
 
     def load_lookup(self, lookup: DataFrame) -> dict[str, int]:
         """Upsert the exact rows of a lookup; nothing is stored if any of them is bad."""
@@ -51,19 +67,35 @@ class Store:
 
     def record_files(self, stats: DataFrame) -> None:
         """Add per-file counts to the manifest; a file's latest counts stay."""
-        old = self.read("manifest").join(stats.select("file_path"), "file_path", "left_anti")
-        self.replace("manifest", old.unionByName(stats.select("file_path", "variant_count", "skipped_rows")))
+        self.replace("manifest", merge_manifest(self.read("manifest"), stats))
 
     def unrecorded(self, files: DataFrame) -> DataFrame:
-        return files.join(self.read("manifest"), "file_path", "left_anti")
+        return not_recorded(files, self.read("manifest"))
+
+
+def merge_manifest(manifest: DataFrame, stats: DataFrame) -> DataFrame:
+    old = manifest.join(stats.select("file_path"), "file_path", "left_anti")
+    return old.unionByName(stats.select("file_path", "variant_count", "skipped_rows"))
+
+
+def not_recorded(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The rows of files (file_path and others) whose file the manifest does not have."""
+    return files.join(manifest, "file_path", "left_anti")
+
+
+def _defaults(formats: DataFrame) -> DataFrame:
+    number, name, _ = schemas.DEFAULT_FORMAT
+    return formats.where((F.col("id") == number) | (F.col("name") == name))
+
+
+def has_default(formats: DataFrame) -> bool:
+    return not _defaults(formats).isEmpty()
 
 
 def seed_formats(formats: DataFrame) -> DataFrame:
     """Insert the default format unless its id or its name is there."""
-    number, name, build = schemas.DEFAULT_FORMAT
-    row = formats.sparkSession.createDataFrame([(number, name, build)], schemas.FORMATS)
-    taken = formats.where((F.col("id") == number) | (F.col("name") == name))
-    return formats.unionByName(row.join(taken.select(F.lit(1).alias("x")).limit(1), F.lit(True), "left_anti"))
+    row = formats.sparkSession.createDataFrame([schemas.DEFAULT_FORMAT], schemas.FORMATS)
+    return formats.unionByName(row.join(_defaults(formats).select(F.lit(1).alias("x")).limit(1), F.lit(True), "left_anti"))
 
 
 def is_exact(status: Column) -> Column:

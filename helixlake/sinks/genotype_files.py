@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from pathlib import Path
+import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixlake import storage
 from helixlake.schemas import GENOTYPE_COLUMNS
 
 #: The comment lines at the head of a file; the last one names its columns.
@@ -33,37 +32,32 @@ HEADER = """# This data file generated by Dynamic DNA (DDNA) Laboratories at: Th
 """
 
 
-def write_genotype_files(rows: DataFrame, plans: DataFrame, header: str = HEADER) -> DataFrame:
-    """Write each plan's rows to its path, sorted (leftovers last), and return path and rows of each file written.
-
-    Rows are partitioned by file and sorted within partitions, so a task streams its files and holds one batch at a time.
-    """
+def genotype_lines(rows: DataFrame, header: str = HEADER) -> DataFrame:
+    """file_idx, line: the header and the rows of each file, a file's lines in one partition and in order (leftovers last)."""
     label = F.concat(F.lit("rs"), F.col("rsid").cast("string"))
-    lines = rows.join(plans.select("file_idx", "path"), "file_idx")
-    lines = lines.repartition("path").sortWithinPartitions("path", "leftover", "chromosome", "position", "rsid")
-    lines = lines.select("path", F.concat_ws("\t", label, *GENOTYPE_COLUMNS[1:]).alias("line"))
+    order = ["leftover", "chromosome", "position", "rsid"]
+    lines = rows.select("file_idx", F.lit(1).alias("part"), *order, F.concat_ws("\t", label, *GENOTYPE_COLUMNS[1:]).alias("line"))
+    heads = rows.select("file_idx").distinct().select("file_idx", F.lit(0).alias("part"), *[F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order], F.lit(header.removesuffix("\n")).alias("line"))
+    return heads.unionByName(lines).repartition("file_idx").sortWithinPartitions("file_idx", "part", *order).select("file_idx", "line")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, out, draft, n = None, None, None, 0
 
-        def close():
-            out.close()
-            draft.replace(path)
-            return pd.DataFrame({"path": [path], "rows": [n]})
-
-        for batch in batches:
-            for name, part in batch.groupby("path", sort=False):
-                if name != path:
-                    if out:
-                        yield close()
-                    path, n = name, 0
-                    draft = Path(f"{name}.part")
-                    draft.parent.mkdir(parents=True, exist_ok=True)
-                    out = draft.open("w")
-                    out.write(header)
-                out.write("\n".join(part["line"]) + "\n")
-                n += len(part)
-        if out:
-            yield close()
+def write_genotype_files(rows: DataFrame, plans: DataFrame, header: str = HEADER) -> DataFrame:
+    """Write each plan's rows to its path and return path and rows of each file written.
 
-    return lines.mapInPandas(write, "path string, rows long")
+    Spark's writer makes one part for each file, so a task that runs twice leaves one file; the parts are then renamed.
+    """
+    spark = rows.sparkSession
+    paths = {r["file_idx"]: r["path"] for r in plans.select("file_idx", "path").collect()}  # names only
+    some = next(iter(paths.values()), "out/none")
+    folder = f"{some.rsplit('/', 1)[0] if '/' in some else '.'}/.helixlake-{uuid.uuid4().hex}"
+    genotype_lines(rows, header).write.partitionBy("file_idx").text(folder)
+    written = []
+    counts = {r["file_idx"]: r["rows"] for r in spark.read.text(f"{folder}/*/part-*").select(F.regexp_extract(F.input_file_name(), "file_idx=([0-9]+)", 1).cast("long").alias("file_idx")).groupBy("file_idx").agg(F.count(F.lit(1)).alias("rows")).collect()} if paths else {}
+    for at in storage.names(spark, folder):
+        if at.startswith("file_idx="):
+            k = int(at.removeprefix("file_idx="))
+            (part,) = [n for n in storage.names(spark, f"{folder}/{at}") if n.startswith("part-")]
+            storage.move(spark, f"{folder}/{at}/{part}", paths[k])
+            written.append((paths[k], counts[k] - header.count("\n")))
+    storage.remove(spark, folder)
+    return spark.createDataFrame(written, "path string, rows long")

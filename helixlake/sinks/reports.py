@@ -1,8 +1,7 @@
-"""Reports written by the driver from a stream of ready lines."""
+"""Reports: their lines are made by tasks and put together to one file."""
 
 from __future__ import annotations
 
-import csv
 import html
 from datetime import datetime, timezone
 from pathlib import Path
@@ -10,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixlake import storage
 from helixlake.functions.text import html_escape, rs_label
 from helixlake.operators.diff import diff_line, diff_summary, first_changes
 from helixlake.schemas import LOOKUP_COLUMNS
@@ -22,6 +22,10 @@ SCRIPT = """document.querySelectorAll('#coverage th').forEach((head, column) =>
   const order = (a, b) => number ? key(a) - key(b) : key(a).localeCompare(key(b));
   body.append(...[...body.rows].sort((a, b) => up ? order(a, b) : order(b, a)));
 });"""
+#: What the reports say.
+TITLE, NO_ROWS = "RSID Coverage Report", "No rsid data available"
+COLUMNS = [("string", "Format"), ("string", "RSID / Marker"), ("number", "Observations")]
+DIFF_LABELS = {"baseline_rows": "Baseline rows", "candidate_rows": "Candidate rows", "missing": "Missing in candidate", "added": "Not present in baseline", "differences": "Genotype/position differences"}
 
 
 def html_rows(coverage: DataFrame) -> DataFrame:
@@ -33,23 +37,16 @@ def html_rows(coverage: DataFrame) -> DataFrame:
 
 def write_html_report(path: str, coverage: DataFrame, counts: dict, source: str, generated_at: str | None = None) -> None:
     """coverage in its order; counts: unique_formats, unique_rsids, total_rows."""
-    out = Path(path)
-    if not out.suffix:
+    if not Path(path).suffix:
         raise ValueError("the report's path needs an ending")
-    out.parent.mkdir(parents=True, exist_ok=True)
     at = generated_at or datetime.now(timezone.utc).isoformat()
-    with out.open("w") as f:
-        f.write(f'<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>RSID Coverage Report</title><style>{STYLE}</style></head><body>\n<h1>RSID Coverage Report</h1>\n'
-                f"<p>Source database: <b>{html.escape(source)}</b><br>Generated at: <b>{html.escape(at)}</b><br>Formats tracked: <b>{counts['unique_formats']}</b>, "
-                f"Unique rsids: <b>{counts['unique_rsids']}</b>, Format/rsid rows: <b>{counts['total_rows']}</b></p>\n"
-                '<table id="coverage"><thead><tr><th data-type="string">Format</th><th data-type="string">RSID / Marker</th><th data-type="number">Observations</th></tr></thead><tbody>\n')
-        some = False
-        for row in html_rows(coverage).toLocalIterator():
-            f.write(row["html"] + "\n")
-            some = True
-        if not some:
-            f.write('<tr><td colspan="3" class="empty">No rsid data available</td></tr>\n')
-        f.write(f"</tbody></table>\n<script>{SCRIPT}</script></body></html>\n")
+    head = "".join(f'<th data-type="{kind}">{name}</th>' for kind, name in COLUMNS)
+    before = (f'<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>{TITLE}</title><style>{STYLE}</style></head><body>\n<h1>{TITLE}</h1>\n'
+              f"<p>Source database: <b>{html.escape(source)}</b><br>Generated at: <b>{html.escape(at)}</b><br>Formats tracked: <b>{counts['unique_formats']}</b>, "
+              f"Unique rsids: <b>{counts['unique_rsids']}</b>, Format/rsid rows: <b>{counts['total_rows']}</b></p>\n"
+              f'<table id="coverage"><thead><tr>{head}</tr></thead><tbody>\n')
+    none = "" if counts["total_rows"] else f'<tr><td colspan="3" class="empty">{NO_ROWS}</td></tr>\n'
+    storage.write_text_file(html_rows(coverage).select("html"), str(path), before, f"{none}</tbody></table>\n<script>{SCRIPT}</script></body></html>\n")
 
 
 def write_summary_json(path: str, summary: DataFrame) -> None:
@@ -58,28 +55,30 @@ def write_summary_json(path: str, summary: DataFrame) -> None:
     Path(path).write_text(text + "\n")
 
 
-def write_routed_csv(lookup: DataFrame, exact_path: str, other_path: str) -> dict[str, int]:
-    """Exact rows to one file, all others to the other; a file without rows stays empty, without a header."""
+def csv_line(columns: list[str]):
+    """Values quoted where they hold commas, quotes or line breaks, with quotes doubled; blanks stay blank."""
+    return F.to_csv(F.struct(*columns), {"escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+
+
+def write_routed_csv(lookup: DataFrame, exact_path: str, other_path: str, order: list[str] | None = None) -> dict[str, int]:
+    """Exact rows to one file, all others to the other, by order; a file without rows stays empty, without a header.
+
+    The lookup is computed once, and stored.
+    """
+    rows = storage.stored(lookup, "routed")
     counts = {}
-    for name, path, rows in (("exact", exact_path, lookup.where("status = 'exact'")), ("other", other_path, lookup.where("status <> 'exact'"))):
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        n = 0
-        with open(path, "w", newline="") as f:
-            writer = csv.writer(f)
-            for row in rows.select(LOOKUP_COLUMNS).toLocalIterator():
-                if not n:
-                    writer.writerow(LOOKUP_COLUMNS)
-                writer.writerow(row)
-                n += 1
-        counts[name] = n
+    for name, path, rule in (("exact", exact_path, "status = 'exact'"), ("other", other_path, "status <> 'exact'")):
+        own = rows.where(rule)
+        counts[name] = own.count()
+        lines = (own.orderBy(*order) if order else own).select(csv_line(LOOKUP_COLUMNS).alias("line"))
+        storage.write_text_file(lines, str(path), ",".join(LOOKUP_COLUMNS) + "\r\n" if counts[name] else "", line_end="\r\n")
     return counts
 
 
 def diff_report(compared: DataFrame, limit: int = 20) -> str:
     """Five counters, the first differences, how many more there are, and the first missing and new rsids."""
     c = diff_summary(compared).first()
-    out = [f"Baseline rows: {c['baseline_rows']:,}", f"Candidate rows: {c['candidate_rows']:,}", f"Missing in candidate: {c['missing']:,}",
-           f"Not present in baseline: {c['added']:,}", f"Genotype/position differences: {c['differences']:,}"]
+    out = [f"{label}: {c[name]:,}" for name, label in DIFF_LABELS.items()]
     out += [r["line"] for r in first_changes(compared, "changed", limit).select(diff_line().alias("line")).collect()]
     if c["differences"] > limit:
         out.append(f"... {c['differences'] - limit} more differences omitted")

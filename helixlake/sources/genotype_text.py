@@ -1,18 +1,22 @@
 """Genotype text files: delimiter and header per file by aggregation, then every line by itself.
 
 A file's lines are read in parallel. What a line needs to know of its file (delimiter, header) is one small row a file,
-from two grouped aggregations over the few lines that can hold it, and is joined back.
+from two grouped aggregations over the few lines that can hold it; it is stored, and broadcast while there are no more than BROADCAST_FILES files. So the
+rows themselves take one scan without a shuffle.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixlake.functions.text import normalize_name, parse_long, split_fields, strip_comment_prefix, strip_inline_comment, trim
 from helixlake.sources.files import spark_name, visible
+from helixlake.storage import stored
 
-LOOK_AHEAD = 2048
+LOOK_AHEAD, BROADCAST_FILES = 2048, 100_000
 #: Normalised header names of each column, in the order in which they are tried.
 ALIASES = {
     "rsid": ["id", "marker", "name", "rsid", "snp"],
@@ -26,13 +30,38 @@ DEFAULT_HEADER = ["rsid", "chromosome", "position", "genotype"]
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file_path, line_no (from 0), value. Splits of a file are counted apart, so a large file stays in many tasks."""
-    rows = spark.read.text(paths, lineSep="\n").select(
-        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
-    blocks = rows.groupBy("file_path", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    """file_path, line_no (from 0), value. Splits of a file are numbered apart, so a large file stays in many tasks.
+
+    A line's number is that of its split's first line, from the splits' counts, and its place in the split, which the order of a split's lines alone gives.
+    """
+    rows = spark.read.text(paths, lineSep="\n").select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    blocks = rows.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first"))
-    return rows.join(blocks.drop("first", "n"), ["file_path", "block"]).select("file_path", (F.col("offset") + F.col("row")).alias("line_no"), "value")
+    blocks = blocks.select("file_path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # A split is a partition's worth of lines, or a whole file.
+    if 2 * rows.rdd.getNumPartitions() + len(paths) <= BROADCAST_FILES:
+        blocks = F.broadcast(blocks)
+    placed = rows.mapInArrow(_placed, "file_path string, block long, place long, value string")
+    return placed.join(blocks, ["file_path", "block"]).select("file_path", (F.col("offset") + F.col("place")).alias("line_no"), "value")
+
+
+def _placed(batches):
+    """Number the lines of each split; they follow each other within a partition."""
+    last, upto = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, block = batch.column("file_path").dictionary_encode().indices.to_numpy(), batch.column("block").to_numpy()
+        begin = np.flatnonzero(np.append(True, (file[1:] != file[:-1]) | (block[1:] != block[:-1])))
+        place = np.arange(batch.num_rows) - np.repeat(begin, np.diff(np.append(begin, batch.num_rows)))
+        if last == (batch.column("file_path")[0].as_py(), int(block[0])):
+            place[: begin[1] if len(begin) > 1 else None] += upto
+        last, upto = (batch.column("file_path")[-1].as_py(), int(block[-1])), int(place[-1]) + 1
+        yield pa.RecordBatch.from_arrays([batch.column("file_path"), batch.column("block"), pa.array(place.astype(np.int64)), batch.column("value")], names=["file_path", "block", "place", "value"])
+
+
+def _broadcast_files(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_FILES else rows
 
 
 def _looks_like_header(fields: Column) -> Column:
@@ -49,6 +78,7 @@ def file_profiles(lines: DataFrame) -> DataFrame:
     ahead = data & (F.col("line_no") < LOOK_AHEAD) & hint.isNotNull()
     first = lines.groupBy("file_path").agg(
         F.coalesce(F.min_by(F.when(ahead, hint), F.when(ahead, F.col("line_no"))), F.lit("T")).alias("delimiter"), F.min(F.when(data, F.col("line_no"))).alias("first_data"))
+    first = _broadcast_files(stored(first, "file-starts"))
     near = lines.join(first, "file_path").where((F.col("line_no") == F.col("first_data")) | ((F.col("kind") == "comment") & (F.col("line_no") < F.col("first_data"))))
     source = F.when(F.col("kind") == "data", F.col("value")).otherwise(strip_comment_prefix(F.col("t")))
     near = near.withColumn("fields", split_fields(source, F.col("delimiter")))
@@ -76,11 +106,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     where = lambda name: F.filter(F.sequence(F.lit(0), F.size("header") - 1), lambda i: F.get(F.col("header"), i) == name)
     for column, aliases in ALIASES.items():
         profile = profile.withColumn(f"at_{column}", F.when(F.size("header") > 0, F.array(*[where(a) for a in aliases])))
+    profile = _broadcast_files(stored(profile, "file-columns"))
     rows = lines.where("kind = 'data'").join(profile, "file_path").where(~(F.col("has_header") & (F.col("line_no") == F.col("first_data"))))
-    rows = rows.withColumn("fields", F.transform(split_fields(F.col("value"), F.col("delimiter")), strip_inline_comment))
-    for column in ALIASES:
-        rows = rows.withColumn(column, _lookup(F.col("fields"), F.col(f"at_{column}")))
-    rows = rows.withColumn("position", parse_long(F.col("position")))
+    fields = F.transform(split_fields(F.col("value"), F.col("delimiter")), strip_inline_comment)
+    # The one element of the array binds the fields, which are made once a line, to f.
+    row = F.transform(F.array(fields), lambda f: F.struct(*[_lookup(f, F.col(f"at_{c}")).alias(c) for c in ALIASES]))
+    rows = rows.select("file_path", "line_no", F.inline(row)).withColumn("position", parse_long(F.col("position")))
     called = F.col("genotype").isNotNull() | F.col("allele1").isNotNull() | F.col("allele2").isNotNull()
     ok = F.col("rsid").isNotNull() & F.col("chromosome").isNotNull() & F.col("position").isNotNull() & called
     return rows.select("file_path", "line_no", *ALIASES, F.when(ok, "parsed").otherwise("skipped").alias("outcome"))

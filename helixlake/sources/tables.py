@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from helixlake import schemas
 from helixlake.functions.text import parse_python_int, trim
 from helixlake.functions.variants import split_alternates
+from helixlake.storage import names, new_path
 
 
 def read_lookup_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns by name, trimmed, empty for blank cells, with seq, the rows' order. A row too short or too long fails the whole read."""
+    # A file in which no line leaves a quote open is read in splits; otherwise a value may hold a line break, and the file is one task.
+    open_quotes = not spark.read.text(path).where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
     # Without column pruning every column is parsed, whatever is selected, or ragged rows would pass unseen.
-    rows = spark.read.option("columnPruning", False).csv(path, header=True, multiLine=True, mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, escape='"')
+    rows = spark.read.option("columnPruning", False).csv(path, header=True, multiLine=open_quotes, mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, escape='"')
     if not rows.columns:  # a file without a header line
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in schemas.LOOKUP_NEEDED) + ", seq long")
     names = {c.strip(): c for c in rows.columns}
@@ -63,6 +66,15 @@ def read_vcf_text(spark: SparkSession, paths: list[str]) -> DataFrame:
                         F.when(rs != "", F.transform(F.split(rs, ",", -1), lambda x: x.cast("bigint"))).alias("info_rs"), F.col("line_no").alias("file_order"))
 
 
+def read_vcf(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a converted table (a folder), or of VCF text, which is parsed once and kept converted in the shared folder."""
+    if not any(n.startswith("contig=") for n in names(spark, path)):
+        converted = new_path(spark, "vcf")
+        vcf_to_parquet(spark, [path], converted)
+        path = converted
+    return spark.read.schema(schemas.VCF).parquet(path)
+
+
 def vcf_to_parquet(spark: SparkSession, paths: list[str], out: str) -> None:
     """One-off conversion: partitioned by contig and sorted by position, so that later lookups read only what they need."""
     read_vcf_text(spark, paths).repartitionByRange("contig", "pos").sortWithinPartitions("contig", "pos").write.mode("overwrite").partitionBy("contig").parquet(out)

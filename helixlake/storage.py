@@ -1,4 +1,4 @@
-"""Tables and files in the folder that driver and executors share."""
+"""Tables and files in the folder that driver and executors share, through Spark's file systems."""
 
 from __future__ import annotations
 
@@ -33,9 +33,84 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    """The path's file system, without files of checksums beside what is written, and the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.setWriteChecksum(False)
+    return system, at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = _at(spark, path)
+    return system.exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path through Spark's file systems."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    system, at = _at(spark, path)
+    system.delete(at, True)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Sorted names of what is in a folder; none if there is no such folder."""
+    system, at = _at(spark, folder)
+    return sorted(s.getPath().getName() for s in system.listStatus(at)) if system.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as a string."""
+    system, at = _at(spark, path)
+    stream = system.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless it is there already; whether it was written."""
+    system, at = _at(spark, path)
+    system.mkdirs(at.getParent())
+    try:
+        stream = system.create(at, False)
+    except Exception:
+        if system.exists(at):
+            return False
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename, replacing a file that is there."""
+    system, at = _at(spark, target)
+    system.mkdirs(at.getParent())
+    system.delete(at, False)
+    if not system.rename(_at(spark, source)[1], at):
+        raise OSError(f"cannot write {target}")
+
+
+def write_text_file(lines: DataFrame, path: str, before: str = "", after: str = "", line_end: str = "\n") -> None:
+    """One file of the lines (one column), in their order, between two texts.
 
+    Tasks write the lines in parts; only then are the parts' bytes put one after the other, and the file gets its name last.
+    """
+    spark = lines.sparkSession
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    lines.write.option("lineSep", line_end).text(parts)
+    system, draft = _at(spark, f"{parts}/draft")
+    out = system.create(draft, True)
+    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    try:
+        out.write(bytearray(before.encode()))
+        for name in names(spark, parts):
+            if name.startswith("part-"):
+                part = system.open(_at(spark, f"{parts}/{name}")[1])
+                copy(part, out, 1 << 20, False)
+                part.close()
+        out.write(bytearray(after.encode()))
+    finally:
+        out.close()
+    move(spark, f"{parts}/draft", path)
+    remove(spark, parts)
