@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffles and broadcasts of finished steps now: it does so once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _at(spark: SparkSession, path: str):
     """The path's file system, without files of checksums beside what is written, and the path."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
