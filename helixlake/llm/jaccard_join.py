@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import broadcast_if_small, shuffle_partitions, stored, table
+from helixlake.llm.common import broadcast_if_small, release, shuffle_partitions, stored, table
 from helixlake.llm.components import components
 from helixlake.llm.textvec import mix, shingles, slices, words
 
@@ -455,6 +455,7 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     parts = classes.select(F.explode("parts").alias("part"), "id")
     order = parts.repartitionByRange(shuffle_partitions(spark), "part", "id").sortWithinPartitions("part", "id")
     stars = stored(order.mapInArrow(_regions, f"part long, key long, centre {kind}, id {kind}, border boolean"), "shingle-regions")
+    release(spark)
     border = stars.where("border").select("part", "centre").distinct()
     joint = border.groupBy("part").agg(F.min("centre").alias("first"), F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
     pieces = border.join(joint, "part").where("centre <> first").select("part", F.col("first").alias("centre"), F.col("centre").alias("id"))
@@ -486,6 +487,7 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     known = classes.select("id", "n", "h1", "h2")
     clusters = clusters.join(known, "id").select(F.xxhash64("cluster").alias("region"), "id", F.col("h1").alias("key"), "n", "h2")
     clusters = stored(clusters, "shingle-clusters")
+    release(spark)
     many = broadcast_if_small(stored(with_blocks(clusters, block_rows).where("blocks > 1").select("region"), "shingle-large"))
     sets = stored(whole_sets(docs, clusters.select("id", "n", F.col("key").alias("h1"), "h2"), width), "shingle-sets")
     clusters = clusters.select("region", "id", "key")
@@ -496,6 +498,7 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
         left = left.unionByName(leaf)
     links = [e.select("u", "v") for e in [*edges, compared(left, sets, num, den, block_rows)]]
     joined = components(functools.reduce(DataFrame.unionByName, links))
+    release(spark)
 
     nodes = classes.select("n", "h1", "h2", F.col("id").alias("rep")).join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     nodes = nodes.select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
