@@ -27,11 +27,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Write df to the shared folder and read it back, and the path, for remove(): lineage is cut, and a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    return written(df, tag)[0]
 
 
 def release(spark: SparkSession) -> None:
