@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.storage import new_path, release, remove, stored  # noqa: F401
+from helixlake.storage import release, remove, stored, written  # noqa: F401
 
 #: The white space that separates words and pads lines.
 SPACES = " \t\n\x0b\x0c\r"

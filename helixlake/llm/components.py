@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import new_path, remove
-
-
-def _written(edges: DataFrame) -> tuple[DataFrame, str]:
-    path = new_path(edges.sparkSession, "edges")
-    edges.write.parquet(path)
-    return edges.sparkSession.read.schema(edges.schema).parquet(path), path
+from helixlake.llm.common import remove, written
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -29,15 +23,15 @@ def components(edges: DataFrame) -> DataFrame:
     those of the step before are deleted.
     """
     spark = edges.sparkSession
-    e, at = _written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e, at = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large, next_ = _written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large, next_ = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         remove(spark, at)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e, at = _written(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+        e, at = written(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
         remove(spark, next_)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

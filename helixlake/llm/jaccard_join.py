@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import broadcast_if_small, release, shuffle_partitions, stored, table
+from helixlake.llm.common import broadcast_if_small, release, remove, shuffle_partitions, stored, table, written
 from helixlake.llm.components import components
 from helixlake.llm.textvec import mix, shingles, slices, words
 
@@ -412,8 +412,8 @@ def whole_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 def compared(left: DataFrame, sets: DataFrame, num: int, den: int, block_rows: int) -> DataFrame:
     """Edges (u, v) from (region, id, key, core): small regions are gathered in buckets, large ones compared in pairs of blocks."""
     kind = left.schema["id"].dataType.simpleString()
-    rows = stored(left.join(sets, ["id", "key"]), "shingle-rows")
-    sizes = with_blocks(rows, block_rows).where("size > 1")
+    rows = left.join(sets, ["id", "key"])
+    sizes = stored(with_blocks(left.join(sets.select("id", "key", "n"), ["id", "key"]), block_rows).where("size > 1"), "shingle-sizes")
     small = sizes.where("blocks <= 1").agg(F.sum("size"), F.sum("total")).first()
     buckets = max(1, -(-(small[0] or 0) // block_rows), -(-(small[1] or 0) // BLOCK_SHINGLES))
     spread = rows.join(broadcast_if_small(sizes.select("region", "blocks")), "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -448,13 +448,17 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    described = stored(docs.mapInArrow(_described(width, num, den), f"id {kind}, n long, h1 long, h2 long, parts array<long>, sketch binary"), "shingle-parts")
+    described, at = written(docs.mapInArrow(_described(width, num, den), f"id {kind}, n long, h1 long, h2 long, parts array<long>, sketch binary"), "shingle-parts")
 
     # Equal sets are one node, named by their smallest id.
     classes = described.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("parts").alias("parts"))
     parts = classes.select(F.explode("parts").alias("part"), "id")
     order = parts.repartitionByRange(shuffle_partitions(spark), "part", "id").sortWithinPartitions("part", "id")
-    stars = stored(order.mapInArrow(_regions, f"part long, key long, centre {kind}, id {kind}, border boolean"), "shingle-regions")
+    stars, stars_at = written(order.mapInArrow(_regions, f"part long, key long, centre {kind}, id {kind}, border boolean"), "shingle-regions")
+    # The parts are in the regions now.
+    classes = stored(classes.drop("parts"), "shingle-classes")
+    described = stored(described.drop("parts"), "shingle-facts")
+    remove(spark, at)
     release(spark)
     border = stars.where("border").select("part", "centre").distinct()
     joint = border.groupBy("part").agg(F.min("centre").alias("first"), F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
@@ -487,6 +491,7 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     known = classes.select("id", "n", "h1", "h2")
     clusters = clusters.join(known, "id").select(F.xxhash64("cluster").alias("region"), "id", F.col("h1").alias("key"), "n", "h2")
     clusters = stored(clusters, "shingle-clusters")
+    remove(spark, stars_at)
     release(spark)
     many = broadcast_if_small(stored(with_blocks(clusters, block_rows).where("blocks > 1").select("region"), "shingle-large"))
     sets = stored(whole_sets(docs, clusters.select("id", "n", F.col("key").alias("h1"), "h2"), width), "shingle-sets")
