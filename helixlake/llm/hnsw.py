@@ -2,12 +2,13 @@
 
 Equal vectors are one node, so that thousands of copies cannot cut the graph in pieces; a node keeps its smallest ids,
 as many as a query can ask for. Nodes are dealt by a hash to shards of about shard_rows. A shard's graph is built in
-one task of bounded size: nodes come in by a fixed random order, each is linked, on every level it has, to a diverse
-choice of its nearest among those before it, and they to it, with at most links (twice that on the lowest level)
-neighbours each. Vectors get one more component, which makes the largest inner product the nearest in the graph. The
+one task of bounded size: nodes come in by a fixed random order, in batches that double up to BATCH. Each searches the graph of those before
+it, from the entry down, with a list of candidates on every level that it has, and is linked there to a diverse
+choice of those it finds and of its batch before it, and they to it. A node has room for 1.5 times links neighbours (twice that on the lowest level); where it is
+full, a diverse choice stays. Vectors get one more component, which makes the largest inner product the nearest in the graph. The
 graph is stored as flat arrays: for each level one array of neighbour numbers, of fixed width, -1 where there is none.
-Queries are cut into blocks, and each shard is searched by each block in a task of its own: best-first with a list
-of breadth candidates for all queries of the block at a time. The shards' results are merged by a window.
+Queries are cut into blocks about as large as a shard, so that neither is copied much more than the other, and each shard is searched by each block in a task of its own: best-first with a list
+of breadth candidates, for many queries at a time. The shards' results are merged by a window.
 
 Defined results: a vector that is null, empty, zero, or has null or non-finite components, or has no id, takes no part
 as candidate or query; only vectors as long as the query are its candidates; equal scores go to the smaller id;
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from helixlake.llm.common import stored, table
 from helixlake.llm.vectors import keyed, matrix
 
-SHARD_ROWS, QUERY_ROWS, LINKS, BUILD, BREADTH = 8192, 1024, 20, 80, 96
+SHARD_ROWS, QUERY_ROWS, LINKS, BUILD, BREADTH = 16_384, 16_384, 24, 64, 192
+#: Nodes that come in, or queries that search, at a time; open candidates that a search follows at a time.
+BATCH, EXPAND = 256, 4
 
 
 def diverse(near: np.ndarray, to_node: np.ndarray, among: np.ndarray, most: int) -> np.ndarray:
@@ -43,6 +46,41 @@ def diverse(near: np.ndarray, to_node: np.ndarray, among: np.ndarray, most: int)
     return near[(chosen + spare[: most - len(chosen)])]
 
 
+def walk(x: np.ndarray, flat: np.ndarray, row_of: np.ndarray, q: np.ndarray, start: np.ndarray, breadth: int, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
+    """Best-first search of one level for all q at a time: the breadth best nodes found from start (one for each), best first, and their products."""
+    b, rows = len(q), np.arange(len(q))
+    found, score, open_ = np.full((b, breadth), -1, np.int64), np.full((b, breadth), -np.inf, np.float32), np.zeros((b, breadth), bool)
+    found[:, 0], score[:, 0], open_[:, 0] = start, np.einsum("ij,ij->i", q, x[start]), True
+    seen = np.zeros((b, len(x)), bool)
+    seen[rows, start] = True
+    active = rows
+    while True:
+        rank = np.cumsum(open_[active], axis=1)
+        more = rank[:, -1] > 0
+        active, rank = active[more], rank[more]
+        if not len(active):
+            return found, score
+        r, c = np.nonzero(open_[active] & (rank <= expand))  # lists are sorted: the first open ones are the best
+        near = np.full((len(active), expand, flat.shape[1]), -1, np.int64)
+        near[r, rank[r, c] - 1] = flat[row_of[found[active[r], c]]]
+        open_[active[r], c] = False
+        for e in range(expand):  # one after the other, since two nodes can have a neighbour in common
+            fresh = (near[:, e] >= 0) & ~seen[active[:, None], near[:, e]]
+            r, c = np.nonzero(fresh)
+            seen[active[r], near[r, e, c]] = True
+            near[:, e][~fresh] = -1
+        near = near.reshape(len(active), -1)
+        r, c = np.nonzero(near >= 0)
+        dots = np.full(near.shape, -np.inf, np.float32)
+        dots[r, c] = np.einsum("ij,ij->i", q[active[r]], x[near[r, c]])
+        scores = np.hstack([score[active], dots])
+        best = np.argpartition(-scores, breadth - 1, axis=1)[:, :breadth]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, axis=1), axis=1, kind="stable"), axis=1)
+        score[active] = np.take_along_axis(scores, best, axis=1)
+        found[active] = np.take_along_axis(np.hstack([found[active], near]), best, axis=1)
+        open_[active] = np.take_along_axis(np.hstack([open_[active], near >= 0]), best, axis=1)
+
+
 def build_graph(x: np.ndarray, links: int = LINKS, candidates: int = BUILD, seed: int = 5) -> tuple[int, list[np.ndarray], list[np.ndarray]]:
     """Entry node, and for each level from the lowest its members (sorted) and their flat neighbour array."""
     n = len(x)
@@ -50,95 +88,72 @@ def build_graph(x: np.ndarray, links: int = LINKS, candidates: int = BUILD, seed
     size = (x * x).sum(axis=1)
     x = np.hstack([x, np.sqrt(np.maximum(size.max() - size, 0))[:, None]]).astype(np.float32)
     level = np.minimum((-np.log(1 - rng.random(n)) / np.log(links)).astype(int), 6)
-    members, flat = [], []
-    for at in range(int(level.max()) + 1):
-        nodes = np.flatnonzero(level >= at)
-        width = 2 * links if at == 0 else links
-        y = x[nodes]
-        order = rng.permutation(len(nodes))
-        y = y[order]
-        neighbours = [np.zeros(0, np.int64) for _ in range(len(y))]
-        for begin in range(0, len(y), 256):
-            rows = np.arange(begin, min(begin + 256, len(y)))
-            dots = y[rows] @ y[: rows[-1] + 1].T
-            dots[rows[:, None] <= np.arange(rows[-1] + 1)[None, :]] = -np.inf
-            for i, d in zip(rows.tolist(), dots):
-                m = min(candidates, i)
-                if not m:
-                    continue
-                near = np.argpartition(-d, m - 1)[:m]
-                near = near[np.argsort(-d[near], kind="stable")]
-                near = diverse(near, d[near], y[near] @ y[near].T, links)
-                neighbours[i] = near
-                for j in near.tolist():
-                    back = np.append(neighbours[j], i)
-                    if len(back) > 2 * width:
-                        back = _cut(y, j, back, width)
-                    neighbours[j] = back
-        out = np.full((len(nodes), width), -1, np.int32)
-        place = np.empty(len(nodes), np.int64)
-        place[:] = order
-        for i, near in enumerate(neighbours):
-            if len(near) > width:
-                near = _cut(y, i, near, width)
-            out[place[i], : len(near)] = nodes[order[near]]
-        members.append(nodes.astype(np.int32))
-        flat.append(out)
-    return int(np.flatnonzero(level == level.max())[0]), members, flat
-
-
-def _cut(y: np.ndarray, i: int, near: np.ndarray, width: int) -> np.ndarray:
-    d = y[near] @ y[i]
-    order = np.argsort(-d, kind="stable")
-    near, d = near[order], d[order]
-    return diverse(near, d, y[near] @ y[near].T, width)
+    order = rng.permutation(n)
+    entry = int(np.flatnonzero(level == level.max())[0])
+    order = np.append(entry, order[order != entry])
+    members = [np.flatnonzero(level >= at) for at in range(int(level.max()) + 1)]
+    row_of = [np.full(n, -1, np.int64) for _ in members]
+    for rows, m in zip(row_of, members):
+        rows[m] = np.arange(len(m))
+    flat = [np.full((len(m), 3 * links if at == 0 else 3 * links // 2), -1, np.int32) for at, m in enumerate(members)]
+    degree = [np.zeros(len(m), np.int64) for m in members]
+    done = 1
+    while done < n:
+        batch = order[done : done + min(BATCH, done)]
+        done += len(batch)
+        at = np.full(len(batch), entry)
+        for lv in range(len(members) - 1, -1, -1):
+            deep = level[batch] >= lv
+            if (~deep).any():
+                at[~deep] = walk(x, flat[lv], row_of[lv], x[batch[~deep]], at[~deep], 1, 1)[0][:, 0]
+            if not deep.any():
+                continue
+            new = batch[deep]
+            found, score = walk(x, flat[lv], row_of[lv], x[new], at[deep], candidates)
+            at[deep] = found[:, 0]
+            mates = x[new] @ x[new].T
+            for k, node in enumerate(new.tolist()):
+                near, dots = np.append(found[k], new[:k]), np.append(score[k], mates[k, :k])
+                best = np.argsort(-dots, kind="stable")[:candidates]
+                best = best[np.isfinite(dots[best])]
+                near = near[best]
+                near = diverse(near, dots[best], x[near] @ x[near].T, links)
+                row = row_of[lv][node]
+                flat[lv][row, : len(near)], degree[lv][row] = near, len(near)
+                for j in row_of[lv][near].tolist():
+                    if degree[lv][j] == flat[lv].shape[1]:
+                        _cut(x, int(members[lv][j]), flat[lv][j], 2 * flat[lv].shape[1] // 3)
+                        degree[lv][j] = (flat[lv][j] >= 0).sum()
+                    flat[lv][j, degree[lv][j]] = node
+                    degree[lv][j] += 1
+    return entry, [m.astype(np.int32) for m in members], flat
+
+
+def _cut(x: np.ndarray, node: int, near: np.ndarray, most: int) -> None:
+    """Leave a diverse choice of a full row of neighbours, in place."""
+    dots = x[near] @ x[node]
+    order = np.argsort(-dots, kind="stable")
+    kept = near[order]
+    kept = diverse(kept, dots[order], x[kept] @ x[kept].T, most)
+    near[:] = -1
+    near[: len(kept)] = kept
 
 
 def search_graph(x: np.ndarray, entry: int, members: list[np.ndarray], flat: list[np.ndarray], queries: np.ndarray, k: int, breadth: int = BREADTH) -> np.ndarray:
     """Numbers of the k nodes nearest to each query that the search finds, best first; -1 where there are fewer."""
-    x32, q = x.astype(np.float32), queries.astype(np.float32)
-    b, n = len(q), len(x)
-    at = np.full(b, entry, np.int64)
-    best = q @ x32[entry]
-    rows = np.arange(b)
-    for level in range(len(flat) - 1, 0, -1):
-        where = np.full(n, -1, np.int64)
-        where[members[level]] = np.arange(len(members[level]))
-        moving = rows
-        while len(moving):
-            near = flat[level][where[at[moving]]]
-            dots = np.where(near >= 0, np.einsum("bd,bmd->bm", q[moving], x32[near]), -np.inf)
-            top = dots.argmax(axis=1)
-            value = dots[np.arange(len(moving)), top]
-            up = value > best[moving]
-            moving, near, top, value = moving[up], near[up], top[up], value[up]
-            at[moving], best[moving] = near[np.arange(len(moving)), top], value
-    breadth = max(breadth, k)
-    found = np.full((b, breadth), -1, np.int64)
-    score = np.full((b, breadth), -np.inf, np.float32)
-    open_ = np.zeros((b, breadth), bool)
-    found[:, 0], score[:, 0], open_[:, 0] = at, best, True
-    seen = np.zeros((b, n), bool)
-    seen[rows, at] = True
-    active = rows
-    while len(active):
-        pick = open_[active].argmax(axis=1)  # lists are sorted: the first open one is the best
-        go = open_[active, pick]
-        active, pick = active[go], pick[go]
-        if not len(active):
-            break
-        open_[active, pick] = False
-        near = flat[0][found[active, pick]].astype(np.int64)
-        fresh = (near >= 0) & ~seen[active[:, None], near]
-        seen[active[:, None], np.where(fresh, near, found[active, pick][:, None])] = True
-        dots = np.where(fresh, np.einsum("bd,bmd->bm", q[active], x32[near]), -np.inf).astype(np.float32)
-        all_s = np.hstack([score[active], dots])
-        order = np.argsort(-all_s, axis=1, kind="stable")[:, :breadth]
-        score[active] = np.take_along_axis(all_s, order, axis=1)
-        found[active] = np.take_along_axis(np.hstack([found[active], near]), order, axis=1)
-        open_[active] = np.take_along_axis(np.hstack([open_[active], fresh]), order, axis=1)
-    found[~np.isfinite(score)] = -1
-    return found[:, :k]
+    x32, out = x.astype(np.float32), []
+    row_of = []
+    for m in members:
+        rows = np.full(len(x), -1, np.int64)
+        rows[m] = np.arange(len(m))
+        row_of.append(rows)
+    for lo in range(0, len(queries), BATCH):
+        q = queries[lo : lo + BATCH].astype(np.float32)
+        at = np.full(len(q), entry, np.int64)
+        for lv in range(len(flat) - 1, 0, -1):
+            at = walk(x32, flat[lv], row_of[lv], q, at, 1, 1)[0][:, 0]
+        out.append(walk(x32, flat[0], row_of[0], q, at, max(breadth, k))[0][:, :k])
+    return np.concatenate(out) if out else np.zeros((0, k), np.int64)
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, links: int = LINKS, candidates: int = BUILD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

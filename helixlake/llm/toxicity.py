@@ -2,8 +2,8 @@
 
 Tokens are words (runs of letters, digits and non-ASCII bytes, A-Z lower-cased) and, where a word itself says nothing,
 its first 5 or 4 bytes. The number of toxic and of other labelled texts that hold a token gives its log-odds under an
-informative Dirichlet prior; those below least_z standard errors count as zero, and the model keeps at most model_tokens
-of the others, the most certain ones. All are shifted down by drift, so that the score of ordinary text falls with its
+informative Dirichlet prior; those below LEAST_Z standard errors count as zero. The model is the table of all others; should they be
+more than MODEL_TOKENS, too many to broadcast, fitting is refused, and a higher LEAST_Z is to be chosen. All are shifted down by drift, so that the score of ordinary text falls with its
 length. A linear scan (Ruzzo and Tompa) then finds every maximal segment of positive score. As for local alignments, the
 number of segments of score S or more in n ordinary words is K n exp(-lambda S): lambda solves E[exp(lambda score)] = 1
 over the words of the texts that are not toxic, K comes from their best segments. A text's evidence is
@@ -29,7 +29,7 @@ from helixlake.llm.calibration import bin_of, fit_logistic, labelled, probabilit
 from helixlake.llm.common import held_out, stored, table
 from helixlake.llm.textvec import Words, mix, raw, slices, words
 
-MODEL_TOKENS, PRIOR_TEXTS, LEAST_Z, DRIFT, SIGNIFICANT_E = 1 << 18, 50.0, 3.0, 1.5, 0.01
+MODEL_TOKENS, PRIOR_TEXTS, LEAST_Z, DRIFT, SIGNIFICANT_E = 1 << 22, 50.0, 3.0, 1.5, 0.01
 #: Bytes of a token: of whole words, then of their beginnings.
 PREFIXES = (0, 5, 4)
 
@@ -139,10 +139,13 @@ def learn_tokens(train: DataFrame, model_tokens: int = MODEL_TOKENS) -> tuple[np
     a, b = F.col("n1") + prior, F.col("n0") + prior
     delta = F.log(a / (n1 + PRIOR_TEXTS + 1 - F.col("n1"))) - F.log(b / (n0 + PRIOR_TEXTS + 1 - F.col("n0")))
     rows = seen.select("token", delta.alias("odds"), (F.abs(delta) / F.sqrt(1 / a + 1 / b)).alias("z")).where(F.col("z") >= LEAST_Z)
-    rows = rows.orderBy(F.col("z").desc(), "token").limit(model_tokens).toPandas()
-    key = rows["token"].to_numpy(np.int64).view(np.uint64)
+    rows = stored(rows.select("token", "odds"), "toxic-tokens")
+    if (found := rows.count()) > model_tokens:
+        raise ValueError(f"{found} tokens tell toxic texts from others, more than the {model_tokens} that are broadcast: choose a higher least z")
+    rows = rows.toArrow()
+    key = rows.column("token").to_numpy().view(np.uint64)
     order = np.argsort(key)
-    return key[order], rows["odds"].to_numpy(float)[order]
+    return key[order], rows.column("odds").to_numpy()[order]
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic") -> Model:

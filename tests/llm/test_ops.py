@@ -71,6 +71,32 @@ def test_sharding(docs, empty):
     assert sharding.shard_by_size(empty).count() == 0
 
 
+def test_shards_are_near_equal(spark):
+    """Against plain scheduling of all groups: loads differ by less than the size of a bucket's share, and a group of copies stays together."""
+    rng = np.random.default_rng(6)
+    sizes = np.concatenate([rng.integers(1, 400, 3000), [20_000, 9_000]])
+    rows, k = [], 0
+    for g, n in enumerate(sizes.tolist()):
+        for _ in range(int(rng.integers(1, 4)) if n < 400 else 1):
+            rows.append((k, f"{g} ".ljust(n, "x")))
+            k += 1
+    rows += [(k + j, "copy of one text") for j in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.shard_by_size(df, shards=16, rows_per_run=500).collect()
+    load, groups = Counter(), defaultdict(set)
+    for r in out:
+        load[r.shard] += r.size
+        groups[r.text_crc32, r.size].add(r.shard)
+    by_group = Counter()
+    for _, t in rows:
+        by_group[t] += len(t.encode()) + 1
+    plain = Counter()
+    for key, shard in sharding.lpt(list(enumerate(by_group.values())), 16).items():
+        plain[shard] += list(by_group.values())[key]
+    assert all(len(s) == 1 for s in groups.values()) and sum(load.values()) == sum(plain.values())
+    assert max(load.values()) <= 1.001 * max(plain.values()) + 1 and len(load) == 16
+
+
 def test_longest_processing_time():
     items = [(k, s) for k, s in enumerate([7, 7, 6, 6, 5, 4, 4, 3, 1])]
     loads, want = [0, 0, 0], {}
@@ -373,6 +399,41 @@ def test_hnsw(spark, vectors):
     assert hnsw.search(hnsw.build_index(vectors.limit(0)), vectors.limit(0), queries.limit(0)).count() == 0
 
 
+def test_hnsw_recall_over_many_shards(spark):
+    """Ten shards, more than one block of queries, vectors spread evenly; every shard's graph is larger than a batch."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(5000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = hnsw.build_index(df, shard_rows=500)
+    assert index.count() >= 10
+    out = hnsw.search(index, df, df.where("vec_id % 20 = 0"), k=20, query_rows=100).collect()
+    got = defaultdict(set)
+    for r in out:
+        got[r.query_id].add(r.vec_id)
+    dots = x[::20].astype(float) @ x.T.astype(float)
+    dots[np.arange(250), np.arange(0, 5000, 20)] = -np.inf
+    want = np.argsort(-dots, axis=1)[:, :20]
+    assert np.mean([len(got[20 * k] & set(w.tolist())) / 20 for k, w in enumerate(want)]) > 0.97
+
+
+def test_insertion_links_every_node(spark):
+    """From the entry every node is reached on the lowest level, and found as its own nearest."""
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(3000, 24))
+    entry, members, flat = hnsw.build_graph(x)
+    assert [len(m) for m in members] == sorted((len(m) for m in members), reverse=True) and flat[0].max() < 3000
+    reached, edge = {entry}, [entry]
+    while edge:
+        edge = [j for j in {int(j) for i in edge for j in flat[0][i] if j >= 0} if j not in reached]
+        reached |= set(edge)
+    assert len(reached) > 2990
+    for lv, (m, f) in enumerate(zip(members, flat)):
+        assert set(f[f >= 0].tolist()) <= set(m.tolist())
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    entry, members, flat = hnsw.build_graph(unit)
+    assert (hnsw.search_graph(unit, entry, members, flat, unit, 1)[:, 0] == np.arange(3000)).mean() > 0.99
+
+
 def test_hnsw_repeated_query(spark, vectors):
     once = vectors.where("vec_id = 40")
     index = hnsw.build_index(vectors, shard_rows=150)
@@ -411,6 +472,70 @@ def test_classifiers(spark, label, module, score):
     assert constant == 1 and getattr(module, score)(docs.limit(0), model).count() == 0
 
 
+def test_log_odds_and_their_scale_by_hand(spark):
+    """Counts of texts, log-odds with their prior, rate and constant of the segments' law, and a text's evidence."""
+    docs, labels = labelled_corpus(spark, "toxic")
+    model = toxicity.fit(docs, labels, lambda i: F.lit(True))
+    y = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.toxic is not None:
+            y[r.doc_id] = max(y.get(r.doc_id, 0), r.toxic)
+    train = [(r.text or "", y[r.doc_id]) for r in docs.collect() if r.doc_id in y]
+    n = [sum(v == c for _, v in train) for c in (0, 1)]
+    holds = {w: [sum(w in set(t.split()) for t, v in train if v == c) for c in (0, 1)] for w in ("vile", "scumbag")}
+    import pyarrow as pa
+
+    w = words(pa.array(["vile scumbag"]), "not_alnum")
+    for k, (n0, n1) in enumerate(holds.values()):
+        prior = toxicity.PRIOR_TEXTS * (n0 + n1) / sum(n) + 0.5
+        want = math.log((n1 + prior) / (n[1] + toxicity.PRIOR_TEXTS + 1 - n1)) - math.log((n0 + prior) / (n[0] + toxicity.PRIOR_TEXTS + 1 - n0))
+        assert math.isclose(toxicity.word_scores(w, model.key, model.odds)[k], want - toxicity.DRIFT, rel_tol=1e-9)
+    clean = pa.array([t for t, v in train if not v])
+    words_ = words(clean, "not_alnum")
+    scores = np.round(toxicity.word_scores(words_, model.key, model.odds), 1)
+    values, n_words = np.unique(scores, return_counts=True)
+    assert math.isclose(model.rate, toxicity.rate_of(values, n_words))
+    some, often = np.array([-1.5, -0.5, 1.0, 4.0]), np.array([900.0, 60.0, 30.0, 5.0])
+    assert math.isclose((np.exp(toxicity.rate_of(some, often) * some) * often).sum() / often.sum(), 1, rel_tol=1e-9)
+    least = max(0.1, model.odds[model.odds > toxicity.DRIFT].min() - toxicity.DRIFT)
+    above = sum(max(toxicity.word_scores(words(pa.array([t]), "not_alnum"), model.key, model.odds), default=-1) >= least for t, v in train if not v)
+    assert math.isclose(model.count, max(1, above) / (len(scores) * math.exp(-model.rate * least)))
+    assert model.count >= 0 and toxicity.evidence(100, [], model.rate, model.count) <= 0
+    s = 30.0
+    assert math.isclose(toxicity.evidence(100, [s], model.rate, model.count), model.rate * s - math.log(model.count * 100))
+
+
+def test_ratios_and_descent_by_hand(spark):
+    """Log-count ratios against counts of the same features, and the fitted plane against a solver of the primal problem."""
+    docs, labels = labelled_corpus(spark, "quality")
+    import pyarrow as pa
+
+    part = {r.doc_id for r in labels.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(4)) == 0).collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.doc_id is not None and r.quality is not None and r.doc_id not in part}
+    rows = [(r.text or "", y[r.doc_id]) for r in docs.collect() if r.doc_id in y]
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows])], names=["text"])
+    ids = list(quality.features(batch))
+    seen = np.zeros((2, 1 << quality.BITS))
+    for f, (_, v) in zip(ids, rows):
+        seen[v, f] += 1
+    p, q = seen[1] + quality.SMOOTHING, seen[0] + quality.SMOOTHING
+    want = np.where(seen.sum(axis=0) > 0, np.log((p / p.sum()) / (q / q.sum())), 0)
+    model = quality.fit(docs, labels, lambda i: F.lit(True))
+    assert np.allclose(model.ratio, want)
+
+    rng = np.random.default_rng(3)
+    x = np.hstack([rng.normal(size=(60, 4)), np.ones((60, 1))])
+    t = np.where(x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=60) * 0.3 > 0, 1.0, -1.0)
+    got = quality.dual_coordinate_descent([np.arange(4)] * 60, [r[:4] for r in x], t, 4, np.ones(60), epochs=2000)
+    loss = lambda v: 0.5 * v @ v + np.maximum(0, 1 - t * (x @ v)).sum()
+    v, best = np.zeros(5), np.inf
+    for k in range(1, 20001):  # subgradient steps
+        at = 1 - t * (x @ v) > 0
+        v = v - (v - (t[at, None] * x[at]).sum(axis=0)) / (10 + k)
+        best = min(best, loss(v))
+    assert loss(np.append(*got)) <= best * 1.001
+
+
 def test_toxic_passages_and_maximal_segments(spark):
     docs, labels = labelled_corpus(spark, "toxic")
     out = toxicity.score_toxicity(docs, toxicity.fit(docs, labels, lambda i: F.lit(True))).join(docs.select("doc_id", "text"), "doc_id").where("doc_id % 5 = 0 and doc_id < 400").collect()
