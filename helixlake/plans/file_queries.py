@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from helixlake import storage
 from helixlake.operators import diff, lookup, store, summary
 from helixlake.plans import base, queries
-from helixlake.plans.base import duck, spark_sql
-from helixlake.plans.queries import KINDS, LOADED, OVERLAYS, PARSED, QUERIES, found_sql, query
+from helixlake.plans.base import spark_sql
+from helixlake.plans.queries import LOADED, PARSED, QUERIES, found_sql, query
 from helixlake.schemas import LOOKUP_COLUMNS, LOOKUP_NEEDED
 from helixlake.sinks import genotype_files, reports
 from helixlake.sources import files, genotype_text, tables
@@ -224,5 +224,3 @@ def discovered_files(spark, sf_dir):
     paths = spark.createDataFrame([(k, p, os.path.basename(p)) for k, p in enumerate(found)], "place int, file_path string, name string")
     return paths.join(failures, "file_path", "left").select("place", "name", F.coalesce("error", F.lit("")).alias("error"))
 
-
-assert duck and KINDS and OVERLAYS

@@ -116,7 +116,7 @@ def formats_seeded(spark, sf_dir):
 @query("SELECT DISTINCT o_orderpriority AS file_path FROM {orders} WHERE o_orderpriority NOT IN (SELECT o_orderpriority FROM {orders} WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '3%')")
 def unrecorded_files(spark, sf_dir):
     files = spark_sql(spark, sf_dir, "SELECT DISTINCT o_orderpriority AS file_path FROM {orders}")
-    return files.join(files.where("file_path LIKE '1%' OR file_path LIKE '3%'"), "file_path", "left_anti")
+    return store.not_recorded(files, files.where("file_path LIKE '1%' OR file_path LIKE '3%'"))
 
 
 # --- summaries --------------------------------------------------------------------------------------------------------
@@ -286,37 +286,50 @@ IDS = f"""SELECT DISTINCT v.contig, v.pos, v.ref, v.file_order, i.record_id FROM
   LATERAL (SELECT unnest(list_concat(list_filter(string_split(v.id, ';'), lambda x: x <> '.'), CASE WHEN v.rs_info IS NULL THEN [] ELSE ['rs' || v.rs_info] END)) AS record_id) AS i"""
 
 
-def _found_sql(window: int) -> str:
-    over = lambda w: f"greatest(0, q.position - 1 - {w}) < q.position + {w} AND r.pos - 1 < q.position + {w} AND r.pos - 1 + length(r.ref) > greatest(0, q.position - 1 - {w})"
-    return f"""SELECT c_custkey, rsid, contig, pos, ref, CASE WHEN contig IS NULL THEN 'no_contig' WHEN contig NOT IN (SELECT contig FROM ({base.VCF}) AS k) THEN 'missing_contig' WHEN pos IS NULL THEN 'not_found'
-      WHEN exact THEN 'exact' ELSE 'window' END AS status FROM (SELECT q.c_custkey, q.rsid, q.contig, r.pos, r.ref, {over(0)} AS exact,
-      row_number() OVER (PARTITION BY q.c_custkey ORDER BY CASE WHEN {over(0)} THEN 0 ELSE 1 END, r.pos, r.file_order) AS rn
-      FROM (SELECT *, {CONTIG} AS contig FROM ({base.QUERIES}) AS u) AS q LEFT JOIN ({IDS}) AS r ON q.contig = r.contig AND q.rsid = r.record_id AND {over(window)}) AS z WHERE rn = 1"""
+def found_sql(window: int = 0, before: int | None = None, after: int = 0, more: str = "", source: str = base.QUERIES) -> str:
+    over = lambda b, a: f"greatest(0, q.position - {b}) < q.position + {a} AND r.pos - 1 < q.position + {a} AND r.pos - 1 + length(r.ref) > greatest(0, q.position - {b})"
+    exact, near = over(1, 0), over(1 + window, window) if before is None else f"(({over(1, 0)}) OR ({over(before, after)}))"
+    return f"""SELECT c_custkey, rsid, {more} contig, pos, ref, CASE WHEN contig IS NULL THEN 'no_contig' WHEN contig NOT IN (SELECT contig FROM ({base.VCF}) AS k) THEN 'missing_contig' WHEN pos IS NULL THEN 'not_found'
+      WHEN exact THEN 'exact' ELSE 'window' END AS status FROM (SELECT q.c_custkey, q.rsid, q.chromosome, q.position, q.contig, r.pos, r.ref, r.file_order, {exact} AS exact,
+      row_number() OVER (PARTITION BY q.c_custkey ORDER BY CASE WHEN {exact} THEN 0 ELSE 1 END, r.pos, r.file_order) AS rn
+      FROM (SELECT *, {CONTIG} AS contig FROM ({source}) AS u) AS q LEFT JOIN ({IDS}) AS r ON q.contig = r.contig AND q.rsid = r.record_id AND {near}) AS z WHERE rn = 1"""
 
 
-def _found(spark, sf_dir, window):
+def _found(spark, sf_dir, window=0, before=None, after=None, asked=None):
     vcf = spark_sql(spark, sf_dir, base.VCF).select("contig", "pos", "id", "ref", F.array(F.lit("G")).alias("alts"), F.lit(None).cast("array<string>").alias("filters"),
                                                     F.when(F.col("rs_info").isNotNull(), F.array("rs_info")).alias("info_rs"), "file_order")
-    return lookup.find_records(spark_sql(spark, sf_dir, base.QUERIES), vcf, window)
+    return lookup.find_records(spark_sql(spark, sf_dir, base.QUERIES) if asked is None else asked, vcf, window, before, after)
 
 
-@query(_found_sql(0))
+@query(found_sql(0))
 def position_lookup_exact(spark, sf_dir):
     return _found(spark, sf_dir, 0).select("c_custkey", "rsid", "contig", "record.pos", "record.ref", "status")
 
 
-@query(_found_sql(50))
+@query(found_sql(50))
 def position_lookup_window(spark, sf_dir):
     return _found(spark, sf_dir, 50).select("c_custkey", "rsid", "contig", "record.pos", "record.ref", "status")
 
 
-@query(f"SELECT status, count(*) AS n FROM ({_found_sql(50)}) AS s GROUP BY status")
+@query(found_sql(before=30, after=10))
+def position_lookup_uneven(spark, sf_dir):
+    return _found(spark, sf_dir, before=30, after=10).select("c_custkey", "rsid", "contig", "record.pos", "record.ref", "status")
+
+
+@query(found_sql(50, source=f"SELECT rsid, chromosome, position, max(CAST(c_custkey AS VARCHAR)) AS c_custkey FROM ({base.QUERIES}) AS a GROUP BY rsid, chromosome, position"))
+def position_lookup_derived(spark, sf_dir):
+    """Queries that an aggregation makes, with a text column kept."""
+    asked = spark_sql(spark, sf_dir, base.QUERIES).groupBy("rsid", "chromosome", "position").agg(F.max(F.col("c_custkey").cast("string")).alias("c_custkey"))
+    return _found(spark, sf_dir, 50, asked=asked).select("c_custkey", "rsid", "contig", "record.pos", "record.ref", "status")
+
+
+@query(f"SELECT status, count(*) AS n FROM ({found_sql(50)}) AS s GROUP BY status")
 def lookup_status_counts(spark, sf_dir):
     return lookup.status_counts(_found(spark, sf_dir, 50))
 
 
 @query(f"""SELECT rsid AS query_rsid, coalesce(contig, '') AS ref_contig, coalesce(CAST(pos AS VARCHAR), '') AS ref_pos, coalesce(ref, '') AS ref, CASE WHEN pos IS NULL THEN '' ELSE 'G' END AS alt, CASE WHEN pos IS NULL THEN '' ELSE 'PASS' END AS filters, status
-  FROM (SELECT rsid, CASE WHEN pos IS NULL THEN NULL ELSE contig END AS contig, pos, ref, status FROM ({_found_sql(50)}) AS s) AS t""")
+  FROM (SELECT rsid, CASE WHEN pos IS NULL THEN NULL ELSE contig END AS contig, pos, ref, status FROM ({found_sql(50)}) AS s) AS t""")
 def lookup_table(spark, sf_dir):
     return lookup.lookup_rows(_found(spark, sf_dir, 50)).drop("query_chrom", "query_pos")
 
@@ -373,6 +386,10 @@ def synthetic_overlay_rows(spark, sf_dir):
     return _synthetic(spark, sf_dir, _specs(spark))
 
 
+def synthetic_with_overlays(spark, sf_dir):
+    return _synthetic(spark, sf_dir, _specs(spark))
+
+
 @query(f"SELECT unnest(range(3)) AS file_idx, (SELECT count(*) FROM ({base.REFS}) AS r) + (SELECT count(*) FROM {OVERLAYS} WHERE rsid NOT IN (SELECT rsid FROM ({base.REFS}) AS r)) AS rows")
 def synthetic_file_counts(spark, sf_dir):
     return synthetic.file_counts(_synthetic(spark, sf_dir, _specs(spark)))

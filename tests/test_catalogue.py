@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from helixlake.plans.queries import ORACLE_SQL, QUERIES
+from helixlake.plans.catalogue import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
