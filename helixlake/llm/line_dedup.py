@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixlake.llm.common import SPACES, ascii_lower, shuffle_partitions, stored, table
+from helixlake.llm.common import SPACES, ascii_lower, remove, shuffle_partitions, stored, table, written
 
 #: What a row of the stream says: a line to drop; a line of a key undecided at a border; what a border key has here.
 DROP, OPEN, BORDER = 0, 1, 2
@@ -123,13 +123,15 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines to drop as rows (id, th, pos); th is the hash that tells rows with one id but other texts apart."""
     spark = docs.sparkSession
-    rows = line_rows(docs, min_chars, id_col, text_col)
+    # Stored, since a range partition reads its rows twice: once for the bounds.
+    rows, at = written(line_rows(docs, min_chars, id_col, text_col), "line-rows")
     id_type = rows.schema["id"].dataType
     order = ["h1", "h2", "id", "th"]
     dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "pos")
     from pyspark.sql.pandas.types import to_arrow_type
 
     said = stored(dealt.mapInArrow(_stream(min_docs, keep_first, to_arrow_type(id_type)), f"kind int, id {id_type.simpleString()}, th long, pos int, h1 long, h2 long, docs long"), "line-drops")
+    remove(spark, at)
     border = said.where(F.col("kind") == BORDER)
     totals = border.groupBy("h1", "h2").agg(F.sum("docs").alias("all"), F.min(F.struct("id", "th", "pos")).alias("first")).where(F.col("all") >= min_docs)
     late = said.where(F.col("kind") == OPEN).join(totals, ["h1", "h2"], "left_semi")
@@ -185,11 +187,16 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", te
     return docs.join(b, on, "left").withColumn("_n_dropped", F.coalesce("_d", F.lit(0).cast("long"))).drop("_id", "_th", "_d")
 
 
+def _changed(text_col: str) -> tuple[Column, Column]:
+    """Text and bitmap, for Python; of a document that keeps all lines the text stays where it is."""
+    return F.when(F.col("_keep").isNotNull(), F.col(text_col)), F.col("_keep")
+
+
 def remove_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False,
                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the kept lines as their text; all other columns as they were."""
     joined = with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col), id_col, text_col)
-    text = F.when(F.col("_keep").isNull(), F.col(text_col)).otherwise(kept_text(text_col, "_keep"))
+    text = F.when(F.col("_keep").isNull(), F.col(text_col)).otherwise(kept_text(*_changed(text_col)))
     return joined.withColumn(text_col, text).select(*docs.columns)
 
 
@@ -197,7 +204,7 @@ def op3_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     joined = with_bitmaps(docs, keep_bitmaps(docs, min_docs=10, min_chars=1))
     return joined.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-                         kept_sha256("text", "_keep").alias("kept_sha256"))
+                         F.when(F.col("_keep").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)).otherwise(kept_sha256(*_changed("text"))).alias("kept_sha256"))
 
 
 OP3_SQL = r"""

@@ -59,7 +59,7 @@ def test_words_match_a_regular_expression(docs):
 
 def test_sharding(docs, empty):
     rows = docs.collect()
-    out = sharding.shard_by_size(docs, shards=4, unit_parts=8, rows_per_run=10).collect()
+    out = sharding.shard_by_size(docs, shards=4, rows_per_run=10).collect()
     assert Counter((r.doc_id, r.size) for r in out) == Counter((r.doc_id, len((r.text or "").encode()) + 1) for r in rows)
     by_shard, by_group = defaultdict(list), defaultdict(set)
     for r in out:
@@ -72,7 +72,7 @@ def test_sharding(docs, empty):
 
 
 def test_shards_are_near_equal(spark):
-    """Against plain scheduling of all groups: loads differ by less than the size of a bucket's share, and a group of copies stays together."""
+    """The loads of plain scheduling of all groups, one by one; a group of copies stays together."""
     rng = np.random.default_rng(6)
     sizes = np.concatenate([rng.integers(1, 400, 3000), [20_000, 9_000]])
     rows, k = [], 0
@@ -90,20 +90,27 @@ def test_shards_are_near_equal(spark):
     by_group = Counter()
     for _, t in rows:
         by_group[t] += len(t.encode()) + 1
-    plain = Counter()
-    for key, shard in sharding.lpt(list(enumerate(by_group.values())), 16).items():
-        plain[shard] += list(by_group.values())[key]
-    assert all(len(s) == 1 for s in groups.values()) and sum(load.values()) == sum(plain.values())
-    assert max(load.values()) <= 1.001 * max(plain.values()) + 1 and len(load) == 16
+    assert all(len(s) == 1 for s in groups.values())
+    assert [load[s] for s in range(16)] == plain_lpt(list(by_group.values()), 16)[1]
+
+
+def plain_lpt(sizes, shards):
+    """Group by group: (size, groups of that size in each shard), and the loads."""
+    loads, got = [0] * shards, {}
+    for size in sorted(sizes, reverse=True):
+        s = loads.index(min(loads))
+        loads[s] += size
+        got.setdefault(size, [0] * shards)[s] += 1
+    return list(got.items()), loads
 
 
 def test_longest_processing_time():
-    items = [(k, s) for k, s in enumerate([7, 7, 6, 6, 5, 4, 4, 3, 1])]
-    loads, want = [0, 0, 0], {}
-    for k, s in items:  # already largest first
-        want[k] = loads.index(min(loads))
-        loads[want[k]] += s
-    assert sharding.lpt(items[::-1], 3) == want and sorted(loads) == [13, 15, 15]
+    assert plain_lpt([7, 7, 6, 6, 5, 4, 4, 3, 1], 3)[1] == [15, 15, 13]
+    rng = np.random.default_rng(9)
+    for shards in (1, 3, 16):
+        for most in (4, 60, 5000):
+            sizes = rng.integers(1, most, 3000).tolist() + rng.integers(1, 200_000, int(rng.integers(0, 20))).tolist()
+            assert sharding.lpt(list(Counter(sizes).items()), shards) == plain_lpt(sizes, shards)[0]
 
 
 def brute_lines(rows, min_docs, min_chars):
