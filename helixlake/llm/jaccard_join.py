@@ -64,7 +64,7 @@ def parts_of(most: int, num: int, den: int) -> tuple[int, int]:
     k = (den - num) * 2 * most // (den + num)
     if not k:
         return 1, 1
-    slack = 4 + int(6 * k * np.exp(-most / RATIO / k))
+    slack = 4 + int(3 * k * np.exp(-most / RATIO / k))
     return k + slack, slack
 
 
