@@ -105,7 +105,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     profile = file_profiles(lines)
     where = lambda name: F.filter(F.sequence(F.lit(0), F.size("header") - 1), lambda i: F.get(F.col("header"), i) == name)
     for column, aliases in ALIASES.items():
-        profile = profile.withColumn(f"at_{column}", F.when(F.size("header") > 0, F.array(*[where(a) for a in aliases])))
+        # An alias that names no column has no value in any line.
+        profile = profile.withColumn(f"at_{column}", F.when(F.size("header") > 0, F.filter(F.array(*[where(a) for a in aliases]), lambda at: F.size(at) > 0)))
     profile = _broadcast_files(stored(profile, "file-columns"))
     rows = lines.where("kind = 'data'").join(profile, "file_path").where(~(F.col("has_header") & (F.col("line_no") == F.col("first_data"))))
     fields = F.transform(split_fields(F.col("value"), F.col("delimiter")), strip_inline_comment)
