@@ -29,56 +29,97 @@ from helixlake.llm.vectors import keyed, matrix
 SHARD_ROWS, QUERY_ROWS, LINKS, BUILD, BREADTH = 16_384, 16_384, 24, 64, 192
 #: Nodes that come in, or queries that search, at a time; open candidates that a search follows at a time.
 BATCH, EXPAND = 256, 4
-
-
-def diverse(near: np.ndarray, to_node: np.ndarray, among: np.ndarray, most: int) -> np.ndarray:
-    """Of candidates, best first: those not closer to one already chosen than to the node; filled up with the best of the others."""
-    chosen, spare = [], []
-    blocked = np.full(len(near), -np.inf)
-    for k in range(len(near)):
-        if blocked[k] > to_node[k]:
-            spare.append(k)
-            continue
-        chosen.append(k)
-        if len(chosen) == most:
-            break
-        np.maximum(blocked, among[k], out=blocked)
-    return near[(chosen + spare[: most - len(chosen)])]
+#: Products between candidates that are held at a time.
+PAIRS = 1 << 23
+
+
+def diverse(x: np.ndarray, near: np.ndarray, to_node: np.ndarray, most: int) -> np.ndarray:
+    """For each node a row of candidates, best first and -1 behind: those not closer to one already chosen than to the node, then the best of the others; most a row."""
+    rows, width = near.shape
+    out = np.full((rows, most), -1, np.int64)
+    step = max(1, PAIRS // (width * width))
+    for lo in range(0, rows, step):
+        part, dots = near[lo : lo + step], to_node[lo : lo + step]
+        vectors = x[part]
+        among = vectors @ vectors.transpose(0, 2, 1)
+        blocked, chosen, room = np.full(part.shape, -np.inf, np.float32), np.zeros(part.shape, bool), np.full(len(part), most)
+        for k in range(width):
+            chosen[:, k] = take = (part[:, k] >= 0) & (blocked[:, k] <= dots[:, k]) & (room > 0)
+            room -= take
+            np.maximum(blocked, among[:, k], out=blocked, where=take[:, None])
+        order = np.argsort(np.where(chosen, 0, np.where(part >= 0, 1, 2)), axis=1, kind="stable")[:, :most]
+        out[lo : lo + step, : order.shape[1]] = np.take_along_axis(part, order, axis=1)
+    return out
+
+
+def best_of(near: np.ndarray, dots: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's best candidates in order; -1 where a product is not finite."""
+    order = np.argsort(-dots, axis=1, kind="stable")[:, :most]
+    near, dots = np.take_along_axis(near, order, axis=1), np.take_along_axis(dots, order, axis=1)
+    return np.where(np.isfinite(dots), near, -1), dots
 
 
 def walk(x: np.ndarray, flat: np.ndarray, row_of: np.ndarray, q: np.ndarray, start: np.ndarray, breadth: int, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search of one level for all q at a time: the breadth best nodes found from start (one for each), best first, and their products."""
-    b, rows = len(q), np.arange(len(q))
+    b, n = len(q), len(x)
     found, score, open_ = np.full((b, breadth), -1, np.int64), np.full((b, breadth), -np.inf, np.float32), np.zeros((b, breadth), bool)
     found[:, 0], score[:, 0], open_[:, 0] = start, np.einsum("ij,ij->i", q, x[start]), True
-    seen = np.zeros((b, len(x)), bool)
-    seen[rows, start] = True
-    active = rows
+    seen = np.zeros(b * n, bool)  # a place for each query and node
+    seen[np.arange(b) * n + start] = True
+    active = np.arange(b)
     while True:
-        rank = np.cumsum(open_[active], axis=1)
+        rank = np.cumsum(open_[active], axis=1, dtype=np.int32)
         more = rank[:, -1] > 0
         active, rank = active[more], rank[more]
         if not len(active):
             return found, score
         r, c = np.nonzero(open_[active] & (rank <= expand))  # lists are sorted: the first open ones are the best
-        near = np.full((len(active), expand, flat.shape[1]), -1, np.int64)
-        near[r, rank[r, c] - 1] = flat[row_of[found[active[r], c]]]
-        open_[active[r], c] = False
-        for e in range(expand):  # one after the other, since two nodes can have a neighbour in common
-            fresh = (near[:, e] >= 0) & ~seen[active[:, None], near[:, e]]
-            r, c = np.nonzero(fresh)
-            seen[active[r], near[r, e, c]] = True
-            near[:, e][~fresh] = -1
-        near = near.reshape(len(active), -1)
-        r, c = np.nonzero(near >= 0)
-        dots = np.full(near.shape, -np.inf, np.float32)
-        dots[r, c] = np.einsum("ij,ij->i", q[active[r]], x[near[r, c]])
-        scores = np.hstack([score[active], dots])
-        best = np.argpartition(-scores, breadth - 1, axis=1)[:, :breadth]
-        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, axis=1), axis=1, kind="stable"), axis=1)
-        score[active] = np.take_along_axis(scores, best, axis=1)
-        found[active] = np.take_along_axis(np.hstack([found[active], near]), best, axis=1)
-        open_[active] = np.take_along_axis(np.hstack([open_[active], near >= 0]), best, axis=1)
+        r = active[r]
+        near = flat.take(row_of[found[r, c]], axis=0)
+        open_[r, c] = False
+        places = (near + (r * n)[:, None])[near >= 0]
+        places = np.sort(places[~seen.take(places)])
+        if not len(places):
+            continue
+        places = places[np.append(True, places[1:] != places[:-1])]  # two nodes can have a neighbour in common
+        seen[places] = True
+        r, node = np.divmod(places, n)
+        dots = np.einsum("ij,ij->i", q.take(r, axis=0), x.take(node, axis=0))
+        better = dots > score[r, -1]
+        r, node, dots = r[better], node[better], dots[better]
+        if not len(r):
+            continue
+        count = np.bincount(r, minlength=b)
+        met = np.flatnonzero(count)
+        line, column = np.repeat(np.arange(len(met)), count[met]), breadth + np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+        nodes, scores, fresh = (np.full((len(met), breadth + count.max()), fill, kind) for fill, kind in ((-1, np.int64), (-np.inf, np.float32), (False, bool)))
+        nodes[:, :breadth], scores[:, :breadth], fresh[:, :breadth] = found[met], score[met], open_[met]
+        nodes[line, column], scores[line, column], fresh[line, column] = node, dots, True
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :breadth]
+        found[met], score[met], open_[met] = (np.take_along_axis(a, best, axis=1) for a in (nodes, scores, fresh))
+
+
+def link_back(x: np.ndarray, member: np.ndarray, row_of: np.ndarray, flat: np.ndarray, nodes: np.ndarray, chosen: np.ndarray) -> None:
+    """Enter each node with the neighbours chosen for it; where a row has no room for those that come, a diverse choice of two thirds of its width stays."""
+    k, c = np.nonzero(chosen >= 0)
+    target, source = row_of[chosen[k, c]], nodes[k]
+    order = np.argsort(target, kind="stable")
+    target, source = target[order], source[order]
+    rows, first, count = np.unique(target, return_index=True, return_counts=True)
+    degree, width = (flat[rows] >= 0).sum(axis=1), flat.shape[1]
+    column = np.arange(len(target)) + np.repeat(degree - first, count)
+    over = degree + count > width
+    late = np.repeat(over, count)
+    flat[target[~late], column[~late]] = source[~late]
+    if over.any():
+        full = rows[over]
+        near = np.full((len(full), (degree + count)[over].max()), -1, np.int64)
+        near[:, :width] = flat[full]
+        near[np.repeat(np.cumsum(over) - 1, count)[late], column[late]] = source[late]
+        dots = (x[near] @ x[member[full]][:, :, None])[:, :, 0]
+        near, dots = best_of(near, np.where(near >= 0, dots, -np.inf), near.shape[1])
+        flat[full] = -1
+        flat[full, : 2 * width // 3] = diverse(x, near, dots, 2 * width // 3)
 
 
 def build_graph(x: np.ndarray, links: int = LINKS, candidates: int = BUILD, seed: int = 5) -> tuple[int, list[np.ndarray], list[np.ndarray]]:
@@ -96,7 +137,6 @@ def build_graph(x: np.ndarray, links: int = LINKS, candidates: int = BUILD, seed
     for rows, m in zip(row_of, members):
         rows[m] = np.arange(len(m))
     flat = [np.full((len(m), 3 * links if at == 0 else 3 * links // 2), -1, np.int32) for at, m in enumerate(members)]
-    degree = [np.zeros(len(m), np.int64) for m in members]
     done = 1
     while done < n:
         batch = order[done : done + min(BATCH, done)]
@@ -111,34 +151,14 @@ def build_graph(x: np.ndarray, links: int = LINKS, candidates: int = BUILD, seed
             new = batch[deep]
             found, score = walk(x, flat[lv], row_of[lv], x[new], at[deep], candidates)
             at[deep] = found[:, 0]
-            mates = x[new] @ x[new].T
-            for k, node in enumerate(new.tolist()):
-                near, dots = np.append(found[k], new[:k]), np.append(score[k], mates[k, :k])
-                best = np.argsort(-dots, kind="stable")[:candidates]
-                best = best[np.isfinite(dots[best])]
-                near = near[best]
-                near = diverse(near, dots[best], x[near] @ x[near].T, links)
-                row = row_of[lv][node]
-                flat[lv][row, : len(near)], degree[lv][row] = near, len(near)
-                for j in row_of[lv][near].tolist():
-                    if degree[lv][j] == flat[lv].shape[1]:
-                        _cut(x, int(members[lv][j]), flat[lv][j], 2 * flat[lv].shape[1] // 3)
-                        degree[lv][j] = (flat[lv][j] >= 0).sum()
-                    flat[lv][j, degree[lv][j]] = node
-                    degree[lv][j] += 1
+            mates = np.where(np.tri(len(new), k=-1, dtype=bool), x[new] @ x[new].T, -np.inf)  # those of the batch before it
+            near, dots = best_of(np.hstack([found, np.broadcast_to(new, mates.shape)]), np.hstack([score, mates]), candidates)
+            near = diverse(x, near, dots, links)
+            flat[lv][row_of[lv][new], :links] = near
+            link_back(x, members[lv], row_of[lv], flat[lv], new, near)
     return entry, [m.astype(np.int32) for m in members], flat
 
 
-def _cut(x: np.ndarray, node: int, near: np.ndarray, most: int) -> None:
-    """Leave a diverse choice of a full row of neighbours, in place."""
-    dots = x[near] @ x[node]
-    order = np.argsort(-dots, kind="stable")
-    kept = near[order]
-    kept = diverse(kept, dots[order], x[kept] @ x[kept].T, most)
-    near[:] = -1
-    near[: len(kept)] = kept
-
-
 def search_graph(x: np.ndarray, entry: int, members: list[np.ndarray], flat: list[np.ndarray], queries: np.ndarray, k: int, breadth: int = BREADTH) -> np.ndarray:
     """Numbers of the k nodes nearest to each query that the search finds, best first; -1 where there are fewer."""
     x32, out = x.astype(np.float32), []

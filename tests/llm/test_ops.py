@@ -441,6 +441,22 @@ def test_insertion_links_every_node(spark):
     assert (hnsw.search_graph(unit, entry, members, flat, unit, 1)[:, 0] == np.arange(3000)).mean() > 0.99
 
 
+def test_diverse_choice_by_hand():
+    """A node's choice is that of the plain loop over its candidates, for rows of unequal length."""
+    rng = np.random.default_rng(23)
+    x, node = rng.normal(size=(60, 4)).astype(np.float32), rng.normal(size=(9, 4)).astype(np.float32)
+    near = np.array([rng.permutation(60)[:30] for _ in node])
+    near, dots = hnsw.best_of(near, np.where(np.arange(30) < 4 * np.arange(9)[:, None], np.einsum("ijk,ik->ij", x[near], node), -np.inf), 25)
+    got = hnsw.diverse(x, near, dots, 6)
+    for row, scores, out in zip(near.tolist(), dots, got.tolist()):
+        chosen, spare = [], []
+        for j, score in zip(row, scores):
+            if j >= 0 and len(chosen) < 6:
+                (spare if any(x[j] @ x[i] > score for i in chosen) else chosen).append(j)
+        want = (chosen + spare)[:6]
+        assert out == want + [-1] * (6 - len(want))
+
+
 def test_hnsw_repeated_query(spark, vectors):
     once = vectors.where("vec_id = 40")
     index = hnsw.build_index(vectors, shard_rows=150)
