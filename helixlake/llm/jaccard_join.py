@@ -469,7 +469,8 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     # Many parts have the same documents; each list of documents is looked at once.
     lists = stored(stars.where("key <> 0").select("key", "id").distinct(), "shingle-lists")
     drawn = described.select("id", "n", "sketch").distinct()
-    bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-lists.count() // 1024))))
+    # Several buckets a partition, so that chance does not deal one partition a large share of them.
+    bucket = F.pmod(F.xxhash64("key"), F.lit(max(4 * shuffle_partitions(spark), -(-lists.count() // 1024))))
 
     def close_in_lists(group):
         key, ids, size = (group.column(c).to_numpy() for c in ("key", "id", "n"))
