@@ -38,3 +38,23 @@ BROADCAST_ROWS = 500_000
 def broadcast_if_small(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting the rows."""
     return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(rows: DataFrame, name: str) -> str:
+    """name, or name with marks behind it that no column of rows has."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def replacing(rows: DataFrame, made: Column, names: list[str]) -> DataFrame:
+    """rows with the fields of the struct made as columns, in the place of any of these names."""
+    kept = [c for c in rows.columns if c.lower() not in names]
+    at = unused(rows, "made")
+    return rows.select(*map(column, kept), made.alias(at)).select(*map(column, kept), f"{at}.*")
