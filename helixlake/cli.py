@@ -7,10 +7,10 @@ import os
 
 from pyspark.sql import functions as F
 
-from helixlake import session, storage
+from helixlake import session, shared_files, storage
 from helixlake.operators import diff, lookup, overlay, store, summary, synthetic
 from helixlake.sinks import genotype_files, reports
-from helixlake.sources import files, genotype_text, tables
+from helixlake.sources import bgzf, files, genotype_text, tables
 
 
 def genostats(spark, a):
@@ -64,9 +64,18 @@ def extract(spark, a):
         if not os.path.exists(path):
             raise FileNotFoundError(path)
     rows = tables.marker_rows(genotype_text.read_lines(spark, [a.input]), a.limit)
-    vcf = tables.read_vcf(spark, a.vcf)
-    # What the queries cannot meet is not read, but every contig of the table is known.
-    found = lookup.find_records(rows, lookup.prune_records(vcf, rows, a.window), a.window, known=vcf.select("contig").distinct())
+    # What the queries cannot meet is not read, but every contig of the file is known.
+    if tables.is_blocked(a.vcf) and shared_files.exists(f"{a.vcf}.tbi"):
+        vcf = tables.read_vcf_blocks(spark, a.vcf, lookup.wanted_regions(rows, a.window))
+        contigs = dict.fromkeys(tables.declared_contigs(tables.header_of(spark, a.vcf)) + bgzf.Index.read(f"{a.vcf}.tbi").names)
+        known = spark.createDataFrame([(c,) for c in contigs], "contig string")
+    else:
+        path = a.vcf
+        if not tables.is_converted(spark, path):
+            path = storage.new_path(spark, "vcf")
+            tables.vcf_to_parquet(spark, [a.vcf], path)
+        vcf, known = lookup.prune_records(tables.read_vcf(spark, path), rows, a.window), tables.vcf_contigs(spark, path).select("contig")
+    found = lookup.find_records(rows, vcf, a.window, known=known)
     counts = reports.write_routed_csv(lookup.lookup_rows(found, "line_no"), a.output, a.missing_output, ["line_no"])
     print(f"{counts['exact']} exact rows to {a.output}, {counts['other']} others to {a.missing_output}")
 

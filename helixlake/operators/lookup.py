@@ -7,9 +7,10 @@ does a key. What is found depends on contig, identifier and position alone: each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixlake.functions.bins import LEVELS, WINDOW_BITS, level_span
 from helixlake.functions.contigs import contig_of
 from helixlake.functions.text import trim
 
@@ -28,13 +29,14 @@ def find_records(queries: DataFrame, vcf: DataFrame, window: int = 0, before: in
     status: no_contig (unknown chromosome), missing_contig (none of the records has it), exact (the first record with the
     identifier that overlaps the position), window (else, the first that overlaps the position widened by window), not_found.
     before and after, where given, widen the second interval unevenly: from position - before to before position + after.
-    known: the contigs (column contig) that the records have, where vcf is but a part of them.
+    known: the contigs (column contig) that exist, where vcf is but a part of them: those that the header declares and those of all records.
+    A record reaches from pos to its column stop, where vcf has one, else as far as ref is long.
     A query without identifier or position finds nothing; queries that come twice are answered twice.
     """
     queries = queries.drop("contig", "record", "status")
     asked = queries.withColumn("contig", contig_of(F.col("chromosome")))
-    ids = record_ids(vcf).select(F.col("contig").alias("_contig"), "record_id", "file_order", (F.col("pos") - 1).alias("_start"),
-                                 (F.col("pos") - 1 + F.length("ref")).alias("_stop"), F.struct("contig", "pos", "ref", "alts", "filters").alias("record"))
+    stop = F.col("stop") if "stop" in vcf.columns else F.col("pos") - 1 + F.length("ref")
+    ids = record_ids(vcf).select(F.col("contig").alias("_contig"), "record_id", "file_order", (F.col("pos") - 1).alias("_start"), stop.alias("_stop"), F.struct("contig", "pos", "ref", "alts", "filters").alias("record"))
     keys = asked.select(*[F.col(c).alias(f"_{c}") for c in ("contig", "rsid", "position")]).distinct().withColumnRenamed("_contig", "_on")
     met = keys.join(ids, (F.col("_on") == F.col("_contig")) & (F.col("_rsid") == F.col("record_id")))
 
@@ -55,13 +57,45 @@ def find_records(queries: DataFrame, vcf: DataFrame, window: int = 0, before: in
     return out.select(*queries.columns, "contig", F.col("_hit.record").alias("record"), status.alias("status"))
 
 
-def prune_records(vcf: DataFrame, queries: DataFrame, window: int = 0) -> DataFrame:
-    """Records of the queries' contigs that do not begin behind all of them: conditions that a table partitioned by contig and sorted by position is read by."""
-    reach = queries.groupBy(contig_of(F.col("chromosome")).alias("contig")).agg(F.max("position").alias("upto")).where("contig is not null and upto is not null")
-    wanted = F.lit(False)
-    for r in reach.collect():  # a row for each of the known contigs at most
-        wanted = wanted | ((F.col("contig") == r["contig"]) & (F.col("pos") <= r["upto"] + window))
-    return vcf.where(wanted)
+#: More runs of windows than this are taken together by contig in the condition that prunes a table.
+CONDITION_RUNS = 200
+
+
+def wanted_regions(queries: DataFrame, window: int = 0, before: int | None = None, after: int | None = None) -> list[tuple[str, int, int]]:
+    """Where records can answer the queries, as half-open intervals (contig, start, stop): runs of windows of 2^14 positions, so that the genome bounds their number."""
+    low, high = (window + 1, window) if before is None else (max(before, 1), max(after, 0))
+    at = queries.select(contig_of(F.col("chromosome")).alias("contig"), F.greatest(F.col("position") - low, F.lit(0)).alias("a"), (F.col("position") + high).alias("b")).where("contig is not null and b > a")
+    cells = at.select("contig", F.explode(F.sequence(F.shiftright("a", WINDOW_BITS), F.shiftright(F.col("b") - 1, WINDOW_BITS))).alias("w")).distinct()
+    # Neighbouring windows have the same difference to their number.
+    runs = cells.withColumn("run", F.col("w") - F.row_number().over(Window.partitionBy("contig").orderBy("w"))).groupBy("contig", "run").agg(F.min("w").alias("a"), F.max("w").alias("b"))
+    return sorted((r["contig"], r["a"] << WINDOW_BITS, (r["b"] + 1) << WINDOW_BITS) for r in runs.collect())
+
+
+def prune_records(vcf: DataFrame, queries: DataFrame, window: int = 0, before: int | None = None, after: int | None = None) -> DataFrame:
+    """Records that can answer the queries, by conditions on contig, level and position, by which a converted table is read.
+
+    Each level of bins has a bound of its own below: short records begin at most 2^14 positions before a region, and only the few
+    long ones are looked for farther away. A table without levels is pruned by pos and stop.
+    """
+    runs = wanted_regions(queries, window, before, after)
+    spans: dict[str, tuple[int, int]] = {}
+    for contig, a, b in runs:
+        spans[contig] = (min(a, spans.get(contig, (a, b))[0]), max(b, spans.get(contig, (a, b))[1]))
+    if len(runs) > CONDITION_RUNS:
+        runs = [(c, a, b) for c, (a, b) in spans.items()]
+    pos, out = F.col("pos"), F.lit(False)
+    if "level" not in vcf.columns:
+        stop = F.col("stop") if "stop" in vcf.columns else F.col("pos") - 1 + F.length("ref")
+        for contig, a, b in runs:
+            out = out | ((F.col("contig") == contig) & (pos <= b) & (stop > a))
+        return vcf.where(out)
+    near = len(LEVELS) - 1
+    for contig, a, b in runs:
+        out = out | ((F.col("contig") == contig) & (F.col("level") == near) & (pos > a - level_span(near)) & (pos <= b))
+    for contig, (a, b) in spans.items():
+        for level in range(near):
+            out = out | ((F.col("contig") == contig) & (F.col("level") == level) & (pos > a - level_span(level)) & (pos <= b))
+    return vcf.where(out)
 
 
 def lookup_rows(found: DataFrame, *more: str) -> DataFrame:

@@ -282,17 +282,23 @@ for _change in ("missing", "added", "changed"):
 # --- lookup against records -------------------------------------------------------------------------------------------
 
 CONTIG = "CASE regexp_replace(upper(trim(chromosome)), '^CHR', '') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CONTIGS.items()) + " END"
-IDS = f"""SELECT DISTINCT v.contig, v.pos, v.ref, v.file_order, i.record_id FROM ({base.VCF}) AS v,
+BASE_VCF = f"SELECT *, pos - 1 + length(ref) AS stop FROM ({base.VCF}) AS b"
+
+
+def ids_sql(vcf: str) -> str:
+    return f"""SELECT DISTINCT v.contig, v.pos, v.ref, v.stop, v.file_order, i.record_id FROM ({vcf}) AS v,
   LATERAL (SELECT unnest(list_concat(list_filter(string_split(v.id, ';'), lambda x: x <> '.'), CASE WHEN v.rs_info IS NULL THEN [] ELSE ['rs' || v.rs_info] END)) AS record_id) AS i"""
 
 
-def found_sql(window: int = 0, before: int | None = None, after: int = 0, more: str = "", source: str = base.QUERIES) -> str:
-    over = lambda b, a: f"greatest(0, q.position - {b}) < q.position + {a} AND r.pos - 1 < q.position + {a} AND r.pos - 1 + length(r.ref) > greatest(0, q.position - {b})"
+def found_sql(window: int = 0, before: int | None = None, after: int = 0, more: str = "", source: str = base.QUERIES, vcf: str = BASE_VCF, declared: str = "") -> str:
+    """declared: more contigs that exist, as a list of SQL texts."""
+    over = lambda b, a: f"greatest(0, q.position - {b}) < q.position + {a} AND r.pos - 1 < q.position + {a} AND r.stop > greatest(0, q.position - {b})"
     exact, near = over(1, 0), over(1 + window, window) if before is None else f"(({over(1, 0)}) OR ({over(before, after)}))"
-    return f"""SELECT c_custkey, rsid, {more} contig, pos, ref, CASE WHEN contig IS NULL THEN 'no_contig' WHEN contig NOT IN (SELECT contig FROM ({base.VCF}) AS k) THEN 'missing_contig' WHEN pos IS NULL THEN 'not_found'
+    also = f" AND contig NOT IN ({declared})" if declared else ""
+    return f"""SELECT c_custkey, rsid, {more} contig, pos, ref, CASE WHEN contig IS NULL THEN 'no_contig' WHEN contig NOT IN (SELECT contig FROM ({vcf}) AS k){also} THEN 'missing_contig' WHEN pos IS NULL THEN 'not_found'
       WHEN exact THEN 'exact' ELSE 'window' END AS status FROM (SELECT q.c_custkey, q.rsid, q.chromosome, q.position, q.contig, r.pos, r.ref, r.file_order, {exact} AS exact,
       row_number() OVER (PARTITION BY q.c_custkey ORDER BY CASE WHEN {exact} THEN 0 ELSE 1 END, r.pos, r.file_order) AS rn
-      FROM (SELECT *, {CONTIG} AS contig FROM ({source}) AS u) AS q LEFT JOIN ({IDS}) AS r ON q.contig = r.contig AND q.rsid = r.record_id AND {near}) AS z WHERE rn = 1"""
+      FROM (SELECT *, {CONTIG} AS contig FROM ({source}) AS u) AS q LEFT JOIN ({ids_sql(vcf)}) AS r ON q.contig = r.contig AND q.rsid = r.record_id AND {near}) AS z WHERE rn = 1"""
 
 
 def _found(spark, sf_dir, window=0, before=None, after=None, asked=None):

@@ -102,26 +102,66 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot write {target}")
 
 
-def write_text_file(lines: DataFrame, path: str, before: str = "", after: str = "", line_end: str = "\n") -> None:
-    """One file of the lines (one column), in their order, between two texts.
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, replacing one that is there."""
+    system, at = _at(spark, path)
+    system.mkdirs(at.getParent())
+    stream = system.create(at, True)
+    stream.write(bytearray(data))
+    stream.close()
+
 
-    Tasks write the lines in parts; only then are the parts' bytes put one after the other, and the file gets its name last.
+def concatenated(spark: SparkSession, sources: list[str], target: str) -> None:
+    """Put files one behind the other under a new name; the sources may be gone then. The driver handles names only.
+
+    A file system that can concatenate does so without copying. Elsewhere one task copies the bytes to a name of its attempt, which is then
+    renamed, so a task that runs twice does no harm.
     """
+    first, *rest = sources
+    system, at = _at(spark, first)
+    gateway = spark.sparkContext._gateway
+    others = gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, len(rest))
+    for k, path in enumerate(rest):
+        others[k] = _at(spark, path)[1]
+    try:
+        if rest:
+            system.concat(at, others)
+        draft = first
+    except Exception as error:  # not offered here
+        if "Unsupported" not in str(error) and "not supported" not in str(error).lower():
+            raise
+        draft = _copied_by_task(spark, [_uri(spark, s) for s in sources], _uri(spark, target))
+    move(spark, draft, target)
+
+
+def _uri(spark: SparkSession, path: str) -> str:
+    system, at = _at(spark, path)
+    return system.makeQualified(at).toString()
+
+
+def _copied_by_task(spark: SparkSession, sources: list[str], target: str) -> str:
+    def copy(batches):
+        import pyarrow as pa
+
+        from helixlake import shared_files
+
+        for batch in batches:
+            if batch.num_rows:
+                draft = f"{target}.draft-{uuid.uuid4().hex}"
+                shared_files.copied(batch.column("path").to_pylist(), draft)
+                yield pa.RecordBatch.from_arrays([pa.array([draft])], names=["path"])
+
+    files = spark.createDataFrame(list(enumerate(sources)), "n long, path string").coalesce(1).orderBy("n").coalesce(1)
+    return files.mapInArrow(copy, "path string").first()[0]
+
+
+def write_text_file(lines: DataFrame, path: str, before: str = "", after: str = "", line_end: str = "\n") -> None:
+    """One file of the lines (one column), in their order, between two texts: tasks write parts, which are put one behind the other, and the file gets its name last."""
     spark = lines.sparkSession
     parts = f"{path}.parts-{uuid.uuid4().hex}"
     lines.write.option("lineSep", line_end).text(parts)
-    system, draft = _at(spark, f"{parts}/draft")
-    out = system.create(draft, True)
-    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
-    try:
-        out.write(bytearray(before.encode()))
-        for name in names(spark, parts):
-            if name.startswith("part-"):
-                part = system.open(_at(spark, f"{parts}/{name}")[1])
-                copy(part, out, 1 << 20, False)
-                part.close()
-        out.write(bytearray(after.encode()))
-    finally:
-        out.close()
-    move(spark, f"{parts}/draft", path)
+    own = [f"{parts}/{name}" for name in names(spark, parts) if name.startswith("part-")]
+    write_bytes(spark, f"{parts}/before", before.encode())
+    write_bytes(spark, f"{parts}/behind", after.encode())
+    concatenated(spark, [f"{parts}/before", *own, f"{parts}/behind"], path)
     remove(spark, parts)
