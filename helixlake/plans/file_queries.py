@@ -47,6 +47,60 @@ def store_load(spark, sf_dir):
     return store.Store(spark, home, create=False).read("references")
 
 
+#: Suppliers as the rows of a second load: some of its markers are known, some are new.
+SECOND = """SELECT concat('rs', CAST(s_suppkey * 32 + 1003 AS VARCHAR(20))) AS query_rsid, CAST(s_nationkey % 22 + 1 AS VARCHAR(9)) AS query_chrom, '' AS query_pos, CAST(s_suppkey * 11 AS VARCHAR(20)) AS ref_pos, 'T' AS ref, 'A' AS alt,
+  CASE WHEN s_suppkey % 5 = 0 THEN 'window' ELSE 'exact' END AS status, s_suppkey AS s1, 0 AS s2, 0 AS s3, 0 AS s4, 0 AS s5 FROM {supplier}"""
+LOADED_SECOND = f"SELECT CAST(substr(query_rsid, 3) AS BIGINT) AS rsid, query_chrom AS chromosome, CAST(ref_pos AS BIGINT) AS position, ref AS reference, alt AS alternates FROM ({SECOND}) AS s WHERE status = 'exact'"
+
+
+def _loaded_twice(spark, sf_dir):
+    """A store after two loads, its buckets' files before and after the second one, and the second one's counters."""
+    kept = store.Store(spark, _path(spark, "store"))
+    kept.load_lookup(tables.read_lookup_csv(spark, _lookup_csv(spark, sf_dir)))
+    before = kept.state("references")["files"]
+    counts = kept.load_lookup(tables.read_lookup_csv(spark, _lookup_csv(spark, sf_dir, SECOND)))
+    return kept, before, kept.state("references")["files"], counts
+
+
+@query(f"""SELECT coalesce(n.rsid, o.rsid) AS rsid, CAST(1 AS BIGINT) AS format_id, coalesce(n.chromosome, o.chromosome) AS chromosome, coalesce(n.position, o.position) AS position, coalesce(n.reference, o.reference) AS reference,
+  coalesce(n.alternates, o.alternates) AS alternates FROM ({LOADED}) AS o FULL JOIN ({LOADED_SECOND}) AS n ON n.rsid = o.rsid""")
+def store_two_loads(spark, sf_dir):
+    """A second load merged into the first one's buckets."""
+    return _loaded_twice(spark, sf_dir)[0].read("references")
+
+
+@query(f"""SELECT coalesce(o.bucket, n.bucket) AS bucket, n.bucket IS NOT NULL AS rewritten, CAST((SELECT count(*) FROM (SELECT rsid FROM ({LOADED}) AS l UNION SELECT rsid FROM ({LOADED_SECOND}) AS m) AS u WHERE rsid % 16 = coalesce(o.bucket, n.bucket)) AS BIGINT) AS rows
+  FROM (SELECT DISTINCT CAST(rsid % 16 AS INTEGER) AS bucket FROM ({LOADED}) AS l) AS o FULL JOIN (SELECT DISTINCT CAST(rsid % 16 AS INTEGER) AS bucket FROM ({LOADED_SECOND}) AS m) AS n ON o.bucket = n.bucket""")
+def store_rewritten_buckets(spark, sf_dir):
+    """Which buckets the second load wrote anew: those of its keys; the others' files are the first load's."""
+    _, before, after, _ = _loaded_twice(spark, sf_dir)
+    rows = [(k, before.get(k, [None])[0] != version, n) for k, (version, n) in after.items()]  # a row a bucket
+    return spark.createDataFrame(rows, "bucket int, rewritten boolean, rows long")
+
+
+@query(f"SELECT CAST(count(*) FILTER (WHERE status = 'exact') AS BIGINT) AS imported, CAST(count(*) FILTER (WHERE status <> 'exact') AS BIGINT) AS skipped FROM ({SECOND}) AS s")
+def store_load_counters(spark, sf_dir):
+    """The counters of a load, from the pass that stores its rows."""
+    return spark.createDataFrame([_loaded_twice(spark, sf_dir)[3]], "imported long, skipped long")
+
+
+@query(f"SELECT rsid, chromosome, position, reference, alternates, (SELECT count(*) FROM ({base.LOOKUP}) AS a) AS lookup_rows FROM ({LOADED}) AS l")
+def store_after_failed_load(spark, sf_dir):
+    """A good load, then one of the same rows and a bad one, which must fail: the store is as the good load left it."""
+    kept = store.Store(spark, _path(spark, "store"))
+    lookup = tables.read_lookup_csv(spark, _lookup_csv(spark, sf_dir))
+    kept.load_lookup(lookup)
+    bad = lookup.withColumn("query_rsid", F.when(F.col("query_rsid") == F.lit("rs1001"), "none").otherwise(F.col("query_rsid"))).withColumn("status", F.lit("exact"))
+    try:
+        kept.load_lookup(bad)
+    except Exception as error:
+        if "no valid rsid" not in str(error):
+            raise
+    else:
+        raise AssertionError("a bad row was loaded")
+    return kept.read("references").select("rsid", "chromosome", "position", "reference", "alternates", F.lit(lookup.count()).cast("long").alias("lookup_rows"))
+
+
 @query(f"""SELECT query_rsid AS rsid, query_chrom AS chromosome, query_pos AS position, ref AS reference, replace(alt, ',', '/') AS alternates FROM ({BLANK_REF}) AS l WHERE status = 'exact' AND ref <> ''""")
 def lookup_csv_exact_rows(spark, sf_dir):
     rows = tables.exact_rows(tables.read_lookup_csv(spark, _lookup_csv(spark, sf_dir, BLANK_REF)))

@@ -34,6 +34,12 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def written_by(df: DataFrame, path: str, column: str) -> DataFrame:
+    """Write df at a path, in folders by a column (nulls have one too), and read it back."""
+    df.write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     return written(df, tag)[0]
 
