@@ -17,7 +17,7 @@ def genostats(spark, a):
     paths, failures = files.split_failures(spark, files.discover(a.input, a.max_files))
     kept = store.Store(spark, a.sqlite)
     if a.skip_recorded_files:
-        names = spark.createDataFrame([(files.spark_name(p), p) for p in paths], "file_path string, path string")
+        names = spark.createDataFrame([(files.metadata_name(spark, p), p) for p in paths], "file_path string, path string")
         paths = sorted(r["path"] for r in kept.unrecorded(names).collect())
     stats = None
     if paths:

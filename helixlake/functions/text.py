@@ -32,7 +32,7 @@ def strip_comment_prefix(t: Column) -> Column:
     return trim(F.when(t.startswith("#"), F.regexp_replace(t, "^#+", "")).otherwise(F.regexp_replace(t, "^(//)+", "")))
 
 
-def split_quoted(c: Column) -> Column:
+def split_quoted(c: Column, trimmed: bool = True) -> Column:
     """Fields of a comma-separated line. A quote opens or closes anywhere; a doubled one within quotes is a quote.
 
     Pieces between quotes are outside (even) or inside (odd); an empty even one between two others is a doubled quote.
@@ -40,12 +40,14 @@ def split_quoted(c: Column) -> Column:
     pieces = F.split(c, '"', -1)
     piece = lambda s, i: (F.when(i % 2 == 1, s).when((s == "") & (i > 0) & (i < F.size(pieces) - 1), F.lit('"'))
                           .otherwise(F.replace(s, F.lit(","), F.lit(_CUT))))
-    return F.transform(F.split(F.array_join(F.transform(pieces, piece), ""), _CUT, -1), trim)
+    fields = F.split(F.array_join(F.transform(pieces, piece), ""), _CUT, -1)
+    return F.transform(fields, trim) if trimmed else fields
 
 
-def split_fields(line: Column, delimiter: Column) -> Column:
-    """Trimmed fields of a line; delimiter is T (tab), C (comma) or S (white space)."""
-    return (F.when(delimiter == "T", F.transform(F.split(line, "\t", -1), trim)).when(delimiter == "C", split_quoted(line))
+def split_fields(line: Column, delimiter: Column, trimmed: bool = True) -> Column:
+    """Fields of a line, trimmed or as they stand; delimiter is T (tab), C (comma) or S (white space)."""
+    tabs = F.split(line, "\t", -1)
+    return (F.when(delimiter == "T", F.transform(tabs, trim) if trimmed else tabs).when(delimiter == "C", split_quoted(line, trimmed))
             .otherwise(F.filter(F.split(trim(line), r"(?U)\s+", -1), lambda x: x != "")))
 
 

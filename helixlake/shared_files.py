@@ -53,3 +53,27 @@ def copied(sources: list[str], target: str, chunk: int = 8 << 20) -> None:
             with opened(source) as f:
                 while data := f.read(chunk):
                     out.write(data)
+
+
+def reachable(path: str) -> bool:
+    """Whether Arrow has a file system for the path."""
+    try:
+        located(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, NotImplementedError):
+        return False
+    return True
+
+
+def lines_of(path: str, chunk: int = 1 << 16):
+    """The text's lines from the beginning, read piece by piece; compressed files by their ending."""
+    system, at = located(path)
+    with system.open_input_stream(at, compression="detect") as stream:
+        rest: list[bytes] = []
+        while data := stream.read(chunk):
+            first, *more = data.split(b"\n")
+            rest.append(first)
+            for line in more:
+                yield b"".join(rest).decode("utf-8", "replace")
+                rest = [line]
+        if last := b"".join(rest):
+            yield last.decode("utf-8", "replace")

@@ -67,6 +67,8 @@ def visible(paths: list[str], folder: str | None = None) -> dict[str, str]:
     return out
 
 
-def spark_name(path: str) -> str:
-    """A local path as Spark's file metadata has it."""
-    return Path(path).as_uri().replace("file:///", "file:/", 1)
+def metadata_name(spark: SparkSession, path: str) -> str:
+    """A path or URI of any file system as Spark's file metadata has it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    name = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    return name.replace("file:///", "file:/", 1) if name.startswith("file:///") else name

@@ -1,19 +1,19 @@
 """Genotype text files: delimiter and header per file by aggregation, then every line by itself.
 
-A file's lines are read in parallel. What a line needs to know of its file (delimiter, header) is one small row a file,
-from two grouped aggregations over the few lines that can hold it; it is stored, and broadcast while there are no more than BROADCAST_FILES files. So the
-rows themselves take one scan without a shuffle.
+A file's lines are read in parallel: once to count each split's, once for the rows. What a line needs to know of its file (delimiter, header) is one small row a file,
+from two grouped aggregations over the files' first lines, which tasks read from the files' beginnings alone; it is stored, and broadcast while there are no more than BROADCAST_FILES
+files. So the rows themselves take no shuffle.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixlake.functions.text import normalize_name, parse_long, split_fields, strip_comment_prefix, strip_inline_comment, trim
-from helixlake.sources.files import spark_name, visible
+from helixlake import shared_files
+from helixlake.functions.text import WHITE_SPACE, normalize_name, parse_long, split_fields, strip_comment_prefix, strip_inline_comment, trim
+from helixlake.sources.files import metadata_name, visible
 from helixlake.storage import stored
 
 LOOK_AHEAD, BROADCAST_FILES = 2048, 100_000
@@ -30,34 +30,56 @@ DEFAULT_HEADER = ["rsid", "chromosome", "position", "genotype"]
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file_path, line_no (from 0), value. Splits of a file are numbered apart, so a large file stays in many tasks.
+    """file_path, line_no (from 0), value. Splits of a file are numbered apart, so a large file stays in many tasks, and in built-in functions.
 
-    A line's number is that of its split's first line, from the splits' counts, and its place in the split, which the order of a split's lines alone gives.
+    A line's number is its split's offset, from the splits' counts, and its distance from the split's first line: lines of a split follow each other
+    within a partition, where monotonic ids rise by one.
     """
-    rows = spark.read.text(paths, lineSep="\n").select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), "value")
-    blocks = rows.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("n"))
+    # The same splits in both scans, also where executors come and go.
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
+    rows = spark.read.text(paths, lineSep="\n").select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = rows.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file_path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    blocks = blocks.select("file_path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     # A split is a partition's worth of lines, or a whole file.
     if 2 * rows.rdd.getNumPartitions() + len(paths) <= BROADCAST_FILES:
         blocks = F.broadcast(blocks)
-    placed = rows.mapInArrow(_placed, "file_path string, block long, place long, value string")
-    return placed.join(blocks, ["file_path", "block"]).select("file_path", (F.col("offset") + F.col("place")).alias("line_no"), "value")
+    return rows.join(blocks, ["file_path", "block"]).select("file_path", (F.col("id") + F.col("shift")).alias("line_no"), "value")
 
 
-def _placed(batches):
-    """Number the lines of each split; they follow each other within a partition."""
-    last, upto = None, 0
+def read_heads(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """The first lines of each file, as read_lines gives them, and no further than delimiter and header need: up to a data line that shows
+    the delimiter, at least LOOK_AHEAD lines where none does, and to the first data line in any case. None where only Spark reaches the files."""
+    if not all(map(shared_files.reachable, paths[:1])):
+        return None
+    named = spark.createDataFrame([(metadata_name(spark, p), p) for p in paths], "file_path string, at string")
+    named = named.repartition(max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism)))
+    return named.mapInArrow(_heads, "file_path string, line_no long, value string")
+
+
+def _heads(batches):
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        file, block = batch.column("file_path").dictionary_encode().indices.to_numpy(), batch.column("block").to_numpy()
-        begin = np.flatnonzero(np.append(True, (file[1:] != file[:-1]) | (block[1:] != block[:-1])))
-        place = np.arange(batch.num_rows) - np.repeat(begin, np.diff(np.append(begin, batch.num_rows)))
-        if last == (batch.column("file_path")[0].as_py(), int(block[0])):
-            place[: begin[1] if len(begin) > 1 else None] += upto
-        last, upto = (batch.column("file_path")[-1].as_py(), int(block[-1])), int(place[-1]) + 1
-        yield pa.RecordBatch.from_arrays([batch.column("file_path"), batch.column("block"), pa.array(place.astype(np.int64)), batch.column("value")], names=["file_path", "block", "place", "value"])
+        for name, at in zip(batch.column("file_path").to_pylist(), batch.column("at").to_pylist()):
+            held, first = [], 0
+            for n, line in enumerate(shared_files.lines_of(at)):
+                held.append(line)
+                bare = line.strip(WHITE_SPACE)
+                data = bare != "" and not bare.startswith(("#", "//"))
+                shown = data and ("\t" in line or "," in line or any(c in WHITE_SPACE for c in bare))
+                met = data or (n > 0 and met)
+                done = shown or (met and n + 1 >= LOOK_AHEAD)
+                if done or len(held) == LOOK_AHEAD:
+                    yield _head_batch(name, first, held)
+                    held, first = [], n + 1
+                if done:
+                    break
+            if held:
+                yield _head_batch(name, first, held)
+
+
+def _head_batch(name: str, first: int, lines: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(range(first, first + len(lines)), pa.int64()), pa.array(lines)], names=["file_path", "line_no", "value"])
 
 
 def _broadcast_files(rows: DataFrame) -> DataFrame:
@@ -94,22 +116,32 @@ def file_profiles(lines: DataFrame) -> DataFrame:
 def _lookup(fields: Column, places: Column) -> Column:
     """The first alias with a value; an alias that names several columns means the last of them that the line has."""
     values = F.transform(places, lambda at: F.get(fields, F.array_max(F.filter(at, lambda p: p < F.size(fields)))))
-    return F.get(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.lit(0))
+    several = F.get(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.lit(0))
+    # As a rule one alias names one column.
+    first = F.get(places, F.lit(0))
+    return F.when(F.size(places) == 0, None).when((F.size(places) == 1) & (F.size(first) == 1), F.nullif(F.get(fields, F.get(first, F.lit(0))), F.lit(""))).otherwise(several)
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """From file_path, line_no, value: one row a data line, with outcome parsed or skipped; blank, comment and header lines give none."""
+def _marked(lines: DataFrame) -> DataFrame:
     t = trim(F.col("value"))
-    kind = F.when(t == "", "blank").when(t.rlike(r"^(#|//)"), "comment").otherwise("data")
-    lines = lines.select("file_path", "line_no", "value", t.alias("t"), kind.alias("kind"))
-    profile = file_profiles(lines)
+    kind = F.when(t == "", "blank").when(t.startswith("#") | t.startswith("//"), "comment").otherwise("data")
+    return lines.select("file_path", "line_no", "value", t.alias("t"), kind.alias("kind"))
+
+
+def parse_lines(lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """From file_path, line_no, value: one row a data line, with outcome parsed or skipped; blank, comment and header lines give none.
+
+    heads: the lines that show each file's delimiter and header, as read_heads has them; without them all lines are searched for these.
+    """
+    profile = file_profiles(_marked(lines if heads is None else heads))
+    lines = _marked(lines).drop("t")
     where = lambda name: F.filter(F.sequence(F.lit(0), F.size("header") - 1), lambda i: F.get(F.col("header"), i) == name)
     for column, aliases in ALIASES.items():
         # An alias that names no column has no value in any line.
         profile = profile.withColumn(f"at_{column}", F.when(F.size("header") > 0, F.filter(F.array(*[where(a) for a in aliases]), lambda at: F.size(at) > 0)))
     profile = _broadcast_files(stored(profile, "file-columns"))
     rows = lines.where("kind = 'data'").join(profile, "file_path").where(~(F.col("has_header") & (F.col("line_no") == F.col("first_data"))))
-    fields = F.transform(split_fields(F.col("value"), F.col("delimiter")), strip_inline_comment)
+    fields = F.transform(split_fields(F.col("value"), F.col("delimiter"), trimmed=False), strip_inline_comment)
     # The one element of the array binds the fields, which are made once a line, to f.
     row = F.transform(F.array(fields), lambda f: F.struct(*[_lookup(f, F.col(f"at_{c}")).alias(c) for c in ALIASES]))
     rows = rows.select("file_path", "line_no", F.inline(row)).withColumn("position", parse_long(F.col("position")))
@@ -127,9 +159,10 @@ def file_stats(rows: DataFrame) -> DataFrame:
 def read_genotypes(spark: SparkSession, paths: list[str], staging: str | None = None) -> DataFrame:
     """Parsed rows of the files. staging: a folder that executors see, for copies of files whose names Spark hides."""
     shown = visible(paths, staging)
-    lines = read_lines(spark, list(shown.values()))
-    renamed = [(spark_name(to), spark_name(p)) for p, to in shown.items() if to != p]
+    lines, heads = read_lines(spark, list(shown.values())), read_heads(spark, list(shown.values()))
+    renamed = [(metadata_name(spark, to), metadata_name(spark, p)) for p, to in shown.items() if to != p]
     if renamed:
         names = spark.createDataFrame(renamed, "file_path string, _given string")
-        lines = lines.join(names, "file_path", "left").select(F.coalesce("_given", "file_path").alias("file_path"), "line_no", "value")
-    return parse_lines(lines)
+        given = lambda rows: rows.join(names, "file_path", "left").select(F.coalesce("_given", "file_path").alias("file_path"), "line_no", "value")
+        lines, heads = given(lines), None if heads is None else given(heads)
+    return parse_lines(lines, heads)

@@ -150,3 +150,42 @@ def test_hidden_and_empty_files(spark, tmp_path):
     assert [r.file_path.split("/")[-1] for r in failures.collect()] == ["empty.txt"]
     rows = genotype_text.read_genotypes(spark, good).collect()
     assert sorted((r.file_path.split("/")[-1], r.rsid) for r in rows) == [("_h.txt", "rs1"), ("a.txt", "rs2")]
+
+
+def test_heads_are_short_and_enough(spark, tmp_path):
+    """What is read of each file's beginning gives the rows that all lines give."""
+    texts = {
+        "tab.txt": "# rsid\tchr\tpos\tgenotype\n" + "".join(f"rs{k}\t1\t{k}\tAA\n" for k in range(30_000)), "a b é.txt": "rs1,1,5,AA\n", "_hidden.txt": "## id\tchrom\tposition\tcall\n\nrs1\t1\t7\tAG\n", "none.txt": "\n \n# x\n",
+        "late.txt": "\n" * 5000 + "// marker\tchrom\tpos\tgt\nrs1\t1\t5\tAA\n", "bare.txt": "one\n" * 3000 + "rs1\t1\t5\tAA\n", "edge.txt": "x\n" * 2047 + "rs1,1,5,AA\n", "over.txt": "x\n" * 2048 + "rs1,1,5,AA\n",
+        "thin.txt": "\u2003\n\u2003rs1\u20031 5 AA\u2003\n", "last.txt": "rs1\t1\t5\tAA", "empty.txt": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    paths = [str(tmp_path / name) for name in texts]
+    heads = genotype_text.read_heads(spark, paths)
+    sizes = {r.file_path.rsplit("/", 1)[1]: r["count"] for r in heads.groupBy("file_path").count().collect()}
+    assert sizes["tab.txt"] == 2 and sizes["late.txt"] == 5002 and sizes["bare.txt"] == 2048 and sizes["edge.txt"] == 2048 and sizes["over.txt"] == 2048 and "empty.txt" not in sizes
+    shown = [p for p in paths if "_hidden" not in p]
+    lines = genotype_text.read_lines(spark, shown)
+    named = heads.join(lines, ["file_path", "line_no"]).select(heads["value"].alias("a"), lines["value"].alias("b"))
+    assert named.count() == sum(n for f, n in sizes.items() if f != "_hidden.txt") and named.where("a <> b").isEmpty()
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(genotype_text.parse_lines(lines, genotype_text.read_heads(spark, shown))) == rows(genotype_text.parse_lines(lines))
+    whole = genotype_text.read_genotypes(spark, paths)
+    assert {r.position for r in whole.where("file_path like '%_hidden.txt'").collect()} == {7} and whole.where("outcome = 'parsed'").count() == 30_005
+    plan = genotype_text.parse_lines(genotype_text.read_lines(spark, shown), genotype_text.read_heads(spark, shown))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 2 and "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_lines_of_many_splits_are_numbered(spark, tmp_path):
+    text = "".join(f"line {k} " + "x" * (k % 50) + "\n" for k in range(4000))
+    for name in ("one.txt", "two.txt"):
+        (tmp_path / name).write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        lines = genotype_text.read_lines(spark, [str(tmp_path / "one.txt"), str(tmp_path / "two.txt")])
+        assert lines.select("file_path", "line_no").distinct().count() == 8000
+        assert lines.where("value not like concat('line ', line_no, ' %')").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
