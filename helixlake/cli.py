@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 
 from pyspark.sql import functions as F
 
@@ -13,8 +12,15 @@ from helixlake.sinks import genotype_files, reports
 from helixlake.sources import bgzf, files, genotype_text, tables
 
 
+def needed(spark, *paths):
+    """Inputs must be there, on whatever file system."""
+    for path in paths:
+        if not storage.exists(spark, path):
+            raise FileNotFoundError(path)
+
+
 def genostats(spark, a):
-    paths, failures = files.split_failures(spark, files.discover(a.input, a.max_files))
+    paths, failures = files.split_failures(spark, files.discover(spark, a.input, a.max_files))
     kept = store.Store(spark, a.sqlite)
     if a.skip_recorded_files:
         names = spark.createDataFrame([(files.metadata_name(spark, p), p) for p in paths], "file_path string, path string")
@@ -34,8 +40,7 @@ def genostats(spark, a):
 
 
 def reference_load(spark, a):
-    if not os.path.exists(a.lookup):
-        raise FileNotFoundError(a.lookup)
+    needed(spark, a.lookup)
     counts = store.Store(spark, a.sqlite).load_lookup(tables.read_lookup_csv(spark, a.lookup))
     print(f"imported {counts['imported']} rows, skipped {counts['skipped']}")
 
@@ -60,9 +65,7 @@ def make_synthetic(spark, a):
 
 
 def extract(spark, a):
-    for path in (a.input, a.vcf):
-        if not os.path.exists(path):
-            raise FileNotFoundError(path)
+    needed(spark, a.input, a.vcf)
     rows = tables.marker_rows(genotype_text.read_lines(spark, [a.input]), a.limit)
     # What the queries cannot meet is not read, but every contig of the file is known.
     if tables.is_blocked(a.vcf) and shared_files.exists(f"{a.vcf}.tbi"):
@@ -81,8 +84,7 @@ def extract(spark, a):
 
 
 def generate(spark, a):
-    if not os.path.exists(a.lookup):
-        raise FileNotFoundError(a.lookup)
+    needed(spark, a.lookup)
     synthetic.check_arguments(a.output, alt_frequency=a.alt_frequency)
     rows = tables.exact_rows(tables.read_lookup_csv(spark, a.lookup))
     # The rows keep the order and the repetitions of the lookup: its place stands for the position in the sort.
@@ -96,9 +98,7 @@ def generate(spark, a):
 
 
 def compare(spark, a):
-    for path in (a.baseline, a.candidate):
-        if not os.path.exists(path):
-            raise FileNotFoundError(path)
+    needed(spark, a.baseline, a.candidate)
     sides = [tables.genotype_map(genotype_text.read_lines(spark, [p])) for p in (a.baseline, a.candidate)]
     print(reports.diff_report(diff.compare(*sides), a.max_diffs))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import secrets
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.functions import draws
@@ -33,15 +33,15 @@ def check_arguments(template: str, count: int = 1, alt_frequency: float = 0.01,
 
 def file_plans(spark: SparkSession, template: str, count: int = 1, seed: int = 0, id_min: int = 100_000, id_max: int = 999_999, year: int = 2025,
                month_min: int = 1, month_max: int = 12, day_min: int = 1, day_max: int = 28, date_format: str = "%m-%d-%Y") -> DataFrame:
-    """file_idx, id, month, day, path, seed of each file. Ids are distinct: the range in the order of a hash. A day that a month lacks is an error."""
+    """file_idx, id, month, day, path, seed of each file. Ids are distinct: a keyed permutation of the range. A day that a month lacks is an error."""
     files = spark.range(count).select(F.col("id").alias("file_idx"))
     none = F.lit("")
     pick = lambda low, high, stream: (F.lit(low) + draws.draw(seed, F.col("file_idx"), none, stream) % (high - low + 1)).cast("int")
     files = files.withColumn("month", pick(month_min, month_max, "month")).withColumn("day", pick(day_min, day_max, "day"))
-    order = Window.orderBy("h", "id")
-    ids = spark.range(id_min, id_max + 1).withColumn("h", draws.draw(seed, F.lit("id"), F.col("id"), "id")).orderBy("h", "id").limit(count)
-    ids = ids.select(F.col("id").cast("int").alias("id"), (F.row_number().over(order) - 1).cast("bigint").alias("file_idx"))
-    plans = files.join(ids, "file_idx", "left").withColumn("date", F.date_format(F.make_date(F.lit(year), "month", "day"), date_pattern(date_format)))
+    # Files beyond the range, which check_arguments refuses where ids are shown, have none.
+    size = id_max - id_min + 1
+    own = F.when(F.col("file_idx") < size, (F.lit(id_min) + draws.permuted(F.col("file_idx"), size, seed, "id")).cast("int"))
+    plans = files.withColumn("id", own).withColumn("date", F.date_format(F.make_date(F.lit(year), "month", "day"), date_pattern(date_format)))
     path = fill_template(template, F.col("file_idx"), F.col("id"), F.col("date"), F.col("month"), F.col("day"), F.lit(year))
     return plans.select("file_idx", "id", "month", "day", path.alias("path"), (F.lit(seed) + F.col("file_idx")).alias("seed"))
 

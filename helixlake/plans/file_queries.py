@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import functions as F
 
 from helixlake import storage
@@ -122,23 +118,35 @@ def manifest_merge(spark, sf_dir):
 # --- genotype text ----------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT * EXCLUDE (file_path) REPLACE (row_number() OVER (ORDER BY line_no) AS line_no) FROM ({PARSED}) AS p WHERE file_path = '1-URGENT'")
+@query(f"SELECT left(file_path, 1) AS file, * EXCLUDE (file_path) REPLACE (row_number() OVER (PARTITION BY file_path ORDER BY line_no) + CASE WHEN file_path LIKE '5%' THEN 1 ELSE 0 END AS line_no) FROM ({PARSED}) AS p")
 def genotype_file_rows(spark, sf_dir):
-    """A tab file with a header, written and parsed."""
-    calls = spark_sql(spark, sf_dir, base.CALLS).where("file_path = '1-URGENT'")
-    path = _text(spark, calls.withColumn("line", F.concat_ws("\t", "rsid", "chromosome", "pos", "a1", "a2")), ["line_no"], "rsid\tchr\tpos\tallele1\tallele2\n")
-    return genotype_text.read_genotypes(spark, [path]).select("line_no", "rsid", "chromosome", "position", "allele1", "allele2", "outcome")
+    """All orders in five files, written and parsed: tabs and commas, headers in the first line, in a comment, in another order."""
+    calls, paths = spark_sql(spark, sf_dir, base.CALLS), []
+    tabs, quoted = F.concat_ws("\t", "rsid", "chromosome", "pos", "a1", "a2"), F.concat_ws(",", *[F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in ("rsid", "a2", "pos", "chromosome", "a1")])
+    heads = {"1-URGENT": (tabs, "rsid\tchr\tpos\tallele1\tallele2\n"), "2-HIGH": (quoted, "Marker,Allele_B,Coordinate,CHROM,allele_a\n"), "3-MEDIUM": (tabs, "## SNP\tchrom\tBase Pair\tAllele1 - Top\tallele2\n"),
+             "4-NOT SPECIFIED": (tabs, "// id\tchromosome\tposition\tallele1\tallele2\n"), "5-LOW": (quoted, "# written for a test\nname,alleleb,pos,chr,allelea\n")}
+    for name, (line, head) in heads.items():
+        path = f"{storage.new_path(spark, 'query')}/{name[0]}.txt"
+        storage.write_text_file(calls.where(F.col("file_path") == name).withColumn("line", line).orderBy("line_no").select("line"), path, head)
+        paths.append(path)
+    rows = genotype_text.read_genotypes(spark, paths).withColumn("file", F.regexp_extract("file_path", "([0-9])[.]txt$", 1))
+    return rows.select("file", "line_no", "rsid", "chromosome", "position", "allele1", "allele2", "outcome")
+
+
+LATE = "SELECT r_regionkey, 2046 + r_regionkey AS blank, p_partkey, row_number() OVER (PARTITION BY r_regionkey ORDER BY p_partkey) - 1 AS k FROM {region}, {part}"
 
 
-@query("""SELECT f AS file_path, n AS line_no, CASE f WHEN 'near' THEN 'rs' || n ELSE 'rs' || n || ',1,' || n || ',AA,more' END AS rsid, CASE f WHEN 'near' THEN '1' END AS chromosome, CASE f WHEN 'near' THEN n END AS position,
-  CASE f WHEN 'near' THEN 'AA' END AS genotype, CASE f WHEN 'near' THEN 'parsed' ELSE 'skipped' END AS outcome FROM (SELECT unnest(range(2100)) AS n) AS r, (VALUES ('near'), ('far')) AS v(f) WHERE n >= CASE f WHEN 'near' THEN 2047 ELSE 2048 END""")
+@query(f"""SELECT CAST(r_regionkey AS VARCHAR) AS file, blank + k AS line_no, CASE WHEN blank < 2048 THEN 'rs' || p_partkey ELSE 'rs' || p_partkey || ',1,' || p_partkey || ',AA,more' END AS rsid, CASE WHEN blank < 2048 THEN '1' END AS chromosome,
+  CASE WHEN blank < 2048 THEN p_partkey END AS position, CASE WHEN blank < 2048 THEN 'AA' END AS genotype, CASE WHEN blank < 2048 THEN 'parsed' ELSE 'skipped' END AS outcome FROM ({LATE}) AS r""")
 def late_first_lines(spark, sf_dir):
-    """Blank lines, and a first line that is the last or the first beyond those that show the delimiter; surplus fields."""
-    lines = spark.range(2100).select(F.explode(F.array(F.lit("near"), F.lit("far"))).alias("file_path"), F.col("id").alias("line_no"))
-    text = F.concat(F.lit("rs"), F.col("line_no"), F.lit(",1,"), F.col("line_no"), F.lit(",AA,more"))
-    first = F.when(F.col("file_path") == "near", 2047).otherwise(2048)
-    lines = lines.withColumn("value", F.when(F.col("line_no") >= first, text).otherwise(F.when(F.col("line_no") % 2 == 0, "").otherwise(" \t ")))
-    return genotype_text.parse_lines(lines).select("file_path", "line_no", "rsid", "chromosome", "position", "genotype", "outcome")
+    """All parts in a file for each region, behind blank lines: the first line is the last, or beyond the last, that shows the delimiter; surplus fields."""
+    paths = []
+    for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey").collect():
+        lines = spark_sql(spark, sf_dir, "SELECT p_partkey, concat('rs', p_partkey, ',1,', p_partkey, ',AA,more') AS line FROM {part}").orderBy("p_partkey")
+        paths.append(f"{storage.new_path(spark, 'query')}/{r[0]}.txt")
+        storage.write_text_file(lines.select("line"), paths[-1], "".join("\n" if k % 2 else " \t \n" for k in range(2046 + r[0])))
+    rows = genotype_text.read_genotypes(spark, paths).withColumn("file", F.regexp_extract("file_path", "([0-9]+)[.]txt$", 1))
+    return rows.select("file", "line_no", "rsid", "chromosome", "position", "genotype", "outcome")
 
 
 MARKERS = """SELECT p_partkey AS n, CASE WHEN p_partkey % 7 = 0 THEN concat('#rs', CAST(p_partkey AS VARCHAR(20)), chr(9), '1', chr(9), '5') WHEN p_partkey % 11 = 0 THEN concat('rs', CAST(p_partkey AS VARCHAR(20)), chr(9), '1')
@@ -220,10 +228,10 @@ def summary_lists(spark, sf_dir):
   FROM ({queries.ORACLE_SQL['per_file_stats']}) AS s""")
 def summary_json_file(spark, sf_dir):
     """The counts of parsed files, through the summary's file."""
-    path = f"{tempfile.mkdtemp(prefix='helixlake-')}/s/summary.json"
+    path = _path(spark, "summary.json")
     reports.write_summary_json(path, summary.summary(spark_sql(spark, sf_dir, base.FORMATS), queries.refs(spark, sf_dir), "p", QUERIES["per_file_stats"](spark, sf_dir)))
     counts = "files_processed long, total_variants long, skipped_rows long, unique_rsids long"
-    return spark.createDataFrame([(Path(path).read_text(),)], "text string").select(F.from_json("text", counts).alias("s")).select("s.*")
+    return spark.createDataFrame([(storage.read_text(spark, path),)], "text string").select(F.from_json("text", counts).alias("s")).select("s.*")
 
 
 @query(f"""WITH d AS ({queries.DIFF}), b AS ({base.BASELINE}), c AS ({base.CANDIDATE}), n AS (SELECT count(*) FILTER (WHERE change <> 'added') AS b, count(*) FILTER (WHERE change <> 'missing') AS c, count(*) FILTER (WHERE change = 'missing') AS m,
@@ -264,17 +272,41 @@ def synthetic_totals(spark, sf_dir):
 
 # --- discovery --------------------------------------------------------------------------------------------------------
 
-
-@query("""SELECT * FROM (VALUES (0, '.h.txt', ''), (1, 'a.tsv', ''), (2, 'b.TXT', ''), (3, 'd', ''), (4, 'empty.txt', 'file is empty')) AS v(place, name, error)""")
+#: A file for each nation, in a folder for each region: candidates by their endings, hidden names, others, and empty ones.
+NATION_FILES = """SELECT n_nationkey, n_regionkey, concat(CASE WHEN n_nationkey % 6 = 4 THEN '.h' WHEN n_nationkey % 6 = 5 THEN '_' ELSE 'f' END, CAST(100 + n_nationkey AS VARCHAR(9)),
+  CASE n_nationkey % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.TSV' WHEN 2 THEN '' WHEN 3 THEN '.vcf' ELSE '.csv' END) AS name, n_nationkey % 7 = 3 AS empty FROM {nation}"""
+EMPTY = "(empty OR n_nationkey NOT IN (SELECT c_nationkey FROM {customer}))"
+CANDIDATES = f"SELECT *, row_number() OVER (ORDER BY n_regionkey, name) - 1 AS place FROM ({NATION_FILES}) AS f WHERE n_nationkey % 5 <> 3"
+
+
+def _nation_folders(spark, sf_dir):
+    """Each nation's customers, written by tasks into the folder of its region."""
+    home, parts = storage.new_path(spark, "query"), storage.new_path(spark, "parts")
+    lines = spark_sql(spark, sf_dir, "SELECT c_nationkey, concat('rs', c_custkey, chr(9), 1, chr(9), c_custkey, chr(9), 'AA') AS line FROM {customer}")
+    lines.repartition("c_nationkey").write.partitionBy("c_nationkey").text(parts)
+    for r in spark_sql(spark, sf_dir, NATION_FILES).collect():
+        own, path = f"{parts}/c_nationkey={r['n_nationkey']}", f"{home}/{r['n_regionkey']}/{r['name']}"
+        written = storage.names(spark, own)
+        if r["empty"] or not written:
+            storage.write_bytes(spark, path, b"")
+        else:
+            storage.move(spark, f"{own}/{written[0]}", path)
+    return home
+
+
+@query(f"SELECT CAST(place AS INTEGER) AS place, CAST(n_regionkey AS VARCHAR) AS folder, name, CASE WHEN {EMPTY} THEN 'file is empty' ELSE '' END AS error FROM ({CANDIDATES}) AS c WHERE place < 18")
 def discovered_files(spark, sf_dir):
-    """Candidates of a folder in the order of their paths, the first five of six, and those that cannot be read."""
-    home = Path(tempfile.mkdtemp(prefix="helixlake-"))
-    (home / "sub").mkdir()
-    for name in ("b.TXT", "a.tsv", "c.vcf", "d", "sub/e.csv", ".h.txt", "empty.txt"):
-        (home / name).write_text("" if name == "empty.txt" else "rs1\t1\t5\tAA\n")
-    os.symlink(home / "a.tsv", home / "link.txt")  # the file that it names, once
-    found = files.discover([home], 5)
+    """Candidates of folders in the order of their paths, the first eighteen, and those that cannot be read."""
+    found = files.discover(spark, [_nation_folders(spark, sf_dir)], 18)
     _, failures = files.split_failures(spark, found)
-    paths = spark.createDataFrame([(k, p, os.path.basename(p)) for k, p in enumerate(found)], "place int, file_path string, name string")
-    return paths.join(failures, "file_path", "left").select("place", "name", F.coalesce("error", F.lit("")).alias("error"))
+    paths = spark.createDataFrame([(k, p, *p.split("/")[-2:]) for k, p in enumerate(found)], "place int, file_path string, folder string, name string")
+    return files.with_errors(paths, failures).select("place", "folder", "name", "error")
+
 
+@query(f"""SELECT f.name, CAST(count(*) AS BIGINT) AS variant_count, CAST(0 AS BIGINT) AS skipped_rows FROM ({NATION_FILES}) AS f JOIN {{customer}} ON c_nationkey = f.n_nationkey
+  WHERE f.n_nationkey % 5 <> 3 AND NOT f.empty GROUP BY f.name""")
+def discovered_file_stats(spark, sf_dir):
+    """Every readable candidate parsed and counted, those with hidden names included."""
+    good, _ = files.split_failures(spark, files.discover(spark, [_nation_folders(spark, sf_dir)]))
+    stats = genotype_text.file_stats(genotype_text.read_genotypes(spark, good))
+    return stats.select(F.substring_index("file_path", "/", -1).alias("name"), "variant_count", "skipped_rows")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixlake import storage
 from helixlake.functions.contigs import CONTIGS, contig_of
 from helixlake.functions.text import html_escape, parse_long, parse_python_int, parse_rsid, split_quoted, strip_inline_comment
 from helixlake.functions.variants import genotype_combinations, split_alternates, synthesize_genotype, variant_kind
@@ -194,15 +195,17 @@ def raw_line_parse_comma(spark, sf_dir):
     return _parsed(_with_header(lines, 'Marker,"Allele 2",remark,Coordinate,CHROM,"Allele_A"'))
 
 
-SPACED = f"""SELECT file_path, line_no, rsid, chromosome, CAST(pos AS BIGINT) AS position, a1 || a2 AS genotype FROM ({CALL_ROWS}) AS p WHERE outcome = 'parsed'"""
+#: Without a header, the first line's number of fields is that of the columns; empty fields close up.
+SPACED = f"""SELECT file_path, line_no, f[1] AS rsid, CASE WHEN width > 1 THEN f[2] END AS chromosome, CASE WHEN width > 2 AND regexp_matches(f[3], '^[+]?[0-9]{{1,18}}$') THEN CAST(f[3] AS BIGINT) END AS position, CASE WHEN width > 3 THEN f[4] END AS genotype,
+  CASE WHEN width > 3 AND len(f) > 3 AND regexp_matches(f[3], '^[+]?[0-9]{{1,18}}$') THEN 'parsed' ELSE 'skipped' END AS outcome
+  FROM (SELECT *, arg_min(len(f), line_no) OVER (PARTITION BY file_path) AS width FROM (SELECT file_path, line_no, list_filter([rsid, chromosome, pos, a1 || a2], lambda x: x <> '') AS f FROM ({base.CALLS}) AS c) AS g) AS h"""
 
 
 @query(SPACED)
 def raw_line_parse_space(spark, sf_dir):
-    """No header, any white space between fields; lines with an empty field would shift and are left out by their content."""
-    calls = _calls(spark, sf_dir).where("rsid <> '' AND chromosome <> '' AND (a1 <> '' OR a2 <> '')")
-    lines = calls.select("file_path", "line_no", F.concat(F.lit("  "), F.col("rsid"), F.lit("   "), F.col("chromosome"), F.lit(" "), F.col("pos"), F.lit("  "), F.concat("a1", "a2")).alias("value"))
-    return genotype_text.parse_lines(lines).where("outcome = 'parsed'").select("file_path", "line_no", "rsid", "chromosome", "position", "genotype")
+    """No header, any white space between fields; where a field is empty, those behind it move up."""
+    lines = _calls(spark, sf_dir).select("file_path", "line_no", F.concat(F.lit("  "), F.col("rsid"), F.lit("   "), F.col("chromosome"), F.lit(" "), F.col("pos"), F.lit("  "), F.concat("a1", "a2")).alias("value"))
+    return genotype_text.parse_lines(lines).select("file_path", "line_no", "rsid", "chromosome", "position", "genotype", "outcome")
 
 
 @query(f"SELECT file_path, count(*) FILTER (WHERE outcome = 'parsed') AS variant_count, count(*) FILTER (WHERE outcome = 'skipped') AS skipped_rows FROM ({CALL_ROWS}) AS p GROUP BY file_path")
@@ -401,17 +404,41 @@ def synthetic_file_counts(spark, sf_dir):
     return synthetic.file_counts(_synthetic(spark, sf_dir, _specs(spark)))
 
 
-@query(f"SELECT rsid, chromosome, position, array_to_string(options, ' ') AS options FROM {OVERLAYS}")
-def overlay_expand(spark, sf_dir):
-    return _specs(spark).select("rsid", "chromosome", "position", F.array_join("options", " ").alias("options"))
-
-
 def _plan(stream: str, low: int, high: int) -> str:
     return f"CAST({low} + CAST('0x' || substr(md5('7:' || file_idx || '::{stream}'), 1, 8) AS BIGINT) % {high - low + 1} AS INTEGER)"
 
 
-@query(f"""SELECT f.file_idx, id, month, day, printf('out/%04d_%06d_%02d-%02d-2025_%02d_%02d_2025.txt', f.file_idx + 1, id, month, day, month, day) AS path, 7 + f.file_idx AS seed
-  FROM (SELECT file_idx, {_plan('month', 1, 12)} AS month, {_plan('day', 1, 28)} AS day FROM (SELECT unnest(range(40)) AS file_idx) AS g) AS f
-  JOIN (SELECT CAST(id AS INTEGER) AS id, row_number() OVER (ORDER BY substr(md5('7:id:' || id || ':id'), 1, 8), id) - 1 AS file_idx FROM (SELECT unnest(range(500, 1000)) AS id) AS h) AS i ON f.file_idx = i.file_idx""")
+def _permuted(size: str) -> str:
+    """file_idx and id, its place in the permutation, for files (file_idx) of as many ids as size says; as helixlake.functions.draws has it, by recursion."""
+    mixed = "xor(l, CAST('0x' || substr(md5('7:' || round || ':' || r || ':id'), 1, 8) AS BIGINT) & (one - 1))"
+    return f"""(WITH RECURSIVE n AS (SELECT {size} AS size), k AS (SELECT size, CAST(greatest(1, ceil(ceil(log2(size)) / 2)) AS INTEGER) AS half FROM n), b AS (SELECT size, CAST(pow(2, half) AS BIGINT) AS one FROM k),
+    steps AS (SELECT file_idx, file_idx // one AS l, file_idx % one AS r, 0 AS round, size, one FROM files, b
+      UNION ALL SELECT file_idx, CASE WHEN round = 4 THEN l ELSE r END, CASE WHEN round = 4 THEN r ELSE {mixed} END, (round + 1) % 5, size, one FROM steps WHERE round < 4 OR l * one + r >= size)
+    SELECT file_idx, l * one + r AS id FROM steps WHERE round = 4 AND l * one + r < size)"""
+
+
+@query(f"""WITH files AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS file_idx FROM {{customer}}), plans AS (SELECT file_idx, {_plan('month', 1, 12)} AS month, {_plan('day', 1, 28)} AS day FROM files)
+SELECT f.file_idx, CAST(500 + i.id AS INTEGER) AS id, month, day, printf('out/%04d_%06d_%02d-%02d-2025_%02d_%02d_2025.txt', f.file_idx + 1, 500 + i.id, month, day, month, day) AS path, 7 + f.file_idx AS seed
+  FROM plans AS f JOIN {_permuted('(SELECT 2 * count(*) - 3 FROM {customer})')} AS i ON f.file_idx = i.file_idx""")
 def template_paths(spark, sf_dir):
-    return synthetic.file_plans(spark, "out/{index}_{id}_{date}_{month}_{day}_{year}.txt", 40, 7, 500, 999)
+    """A file for each customer, with distinct ids of a range that is nearly twice as large."""
+    count = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    return synthetic.file_plans(spark, "out/{index}_{id}_{date}_{month}_{day}_{year}.txt", count, 7, 500, 500 + 2 * count - 4)
+
+
+OVERLAY_GROUPS = """SELECT s_nationkey, s_suppkey, concat('rs', CAST(s_suppkey + 7 AS VARCHAR(20))) AS rsid, CAST(s_nationkey % 22 + 1 AS VARCHAR(9)) AS chromosome, s_suppkey * 3 AS position, s_suppkey % 4 AS form FROM {supplier}"""
+
+
+@query(f"""SELECT CAST(s_nationkey AS VARCHAR) AS overlay_group, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS n, s_suppkey + 7 AS rsid, chromosome, position,
+  CASE form WHEN 0 THEN 'AT TT' WHEN 1 THEN 'AA AC AG CC CG GG' WHEN 2 THEN 'DD DI II' ELSE 'TT' END AS options FROM ({OVERLAY_GROUPS}) AS g""")
+def overlay_expand(spark, sf_dir):
+    """An overlay file with a group for each nation and a variant for each supplier: given genotypes, one or two alternates, none."""
+    text = lambda x: F.array(*map(F.lit, x))
+    none, form = F.lit(None).cast("array<string>"), F.col("form")
+    variant = F.struct("rsid", "chromosome", "position", F.when(form == 0, text(["AT", "TT"])).otherwise(none).alias("genotypes"), F.when(form == 1, "A").when(form == 2, "I").when(form == 3, "T").alias("reference"),
+                       F.when(form == 1, text(["C", "G"])).when(form == 2, text(["D"])).otherwise(none).alias("alternates"))
+    groups = spark_sql(spark, sf_dir, OVERLAY_GROUPS).groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", variant.alias("v")))).alias("l"))
+    entry = F.struct(F.col("s_nationkey").cast("string"), F.struct(F.transform("l", lambda x: x["v"]).alias("variants")))
+    path = f"{storage.new_path(spark, 'query')}/overlay.json"
+    storage.write_text_file(groups.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).select(F.to_json("m").alias("line")), path)
+    return overlay.checked_specs(tables.overlay_variants(spark, path)).select(F.col("group").alias("overlay_group"), "n", "rsid", "chromosome", "position", F.array_join("options", " ").alias("options"))

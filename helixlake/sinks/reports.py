@@ -51,8 +51,7 @@ def write_html_report(path: str, coverage: DataFrame, counts: dict, source: str,
 
 def write_summary_json(path: str, summary: DataFrame) -> None:
     text = summary.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"})).first()[0]
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text + "\n")
+    storage.write_bytes(summary.sparkSession, str(path), f"{text}\n".encode())
 
 
 def csv_line(columns: list[str]):

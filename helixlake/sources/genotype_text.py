@@ -156,9 +156,9 @@ def file_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file_path").agg(count("parsed").alias("variant_count"), count("skipped").alias("skipped_rows"))
 
 
-def read_genotypes(spark: SparkSession, paths: list[str], staging: str | None = None) -> DataFrame:
-    """Parsed rows of the files. staging: a folder that executors see, for copies of files whose names Spark hides."""
-    shown = visible(paths, staging)
+def read_genotypes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Parsed rows of the files; of those whose names Spark hides copies in the shared folder are read."""
+    shown = visible(spark, paths)
     lines, heads = read_lines(spark, list(shown.values())), read_heads(spark, list(shown.values()))
     renamed = [(metadata_name(spark, to), metadata_name(spark, p)) for p, to in shown.items() if to != p]
     if renamed:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from helixlake.functions.bins import level_of
 from helixlake.functions.text import parse_python_int, trim
 from helixlake.functions.variants import split_alternates
 from helixlake.sources import bgzf
-from helixlake.storage import exists, names, new_path
+from helixlake.storage import exists, names, new_path, read_text
 
 
 def read_lookup_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -155,7 +154,7 @@ def overlay_variants(spark: SparkSession, path: str | None = None, text: str | N
     if path and text:
         raise ValueError("give the overlay as a file or as text, not both")
     if path:
-        text = Path(path).read_text()
+        text = read_text(spark, path)
     raw = spark.createDataFrame([(text or "{}",)], "text string").select(F.from_json("text", schemas.OVERLAY, {"mode": "FAILFAST"}).alias("m"))
     groups = raw.select(F.explode("m").alias("group", "body"))
     return groups.select("group", F.posexplode("body.variants").alias("n", "v")).select("group", "n", "v.*")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixlake import cli
+from helixlake.functions import draws
 from helixlake.functions.variants import genotype_combinations, split_alternates, synthesize_genotype, variant_kind
 from helixlake.operators import diff, lookup, overlay, store, summary, synthetic
 from helixlake.sinks import genotype_files, reports
@@ -151,6 +152,12 @@ def test_arguments_and_plans(spark):
         synthetic.file_plans(spark, "{date}", 1, 1, year=2025, month_min=2, month_max=2, day_min=30, day_max=30).collect()
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 16, 17, 1000, 4097])
+def test_permutations_take_each_place_once(spark, size):
+    made = lambda seed: [r[0] for r in spark.range(size).orderBy("id").select(draws.permuted(F.col("id"), size, seed, "id")).collect()]
+    assert sorted(made(1)) == list(range(size)) and (size < 16 or made(1) != made(2) != list(range(size)))
+
+
 def test_command_line(spark, tmp_path, capsys):
     run = lambda *a: cli.main([str(x) for x in a], spark)
     home, lookup_csv = tmp_path / "store", tmp_path / "l.csv"

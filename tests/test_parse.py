@@ -129,24 +129,28 @@ def test_line_numbers_over_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_discovery(tmp_path):
+def test_discovery(spark, tmp_path):
     for n in ("a.txt", "B.TSV", "c.csv", "noext", "_h.txt", ".d.txt", "e.gz"):
         (tmp_path / n).write_text("x")
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "z.txt").write_text("x")
-    found = [p.split("/")[-1] for p in files.discover([tmp_path, tmp_path / "a.txt"])]
+    found = [p.split("/")[-1] for p in files.discover(spark, [tmp_path, tmp_path / "a.txt"])]
     assert sorted(found) == sorted(["a.txt", "B.TSV", "c.csv", "noext", "_h.txt", ".d.txt", "z.txt"])
-    assert files.discover([tmp_path / "e.gz"]) and len(files.discover([tmp_path], 2)) == 2
+    (tmp_path / "deep" / "er").mkdir()
+    (tmp_path / "deep" / "er" / "y").write_text("x")
+    (tmp_path / "link.txt").symlink_to(tmp_path / "a.txt")
+    assert sorted(p.split("/")[-1] for p in files.discover(spark, [tmp_path])) == sorted([*found, "y"]) and files.discover(spark, [f"file://{tmp_path}/deep"])[0] == str(tmp_path / "deep" / "er" / "y")
+    assert files.discover(spark, [tmp_path / "e.gz"]) and len(files.discover(spark, [tmp_path], 2)) == 2
     for bad in ([], [tmp_path / "none"]):
         with pytest.raises((ValueError, FileNotFoundError)):
-            files.discover(bad)
+            files.discover(spark, bad)
 
 
 def test_hidden_and_empty_files(spark, tmp_path):
     (tmp_path / "_h.txt").write_text("rs1 1 5 AA\n")
     (tmp_path / "a.txt").write_text("rs2 1 5 AA\n")
     (tmp_path / "empty.txt").write_text("")
-    good, failures = files.split_failures(spark, files.discover([tmp_path]))
+    good, failures = files.split_failures(spark, files.discover(spark, [tmp_path]))
     assert [r.file_path.split("/")[-1] for r in failures.collect()] == ["empty.txt"]
     rows = genotype_text.read_genotypes(spark, good).collect()
     assert sorted((r.file_path.split("/")[-1], r.rsid) for r in rows) == [("_h.txt", "rs1"), ("a.txt", "rs2")]
