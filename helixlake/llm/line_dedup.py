@@ -3,8 +3,8 @@
 Texts stay where they are: every line becomes a row of a 128-bit hash of its key, its document and its position.
 The rows are range-partitioned by (hash, document), so that a line found in a third of all documents is spread over
 many partitions, and sorted within them by document and position. A stream over each partition sees the occurrences of
-a key in order and holds back only those of its first min_docs - 1 documents. A key that reaches over a partition's
-border is decided afterwards from the counts at the borders, two rows a partition. What comes back to a document is a
+a key in order; it holds a batch of rows, and of the key at the batch's end its first and last row. Rows of a key that is undecided there, or at the
+border of a partition, are told to be open, and are decided afterwards from the counts of such keys, a few rows a partition and batch. What comes back to a document is a
 zlib-compressed bitmap of the lines it keeps.
 
 A document is a row identified by (id, text). Defined results: a null or empty text is one empty line; repeated rows
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixlake.llm.common import SPACES, ascii_lower, remove, shuffle_partitions, stored, table, written
+from helixlake.llm.common import SPACES, ascii_lower, column, remove, shuffle_partitions, stored, table, unused, written
 
 #: What a row of the stream says: a line to drop; a line of a key undecided at a border; what a border key has here.
 DROP, OPEN, BORDER = 0, 1, 2
@@ -60,61 +60,56 @@ def _stream(min_docs: int, keep_first: bool, id_type: pa.DataType):
             out[1:] |= code[1:] != code[:-1]
         return out
 
-    def closed(run: pa.Table, docs: int, border: bool):
-        """What to say of a whole run, or the held-back start of one, that ends here with docs documents in all."""
-        if border:
-            yield emit(BORDER, run.slice(0, 1), docs)
-        rest = run.slice(1) if keep_first else run
-        if docs >= min_docs:
-            yield emit(DROP, rest)
-        elif border:
-            yield emit(OPEN, rest)
-
     def function(batches):
-        held: pa.Table | None = None  # rows of the run at the end of what was read; only its start once it is decided
-        held_docs, first_run, last = 0, True, None
+        # Of the run that the rows read so far end with: its key, documents, first and last row, and whether a border or rows already sent need its count.
+        key, docs, first, last, open_ = None, 0, None, None, True
+
+        def ended(border: bool):
+            if key is not None and (border or open_):
+                yield emit(BORDER, first, docs)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch])
-            if held is not None and held_docs >= min_docs:
-                # The run is decided: what continues it goes out at once.
-                same = np.asarray((rows.column("h1").to_numpy() == last[0]) & (rows.column("h2").to_numpy() == last[1]))
-                n = len(same) if same.all() else int(np.argmin(same))
-                if n:
-                    doc_new = changed(pa.concat_tables([last[2], rows.slice(0, n)]), ("id", "th"))[1:]
-                    held_docs += int(doc_new.sum())
-                    yield emit(DROP, rows.slice(0, n))
-                    last = (*last[:2], rows.slice(n - 1, 1))
-                    rows = rows.slice(n)
-                if not rows.num_rows:
-                    continue
-                yield from closed(held, held_docs, first_run)
-                held, first_run = None, False
-            elif held is not None:
-                rows = pa.concat_tables([held, rows])
-                held = None
             key_new = changed(rows, ("h1", "h2"))
             doc_new = key_new | changed(rows, ("id", "th"))
+            if key == (rows.column("h1")[0].as_py(), rows.column("h2")[0].as_py()):
+                key_new[0] = False
+                doc_new[0] = changed(pa.concat_tables([last, rows.slice(0, 1)]), ("id", "th"))[1]
             begin = np.flatnonzero(key_new)
-            docs = np.add.reduceat(doc_new.astype(np.int64), begin)
+            more = int(begin[0]) if len(begin) else rows.num_rows
+            if more:  # the run goes on
+                docs += int(doc_new[:more].sum())
+                last = rows.slice(more - 1, 1)
+                open_ |= docs < min_docs
+                yield emit(DROP if docs >= min_docs else OPEN, rows.slice(0, more))
+            if not len(begin):
+                continue
+            yield from ended(False)
             end = np.append(begin[1:], rows.num_rows)
-            if len(begin) > 1:
-                lo = 0
-                if first_run:
-                    yield from closed(rows.slice(0, int(end[0])), int(docs[0]), True)
-                    first_run, lo = False, 1
-                drop = np.repeat(docs >= min_docs, end - begin)
-                drop[: begin[lo]] = False
-                drop[begin[-1] :] = False
-                if keep_first:
-                    drop[begin] = False
-                if drop.any():
-                    yield emit(DROP, rows.filter(pa.array(drop)))
-            held, held_docs = rows.slice(int(begin[-1])), int(docs[-1])
-            last = (held.column("h1")[0].as_py(), held.column("h2")[0].as_py(), held.slice(held.num_rows - 1, 1))
-        if held is not None:
-            yield from closed(held, held_docs, True)
+            counts = np.add.reduceat(doc_new.astype(np.int64), begin)
+            begun = key is not None
+            lo = 0
+            if not begun and len(begin) > 1:  # the partition's first run may go on before it
+                yield emit(BORDER, rows.slice(0, 1), int(counts[0]))
+                rest = rows.slice(int(keep_first), int(end[0]) - int(keep_first))
+                yield emit(DROP if counts[0] >= min_docs else OPEN, rest)
+                lo = 1
+            drop = np.repeat(counts >= min_docs, end - begin)
+            drop[: begin[lo] - more] = False
+            drop[begin[-1] - more :] = False
+            if keep_first:
+                drop[begin - more] = False
+            if drop.any():
+                yield emit(DROP, rows.slice(more).filter(pa.array(drop)))
+            # What the last run has so far goes out at once, so only its ends are held.
+            at = int(begin[-1])
+            key, docs = (rows.column("h1")[at].as_py(), rows.column("h2")[at].as_py()), int(counts[-1])
+            first, last = rows.slice(at, 1), rows.slice(rows.num_rows - 1, 1)
+            open_ = docs < min_docs or (not begun and len(begin) == 1)
+            yield emit(DROP if docs >= min_docs else OPEN, rows.slice(at + int(keep_first)))
+        yield from ended(True)
 
     return function
 
@@ -180,31 +175,33 @@ def kept_sha256(text: pd.Series, keep: pd.Series) -> pd.Series:
     return pd.Series([hashlib.sha256(_kept(t, k).encode()).hexdigest() for t, k in zip(text, keep)], dtype=object)
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with their bitmaps as columns _keep and _n_dropped (null and 0: nothing is dropped)."""
-    b = bitmaps.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("keep").alias("_keep"), F.col("n_dropped").alias("_d"))
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_th"))
-    return docs.join(b, on, "left").withColumn("_n_dropped", F.coalesce("_d", F.lit(0).cast("long"))).drop("_id", "_th", "_d")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """docs with each document's bitmap and number of dropped lines (null and 0: nothing is dropped), and the names of these two columns, which docs has not."""
+    keep, dropped, key, th = (unused(docs, c) for c in ("keep", "n_dropped", "drop_id", "drop_th"))
+    b = bitmaps.select(F.col("id").alias(key), F.col("th").alias(th), F.col("keep").alias(keep), F.col("n_dropped").alias(dropped))
+    on = column(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(column(text_col)) == F.col(th))
+    joined = docs.join(b, on, "left")
+    return joined.select(*map(column, docs.columns), F.col(keep), F.coalesce(dropped, F.lit(0).cast("long")).alias(dropped)), keep, dropped
 
 
-def _changed(text_col: str) -> tuple[Column, Column]:
+def _changed(text_col: str, keep: str) -> tuple[Column, Column]:
     """Text and bitmap, for Python; of a document that keeps all lines the text stays where it is."""
-    return F.when(F.col("_keep").isNotNull(), F.col(text_col)), F.col("_keep")
+    return F.when(F.col(keep).isNotNull(), column(text_col)), F.col(keep)
 
 
 def remove_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False,
                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the kept lines as their text; all other columns as they were."""
-    joined = with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col), id_col, text_col)
-    text = F.when(F.col("_keep").isNull(), F.col(text_col)).otherwise(kept_text(*_changed(text_col)))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    joined, keep, _ = with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col), id_col, text_col)
+    text = F.when(F.col(keep).isNull(), column(text_col)).otherwise(kept_text(*_changed(text_col, keep)))
+    return joined.select(*[text.alias(c) if c == text_col else column(c) for c in docs.columns])
 
 
 def op3_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    joined = with_bitmaps(docs, keep_bitmaps(docs, min_docs=10, min_chars=1))
-    return joined.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-                         F.when(F.col("_keep").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)).otherwise(kept_sha256(*_changed("text"))).alias("kept_sha256"))
+    joined, keep, dropped = with_bitmaps(docs, keep_bitmaps(docs, min_docs=10, min_chars=1))
+    return joined.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"), F.col(dropped).alias("n_dropped"),
+                         F.when(F.col(keep).isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)).otherwise(kept_sha256(*_changed("text", keep))).alias("kept_sha256"))
 
 
 OP3_SQL = r"""

@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -127,8 +128,8 @@ def brute_lines(rows, min_docs, min_chars):
 @pytest.mark.parametrize("min_docs,min_chars", [(10, 1), (2, 1), (3, 12), (1, 0)])
 def test_line_dedup(docs, empty, min_docs, min_chars):
     want = brute_lines(docs.collect(), min_docs, min_chars)
-    out = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_docs, min_chars))
-    rows = out.select("doc_id", "text", "_n_dropped", line_dedup.kept_text("text", "_keep").alias("kept"), line_dedup.kept_sha256("text", "_keep").alias("sha")).collect()
+    out, keep, dropped = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_docs, min_chars))
+    rows = out.select("doc_id", "text", F.col(dropped).alias("_n_dropped"), line_dedup.kept_text("text", keep).alias("kept"), line_dedup.kept_sha256("text", keep).alias("sha")).collect()
     assert len(rows) == docs.count()
     for r in rows:
         drop = want[r.doc_id, r.text]
@@ -138,6 +139,57 @@ def test_line_dedup(docs, empty, min_docs, min_chars):
     assert line_dedup.remove_shared_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("records", [1, 2, 7])
+def test_line_dedup_in_small_batches(spark, records):
+    """Runs of a key that reach over many batches, in one document and in many."""
+    rows = [(k, "\n".join(["same"] * (k % 4 + 1) + [f"own {k}"] + ["pair"] * (30 if k in (3, 4) else 0) + (["few"] if k < 5 else []))) for k in range(40)]
+    rows += [(99, "once\n" * 60), (None, "same\nonce"), rows[0]]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        for least in (2, 3, 5, 6, 10):
+            want = brute_lines(table.collect(), least, 1)
+            got = line_dedup.remove_shared_lines(table, least).collect()
+            assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), "\n".join(x for x, d in zip(t.split("\n"), want[i, t]) if not d)) for i, t in rows)
+        first = line_dedup.remove_shared_lines(table.distinct(), 2, keep_first=True).collect()
+        assert sum(r.text.split("\n").count("same") for r in first) == 1 and sum(r.text.split("\n").count("pair") for r in first) == 1
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_one_document_of_one_line_takes_linear_time():
+    """Batches of one endless run: rows go out as they come in, and no more than a batch is held."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(10_000, x, np.int64)) for x in (1, 2, 3)] + [pa.array(np.arange(10_000, dtype=np.int32))] + [pa.array(np.full(10_000, x, np.int64)) for x in (5, 6)], names=["id", "th", "x", "pos", "h1", "h2"])
+
+    def feed(n):
+        for k in range(n):
+            fed[0] += 10_000
+            yield batch
+
+    seconds = []
+    for n in (40, 400):
+        fed, out, began = [0], 0, time.perf_counter()
+        for made in line_dedup._stream(10, False, pa.int64())(feed(n)):
+            out += made.num_rows
+            assert fed[0] - out <= 10_000
+        seconds.append(time.perf_counter() - began)
+        assert out == 10_000 * n + 1
+    assert seconds[1] < 30 * seconds[0] + 1
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    rows = [(k, f"shared\nown {k} " + "x" * 40 if k else "shared\n" + "word " * 9000, k, "a", 7, 1.5, "t", "m") for k in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _keep long, _id string, _th int, _d double, _n_dropped string, _key string").withColumn("_e", F.lit("e")).withColumn("KEEP", F.lit(1)).withColumn("e", F.lit(2)).withColumn("key", F.lit(3)).withColumn("n_dropped", F.lit(4))
+    out = line_dedup.remove_shared_lines(table, 10)
+    assert out.columns == table.columns and {r.text for r in out.collect()} == {r[1].split("\n")[1] for r in rows}
+    assert [tuple(r)[2:] for r in out.orderBy("doc_id").collect()] == [tuple(r)[2:] for r in table.orderBy("doc_id").collect()]
+    for made in (bpe.encode(table), bpe.encode_digests(table)):
+        assert [tuple(r)[2 : len(table.columns)] for r in made.orderBy("doc_id").collect()] == [tuple(r)[2:] for r in table.orderBy("doc_id").collect()]
+
+
 def test_line_dedup_keeps_first(docs):
     rows = docs.collect()
     out = line_dedup.remove_shared_lines(docs, 2, 1, keep_first=True).select("text").collect()
