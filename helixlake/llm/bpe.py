@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixlake.llm.common import table
+from helixlake.llm.common import column, table, unused
 
 CHUNK_CHARS, OVERLAP = 32_768, 2_048
 
@@ -127,24 +127,26 @@ def _pieces(long: DataFrame, chunk_chars: int, overlap: int) -> DataFrame:
     return rows.join(found, ["_key", "_no"]).select("_key", "_no", F.expr("substring(_chunk, _from - _at + 1, _upto - _from)").alias("_piece"))
 
 
-def _encoded(docs: DataFrame, whole, pieces, finish, chunk_chars: int, overlap: int, text_col: str) -> DataFrame:
-    """docs with the struct _e: whole makes it of a text, finish of the ids of a long text's pieces, which pieces encodes."""
+def _encoded(docs: DataFrame, whole, pieces, finish, chunk_chars: int, overlap: int, text_col: str, made: str) -> DataFrame:
+    """docs with the struct made: whole makes it of a text, finish of the ids of a long text's pieces, which pieces encodes."""
     size = F.coalesce(F.length(text_col), F.lit(0))
-    columns = [*docs.columns, "_e"]
-    short = docs.where(size <= chunk_chars).withColumn("_e", whole(F.coalesce(text_col, F.lit(""))))
-    long = docs.where(size > chunk_chars).withColumn("_key", F.md5(F.col(text_col).cast("binary")))
-    cut = _pieces(long.select("_key", F.col(text_col).alias("_text")), chunk_chars, overlap).withColumn("_ids", pieces(F.coalesce("_piece", F.lit(""))))
-    per = cut.groupBy("_key").agg(F.bool_and(F.col("_piece").isNotNull()).alias("_whole"), F.array_sort(F.collect_list(F.struct("_no", "_ids"))).alias("_list"))
-    done = per.where("_whole").select("_key", finish(F.flatten(F.transform("_list", lambda p: p["_ids"]))).alias("_e"))
-    left = long.join(per.where("not _whole").select("_key"), "_key", "left_semi").withColumn("_e", whole(text_col))
-    return short.select(*columns).unionByName(long.join(done, "_key").select(*columns)).unionByName(left.select(*columns))
+    key = unused(docs, "key")
+    columns = [*map(column, docs.columns), F.col(made)]
+    short = docs.where(size <= chunk_chars).withColumn(made, whole(F.coalesce(text_col, F.lit(""))))
+    long = docs.where(size > chunk_chars).withColumn(key, F.md5(F.col(text_col).cast("binary")))
+    cut = _pieces(long.select(F.col(key).alias("_key"), F.col(text_col).alias("_text")), chunk_chars, overlap).withColumn("_ids", pieces(F.coalesce("_piece", F.lit(""))))
+    per = cut.groupBy(F.col("_key").alias(key)).agg(F.bool_and(F.col("_piece").isNotNull()).alias("_whole"), F.array_sort(F.collect_list(F.struct("_no", "_ids"))).alias("_list"))
+    done = per.where("_whole").select(key, finish(F.flatten(F.transform("_list", lambda p: p["_ids"]))).alias(made))
+    left = long.join(per.where("not _whole").select(key), key, "left_semi").withColumn(made, whole(text_col))
+    return short.select(*columns).unionByName(long.join(done, key).select(*columns)).unionByName(left.select(*columns))
 
 
 def encode(docs: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP, text_col: str = "text") -> DataFrame:
     """docs with the column tokens, the ids of the whole text."""
     docs, ids = docs.drop("tokens"), tokens_udf(vocabulary(path))
-    out = _encoded(docs, lambda t: F.struct(ids(t).alias("tokens")), ids, lambda k: F.struct(k.alias("tokens")), chunk_chars, overlap, text_col)
-    return out.select(*docs.columns, "_e.tokens")
+    made = unused(docs, "made")
+    out = _encoded(docs, lambda t: F.struct(ids(t).alias("tokens")), ids, lambda k: F.struct(k.alias("tokens")), chunk_chars, overlap, text_col, made)
+    return out.select(*map(column, docs.columns), f"{made}.tokens")
 
 
 def decode(encoded: DataFrame, path: str | None = None, tokens_col: str = "tokens") -> DataFrame:
@@ -162,8 +164,9 @@ def decode(encoded: DataFrame, path: str | None = None, tokens_col: str = "token
 def encode_digests(docs: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP, text_col: str = "text") -> DataFrame:
     """docs with n_tokens and the SHA-256 of the ids (decimal, joined by commas) and of the bytes decoded from them."""
     docs, path = docs.drop("n_tokens", "ids_sha256", "decoded_sha256"), vocabulary(path)
-    out = _encoded(docs, text_digests_udf(path), tokens_udf(path), token_digests_udf(path), chunk_chars, overlap, text_col)
-    return out.select(*docs.columns, "_e.n_tokens", "_e.ids_sha256", "_e.decoded_sha256")
+    made = unused(docs, "made")
+    out = _encoded(docs, text_digests_udf(path), tokens_udf(path), token_digests_udf(path), chunk_chars, overlap, text_col, made)
+    return out.select(*map(column, docs.columns), *[F.col(made)[c].alias(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256")])
 
 
 def op8_byte_bpe(spark, sf_dir):
