@@ -3,8 +3,8 @@
 Sources share the tokens of the mix by weight; none gets more than max_repeats times what it has, and what it cannot
 take is shared again by weight. Targets are cut into blocks of block_tokens tokens, which go to the sources, and then
 within a source to its shards, by the highest quotients v / (2k + 1). A shard holds about rows_per_shard documents, so
-a large source has many and no sort grows with it. Within a shard the documents stand in an order that a hash of seed
-and id gives; the shard's blocks are cut along it, and its quota takes them from the front, going round again where
+a large source has many and no sort grows with it. Within a shard the documents stand in an order that a hash of seed,
+id, text and the number among equal rows gives; the shard's blocks are cut along it, and its quota takes them from the front, going round again where
 the quota exceeds what the shard has. Only the block at the end of a quota can take part of a document.
 
 Defined results: a null text has size 0 and takes nothing; null is a source of its own, ranked last; repeated rows are
@@ -80,8 +80,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
                 rows_per_shard: int = 4096, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, shard, taken (tokens, repeats counted), and the columns in keep."""
     keep = keep or []
-    rows = docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
-    rows = stored(rows.withColumn("order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "mix-rows")
+    rows = docs.select("doc_id", "source", *keep, F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("content"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
+    # Equal rows are counted and numbered, so that many of them, or many rows without an id, do not stand at one place of the order.
+    same = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    place = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "content", F.col("copy").cast("string"))
+    rows = stored(same.withColumn("order", F.md5(place)).drop("content", "copies", "copy"), "mix-rows")
     targets = source_targets(rows, weights, max_repeats)
     sources = (targets.withColumn("one", F.lit(1)).withColumn("blocks", F.floor(F.sum("source_size").over(Window.partitionBy()) / block_tokens + 0.5))
                .withColumn("limit", F.ceil(F.col("source_size") * max_repeats / block_tokens)))
@@ -110,7 +113,7 @@ def op5_source_mixing(spark, sf_dir):
 
 
 OP5_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':' || row_number() OVER (PARTITION BY doc_id, source, text)) AS o FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n, [5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS w FROM d GROUP BY source),
 c AS (SELECT *, source_size * 3 AS lim, sum(source_size) OVER () AS total, sum(w) OVER () AS total_w, row_number() OVER (ORDER BY source_size * 3.0 / w, source NULLS LAST) AS r FROM s),
 p AS (SELECT *, CAST(total - coalesce(sum(lim) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) * w > lim * CAST(total_w - coalesce(sum(w) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS stopped FROM c),

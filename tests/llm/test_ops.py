@@ -239,6 +239,17 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_spreads_rows_without_id_and_equal_rows(spark):
+    """Many rows of one id, or of one id and text, fill as many shards as distinct ones do."""
+    rows = [(None, f"word {k}", "a") for k in range(9_000)] + [(7, "the same words", "b")] * 9_000 + [(k, "x y", "c") for k in range(9_000)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows_per_shard=1000)
+    cells = {(r.source, r.shard): r["count"] for r in out.groupBy("source", "shard").count().collect()}
+    assert sum(cells.values()) == 27_000 and all(sum(s == source for s, _ in cells) == 9 for source in "abc") and max(cells.values()) < 1200
+    again = mixing.mix_sources(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string").repartition(5), rows_per_shard=1000)
+    count = lambda df: sorted((str(r.doc_id), r.source, r.size, r.taken, r["count"]) for r in df.groupBy("doc_id", "source", "size", "taken").count().collect())
+    assert count(out) == count(again)
+
+
 @pytest.mark.parametrize("seats", [0, 1, 7, 100, 12345])
 def test_apportionment_by_highest_quotients(spark, seats):
     values = [0, 1, 3, 50, 51, 999, 12, 12]
