@@ -101,7 +101,7 @@ def write_bgzf_vcf(records: DataFrame, path: str, header: str, parts: int | None
             last = windows[c].get(w, last)
             own.append(last)
         filled.append(own)
-    storage.concatenated(spark, [f"{folder}/head", *[names[p][0] for p in sorted(names)], f"{folder}/tail"], str(path))
+    storage.concatenated(spark, {str(path): [f"{folder}/head", *[names[p][0] for p in sorted(names)], f"{folder}/tail"]})
     storage.write_bytes(spark, f"{path}.tbi", in_blocks(Index(contigs, [bins[c] for c in contigs], filled).content()) + END_BLOCK)
     storage.remove(spark, folder)
     return len(names)

@@ -1,13 +1,13 @@
-"""Synthetic rows as named text files, one for each plan, each written by one task."""
+"""Synthetic rows as named text files, one for each plan, written by as many tasks as their size asks for."""
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixlake import storage
+from helixlake import shared_files, storage
 from helixlake.schemas import GENOTYPE_COLUMNS
 
 #: The comment lines at the head of a file; the last one names its columns.
@@ -32,32 +32,63 @@ HEADER = """# This data file generated by Dynamic DNA (DDNA) Laboratories at: Th
 """
 
 
+PLACE = ["file_idx", "part", "leftover", "chromosome", "position", "rsid"]
+
+
 def genotype_lines(rows: DataFrame, header: str = HEADER) -> DataFrame:
-    """file_idx, line: the header and the rows of each file, a file's lines in one partition and in order (leftovers last)."""
+    """The columns of PLACE and line: the header (part 0) and the rows (part 1) of each file; in the order of PLACE they are the file's lines."""
     label = F.concat(F.lit("rs"), F.col("rsid").cast("string"))
-    order = ["leftover", "chromosome", "position", "rsid"]
+    order = PLACE[2:]
     lines = rows.select("file_idx", F.lit(1).alias("part"), *order, F.concat_ws("\t", label, *GENOTYPE_COLUMNS[1:]).alias("line"))
     heads = rows.select("file_idx").distinct().select("file_idx", F.lit(0).alias("part"), *[F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order], F.lit(header.removesuffix("\n")).alias("line"))
-    return heads.unionByName(lines).repartition("file_idx").sortWithinPartitions("file_idx", "part", *order).select("file_idx", "line")
+    return heads.unionByName(lines)
+
+
+def _parts(folder: str):
+    """For mapInArrow over sorted lines: each file's lines in this partition as a part of it, and their number without the header."""
+    def write(batches):
+        from pyspark import TaskContext
+
+        task, name, out, at, count, told = TaskContext.get().partitionId(), None, None, None, 0, []
+        for batch in batches:
+            files, parts = (np.asarray(batch.column(c)) for c in ("file_idx", "part"))
+            lines = batch.column("line")
+            begin = np.flatnonzero(np.append(True, files[1:] != files[:-1])) if len(files) else []
+            for a, b in zip(begin, np.append(begin[1:], len(files))):
+                if out is None or files[a] != at:
+                    if out is not None:
+                        out.close()
+                        told.append((at, task, name, count))
+                    at, count, name = int(files[a]), 0, shared_files.attempt_name(folder, task)
+                    out = shared_files.created(name)
+                out.write(("\n".join(lines.slice(a, b - a).to_pylist()) + "\n").encode())
+                count += int(parts[a:b].sum())
+        if out is not None:
+            out.close()
+            told.append((at, task, name, count))
+        columns = list(zip(*told)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int64()))], names=["file_idx", "task", "name", "rows"])
+
+    return write
 
 
 def write_genotype_files(rows: DataFrame, plans: DataFrame, header: str = HEADER) -> DataFrame:
     """Write each plan's rows to its path and return path and rows of each file written.
 
-    Spark's writer makes one part for each file, so a task that runs twice leaves one file; the parts are then renamed.
+    Lines are dealt by file and place, so a large file is the work of many tasks and a task may write many small files. Each writes parts under names of its attempt
+    and says how many rows they have; the parts of a file are then put one behind the other. Nothing is read back.
     """
     spark = rows.sparkSession
     paths = {r["file_idx"]: r["path"] for r in plans.select("file_idx", "path").collect()}  # names only
-    some = next(iter(paths.values()), "out/none")
-    folder = f"{some.rsplit('/', 1)[0] if '/' in some else '.'}/.helixlake-{uuid.uuid4().hex}"
-    genotype_lines(rows, header).write.partitionBy("file_idx").text(folder)
-    written = []
-    counts = {r["file_idx"]: r["rows"] for r in spark.read.text(f"{folder}/*/part-*").select(F.regexp_extract(F.input_file_name(), "file_idx=([0-9]+)", 1).cast("long").alias("file_idx")).groupBy("file_idx").agg(F.count(F.lit(1)).alias("rows")).collect()} if paths else {}
-    for at in storage.names(spark, folder):
-        if at.startswith("file_idx="):
-            k = int(at.removeprefix("file_idx="))
-            (part,) = [n for n in storage.names(spark, f"{folder}/{at}") if n.startswith("part-")]
-            storage.move(spark, f"{folder}/{at}/{part}", paths[k])
-            written.append((paths[k], counts[k] - header.count("\n")))
+    folder = storage.new_path(spark, "genotypes")
+    dealt = genotype_lines(rows, header).repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).select("file_idx", "part", "line")
+    made = dealt.mapInArrow(_parts(storage.uri(spark, folder)), "file_idx long, task int, name string, rows long").collect()  # a row a file and task
+    parts: dict[str, list[str]] = {}
+    counts: dict[str, int] = {}
+    for r in sorted(made, key=lambda r: (r["file_idx"], r["task"])):
+        path = paths[r["file_idx"]]
+        parts.setdefault(path, []).append(r["name"])
+        counts[path] = counts.get(path, 0) + r["rows"]
+    storage.concatenated(spark, parts)
     storage.remove(spark, folder)
-    return spark.createDataFrame(written, "path string, rows long")
+    return spark.createDataFrame(list(counts.items()), "path string, rows long")

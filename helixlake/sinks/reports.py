@@ -65,10 +65,9 @@ def write_routed_csv(lookup: DataFrame, exact_path: str, other_path: str, order:
     The lookup is computed once, and stored.
     """
     rows = storage.stored(lookup, "routed")
-    counts = {}
+    counts = rows.agg(F.count_if(F.col("status") == "exact").alias("exact"), F.count_if(F.col("status") != "exact").alias("other")).first().asDict()
     for name, path, rule in (("exact", exact_path, "status = 'exact'"), ("other", other_path, "status <> 'exact'")):
         own = rows.where(rule)
-        counts[name] = own.count()
         lines = (own.orderBy(*order) if order else own).select(csv_line(LOOKUP_COLUMNS).alias("line"))
         storage.write_text_file(lines, str(path), ",".join(LOOKUP_COLUMNS) + "\r\n" if counts[name] else "", line_end="\r\n")
     return counts

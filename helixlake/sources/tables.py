@@ -11,22 +11,18 @@ from helixlake import schemas, shared_files
 from helixlake.functions.bins import level_of
 from helixlake.functions.text import parse_python_int, trim
 from helixlake.functions.variants import split_alternates
-from helixlake.sources import bgzf
+from helixlake.sources import bgzf, csv_records
 from helixlake.storage import exists, names, new_path, read_text
 
 
 def read_lookup_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns by name, trimmed, empty for blank cells, with seq, the rows' order. A row too short or too long fails the whole read."""
-    # A file in which no line leaves a quote open is read in splits; otherwise a value may hold a line break, and the file is one task.
-    open_quotes = not spark.read.text(path).where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
-    # Without column pruning every column is parsed, whatever is selected, or ragged rows would pass unseen.
-    rows = spark.read.option("columnPruning", False).csv(path, header=True, multiLine=open_quotes, mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, escape='"')
-    if not rows.columns:  # a file without a header line
+    """All columns by name, trimmed, empty for blank cells, with seq, the rows' order in the file. A row too short or too long fails the whole read."""
+    rows = csv_records.read_csv(spark, path)
+    if rows is None:  # a file without a header line
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in schemas.LOOKUP_NEEDED) + ", seq long")
-    names = {c.strip(): c for c in rows.columns}
-    if missing := [c for c in schemas.LOOKUP_NEEDED if c not in names]:
+    if missing := [c for c in schemas.LOOKUP_NEEDED if c not in rows.columns]:
         raise ValueError(f"{path} has no column {missing}")
-    return rows.select(*[F.coalesce(trim(F.col(f"`{c}`")), F.lit("")).alias(n) for n, c in names.items()], F.monotonically_increasing_id().alias("seq"))
+    return rows.select(*[F.coalesce(trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in rows.columns if c != "seq"], "seq")
 
 
 def exact_rows(lookup: DataFrame) -> DataFrame:

@@ -117,48 +117,53 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     stream.close()
 
 
-def concatenated(spark: SparkSession, sources: list[str], target: str) -> None:
-    """Put files one behind the other under a new name; the sources may be gone then. The driver handles names only.
+def concatenated(spark: SparkSession, files: dict[str, list[str]]) -> None:
+    """Make each file (a new name) of others, one behind the other; those may be gone then. The driver handles names only.
 
-    A file system that can concatenate does so without copying. Elsewhere one task copies the bytes to a name of its attempt, which is then
+    A file system that can concatenate does so without copying. Elsewhere a task for each file copies the bytes to a name of its attempt, which is then
     renamed, so a task that runs twice does no harm.
     """
-    first, *rest = sources
-    system, at = _at(spark, first)
-    gateway = spark.sparkContext._gateway
-    others = gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, len(rest))
-    for k, path in enumerate(rest):
-        others[k] = _at(spark, path)[1]
-    try:
-        if rest:
-            system.concat(at, others)
-        draft = first
-    except Exception as error:  # not offered here
-        if "Unsupported" not in str(error) and "not supported" not in str(error).lower():
-            raise
-        draft = _copied_by_task(spark, [_uri(spark, s) for s in sources], _uri(spark, target))
-    move(spark, draft, target)
-
-
-def _uri(spark: SparkSession, path: str) -> str:
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    left = {}
+    for target, (first, *rest) in files.items():
+        system, at = _at(spark, first)
+        others = spark.sparkContext._gateway.new_array(paths, len(rest))
+        for k, path in enumerate(rest):
+            others[k] = _at(spark, path)[1]
+        try:
+            if rest:
+                system.concat(at, others)
+            move(spark, first, target)
+        except Exception as error:  # not offered here
+            if "Unsupported" not in str(error) and "not supported" not in str(error).lower():
+                raise
+            left[target] = [first, *rest]
+    for target, draft in (_copied_by_tasks(spark, left) if left else {}).items():
+        move(spark, draft, target)
+
+
+def uri(spark: SparkSession, path: str) -> str:
     system, at = _at(spark, path)
     return system.makeQualified(at).toString()
 
 
-def _copied_by_task(spark: SparkSession, sources: list[str], target: str) -> str:
+def _copied_by_tasks(spark: SparkSession, files: dict[str, list[str]]) -> dict[str, str]:
+    """Copies of the sources of each target, under names of their own."""
     def copy(batches):
         import pyarrow as pa
 
         from helixlake import shared_files
 
         for batch in batches:
-            if batch.num_rows:
-                draft = f"{target}.draft-{uuid.uuid4().hex}"
-                shared_files.copied(batch.column("path").to_pylist(), draft)
-                yield pa.RecordBatch.from_arrays([pa.array([draft])], names=["path"])
+            drafts = [f"{target}.draft-{uuid.uuid4().hex}" for target in batch.column("target").to_pylist()]
+            for draft, sources in zip(drafts, batch.column("sources").to_pylist()):
+                shared_files.copied(sources, draft)
+            yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array(drafts, pa.string())], names=["n", "draft"])
 
-    files = spark.createDataFrame(list(enumerate(sources)), "n long, path string").coalesce(1).orderBy("n").coalesce(1)
-    return files.mapInArrow(copy, "path string").first()[0]
+    targets = list(files)
+    rows = [(n, uri(spark, t), [uri(spark, s) for s in files[t]]) for n, t in enumerate(targets)]
+    named = spark.createDataFrame(rows, "n long, target string, sources array<string>").repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)), "n")
+    return {targets[r["n"]]: r["draft"] for r in named.mapInArrow(copy, "n long, draft string").collect()}
 
 
 def write_text_file(lines: DataFrame, path: str, before: str = "", after: str = "", line_end: str = "\n") -> None:
@@ -169,5 +174,5 @@ def write_text_file(lines: DataFrame, path: str, before: str = "", after: str =
     own = [f"{parts}/{name}" for name in names(spark, parts) if name.startswith("part-")]
     write_bytes(spark, f"{parts}/before", before.encode())
     write_bytes(spark, f"{parts}/behind", after.encode())
-    concatenated(spark, [f"{parts}/before", *own, f"{parts}/behind"], path)
+    concatenated(spark, {path: [f"{parts}/before", *own, f"{parts}/behind"]})
     remove(spark, parts)
