@@ -87,13 +87,9 @@ def generate(spark, a):
     needed(spark, a.lookup)
     synthetic.check_arguments(a.output, alt_frequency=a.alt_frequency)
     rows = tables.exact_rows(tables.read_lookup_csv(spark, a.lookup))
-    # The rows keep the order and the repetitions of the lookup: its place stands for the position in the sort.
-    rows = rows.select(F.col("rsid").alias("label"), F.col("chromosome").alias("c"), F.col("position").alias("p"), "reference", F.array_join("alternates", ",").alias("alternates"), F.col("seq").alias("rsid"))
     seed = synthetic.random_seed() if a.seed is None else a.seed
-    plan = spark.createDataFrame([(0, a.output)], "file_idx long, path string")
-    made = synthetic.synthetic_rows(rows.withColumn("chromosome", F.lit("")).withColumn("position", F.col("rsid")), plan, None, a.alt_frequency, seed)
-    made = made.select("rsid", "genotype", "gs", "baf", "lrr").join(rows.select("rsid", "label", "c", "p"), "rsid").orderBy("rsid")
-    storage.write_text_file(made.select(F.concat_ws("\t", "label", "c", "p", "genotype", "gs", "baf", "lrr").alias("line")), a.output, genotype_files.HEADER)
+    made = synthetic.generated_rows(rows, spark.createDataFrame([(0,)], "file_idx long"), a.alt_frequency, seed)
+    genotype_files.write_generated_file(made, a.output)
     print(f"{rows.count()} rows to {a.output}")
 
 

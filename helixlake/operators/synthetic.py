@@ -70,6 +70,13 @@ def synthetic_rows(references: DataFrame, files: DataFrame, overlays: DataFrame
     return rows.unionByName(left)
 
 
+def generated_rows(exact: DataFrame, files: DataFrame, alt_frequency: float = 0.01, seed: int = 0) -> DataFrame:
+    """The older generator's rows: seq, rsid, chromosome, position (as the lookup has them), genotype, gs, baf, lrr for every exact row of a lookup; its place stands for the marker in the draws."""
+    rows = exact.select(F.col("seq").alias("rsid"), F.lit("").alias("chromosome"), F.col("seq").alias("position"), "reference", F.array_join("alternates", ",").alias("alternates"))
+    made = synthetic_rows(rows, files, None, alt_frequency, seed).select("file_idx", F.col("rsid").alias("seq"), "genotype", "gs", "baf", "lrr")
+    return made.join(exact.select("seq", "rsid", "chromosome", "position"), "seq").select("file_idx", "seq", "rsid", "chromosome", "position", "genotype", "gs", "baf", "lrr")
+
+
 def file_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file_idx").agg(F.count(F.lit(1)).alias("rows"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixlake import storage
-from helixlake.operators import diff, lookup, store, summary
+from helixlake.operators import diff, lookup, store, summary, synthetic
 from helixlake.plans import base, queries
 from helixlake.plans.base import spark_sql
 from helixlake.plans.queries import LOADED, PARSED, QUERIES, found_sql, query
@@ -270,6 +270,32 @@ def synthetic_totals(spark, sf_dir):
     return _written(spark, sf_dir)[1].agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
 
 
+GENERATED = f"""SELECT place AS rsid, 1 AS format_id, query_chrom AS chromosome, query_pos AS position, ref AS reference, alt AS alternates, query_rsid
+  FROM (SELECT *, row_number() OVER (ORDER BY s1, s2, s3, s4, s5) AS place FROM ({BLANK_REF}) AS l) AS p WHERE status = 'exact' AND ref <> ''"""
+
+
+@query(f"""SELECT 17 + row_number() OVER (ORDER BY rsid) AS line_no, concat_ws(chr(9), query_rsid, chromosome, position, genotype, gs, baf, lrr) AS line
+  FROM (SELECT query_rsid, chromosome, position, genotype, rsid, {queries.METRICS} FROM ({queries.OWN.replace(base.REFS, GENERATED).replace('range(3)', 'range(1)')}) AS w) AS s""")
+def generated_file_lines(spark, sf_dir):
+    """The lines after the header of the older generator's file, made of a lookup's exact rows in their order."""
+    rows = tables.exact_rows(tables.read_lookup_csv(spark, _lookup_csv(spark, sf_dir, BLANK_REF)))
+    path = _path(spark, "generated.txt")
+    genotype_files.write_generated_file(synthetic.generated_rows(rows, spark.createDataFrame([(0,)], "file_idx long"), 0.25, 7), path)
+    return genotype_text.read_lines(spark, [path]).where("line_no >= 18").select("line_no", F.col("value").alias("line"))
+
+
+BROKEN = f"""SELECT query_rsid, query_chrom, query_pos, ref_pos, CASE WHEN s2 = 1 THEN concat('A', chr(10), 'T') WHEN s2 = 2 THEN concat(chr(10), chr(10), '"C",', chr(10), 'G') ELSE ref END AS ref,
+  CASE WHEN s2 = 3 THEN concat('"', chr(10), '"') ELSE alt END AS alt, status, s1, s2, s3, s4, s5 FROM ({base.LOOKUP}) AS l"""
+
+
+@query(f"""SELECT query_rsid AS rsid, query_pos AS position, ref_pos, trim(replace(ref, chr(10), '|'), '|') AS ref, replace(alt, chr(10), '|') AS alt, status, count(*) AS n FROM ({BROKEN}) AS l GROUP BY ALL""")
+def lookup_csv_line_breaks(spark, sf_dir):
+    """Values with line breaks and quotes, written and read back in splits."""
+    rows = tables.read_lookup_csv(spark, _lookup_csv(spark, sf_dir, BROKEN))
+    shown = lambda c: F.replace(F.col(c), F.lit("\n"), F.lit("|"))
+    return rows.groupBy(F.col("query_rsid").alias("rsid"), F.col("query_pos").alias("position"), "ref_pos", F.btrim(shown("ref"), F.lit("|")).alias("ref"), shown("alt").alias("alt"), "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- discovery --------------------------------------------------------------------------------------------------------
 
 #: A file for each nation, in a folder for each region: candidates by their endings, hidden names, others, and empty ones.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixlake import storage
@@ -442,3 +442,17 @@ def overlay_expand(spark, sf_dir):
     path = f"{storage.new_path(spark, 'query')}/overlay.json"
     storage.write_text_file(groups.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).select(F.to_json("m").alias("line")), path)
     return overlay.checked_specs(tables.overlay_variants(spark, path)).select(F.col("group").alias("overlay_group"), "n", "rsid", "chromosome", "position", F.array_join("options", " ").alias("options"))
+
+
+FAULTY = """SELECT s_nationkey, s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN concat('x', CAST(s_suppkey AS VARCHAR(20))) WHEN s_suppkey % 7 = 0 THEN 'rs7' ELSE concat('rs', CAST(s_suppkey + 1000 AS VARCHAR(20))) END AS rsid, s_suppkey % 5 AS form FROM {supplier}"""
+
+
+@query(f"""SELECT CAST(s_nationkey AS VARCHAR) AS overlay_group, n, CASE WHEN rsid LIKE 'x%' THEN 'no valid rsid: ' || rsid WHEN form = 1 THEN 'no genotypes given for ' || rsid WHEN form = 2 THEN 'neither genotypes nor a reference for ' || rsid ELSE 'given more than once: ' || rsid END AS problem
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS n, count(*) OVER (PARTITION BY rsid) AS times FROM ({FAULTY}) AS f) AS g WHERE rsid LIKE 'x%' OR form IN (1, 2) OR times > 1""")
+def overlay_problems(spark, sf_dir):
+    """Which variants of an overlay would be refused, and why."""
+    form, none = F.col("form"), F.lit(None).cast("array<string>")
+    rows = spark_sql(spark, sf_dir, FAULTY).select(F.col("s_nationkey").cast("string").alias("group"), "s_suppkey", "rsid", F.when(form == 1, F.array().cast("array<string>")).when(form == 3, F.array(F.lit("AA"))).otherwise(none).alias("genotypes"),
+                                                   F.when(form.isin(0, 4), "A").alias("reference"))
+    n = (F.row_number().over(Window.partitionBy("group").orderBy("s_suppkey")) - 1).cast("int")
+    return overlay.overlay_problems(rows.withColumn("n", n)).select(F.col("group").alias("overlay_group"), "n", "problem")

@@ -92,3 +92,9 @@ def write_genotype_files(rows: DataFrame, plans: DataFrame, header: str = HEADER
     storage.concatenated(spark, parts)
     storage.remove(spark, folder)
     return spark.createDataFrame(list(counts.items()), "path string, rows long")
+
+
+def write_generated_file(rows: DataFrame, path: str, header: str = HEADER) -> None:
+    """One file of the older generator's rows, in the order of the lookup."""
+    lines = rows.orderBy("seq").select(F.concat_ws("\t", "rsid", "chromosome", "position", *GENOTYPE_COLUMNS[3:]).alias("line"))
+    storage.write_text_file(lines, path, header)
