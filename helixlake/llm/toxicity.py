@@ -2,8 +2,8 @@
 
 Tokens are words (runs of letters, digits and non-ASCII bytes, A-Z lower-cased) and, where a word itself says nothing,
 its first 5 or 4 bytes. The number of toxic and of other labelled texts that hold a token gives its log-odds under an
-informative Dirichlet prior; those below LEAST_Z standard errors count as zero. The model is the table of all others; should they be
-more than MODEL_TOKENS, too many to broadcast, fitting is refused, and a higher LEAST_Z is to be chosen. All are shifted down by drift, so that the score of ordinary text falls with its
+informative Dirichlet prior; those below LEAST_Z standard errors count as zero. The model is the table of all others. Up to MODEL_TOKENS of them are
+broadcast; beyond, the table stays a table, and each distinct text gets the odds of its own tokens by a join, with the same scores. All are shifted down by drift, so that the score of ordinary text falls with its
 length. A linear scan (Ruzzo and Tompa) then finds every maximal segment of positive score. As for local alignments, the
 number of segments of score S or more in n ordinary words is K n exp(-lambda S): lambda solves E[exp(lambda score)] = 1
 over the words of the texts that are not toxic, K comes from their best segments. A text's evidence is
@@ -40,6 +40,7 @@ class Model(NamedTuple):
     rate: float  # lambda
     count: float  # K
     curve: tuple[float, float]
+    table: DataFrame | None = None  # token and odds, where they are too many to broadcast; key and odds are empty then
 
 
 def tokens(w: Words) -> list[np.ndarray]:
@@ -93,12 +94,45 @@ def rate_of(score: np.ndarray, weight: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
+def with_own_odds(docs: DataFrame, table: DataFrame | None) -> DataFrame:
+    """docs (with the column text) with own, the tokens of each text that the table has, and their odds; without a table docs as they are.
+
+    Distinct tokens of distinct texts meet the table by token, where a frequent one is split by the adaptive join, and come back by text.
+    """
+    if table is None:
+        return docs
+
+    def distinct(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                w = words(part.column("text"), "not_alnum")
+                text = np.repeat(np.arange(part.num_rows), np.diff(w.first))
+                pairs = [np.unique(np.stack([text.astype(np.uint64), h]), axis=1) for h in tokens(w)] if len(text) else []
+                if pairs:
+                    at, h = np.concatenate(pairs, axis=1)
+                    yield pa.RecordBatch.from_arrays([part.column("own_key").take(pa.array(at.astype(np.int64))), pa.array(h.view(np.int64))], names=["own_key", "token"])
+
+    keyed = docs.withColumn("own_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    pairs = keyed.select("own_key", "text").mapInArrow(distinct, "own_key string, token long").distinct()
+    own = pairs.join(table, "token").groupBy("own_key").agg(F.collect_list(F.struct("token", "odds")).alias("own"))
+    return keyed.join(own, "own_key", "left").select(*docs.columns, "own")
+
+
+def _known(part: pa.RecordBatch, key: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens and odds for a batch: the model's, or those that its texts bring along."""
+    if "own" not in part.schema.names:
+        return key, odds
+    own = part.column("own").flatten()
+    key, at = np.unique(np.asarray(own.field("token"), np.int64).view(np.uint64), return_index=True)
+    return key, np.asarray(own.field("odds"), np.float64)[at]
+
+
 def _scan(batch: pa.RecordBatch, key: np.ndarray, odds: np.ndarray):
     """For each text: its words' scores, its segments, its words' byte ranges within it."""
     for part in slices(batch, "text"):
         _, offsets = raw(part.column("text"))
         w = words(part.column("text"), "not_alnum")
-        s = word_scores(w, key, odds)
+        s = word_scores(w, *_known(part, key, odds))
         positive = np.concatenate([[0], np.cumsum(s > 0)])
         for k, (lo, hi) in enumerate(zip(w.first[:-1], w.first[1:])):
             found = maximal_segments(s[lo:hi]) if positive[hi] > positive[lo] else []
@@ -111,8 +145,8 @@ def evidence(n: int, scores: list[float], rate: float, count: float) -> float:
     return each[0] + sum(x for x in each[1:] if x > -np.log(SIGNIFICANT_E)) if each else min(0.0, -base)
 
 
-def learn_tokens(train: DataFrame, model_tokens: int = MODEL_TOKENS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and log-odds of the tokens that tell toxic (y = 1) from other texts."""
+def learn_tokens(train: DataFrame, model_tokens: int = MODEL_TOKENS) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+    """Sorted hashes and log-odds of the tokens that tell toxic (y = 1) from other texts; of more than model_tokens the table, and empty arrays."""
     def counts(batches):
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
@@ -133,26 +167,26 @@ def learn_tokens(train: DataFrame, model_tokens: int = MODEL_TOKENS) -> tuple[np
     totals = train.agg(F.sum(1 - F.col("y")), F.sum("y")).first()
     n0, n1 = float(totals[0] or 0), float(totals[1] or 0)
     if not n0 or not n1:
-        return np.zeros(0, np.uint64), np.zeros(0)
+        return np.zeros(0, np.uint64), np.zeros(0), None
     seen = train.mapInArrow(counts, "token long, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     prior = PRIOR_TEXTS * (F.col("n0") + F.col("n1")) / (n0 + n1) + 0.5
     a, b = F.col("n1") + prior, F.col("n0") + prior
     delta = F.log(a / (n1 + PRIOR_TEXTS + 1 - F.col("n1"))) - F.log(b / (n0 + PRIOR_TEXTS + 1 - F.col("n0")))
     rows = seen.select("token", delta.alias("odds"), (F.abs(delta) / F.sqrt(1 / a + 1 / b)).alias("z")).where(F.col("z") >= LEAST_Z)
     rows = stored(rows.select("token", "odds"), "toxic-tokens")
-    if (found := rows.count()) > model_tokens:
-        raise ValueError(f"{found} tokens tell toxic texts from others, more than the {model_tokens} that are broadcast: choose a higher least z")
+    if rows.count() > model_tokens:
+        return np.zeros(0, np.uint64), np.zeros(0), rows
     rows = rows.toArrow()
     key = rows.column("token").to_numpy().view(np.uint64)
     order = np.argsort(key)
-    return key[order], rows.column("odds").to_numpy()[order]
+    return key[order], rows.column("odds").to_numpy()[order], None
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", model_tokens: int = MODEL_TOKENS) -> Model:
     """Learn from the rows of labels whose ids keep(id) admits."""
     spark = docs.sparkSession
     train = labelled(docs, labels, label, keep)
-    key, odds = learn_tokens(train)
+    key, odds, known = learn_tokens(train, model_tokens)
     shared = spark.sparkContext.broadcast((key, odds))
 
     def scanned(batches):
@@ -169,11 +203,12 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic") -> Model
             y, n, scores = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=["y", "n", "scores"])
 
-    seen = stored(train.mapInArrow(scanned, "y int, n long, scores array<double>"), "toxic-segments")
+    seen = stored(with_own_odds(train, known).mapInArrow(scanned, "y int, n long, scores array<double>"), "toxic-segments")
     words_ = seen.where("y = -1").groupBy(F.col("scores")[0].alias("s")).agg(F.sum("n").alias("n")).toPandas()  # a row for each tenth
     rate = rate_of(words_["s"].to_numpy(float), words_["n"].to_numpy(float))
     # K n exp(-rate S) segments of at least S are expected: count those of the texts that are not toxic at the least score of a token.
-    least = max(0.1, float(odds[odds > DRIFT].min()) - DRIFT) if (odds > DRIFT).any() else 1.0
+    lowest = known.where(F.col("odds") > DRIFT).agg(F.min("odds")).first()[0] if known is not None else odds[odds > DRIFT].min() if (odds > DRIFT).any() else None
+    least = 1.0 if lowest is None else max(0.1, float(lowest) - DRIFT)
     clean = seen.where("y = 0").agg(F.sum(F.coalesce(F.array_max("scores") >= least, F.lit(False)).cast("long")), F.sum("n")).first()
     count = max(1.0, float(clean[0] or 0)) / (max(1.0, float(clean[1] or 0)) * float(np.exp(-rate * least)))
 
@@ -184,12 +219,12 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic") -> Model
 
     bins = seen.where("y >= 0").mapInArrow(binned, "y int, bin int").groupBy("bin").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")).toPandas()
     curve = fit_logistic(*(bins[c].to_numpy(float) for c in ("bin", "n0", "n1"))) if len(bins) else (0.0, 0.0)
-    return Model(key, odds, rate, count, curve)
+    return Model(key, odds, rate, count, curve, known)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, and passages: the UTF-8 byte ranges, scores and E-values of all significant segments."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model._replace(table=None))
     kind = docs.schema["doc_id"].dataType.simpleString()
     passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
@@ -203,7 +238,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
                 passages.append([x for x in each if x["e_value"] <= SIGNIFICANT_E])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probability(np.array(found_, float), m.curve), pa.float64()), pa.array(passages, passage)], names=["doc_id", "score", "passages"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double, passages array<struct<start:long,end:long,score:double,e_value:double>>")
+    return with_own_odds(docs.select("doc_id", "text"), model.table).mapInArrow(scored, f"doc_id {kind}, score double, passages array<struct<start:long,end:long,score:double,e_value:double>>")
 
 
 def op1_toxicity(spark, sf_dir):

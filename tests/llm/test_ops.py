@@ -622,6 +622,17 @@ def test_ratios_and_descent_by_hand(spark):
     assert loss(np.append(*got)) <= best * 1.001
 
 
+def test_a_model_too_large_to_broadcast_scores_alike(spark):
+    docs, labels = labelled_corpus(spark, "toxic")[:2]
+    docs = docs.unionByName(docs.limit(5))
+    small = toxicity.fit(docs, labels, lambda i: F.lit(True))
+    large = toxicity.fit(docs, labels, lambda i: F.lit(True), model_tokens=3)
+    assert large.table is not None and not len(large.key) and large.table.count() == len(small.key) > 3
+    assert (large.rate, large.count) == pytest.approx((small.rate, small.count)) and large.curve == pytest.approx(small.curve)
+    rows = lambda m: sorted((str(r.doc_id), round(r.score, 9), [tuple(p)[:2] for p in r.passages]) for r in toxicity.score_toxicity(docs, m).collect())
+    assert rows(small) == rows(large)
+
+
 def test_toxic_passages_and_maximal_segments(spark):
     docs, labels = labelled_corpus(spark, "toxic")
     out = toxicity.score_toxicity(docs, toxicity.fit(docs, labels, lambda i: F.lit(True))).join(docs.select("doc_id", "text"), "doc_id").where("doc_id % 5 = 0 and doc_id < 400").collect()
