@@ -59,6 +59,10 @@ def may_link(between: np.ndarray, lo: float, hi: float, los: np.ndarray, his: np
     return least <= np.arccos(np.clip(threshold, -1, 1)) + ANGLE_SLACK
 
 
+#: Far more than two ways of summing a product of unit vectors can differ by.
+CLOSE = 1e-9
+
+
 def block_links(a: np.ndarray, b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray, same: bool, threshold: float, rows: int = 256):
     """Of unit rows a and b (the same block where same is set): numbers of those that link, their links, and a number linked with each, the same
     for all that hang together. Rows of b are numbered after those of a."""
@@ -73,7 +77,10 @@ def block_links(a: np.ndarray, b: np.ndarray, copies_a: np.ndarray, copies_b: np
         if not len(i):
             continue
         if len(i) > 16 * rows:
+            # A matrix product rounds in its own way: what is close to the threshold is decided as everywhere else.
             exact = (a[begin : begin + rows] @ b[first:].T)[i, j]
+            close = np.flatnonzero(np.abs(exact - threshold) < CLOSE)
+            exact[close] = np.einsum("ij,ij->i", a[begin + i[close]], b[first + j[close]])
         else:
             exact = np.einsum("ij,ij->i", a[begin + i], b[first + j])
         i, j = begin + i, first + j

@@ -436,6 +436,23 @@ def test_embedding_links_across_many_cells(spark):
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(n.tolist()))
 
 
+def test_dense_and_sparse_blocks_decide_alike():
+    """Pairs at the threshold, by their neighbours in the block a few or most of all."""
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(120, 24)), rng.normal(size=(120, 24))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (b * a).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    one = np.ones(1)
+    alone = [len(embedding_dedup.block_links(x[None], y[None], one, one, False, 0.9)[0]) == 2 for x, y in zip(a, b)]
+    assert any(alone) and not all(alone)
+    for k, (x, y) in enumerate(zip(a, b)):
+        many = np.repeat(x[None], 100, axis=0), np.repeat(y[None], 100, axis=0)
+        at, count, _ = embedding_dedup.block_links(*many, np.ones(100), np.ones(100), False, 0.9)
+        assert len(at) == (200 if alone[k] else 0) and (count == 100).all()
+
+
 def test_rings_exclude_no_pair_that_links():
     rng = np.random.default_rng(13)
     c, d = embedding_dedup.unit(rng.normal(size=(2, 400, 3)).reshape(-1, 3)).reshape(2, 400, 3)
