@@ -4,19 +4,22 @@ Tokens of the baseline are words (runs without ASCII white space, A-Z lower-case
 over all training texts are a distributed table. Words of more than one token in 2^20, no more than 2^20 words, are
 broadcast; all others meet their counts in a join on the word's hash.
 
-The model reads subword ids: of each word the id that a public byte-level BPE begins it with, and an end after the last
-one. Ids are grouped into classes by k-means on what stands beside them, and
+The model reads and scores every subword id of a public byte-level BPE: of each word, with a space before it, all its
+ids, and an end after the last word. Ids are grouped into classes by k-means on what stands beside them, those that
+begin a word apart from those that go on with one, so that the classes of a text tell where its words begin, and
 
-    p(word | before) = p(class of its id | before) (c + 1) / (N + V + 1),
+    p(word | before) = product over its ids of p(class of the id | before) * (c + 1) / (N + V + 1),
 
-where c is the word's count, and N and V are the tokens and distinct words of the class: the words of a class share its
-probability as those of the baseline share the whole, and one more share is left for unseen words. So the first factor carries all that the text before
-tells. It is a causal self-attention layer over classes with position embeddings, written in numpy, which starts as the classes' shares: as the baseline, so to speak.
+where c is the word's count, and N and V are the tokens and distinct words that have its sequence of classes: these
+words share the probability of their sequence as those of the baseline share the whole, and one more share is left for
+unseen words (all of it for a sequence that no training word has). So the first factor carries all that the text before
+tells. It is a causal self-attention layer over classes with position embeddings, where a query also knows the class before
+its own, written in numpy, which starts as the classes' shares: as the baseline, so to speak. The sequences' sizes are a distributed table too, read as the words' is.
 
 Training is rounds of local steps (Adam) on groups of about GROUP_IDS ids, whose parameters are averaged. All training
 texts take part, each in one round. Which group a text belongs to, its place there, and the sums of the averages depend on ids and texts alone, not on how the
 table is split. Texts are cut into pieces of PIECE ids, and these into blocks of BLOCK. A window is a block and the one
-before it; it scores each id of its block once, all windows in batches with one mask.
+before it; it scores each id of its block once, all windows in batches with one mask. A word belongs to the piece in which it begins.
 
 Defined results: a null text is the empty text, which has its end alone; repeated rows are scored each, and count as
 often in training; a null id is never held out; without training texts every count is 0 and the classes share evenly;
@@ -25,6 +28,7 @@ an empty table gives no rows; only doc_id and text are read, so extra columns ca
 
 from __future__ import annotations
 
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -34,14 +38,15 @@ from pyspark.sql import functions as F
 
 from helixlake.llm.bpe import encoder, vocabulary
 from helixlake.llm.common import held_out, stored, table
-from helixlake.llm.textvec import Words, slices, words
+from helixlake.llm.textvec import Words, mix, powers, slices, words
 
-CLASSES, NEIGHBOURS, DIM, BLOCK, PIECE = 60, 48, 16, 32, 1 << 16
-#: Classes of the output: those of seen ids, one of the unseen, the end. Inputs also have the text's start and padding.
-UNSEEN, END, START, PAD = CLASSES, CLASSES + 1, CLASSES + 2, CLASSES + 3
-OUTPUTS, INPUTS = CLASSES + 2, CLASSES + 4
+CLASSES, NEIGHBOURS, DIM, BLOCK, PIECE = 59, 48, 24, 32, 1 << 16
+#: Classes of the output: those of seen ids, unseen ids that begin a word or go on with one, the end. Inputs also have the text's start and padding.
+UNSEEN, UNSEEN_INNER, END, START, PAD = range(CLASSES, CLASSES + 5)
+OUTPUTS, INPUTS = CLASSES + 3, CLASSES + 5
 HEAD_SHARE = 1 << 20
-ROUNDS, GROUP_IDS, BATCH, STEP = 3, 1 << 20, 32, 0.01
+#: Steps of each round are SLOWER times those of the one before.
+ROUNDS, GROUP_IDS, BATCH, STEP, SLOWER = 3, 1 << 20, 16, 0.012, 0.4
 #: Parameters are averaged as whole multiples of 1/FINE, so that the order of the sum does not matter.
 FINE = 1e6
 LN10 = float(np.log(10))
@@ -50,7 +55,7 @@ END_HASH = np.uint64(0xE0D0_0001_7E87_0001)
 
 class Model(NamedTuple):
     class_of: np.ndarray  # of an id; then of the end and of the start
-    size: np.ndarray  # log10 (N + V + 1) of each output class
+    begins: np.ndarray  # whether an id, or the end, begins a word
     parameters: dict[str, np.ndarray]
 
 
@@ -60,7 +65,7 @@ class Model(NamedTuple):
 def new_parameters(shares: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.normal(size=shape) * 0.3).astype(np.float32)
-    return {"embed": draw(INPUTS, DIM), "place": draw(2 * BLOCK, DIM) / 3, "q": draw(DIM, DIM), "k": draw(DIM, DIM), "v": draw(DIM, DIM),
+    return {"embed": draw(INPUTS, DIM), "prior": np.zeros((INPUTS, DIM), np.float32), "place": draw(2 * BLOCK, DIM) / 3, "q": draw(DIM, DIM), "k": draw(DIM, DIM), "v": draw(DIM, DIM),
             "out": np.zeros((DIM, OUTPUTS), np.float32), "bias": np.log(np.maximum(shares, 1e-9)).astype(np.float32)}
 
 
@@ -74,7 +79,7 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
     n = len(x)
     e = p["embed"].take(x.astype(np.intp), axis=0)
     e += p["place"]
-    tail = np.ascontiguousarray(e[:, BLOCK:])
+    tail = e[:, BLOCK:] + p["prior"].take(x[:, BLOCK - 1 : -1].astype(np.intp), axis=0)
     flat, flat_tail = e.reshape(-1, DIM), tail.reshape(-1, DIM)
     q = (flat_tail @ (p["q"] / np.float32(np.sqrt(DIM)))).reshape(n, BLOCK, DIM)
     k, v = (flat @ p["k"]).reshape(e.shape), (flat @ p["v"]).reshape(e.shape)
@@ -116,23 +121,26 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[st
     de = dk @ p["k"].T
     de += dv @ p["v"].T
     de3 = de.reshape(n, 2 * BLOCK, DIM)
-    de3[:, BLOCK:] += (dh + dq @ (p["q"].T / scale)).reshape(n, BLOCK, DIM)
+    dtail = dh + dq @ (p["q"].T / scale)
+    de3[:, BLOCK:] += dtail.reshape(n, BLOCK, DIM)
     g["place"] = de3.sum(axis=0)
-    g["embed"] = (np.arange(INPUTS, dtype=np.uint8)[:, None] == x.ravel()[None, :]).astype(de.dtype) @ de
+    one_hot = lambda c: (np.arange(INPUTS, dtype=np.uint8)[:, None] == c.ravel()[None, :]).astype(de.dtype)
+    g["embed"], g["prior"] = one_hot(x) @ de, one_hot(x[:, BLOCK - 1 : -1]) @ dtail
     return g
 
 
-def local_steps(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, seed: int) -> dict[str, np.ndarray]:
-    """Adam once over all windows in a seeded order, from a copy of p."""
+def local_steps(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, round_: int) -> dict[str, np.ndarray]:
+    """Adam once over all windows in the round's order and step, from a copy of p."""
+    step = np.float32(STEP * SLOWER**round_)
     p = {c: v.copy() for c, v in p.items()}
     m, s = {c: np.zeros_like(v) for c, v in p.items()}, {c: np.zeros_like(v) for c, v in p.items()}
-    order = np.random.default_rng(seed).permutation(len(x))
+    order = np.random.default_rng(round_).permutation(len(x))
     for t, lo in enumerate(range(0, len(x), BATCH), 1):
         at = order[lo : lo + BATCH]
         for c, g in gradients(p, x[at], y[at]).items():
             m[c] = 0.9 * m[c] + 0.1 * g
             s[c] = 0.99 * s[c] + 0.01 * g * g
-            p[c] -= np.float32(STEP) * (m[c] / (1 - 0.9**t)) / (np.sqrt(s[c] / (1 - 0.99**t)) + 1e-6)
+            p[c] -= step * (m[c] / (1 - 0.9**t)) / (np.sqrt(s[c] / (1 - 0.99**t)) + 1e-6)
     return p
 
 
@@ -153,31 +161,66 @@ def score_windows(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rows:
 
 
 class Subwords:
-    """The id that each word begins with: of frequent words from a table, of others encoded as long as the cache holds them."""
-
-    def __init__(self, path: str, key: np.ndarray | None = None, first: np.ndarray | None = None, most: int = 300_000):
-        self.encode, self.most = encoder(path)[0].encode_ordinary, most
-        self.key, self.first = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if key is None else (key, first)
-        self.known: dict[int, int] = {}
-
-    def ids(self, w: Words, at: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """at, found: place of each word in the table, and whether it is there."""
-        out = np.zeros(len(w.hash), np.int64)
-        if len(self.key):
-            out[found] = self.first[at[found]]
+    """All ids of each word: of frequent words from a table, of others encoded as long as the cache holds them."""
+
+    def __init__(self, path: str, ids: np.ndarray, size: np.ndarray, most: int = 300_000, most_ids: int = 1 << 22):
+        """ids, size: those of the table's words, one behind the other, and how many each has."""
+        self.encode, self.most, self.most_ids = encoder(path)[0].encode_ordinary, most, most_ids
+        self.table = ids, np.cumsum(size) - size, size
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.ids, self.starts, self.sizes = {}, array("H"), array("q"), array("q")
+        self.end = len(self.table[0])
+
+    def of(self, w: Words, at: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids one behind the other, and where each word's begin, with the last one's end; at, found: place of each word in the table, and whether it is there."""
+        ids, starts, sizes = self.table
+        if len(self.known) > self.most or self.end - len(ids) > self.most_ids:
+            self.forget()
         rest = np.flatnonzero(~found)
         values, first, which = np.unique(w.hash[rest], return_index=True, return_inverse=True)
-        if len(self.known) > self.most:
-            self.known = {}
-        data, got = w.data.tobytes() if len(values) else b"", []
+        data, rows = w.data.tobytes() if len(values) else b"", []
         for h, k in zip(values.tolist(), rest[first].tolist()):
-            id_ = self.known.get(h)
-            if id_ is None:
-                id_ = self.known[h] = self.encode(" " + data[w.start[k] : w.end[k]].decode("utf-8", "replace"))[0]
-            got.append(id_)
-        if got:
-            out[rest] = np.array(got, np.int64)[which]
-        return out
+            row = self.known.get(h)
+            if row is None:
+                row = self.known[h] = len(self.starts)
+                new = self.encode(" " + data[w.start[k] : w.end[k]].decode("utf-8", "replace"))
+                self.ids.extend(new), self.starts.append(self.end), self.sizes.append(len(new))
+                self.end += len(new)
+            rows.append(row)
+        start, size = np.zeros(len(w.hash), np.int64), np.zeros(len(w.hash), np.int64)
+        start[found], size[found] = starts[at[found]], sizes[at[found]]
+        if rows:
+            rows = np.array(rows)[which]
+            start[rest], size[rest] = np.array(self.starts)[rows], np.array(self.sizes)[rows]
+            ids = np.concatenate([ids, np.array(self.ids)])
+        edge = np.concatenate([[0], np.cumsum(size)])
+        return ids[np.repeat(start - edge[:-1], size) + np.arange(edge[-1])], edge
+
+
+def begins_word(path: str) -> np.ndarray:
+    """Of each id, and of the end: the one space of an encoded word is in its first id."""
+    return np.array([*(b" " in part for part in encoder(path)[1]), True])
+
+
+_CLASS_HASH = mix(np.arange(1, INPUTS + 1, dtype=np.uint64))
+
+
+def sequences(classes: list[np.ndarray], begins: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word's sequence of classes, and the part it is in; ids before the first that begins a word belong to none."""
+    size = np.array([len(c) for c in classes], np.int64)
+    if not size.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    flat, begin = np.concatenate(classes), np.concatenate(begins)
+    edge = begin.copy()
+    edge[(np.cumsum(size) - size)[size > 0]] = True
+    start = np.flatnonzero(edge)
+    length = np.diff(np.append(start, len(flat)))
+    place = np.arange(len(flat)) - np.repeat(start, length)
+    h = mix(np.add.reduceat(_CLASS_HASH[flat] * powers(int(length.max()))[place], start))
+    own = begin[start]
+    return h[own].view(np.int64), np.repeat(np.arange(len(size)), size)[start[own]]
 
 
 def find(hashes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,6 +264,13 @@ def _read(batch, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return windows([class_of[np.frombuffer(b.as_buffer(), np.uint16)] for b in batch.column("ids")], first)
 
 
+def _read_sequences(batch, class_of: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences of the words that begin in stored pieces (columns ids, more, no)."""
+    ids = [np.frombuffer(b.as_buffer(), np.uint16)[BLOCK + 1 if no else 0 :] for b, no in zip(batch.column("ids"), batch.column("no").to_pylist())]
+    ids = [np.append(i, np.frombuffer(m.as_buffer(), np.uint16)) for i, m in zip(ids, batch.column("more"))]
+    return sequences([class_of[i] for i in ids], [begins[i] for i in ids])
+
+
 # --- learning on Spark -----------------------------------------------------------------------------------------------
 
 
@@ -239,75 +289,97 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(counts, "word long, spelt string, n long").groupBy("word", "spelt").agg(F.sum("n").alias("c"))
 
 
-def with_first_ids(counts: DataFrame, path: str) -> DataFrame:
-    """word, c, id: every distinct word encoded once; the end has the id after the last one."""
+def with_ids(counts: DataFrame, path: str) -> DataFrame:
+    """word, c, ids: every distinct word encoded once; the end has the id after the last one."""
     def encoded(batches):
         encode, parts, _ = encoder(path)
         for batch in batches:
-            ids = [len(parts) if s is None else encode.encode_ordinary(" " + s)[0] for s in batch.column("spelt").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(ids, pa.int32())], names=["word", "c", "id"])
+            ids = [[len(parts)] if s is None else encode.encode_ordinary(" " + s) for s in batch.column("spelt").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "c", "ids"])
+
+    return stored(counts.mapInArrow(encoded, "word long, c long, ids array<int>"), "lm-counts")
+
 
-    return stored(counts.mapInArrow(encoded, "word long, c long, id int"), "lm-counts")
+def id_tokens(counts: DataFrame, ids: int) -> np.ndarray:
+    """How often each id stands in the training texts; the end is the last one."""
+    rows = counts.select("c", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("c").alias("c")).toArrow()  # a row for each id of the vocabulary at most
+    tokens = np.zeros(ids + 1)
+    tokens[rows.column("id").to_numpy()] = rows.column("c").to_numpy()
+    return tokens
 
 
-def id_sums(counts: DataFrame, ids: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each id; the end is the last one."""
-    rows = counts.groupBy("id").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toArrow()  # a row for each id of the vocabulary at most
-    tokens, distinct = np.zeros(ids + 1), np.zeros(ids + 1)
-    at = rows.column("id").to_numpy()
-    tokens[at], distinct[at] = rows.column("c").to_numpy(), rows.column("v").to_numpy()
-    return tokens, distinct
+def sequence_sizes(counts: DataFrame, model: Model) -> DataFrame:
+    """seq, size: N + V + 1 of each sequence of classes that a training word has."""
+    shared = counts.sparkSession.sparkContext.broadcast((model.class_of, model.begins))
+
+    def hashed(batches):
+        class_of, begins = shared.value
+        for batch in batches:
+            ids = [np.array(i, np.int64) for i in batch.column("ids").to_pylist()]
+            # Only the first id of a word begins one, so each row has one sequence.
+            seq, _ = sequences([class_of[i] for i in ids], [begins[i] for i in ids])
+            yield pa.RecordBatch.from_arrays([pa.array(seq), batch.column("c")], names=["seq", "c"])
+
+    sums = counts.select("ids", "c").mapInArrow(hashed, "seq long, c long").groupBy("seq").agg((F.sum(F.col("c") + 1) + 1).alias("size"))
+    return stored(sums, "lm-sequences")
 
 
 def encoded_pieces(docs: DataFrame, held: Column, counts: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
-    """A row for each piece of each text: doc_id, th, held_out, no, n (own ids), ids (two bytes each), and what its frequent words
-    give (known, base: sum of log10(c + 1)); tail: the hashes of the other words."""
+    """A row for each piece of each text: doc_id, th, held_out, no, ids (two bytes each), n (words that begin in it), more (the ids of the last of these
+    that stand after the piece), and what its frequent words give (known, base: sum of log10(c + 1)); tail: the hashes of the other words."""
     spark = docs.sparkSession
     total = counts.agg(F.sum("c")).first()[0] or 0
     head = counts.where(F.col("c") * HEAD_SHARE > total).toArrow()  # at most HEAD_SHARE words
-    key = head.column("word").to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    shared = spark.sparkContext.broadcast((key[order], np.log10(head.column("c").to_numpy()[order] + 1.0), head.column("id").to_numpy().astype(np.int64)[order]))
+    key, lists = head.column("word").to_numpy(), head.column("ids").combine_chunks()
+    order = np.argsort(key.view(np.uint64))
+    lists = lists.take(pa.array(order))
+    shared = spark.sparkContext.broadcast((key.view(np.uint64)[order], np.log10(head.column("c").to_numpy()[order] + 1.0),
+                                           lists.flatten().to_numpy().astype(np.uint16), lists.value_lengths().to_numpy().astype(np.int64)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches):
-        key, value, first = shared.value
-        subwords, end = Subwords(path, key, first), len(encoder(path)[1])
+        key, value, ids, size = shared.value
+        subwords, end = Subwords(path, ids, size), np.uint16(len(encoder(path)[1]))
         end_at, end_found = find(np.array([END_HASH]), key)
+        ends = float(value[end_at[0]]) if end_found[0] else 0.0
         for batch in batches:
             for part in slices(batch, "text"):
                 w = words(part.column("text"))
                 at, found = find(w.hash, key)
-                ids = subwords.ids(w, at, found).astype(np.uint16)
+                ids, edge = subwords.of(w, at, found)
                 weight = np.where(found, value[at] if len(value) else 0.0, 0.0)
-                ends = float(value[end_at[0]]) if end_found[0] else 0.0
-                rows = {c: [] for c in ("row", "no", "n", "ids", "known", "base", "tail")}
+                rows = {c: [] for c in ("row", "no", "n", "ids", "more", "known", "base", "tail")}
                 for k, (lo, hi) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
-                    for no, cut in enumerate(pieces_of(np.append(ids[lo:hi], np.uint16(end)), piece)):
-                        a, b = lo + no * piece, min(hi, lo + (no + 1) * piece)
-                        closes = lo + (no + 1) * piece > hi  # the end is in this piece
+                    own, begin = np.append(ids[edge[lo] : edge[hi]], end), edge[lo : hi + 1] - edge[lo]  # the end is where the last word ends
+                    for no, cut in enumerate(pieces_of(own, piece)):
+                        upto = min(len(own), (no + 1) * piece)
+                        a, b = np.searchsorted(begin, [no * piece, upto]).tolist()
+                        closes, b = b > hi - lo, min(b, hi - lo)  # whether the end is in this piece
+                        after = begin[b] if b > a and not closes else upto
+                        a, b = a + lo, b + lo
                         tail = w.hash[a:b][~found[a:b]].view(np.int64)
                         if closes and not end_found[0]:
                             tail = np.append(tail, np.array([END_HASH]).view(np.int64))
-                        rows["row"].append(k), rows["no"].append(no), rows["n"].append(b - a + closes), rows["ids"].append(cut.tobytes())
+                        rows["row"].append(k), rows["no"].append(no), rows["n"].append(b - a + closes)
+                        rows["ids"].append(cut.tobytes()), rows["more"].append(own[upto:after].tobytes())
                         rows["known"].append(int(found[a:b].sum()) + int(closes and end_found[0])), rows["base"].append(float(weight[a:b].sum()) + closes * ends), rows["tail"].append(tail)
                 row = pa.array(rows["row"], pa.int64())
                 flat = np.concatenate(rows["tail"]) if rows["tail"] else np.zeros(0, np.int64)
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in rows["tail"]])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    *(part.column(c).take(row) for c in ("doc_id", "th", "held_out")), pa.array(rows["no"], pa.int32()), pa.array(rows["n"], pa.int64()), pa.array(rows["ids"], pa.binary()),
+                    *(part.column(c).take(row) for c in ("doc_id", "th", "held_out")), pa.array(rows["no"], pa.int32()), pa.array(rows["n"], pa.int64()), pa.array(rows["ids"], pa.binary()), pa.array(rows["more"], pa.binary()),
                     pa.array(rows["known"], pa.int64()), pa.array(rows["base"], pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    names=["doc_id", "th", "held_out", "no", "n", "ids", "known", "base", "tail"])
+                    names=["doc_id", "th", "held_out", "no", "n", "ids", "more", "known", "base", "tail"])
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), held.alias("held_out"), "text")
-    return stored(keyed.mapInArrow(encode, f"doc_id {kind}, th long, held_out boolean, no int, n long, ids binary, known long, base double, tail array<long>"), "lm-ids")
+    return stored(keyed.mapInArrow(encode, f"doc_id {kind}, th long, held_out boolean, no int, n long, ids binary, more binary, known long, base double, tail array<long>"), "lm-ids")
 
 
-def learn_classes(train: DataFrame, tokens: np.ndarray, distinct: np.ndarray, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each id, by the frequent ids before and after it in all training texts; and N + V + 1 of each class."""
+def learn_classes(train: DataFrame, tokens: np.ndarray, begins: np.ndarray, seed: int = 2) -> np.ndarray:
+    """Class of each id, by the frequent ids before and after it in all training texts; ids that begin words have classes of their own."""
     end = len(tokens) - 1
     seen = np.flatnonzero(tokens[:end] > 0)
-    class_of = np.append(np.full(end, UNSEEN, np.int64), [END, START])
+    class_of = np.append(np.where(begins[:end], UNSEEN, UNSEEN_INNER), [END, START])
     if len(seen):
         frequent = seen[np.argsort(-tokens[seen], kind="stable")][: NEIGHBOURS - 2]
         column = np.full(end + 2, NEIGHBOURS - 1, np.int64)  # of all others; the text's ends have one of their own
@@ -330,41 +402,49 @@ def learn_classes(train: DataFrame, tokens: np.ndarray, distinct: np.ndarray, se
         rows = train.select("no", "ids").mapInArrow(beside, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * NEIGHBOURS for each id
         count = np.zeros((end + 1, 2 * NEIGHBOURS))
         count.reshape(-1)[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
-        some = tokens[seen]
 
         def profile(side: np.ndarray) -> np.ndarray:
             v = np.sqrt(side[seen] + 2 * side.sum(axis=0) / max(1.0, side.sum()))
             return v / np.maximum(1e-12, np.sqrt((v * v).sum(axis=1, keepdims=True)))
 
         v = np.hstack([profile(count[:, :NEIGHBOURS]), profile(count[:, NEIGHBOURS:])]) / np.sqrt(2)
-        rng = np.random.default_rng(seed)
-        centre = v[rng.choice(len(seen), min(CLASSES, len(seen)), replace=False, p=some / some.sum())]
-        for _ in range(15):
-            own = (v @ centre.T).argmax(axis=1)
-            mean = np.zeros_like(centre)
-            np.add.at(mean, own, v * np.sqrt(some)[:, None])
-            length = np.sqrt((mean * mean).sum(axis=1, keepdims=True))
-            centre = np.where(length > 0, mean / np.maximum(length, 1e-12), centre)
-        class_of[seen] = (v @ centre.T).argmax(axis=1)
-    size = np.bincount(class_of[:-1], weights=tokens + distinct, minlength=OUTPUTS) + 1
-    return class_of, size
-
-
-def learn_attention(train: DataFrame, class_of: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
+        inner = ~begins[seen]
+        # As many classes for each kind as its share of all ids asks for, one at least.
+        k = int(np.clip(round(CLASSES * tokens[seen][inner].sum() / tokens[seen].sum()), int(inner.any()), CLASSES - int((~inner).any())))
+        for rows, many, base in ((np.flatnonzero(~inner), CLASSES - k, 0), (np.flatnonzero(inner), k, CLASSES - k)):
+            if len(rows):
+                class_of[seen[rows]] = base + k_means(v[rows], tokens[seen[rows]], many, seed)
+    return class_of
+
+
+def k_means(v: np.ndarray, some: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarray:
+    """Nearest of at most k centres by cosine, for unit rows v of weights some."""
+    rng = np.random.default_rng(seed)
+    centre = v[rng.choice(len(v), min(k, len(v)), replace=False, p=some / some.sum())]
+    for _ in range(rounds):
+        own = (v @ centre.T).argmax(axis=1)
+        mean = np.zeros_like(centre)
+        np.add.at(mean, own, v * np.sqrt(some)[:, None])
+        length = np.sqrt((mean * mean).sum(axis=1, keepdims=True))
+        centre = np.where(length > 0, mean / np.maximum(length, 1e-12), centre)
+    return (v @ centre.T).argmax(axis=1)
+
+
+def learn_attention(train: DataFrame, class_of: np.ndarray, shares: np.ndarray) -> dict[str, np.ndarray]:
     spark = train.sparkSession
-    total = train.agg(F.sum("n")).first()[0] or 0
+    total = (train.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 2
     groups = max(1, -(-total // (ROUNDS * GROUP_IDS)))
     place = lambda k: F.xxhash64(F.lit(k), "doc_id", "th", "no")
     dealt = train.select("th", "no", "ids", place(3).alias("place"), F.pmod(place(1), F.lit(ROUNDS)).alias("round"), F.pmod(place(2), F.lit(groups)).alias("group"))
-    parameters = new_parameters(size / size.sum())
+    parameters = new_parameters(shares)
     names = list(parameters)
 
-    def steps(now, seed):
+    def steps(now, round_):
         def learn(group):
             classes, p = now.value
             group = group.sort_by([("place", "ascending"), ("th", "ascending"), ("no", "ascending")]).combine_chunks()
             x, y, _ = _read(group, classes)
-            new = local_steps(p, x, y, seed)
+            new = local_steps(p, x, y, round_)
             n = int((y != PAD).sum())
             fine = np.rint(np.concatenate([new[c].ravel() for c in names]).astype(np.float64) * FINE).astype(np.int64) * n
             return pa.table({"n": pa.array([n], pa.int64()), "p": pa.array([fine], pa.list_(pa.int64()))})
@@ -384,11 +464,12 @@ def learn_attention(train: DataFrame, class_of: np.ndarray, size: np.ndarray) ->
 
 
 def fit(pieces: DataFrame, counts: DataFrame, path: str) -> Model:
-    """From the tables of encoded_pieces and with_first_ids."""
-    tokens, distinct = id_sums(counts, len(encoder(path)[1]))
+    """From the tables of encoded_pieces and with_ids."""
+    tokens, begins = id_tokens(counts, len(encoder(path)[1])), begins_word(path)
     train = pieces.where("not held_out")
-    class_of, size = learn_classes(train, tokens, distinct)
-    return Model(class_of, np.log10(size), learn_attention(train, class_of, size))
+    class_of = learn_classes(train, tokens, begins)
+    shares = np.bincount(class_of[:-1], weights=tokens, minlength=OUTPUTS) + 1
+    return Model(class_of, begins, learn_attention(train, class_of, shares / shares.sum()))
 
 
 def score_texts(docs: DataFrame, held: Column, path: str | None = None, model: Model | None = None, piece: int = PIECE) -> DataFrame:
@@ -396,35 +477,49 @@ def score_texts(docs: DataFrame, held: Column, path: str | None = None, model: M
     spark, path = docs.sparkSession, vocabulary(path)
     if len(encoder(path)[1]) + 2 > 1 << 16:
         raise ValueError("ids are stored in two bytes: the vocabulary is too large")
-    counts = with_first_ids(word_counts(docs.where(~held)), path)
+    counts = with_ids(word_counts(docs.where(~held)), path)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     pieces = encoded_pieces(docs, held, counts, path, piece)
-    shared = spark.sparkContext.broadcast(model or fit(pieces, counts, path))
+    model = model or fit(pieces, counts, path)
+    sizes = sequence_sizes(counts, model)
+    frequent = F.col("size") * HEAD_SHARE > n + v
+    head = sizes.where(frequent).toArrow()  # at most 3 * HEAD_SHARE sequences, as their sizes come to 3 (n + v) at most
+    order = np.argsort(head.column("seq").to_numpy())
+    shared = spark.sparkContext.broadcast((model, head.column("seq").to_numpy()[order], np.log10(head.column("size").to_numpy()[order])))
     kind = docs.schema["doc_id"].dataType.simpleString()
     facts = ["doc_id", "th", "held_out", "no", "n", "known", "base"]
 
     def scored(batches):
-        m = shared.value
+        m, key, log_size = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 x, y, piece = _read(part, m.class_of)
-                each = score_windows(m.parameters, x, y) - np.append(m.size, np.zeros(2))[y]
-                sums = np.bincount(piece, weights=each.sum(axis=1), minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in facts), pa.array(sums, pa.float64())], names=[*facts, "told"])
-
-    told = pieces.select(*facts, "ids").mapInArrow(scored, f"doc_id {kind}, th long, held_out boolean, no int, n long, known long, base double, told double")
+                sums = np.bincount(piece, weights=score_windows(m.parameters, x, y).sum(axis=1), minlength=part.num_rows)
+                seq, piece = _read_sequences(part, m.class_of, m.begins)
+                at, found = find(seq, key)
+                sums -= np.bincount(piece[found], weights=log_size[at[found]], minlength=part.num_rows)
+                edges = np.searchsorted(piece[~found], np.arange(part.num_rows + 1)).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(edges), pa.array(seq[~found]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in facts), pa.array(sums, pa.float64()), rare], names=[*facts, "told", "rare"])
+
+    told = stored(pieces.select(*facts, "ids", "more").mapInArrow(scored, f"doc_id {kind}, th long, held_out boolean, no int, n long, known long, base double, told double, rare array<long>"), "lm-told")
     # Equal rows come as one, with their number.
     copies = F.count_if(F.col("no") == 0)
     texts = told.groupBy("doc_id", "th", "held_out").agg(copies.alias("copies"), *[(F.sum(c) / copies).alias(c) for c in ("n", "known", "base", "told")])
     rare = pieces.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.explode("tail").alias("word"))
     rare = rare.join(counts.where(F.col("c") * HEAD_SHARE <= n).select("word", "c"), "word").groupBy("_id", "_th").agg(
         F.count(F.lit(1)).alias("more_known"), F.sum(F.log10(F.col("c") + 1)).alias("more_base"))
-    out = texts.join(rare, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    of_rare = told.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.explode("rare").alias("seq"))
+    of_rare = of_rare.join(sizes.where(~frequent), "seq").groupBy("_id", "_th").agg((-F.sum(F.log10("size"))).alias("more_told"))
+    out = texts
+    for more, id_, th in ((rare, "_id", "_th"), (of_rare, "_id2", "_th2")):
+        more = more.withColumnsRenamed({"_id": id_, "_th": th})
+        out = out.join(more, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col("th") == F.col(th)), "left")
     both = lambda c: F.col(c) + F.coalesce(F.col(f"more_{c}") / F.col("copies"), F.lit(0.0))
     tokens = F.round("n").cast("long")
     out = out.select("doc_id", "held_out", tokens.alias("n_tokens"), F.round(both("known")).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-                     (both("base") - tokens * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), (both("base") + F.col("told")).alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+                     (both("base") - tokens * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), (both("base") + both("told")).alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
     return out.drop("_copy")
 
 

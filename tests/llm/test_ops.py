@@ -680,7 +680,7 @@ def lm(docs):
     """Scores of the documents, and the model that gave them."""
     held = language_model.held_out(F.col("doc_id"), 7, 2)
     path = bpe.vocabulary(None)
-    counts = language_model.with_first_ids(language_model.word_counts(docs.where(~held)), path)
+    counts = language_model.with_ids(language_model.word_counts(docs.where(~held)), path)
     model = language_model.fit(language_model.encoded_pieces(docs, held, counts, path), counts, path)
     return held, model, language_model.score_texts(docs, held).collect()
 
@@ -706,43 +706,83 @@ def test_language_model_scores_word_by_word(docs, lm, tiktoken_encoder):
     _, model, got = lm
     count, p = lm_counts(docs), {c: v.astype(np.float64) for c, v in model.parameters.items()}
     end, block = len(model.class_of) - 2, language_model.BLOCK
-    id_of = lambda w: end if w is None else tiktoken_encoder.encode_ordinary(" " + w)[0]
-    of = lambda w: int(model.class_of[id_of(w)])
-    tokens, distinct = Counter(), Counter()
+    classes_of = lambda w: tuple(int(model.class_of[i]) for i in lm_ids(w, tiktoken_encoder, end))
+    size = Counter()
     for w, c in count.items():
-        tokens[of(w)] += c
-        distinct[of(w)] += 1
+        size[classes_of(w)] += c + 1
     want = defaultdict(list)
     for r in docs.collect():
         t = lm_tokens(r.text)
-        if len(t) > 500:
+        if len(t) > 300:
             continue
-        classes = [of(w) for w in t]
+        classes = [c for w in t for c in classes_of(w)]
         inputs, total = [language_model.START, *classes[:-1]], 0.0
-        for k, (w, c) in enumerate(zip(t, classes)):
+        for k, c in enumerate(classes):
             first = max(0, (k // block - 1) * block)
             shift = block - (k // block) * block  # place of an input in its window
             e = np.array([p["embed"][inputs[j]] + p["place"][j + shift] for j in range(first, k + 1)])
-            weight = np.exp(e @ p["k"] @ (e[-1] @ p["q"]) / np.sqrt(language_model.DIM))
-            h = e[-1] + weight @ (e @ p["v"]) / weight.sum()
+            own = e[-1] + p["prior"][inputs[k - 1] if k else language_model.PAD]
+            weight = np.exp(e @ p["k"] @ (own @ p["q"]) / np.sqrt(language_model.DIM))
+            h = own + weight @ (e @ p["v"]) / weight.sum()
             logit = h @ p["out"] + p["bias"]
-            total += (logit[c] - np.log(np.exp(logit).sum())) / np.log(10) + math.log10((count[w] + 1) / (tokens[c] + distinct[c] + 1))
-        want[r.doc_id].append(total)
+            total += (logit[c] - np.log(np.exp(logit).sum())) / np.log(10)
+        want[r.doc_id].append(total + sum(math.log10((count[w] + 1) / (size[classes_of(w)] + 1)) for w in t))
     assert len(want) > 100
     for r in got:
         if r.doc_id in want:
             assert any(math.isclose(r.score, x, rel_tol=1e-4, abs_tol=1e-3) for x in want[r.doc_id])
 
 
-def test_a_class_shares_its_probability_among_its_words(docs, lm):
-    """(c + 1) / (N + V + 1) over the words of a class, and one share for unseen words, make 1."""
-    path = bpe.vocabulary(None)
-    counts = language_model.with_first_ids(language_model.word_counts(docs.where(~lm[0])), path).collect()
+def lm_ids(w, encoder, end):
+    return [end] if w is None else encoder.encode_ordinary(" " + w)
+
+
+@pytest.mark.parametrize("piece", [64, 1 << 16])
+def test_every_subword_id_is_read_and_scored_once(docs, lm, tiktoken_encoder, piece):
+    """The targets of all windows are the classes of the tokenizer's ids of whole texts, and the words' sequences are theirs."""
+    held, model, _ = lm
+    path, end = bpe.vocabulary(None), len(lm[1].class_of) - 2
+    counts = language_model.with_ids(language_model.word_counts(docs.where(~held)), path)
+    pieces = language_model.encoded_pieces(docs, held, counts, path, piece).toArrow().sort_by([("doc_id", "ascending"), ("th", "ascending"), ("no", "ascending")])
+    _, y, _ = language_model._read(pieces, model.class_of)
+    seq, at = language_model._read_sequences(pieces, model.class_of, model.begins)
+    assert (np.bincount(at, minlength=pieces.num_rows) == pieces.column("n").to_numpy()).all()
+    want_ids, want_words = Counter(), Counter()
+    for r in docs.collect():
+        for w in lm_tokens(r.text):
+            ids = lm_ids(w, tiktoken_encoder, end)
+            classes = model.class_of[ids]
+            assert model.begins[ids].tolist() == [True] + [False] * (len(ids) - 1)
+            want_ids.update(classes.tolist())
+            want_words[int(language_model.sequences([classes], [model.begins[ids]])[0][0])] += 1
+    assert Counter(y[y != language_model.PAD].tolist()) == want_ids
+    assert Counter(seq.tolist()) == want_words
+    assert len(want_words) > 20
+
+
+def test_sequences_of_classes_have_hashes_of_their_own():
+    rng = np.random.default_rng(4)
+    rows = [tuple(rng.integers(0, 4, rng.integers(1, 6)).tolist()) for _ in range(3000)]
+    begins = [np.arange(len(r)) == 0 for r in rows]
+    seq, at = language_model.sequences([np.array(r) for r in rows], begins)
+    assert at.tolist() == list(range(len(rows)))
+    assert len(set(zip(seq.tolist(), rows))) == len(set(rows)) == len(set(seq.tolist()))
+    # What goes on with a word of the piece before belongs to no word here.
+    seq2, at2 = language_model.sequences([np.array([1, 2]), np.array([], int), np.array([3, 1, 2])], [np.array([True, False]), np.array([], bool), np.array([False, True, False])])
+    assert at2.tolist() == [0, 2] and seq2[0] == seq2[1]
+
+
+def test_a_sequence_shares_its_probability_among_its_words(docs, lm):
+    """(c + 1) / (N + V + 1) over the words of a sequence of classes, and one share for unseen words, make 1; words of one
+    kind of class follow no other, so a text's classes tell its words."""
+    path, model = bpe.vocabulary(None), lm[1]
+    counts = language_model.with_ids(language_model.word_counts(docs.where(~lm[0])), path)
     seen = Counter()
-    for r in counts:
-        seen[int(lm[1].class_of[r.id])] += r.c + 1
-    assert all(math.isclose(10 ** lm[1].size[c], n + 1) for c, n in seen.items())
-    assert all(lm[1].size[c] == 0 for c in range(language_model.OUTPUTS) if c not in seen)
+    for r in counts.collect():
+        ids = np.array(r.ids)
+        seen[int(language_model.sequences([model.class_of[ids]], [model.begins[ids]])[0][0])] += r.c + 1
+    assert {r.seq: r.size for r in language_model.sequence_sizes(counts, model).collect()} == {k: n + 1 for k, n in seen.items()}
+    assert not set(model.class_of[:-1][model.begins]) & set(model.class_of[:-1][~model.begins])
 
 
 @pytest.mark.parametrize("parts", [1, 2, 8])
