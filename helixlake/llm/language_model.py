@@ -46,7 +46,7 @@ UNSEEN, UNSEEN_INNER, END, START, PAD = range(CLASSES, CLASSES + 5)
 OUTPUTS, INPUTS = CLASSES + 3, CLASSES + 5
 HEAD_SHARE = 1 << 20
 #: Steps of each round are SLOWER times those of the one before.
-ROUNDS, GROUP_IDS, BATCH, STEP, SLOWER = 3, 1 << 20, 16, 0.012, 0.4
+ROUNDS, GROUP_IDS, BATCH, STEP, SLOWER = 3, 1 << 20, 16, 0.02, 0.3
 #: Parameters are averaged as whole multiples of 1/FINE, so that the order of the sum does not matter.
 FINE = 1e6
 LN10 = float(np.log(10))
