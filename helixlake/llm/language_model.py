@@ -69,90 +69,121 @@ def new_parameters(shares: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
             "out": np.zeros((DIM, OUTPUTS), np.float32), "bias": np.log(np.maximum(shares, 1e-9)).astype(np.float32)}
 
 
-_CAUSAL = (np.arange(2 * BLOCK)[None, :] <= np.arange(BLOCK, 2 * BLOCK)[:, None]).astype(np.float32)
+#: Upper limits of what goes into exp: 40, and for ids after the query a value whose exp is 0.
+_LIMIT = np.where(np.arange(2 * BLOCK)[None, :] <= np.arange(BLOCK, 2 * BLOCK)[:, None], 40, -1000).astype(np.float32)
 #: Sums over the last axis are products with ones, which is faster than a reduction.
-_ONES, _ONES_OUT = np.ones((2 * BLOCK, 1), np.float32), np.ones((OUTPUTS, 1), np.float32)
+_ONES, _ONES_OUT, _ONE_HOT = np.ones((DIM, 1), np.float32), np.ones((OUTPUTS, 1), np.float32), np.eye(INPUTS, dtype=np.float32)
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
+class Keys(NamedTuple):
+    """Keys and values of classes and of places, once for each of these, not for each id of a text: those of an id are the sums of its two."""
+
+    base: np.ndarray  # embed and place
+    kv: np.ndarray
+    classes: np.ndarray  # key, value, 1; padding has no value and no 1, so it adds nothing to any sum
+    places: np.ndarray
+
+
+def keys_of(p: dict[str, np.ndarray]) -> Keys:
+    base, kv = np.concatenate([p["embed"], p["place"]]), np.concatenate([p["k"], p["v"]], axis=1)
+    both = np.ones((len(base), 2 * DIM + 1), base.dtype)
+    both[:, :-1] = base @ kv
+    both[INPUTS:, -1] = both[PAD, DIM:] = 0
+    return Keys(base, kv, both[:INPUTS], both[INPUTS:])
+
+
+def forward(p: dict[str, np.ndarray], x: np.ndarray, made: Keys | None = None) -> tuple:
     """x: windows of 2 * BLOCK input classes. Logits of the class after each of the last BLOCK (a row each), and what the gradients need."""
-    n = len(x)
-    e = p["embed"].take(x.astype(np.intp), axis=0)
-    e += p["place"]
-    tail = e[:, BLOCK:] + p["prior"].take(x[:, BLOCK - 1 : -1].astype(np.intp), axis=0)
-    flat, flat_tail = e.reshape(-1, DIM), tail.reshape(-1, DIM)
-    q = (flat_tail @ (p["q"] / np.float32(np.sqrt(DIM)))).reshape(n, BLOCK, DIM)
-    k, v = (flat @ p["k"]).reshape(e.shape), (flat @ p["v"]).reshape(e.shape)
-    a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
-    np.minimum(a, 40, out=a)
+    made, n, x = made or keys_of(p), len(x), x.astype(np.intp)
+    padding = np.flatnonzero(x == PAD)
+    keys = made.classes.take(x, axis=0)
+    keys += made.places
+    keys.reshape(-1, 2 * DIM + 1)[padding, DIM:] = 0
+    tail = p["embed"].take(x[:, BLOCK:], axis=0)
+    tail += p["prior"].take(x[:, BLOCK - 1 : -1], axis=0)
+    tail += p["place"][BLOCK:]
+    q = (tail.reshape(-1, DIM) @ (p["q"] / np.float32(np.sqrt(DIM)))).reshape(n, BLOCK, DIM)
+    a = np.matmul(q, keys[..., :DIM].transpose(0, 2, 1))
+    np.minimum(a, _LIMIT, out=a)
     np.exp(a, out=a)
-    a *= _CAUSAL
-    if (x == PAD).any():
-        a *= (x != PAD)[:, None, :]
-    a /= np.maximum(a.reshape(-1, 2 * BLOCK) @ _ONES, np.float32(1e-30)).reshape(n, BLOCK, 1)
-    h = np.matmul(a, v)
-    h += tail
-    logit = h.reshape(-1, DIM) @ p["out"]
+    h = np.matmul(a, keys[..., DIM:])  # the last column is the sum of the weights
+    share = 1 / np.maximum(h[..., DIM:], 1e-30)
+    told = h[..., :DIM] * share
+    h = (told + tail).reshape(-1, DIM)
+    logit = h @ p["out"]
     logit += p["bias"]
-    np.minimum(logit, 60, out=logit)
-    return logit, (flat, flat_tail, q, k, v, a, h)
+    if logit.max(initial=0) > 60:
+        np.minimum(logit, 60, out=logit)
+    return logit, (made, x, padding, keys, tail.reshape(-1, DIM), q, a, share, told, h)
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log-likelihood of targets y (BLOCK a window, PAD where there is none)."""
-    d, (flat, flat_tail, q, k, v, a, h) = forward(p, x)
-    n, target = len(x), y.ravel()
-    real = np.flatnonzero(target != PAD)
-    weight = np.zeros((len(target), 1), d.dtype)
-    weight[real] = 1 / max(1, len(real))
+    d, (made, x, padding, keys, tail, q, a, share, told, h) = forward(p, x)
+    n, real = len(x), y.reshape(-1, 1) != PAD
     np.exp(d, out=d)
-    d *= weight / (d @ _ONES_OUT)
-    d[real, target[real]] -= weight[real, 0]
-    g = {"out": h.reshape(-1, DIM).T @ d, "bias": d.sum(axis=0)}
+    total = d @ _ONES_OUT
+    # What follows is for d * weight; the weight goes to the smaller factors.
+    d.reshape(-1)[np.arange(0, d.size, OUTPUTS) + np.minimum(y.ravel(), OUTPUTS - 1)] -= total[:, 0]
+    weight = real / (total * max(1, np.count_nonzero(real)))
+    weight = weight.astype(d.dtype, copy=False)
+    g = {"out": (h * weight).T @ d, "bias": (weight.T @ d)[0]}
     dh = d @ p["out"].T
-    dh3 = dh.reshape(n, BLOCK, DIM)
-    dv = np.matmul(a.transpose(0, 2, 1), dh3).reshape(-1, DIM)
-    ds = np.matmul(dh3, np.ascontiguousarray(v.transpose(0, 2, 1)))
+    dh *= weight
+    d_told = np.empty((n, BLOCK, DIM + 1), d.dtype)
+    own = np.multiply(dh.reshape(told.shape), share)
+    d_told[..., :DIM] = own
+    told *= own
+    d_told[..., DIM:] = (told.reshape(-1, DIM) @ -_ONES).reshape(n, BLOCK, 1)
+    ds = np.matmul(d_told, keys[..., DIM:].transpose(0, 2, 1))
     ds *= a
-    ds -= a * (ds.reshape(-1, 2 * BLOCK) @ _ONES).reshape(n, BLOCK, 1)
-    dq, dk = np.matmul(ds, k).reshape(-1, DIM), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, DIM)
+    dq = np.matmul(ds, keys[..., :DIM]).reshape(-1, DIM)
+    d_keys = np.empty((n, 2 * BLOCK, 2 * DIM), d.dtype)
+    np.matmul(ds.transpose(0, 2, 1), q, out=d_keys[..., :DIM])
+    np.matmul(a.transpose(0, 2, 1), own, out=d_keys[..., DIM:])
+    d_keys.reshape(-1, 2 * DIM)[padding, DIM:] = 0
     scale = np.float32(np.sqrt(DIM))
-    g["q"], g["k"], g["v"] = flat_tail.T @ dq / scale, flat.T @ dk, flat.T @ dv
-    de = dk @ p["k"].T
-    de += dv @ p["v"].T
-    de3 = de.reshape(n, 2 * BLOCK, DIM)
-    dtail = dh + dq @ (p["q"].T / scale)
-    de3[:, BLOCK:] += dtail.reshape(n, BLOCK, DIM)
-    g["place"] = de3.sum(axis=0)
-    one_hot = lambda c: (np.arange(INPUTS, dtype=np.uint8)[:, None] == c.ravel()[None, :]).astype(de.dtype)
-    g["embed"], g["prior"] = one_hot(x) @ de, one_hot(x[:, BLOCK - 1 : -1]) @ dtail
+    g["q"] = tail.T @ dq / scale
+    dh += dq @ (p["q"].T / scale)
+    by_class = lambda at, rows: _ONE_HOT.take(at.ravel(), axis=0).T @ rows
+    sums = np.concatenate([by_class(x, d_keys.reshape(-1, 2 * DIM)), d_keys.sum(axis=0)])
+    d_kv, d_base = made.base.T @ sums, sums @ made.kv.T
+    g["k"], g["v"] = d_kv[:, :DIM], d_kv[:, DIM:]
+    g["embed"], g["place"] = d_base[:INPUTS] + by_class(x[:, BLOCK:], dh), d_base[INPUTS:]
+    g["prior"] = by_class(x[:, BLOCK - 1 : -1], dh)
+    g["place"][BLOCK:] += dh.reshape(n, BLOCK, DIM).sum(axis=0)
     return g
 
 
 def local_steps(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, round_: int) -> dict[str, np.ndarray]:
     """Adam once over all windows in the round's order and step, from a copy of p."""
-    step = np.float32(STEP * SLOWER**round_)
-    p = {c: v.copy() for c, v in p.items()}
-    m, s = {c: np.zeros_like(v) for c, v in p.items()}, {c: np.zeros_like(v) for c, v in p.items()}
+    step, at = STEP * SLOWER**round_, np.cumsum([0, *(v.size for v in p.values())]).tolist()
+    now = np.concatenate([v.ravel() for v in p.values()])
+    p = {c: now[lo:hi].reshape(v.shape) for (c, v), lo, hi in zip(p.items(), at, at[1:])}
+    m, s = np.zeros_like(now), np.zeros_like(now)
     order = np.random.default_rng(round_).permutation(len(x))
+    x, y = x[order], y[order]
     for t, lo in enumerate(range(0, len(x), BATCH), 1):
-        at = order[lo : lo + BATCH]
-        for c, g in gradients(p, x[at], y[at]).items():
-            m[c] = 0.9 * m[c] + 0.1 * g
-            s[c] = 0.99 * s[c] + 0.01 * g * g
-            p[c] -= step * (m[c] / (1 - 0.9**t)) / (np.sqrt(s[c] / (1 - 0.99**t)) + 1e-6)
+        of = gradients(p, x[lo : lo + BATCH], y[lo : lo + BATCH])
+        g = np.concatenate([of[c].ravel() for c in p])
+        m *= 0.9
+        m += 0.1 * g
+        g *= g
+        s *= 0.99
+        s += 0.01 * g
+        now -= step / (1 - 0.9**t) * m / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)
     return p
 
 
-def score_windows(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rows: int = BATCH) -> np.ndarray:
+def score_windows(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at_once: int = 2 * BATCH) -> np.ndarray:
     """log10 p(target's class) for each target; 0 where there is none."""
-    out = np.zeros(y.shape)
-    for lo in range(0, len(x), rows):
-        logit, _ = forward(p, x[lo : lo + rows])
-        target = np.minimum(y[lo : lo + rows], OUTPUTS - 1).ravel()
+    out, made = np.zeros(y.shape), keys_of(p)
+    for lo in range(0, len(x), at_once):
+        logit, _ = forward(p, x[lo : lo + at_once], made)
+        target = np.minimum(y[lo : lo + at_once], OUTPUTS - 1).ravel()
         got = logit.reshape(-1)[np.arange(0, logit.size, OUTPUTS) + target]
         np.exp(logit, out=logit)
-        out[lo : lo + rows] = (got - np.log(logit @ _ONES_OUT)[:, 0]).reshape(-1, BLOCK)
+        out[lo : lo + at_once] = (got - np.log(logit @ _ONES_OUT)[:, 0]).reshape(-1, BLOCK)
     out[y == PAD] = 0
     return out / LN10
 
@@ -223,12 +254,19 @@ def sequences(classes: list[np.ndarray], begins: list[np.ndarray]) -> tuple[np.n
     return h[own].view(np.int64), np.repeat(np.arange(len(size)), size)[start[own]]
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in the order in which they first stand, and which of them each is; a table of hashes takes less time than a sort."""
+    coded = pa.array(hashes).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 def find(hashes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each hash in the sorted key, and whether it is there."""
-    if not len(key):
+    """Place of each hash in the sorted key, and whether it is there; each distinct hash is searched once."""
+    if not len(key) or not len(hashes):
         return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-    at = np.minimum(np.searchsorted(key, hashes), len(key) - 1)
-    return at, key[at] == hashes
+    values, which = distinct(hashes)
+    at = np.minimum(np.searchsorted(key, values), len(key) - 1)
+    return at[which], (key[at] == values)[which]
 
 
 def pieces_of(ids: np.ndarray, piece: int) -> list[np.ndarray]:
@@ -280,8 +318,9 @@ def word_counts(train: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 w = words(part.column("text"))
-                values, at, n = np.unique(w.hash, return_index=True, return_counts=True)
-                data = w.data.tobytes()
+                values, which = distinct(w.hash)
+                at = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))  # where each stands first
+                n, data = np.bincount(which, minlength=len(values)), w.data.tobytes()
                 spelt = [data[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(values, END_HASH).view(np.int64)), pa.array([*spelt, None], pa.binary()).cast(pa.string()), pa.array(np.append(n, part.num_rows).astype(np.int64))],
                                                  names=["word", "spelt", "n"])
@@ -394,8 +433,7 @@ def learn_classes(train: DataFrame, tokens: np.ndarray, begins: np.ndarray, seed
                     lead = BLOCK + 1 if no else 0
                     own, before = ids[lead:], ids[lead - 1 : -1] if no else np.append(end + 1, ids[:-1])
                     for at in (own * 2 * NEIGHBOURS + column[before], ids[:-1] * 2 * NEIGHBOURS + NEIGHBOURS + column[ids[1:]] if not no else ids[lead - 1 : -1] * 2 * NEIGHBOURS + NEIGHBOURS + column[own]):
-                        values, n = np.unique(at, return_counts=True)
-                        count[values] += n
+                        np.add.at(count, at, 1)
             at = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["at", "n"])
 

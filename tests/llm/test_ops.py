@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import os
 import re
@@ -841,6 +842,56 @@ def test_attention_gradients_and_distribution():
         assert math.isclose((up - down) / (2 * e), g[c][at], rel_tol=2e-2, abs_tol=1e-5), c
 
 
+def test_lookups_search_each_distinct_hash_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    key = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64))
+    hashes = np.concatenate([key[::2], rng.integers(0, 1 << 63, 50).astype(np.uint64)])[rng.integers(0, 300, 20_000)]
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest, **more: searched.append(np.size(v)) or search(a, v, *rest, **more))
+    at, found = language_model.find(hashes, key)
+    assert sum(searched) == len(set(hashes.tolist())) <= 300
+    assert found.tolist() == np.isin(hashes, key).tolist() and (key[at[found]] == hashes[found]).all()
+    for a, b in ((hashes[:0], key), (hashes, key[:0])):
+        at, found = language_model.find(a, b)
+        assert len(at) == len(found) == len(a) and not found.any()
+
+
+def test_keys_are_made_once_for_classes_and_places():
+    """Logits with the keys of classes and places equal plain ones, id by id; padding before a text takes no part."""
+    rng = np.random.default_rng(6)
+    p = {c: v.astype(np.float64) for c, v in language_model.new_parameters(np.full(language_model.OUTPUTS, 1 / language_model.OUTPUTS)).items()}
+    p |= {c: rng.normal(size=p[c].shape) for c in ("prior", "out", "bias")}
+    x, _, _ = language_model.windows([rng.integers(0, 20, 50), rng.integers(0, 20, 70)], np.array([True, True]))
+    made, block = language_model.keys_of(p), language_model.BLOCK
+    got = language_model.forward(p, x, made)[0].reshape(len(x), block, -1)
+    assert len(made.classes) == language_model.INPUTS and len(made.places) == 2 * block
+    for row, col in itertools.product(range(len(x)), range(block)):
+        upto = block + col + 1
+        seen = np.flatnonzero(x[row, :upto] != language_model.PAD)
+        e = p["embed"][x[row, seen]] + p["place"][seen]
+        own = p["embed"][x[row, upto - 1]] + p["place"][upto - 1] + p["prior"][x[row, upto - 2]]
+        weight = np.exp(np.minimum(e @ p["k"] @ (own @ p["q"]) / np.sqrt(language_model.DIM), 40))
+        want = (own + weight @ (e @ p["v"]) / weight.sum()) @ p["out"] + p["bias"]
+        assert np.allclose(got[row, col], np.minimum(want, 60), rtol=1e-5, atol=1e-5)
+
+
+def test_local_steps_are_adam_over_the_gradients():
+    rng = np.random.default_rng(7)
+    p = language_model.new_parameters(np.full(language_model.OUTPUTS, 1 / language_model.OUTPUTS))
+    x, y, _ = language_model.windows([rng.integers(0, 20, n) for n in (900, 700)], np.array([True, True]))
+    start = {c: v.copy() for c, v in p.items()}
+    got = language_model.local_steps(p, x, y, 1)
+    assert all((p[c] == start[c]).all() for c in p) and len(x) > 2 * language_model.BATCH
+    step, order = language_model.STEP * language_model.SLOWER, np.random.default_rng(1).permutation(len(x))
+    m, s = {c: 0 for c in p}, {c: 0 for c in p}
+    for t, lo in enumerate(range(0, len(x), language_model.BATCH), 1):
+        at = order[lo : lo + language_model.BATCH]
+        for c, g in language_model.gradients(start, x[at], y[at]).items():
+            m[c], s[c] = 0.9 * m[c] + 0.1 * g, 0.99 * s[c] + 0.01 * g * g
+            start[c] = (start[c] - step * (m[c] / (1 - 0.9**t)) / (np.sqrt(s[c] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+    assert all(got[c].dtype == np.float32 and np.allclose(got[c], start[c], rtol=1e-3, atol=1e-4) for c in p)
+
+
 def test_each_token_is_scored_once():
     classes = np.arange(400) % 50
     texts = [classes[:1], classes[1:17], classes[17:116], classes[116:400]]
