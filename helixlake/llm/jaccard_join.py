@@ -8,7 +8,8 @@ at most, so when a hash deals the elements to k + slack parts, they agree on sla
 a pivot: the documents that hold exactly it form its region, and whoever is within the threshold shares a region.
 Empty parts count only for sets that have slack of them or more, which alone could agree on nothing else.
 
-Regions are found by one range-partitioned, sorted stream over (part, document): a region of any size is streamed, and
+Regions are found by range-partitioned, sorted streams over (part, document), one for each of DEALS ranges of the parts' hashes and one after the
+other, so that the disk holds the shuffles of one range at a time: a region of any size is streamed, and
 one that reaches over several partitions is put together from the first documents of its pieces. Texts
 with passages in common can share a region by chance, so the documents of a region are compared by sketches first. A sketch
 counts a set's elements in hash buckets, a few in each; the sum of differences of two sketches is no more than that of the
@@ -44,6 +45,9 @@ from helixlake.llm.textvec import mix, shingles, slices, words
 
 RATIO, LIST_ROWS = 1.3, 256
 PIVOTS, ROUNDS = 15, 3
+#: Ranges of the parts' hashes; a power of two.
+DEALS = 4
+PART_COLUMNS = [f"parts{k}" for k in range(DEALS)]
 #: A block has at most this many shingles (16 MB), or one document.
 BLOCK_SHINGLES = 1 << 21
 
@@ -129,8 +133,21 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
+def _dealt(arrays: list[np.ndarray]) -> list[pa.Array]:
+    """For each range of the hashes, the lists of those in it."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *arrays])
+    row = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
+    deal = (flat >> np.uint64(32)) * np.uint64(DEALS) >> np.uint64(32)
+    out = []
+    for k in range(DEALS):
+        own = deal == k
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[own], minlength=len(arrays)))]).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[own].view(np.int64))))
+    return out
+
+
 def _described(width: int, num: int, den: int):
-    """id, number of shingles, 128-bit hash of the set, part hashes, sketch."""
+    """id, number of shingles, 128-bit hash of the set, part hashes in a column for each of their ranges, sketch."""
     def function(batches):
         for batch in batches:
             for part, sets in _sets(batch, width):
@@ -138,8 +155,8 @@ def _described(width: int, num: int, den: int):
                 n = pa.array([len(s) for s in sets], pa.int64())
                 h1 = pa.array(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64))
                 h2 = pa.array(np.array([mix(s + np.uint64(77)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("id"), n, h1, h2, _lists([signatures(s, num, den, bounds) for s in sets]), pa.array([sketch(s) for s in sets], pa.binary())],
-                                                 names=["id", "n", "h1", "h2", "parts", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), n, h1, h2, *_dealt([signatures(s, num, den, bounds) for s in sets]), pa.array([sketch(s) for s in sets], pa.binary())],
+                                                 names=["id", "n", "h1", "h2", *PART_COLUMNS, "sketch"])
 
     return function
 
@@ -210,6 +227,15 @@ def _regions(batches):
             yield as_star(held_p[1:], held_i[1:], centre)
 
 
+def _regions_of(classes: DataFrame, kind: str) -> DataFrame:
+    """The regions of the parts of classes (id, parts), of one range of the parts. The shuffles of the range before are dropped first."""
+    spark = classes.sparkSession
+    release(spark)
+    deals = -(-2 * shuffle_partitions(spark) // DEALS)
+    order = classes.select(F.explode("parts").alias("part"), "id").repartitionByRange(deals, "part", "id").sortWithinPartitions("part", "id")
+    return order.mapInArrow(_regions, f"part long, key long, centre {kind}, id {kind}, border boolean")
+
+
 def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     """Sizes of all intersections: products of 0/1 matrices over the elements that more than one set holds."""
     every = [*left, *right]
@@ -448,16 +474,16 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    described, at = written(docs.mapInArrow(_described(width, num, den), f"id {kind}, n long, h1 long, h2 long, parts array<long>, sketch binary"), "shingle-parts")
+    columns = ", ".join(f"{c} array<long>" for c in PART_COLUMNS)
+    described, at = written(docs.mapInArrow(_described(width, num, den), f"id {kind}, n long, h1 long, h2 long, {columns}, sketch binary"), "shingle-parts")
 
     # Equal sets are one node, named by their smallest id.
-    classes = described.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("parts").alias("parts"))
-    parts = classes.select(F.explode("parts").alias("part"), "id")
-    order = parts.repartitionByRange(shuffle_partitions(spark), "part", "id").sortWithinPartitions("part", "id")
-    stars, stars_at = written(order.mapInArrow(_regions, f"part long, key long, centre {kind}, id {kind}, border boolean"), "shingle-regions")
+    by_set, least = described.where("n > 0 and id is not null").groupBy("n", "h1", "h2"), F.min("id").alias("id")
+    found = [written(_regions_of(by_set.agg(least, F.first(c).alias("parts")), kind), "shingle-regions") for c in PART_COLUMNS]
+    stars = functools.reduce(DataFrame.unionByName, [rows for rows, _ in found])
     # The parts are in the regions now.
-    classes = stored(classes.drop("parts"), "shingle-classes")
-    described = stored(described.drop("parts"), "shingle-facts")
+    classes = stored(by_set.agg(least), "shingle-classes")
+    described = stored(described.drop(*PART_COLUMNS), "shingle-facts")
     remove(spark, at)
     release(spark)
     border = stars.where("border").select("part", "centre").distinct()
@@ -492,7 +518,8 @@ def similar_documents(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     known = classes.select("id", "n", "h1", "h2")
     clusters = clusters.join(known, "id").select(F.xxhash64("cluster").alias("region"), "id", F.col("h1").alias("key"), "n", "h2")
     clusters = stored(clusters, "shingle-clusters")
-    remove(spark, stars_at)
+    for _, stars_at in found:
+        remove(spark, stars_at)
     release(spark)
     many = broadcast_if_small(stored(with_blocks(clusters, block_rows).where("blocks > 1").select("region"), "shingle-large"))
     sets = stored(whole_sets(docs, clusters.select("id", "n", F.col("key").alias("h1"), "h2"), width), "shingle-sets")

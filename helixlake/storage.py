@@ -45,9 +45,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffles and broadcasts of finished steps now: it does so once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffles and broadcasts of finished steps now: it does so once the driver's garbage is collected.
+
+    Those of the last step are found by the second collection only (seen in a run).
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def _at(spark: SparkSession, path: str):
