@@ -7,8 +7,9 @@ partitions and each file differs from the others.
 from __future__ import annotations
 
 import secrets
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.functions import draws
@@ -46,6 +47,13 @@ def file_plans(spark: SparkSession, template: str, count: int = 1, seed: int = 0
     return plans.select("file_idx", "id", "month", "day", path.alias("path"), (F.lit(seed) + F.col("file_idx")).alias("seed"))
 
 
+def _drawn(h: Callable[[str], Column], alternates: Column, alt_frequency: float) -> tuple[Column, list[Column]]:
+    """Genotype of a row with a reference, and gs, baf, lrr, from its draws."""
+    pick = F.when(F.size(alternates) > 0, h("pick") % F.size(alternates)).otherwise(0)
+    own = synthesize_genotype(F.col("reference"), alternates, draws.happens(h("alt"), alt_frequency), pick)
+    return own, [draws.gs(h("gs")).alias("gs"), draws.baf(h("baf")).alias("baf"), draws.lrr(h("lrr")).alias("lrr")]
+
+
 def synthetic_rows(references: DataFrame, files: DataFrame, overlays: DataFrame | None = None, alt_frequency: float = 0.01, seed: int = 0) -> DataFrame:
     """file_idx, leftover, rsid, chromosome, position, genotype, gs, baf, lrr (text) for every file and marker.
 
@@ -53,11 +61,8 @@ def synthetic_rows(references: DataFrame, files: DataFrame, overlays: DataFrame
     or, where no reference has it, comes after the others (leftover). The product is what is asked for: every file holds every marker.
     """
     every = files.select("file_idx").crossJoin(references)
-    alternates = split_alternates(F.col("alternates"))
     h = lambda stream: draws.draw(seed, F.col("file_idx"), F.col("rsid"), stream)
-    pick = F.when(F.size(alternates) > 0, h("pick") % F.size(alternates)).otherwise(0)
-    own = synthesize_genotype(F.col("reference"), alternates, draws.happens(h("alt"), alt_frequency), pick)
-    metrics = [draws.gs(h("gs")).alias("gs"), draws.baf(h("baf")).alias("baf"), draws.lrr(h("lrr")).alias("lrr")]
+    own, metrics = _drawn(h, split_alternates(F.col("alternates")), alt_frequency)
     if overlays is None:
         return every.select("file_idx", F.lit(False).alias("leftover"), "rsid", "chromosome", "position", own.alias("genotype"), *metrics)
     forced = overlays.select("rsid", F.col("chromosome").alias("_chromosome"), F.col("position").alias("_position"), "options")
@@ -72,9 +77,10 @@ def synthetic_rows(references: DataFrame, files: DataFrame, overlays: DataFrame
 
 def generated_rows(exact: DataFrame, files: DataFrame, alt_frequency: float = 0.01, seed: int = 0) -> DataFrame:
     """The older generator's rows: seq, rsid, chromosome, position (as the lookup has them), genotype, gs, baf, lrr for every exact row of a lookup; its place stands for the marker in the draws."""
-    rows = exact.select(F.col("seq").alias("rsid"), F.lit("").alias("chromosome"), F.col("seq").alias("position"), "reference", F.array_join("alternates", ",").alias("alternates"))
-    made = synthetic_rows(rows, files, None, alt_frequency, seed).select("file_idx", F.col("rsid").alias("seq"), "genotype", "gs", "baf", "lrr")
-    return made.join(exact.select("seq", "rsid", "chromosome", "position"), "seq").select("file_idx", "seq", "rsid", "chromosome", "position", "genotype", "gs", "baf", "lrr")
+    # Plans are few; rows are read once, and not again for each partition of the plans.
+    every = exact.crossJoin(F.broadcast(files.select("file_idx")))
+    own, metrics = _drawn(lambda stream: draws.draw(seed, F.col("file_idx"), F.col("seq"), stream), F.col("alternates"), alt_frequency)
+    return every.select("file_idx", "seq", "rsid", "chromosome", "position", own.alias("genotype"), *metrics)
 
 
 def file_counts(rows: DataFrame) -> DataFrame:

@@ -19,9 +19,9 @@ def _path(spark, name):
 
 
 def _text(spark, lines, order, before=""):
-    """A file of the column line, by order."""
+    """A file of the column line, by order; without one as the lines come."""
     path = _path(spark, "lines.txt")
-    storage.write_text_file(lines.orderBy(*order).select("line"), path, before)
+    storage.write_text_file((lines.orderBy(*order) if order else lines).select("line"), path, before)
     return path
 
 
@@ -30,9 +30,15 @@ def _text(spark, lines, order, before=""):
 BLANK_REF = f"""SELECT query_rsid, query_chrom, query_pos, ref_pos, CASE WHEN s2 = 4 THEN '' ELSE ref END AS ref, alt, status, s1, s2, s3, s4, s5 FROM ({base.LOOKUP}) AS l"""
 
 
+#: The columns that base.LOOKUP calls s1 to s5.
+LOOKUP_ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_returnflag"]
+
+
 def _lookup_csv(spark, sf_dir, sql=base.LOOKUP):
-    rows = spark_sql(spark, sf_dir, sql).withColumn("line", reports.csv_line(LOOKUP_NEEDED))
-    return _text(spark, rows, ["s1", "s2", "s3", "s4", "s5"], ",".join(LOOKUP_NEEDED) + "\n")
+    """The table is sorted before its texts are made: the shuffle has its few narrow columns, and the sort, which reads its input twice, makes no text."""
+    in_order = spark_sql(spark, sf_dir, "SELECT * FROM {lineitem}").orderBy(*LOOKUP_ORDER)
+    rows = spark_sql(spark, sf_dir, sql, lineitem=in_order).select(reports.csv_line(LOOKUP_NEEDED).alias("line"))
+    return _text(spark, rows, [], ",".join(LOOKUP_NEEDED) + "\n")
 
 
 @query(f"SELECT rsid, CAST(1 AS BIGINT) AS format_id, chromosome, position, reference, alternates FROM ({LOADED}) AS n")

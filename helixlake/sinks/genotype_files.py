@@ -96,5 +96,8 @@ def write_genotype_files(rows: DataFrame, plans: DataFrame, header: str = HEADER
 
 def write_generated_file(rows: DataFrame, path: str, header: str = HEADER) -> None:
     """One file of the older generator's rows, in the order of the lookup."""
-    lines = rows.orderBy("seq").select(F.concat_ws("\t", "rsid", "chromosome", "position", *GENOTYPE_COLUMNS[3:]).alias("line"))
-    storage.write_text_file(lines, path, header)
+    lines = rows.select("seq", F.concat_ws("\t", "rsid", "chromosome", "position", *GENOTYPE_COLUMNS[3:]).alias("line"))
+    # A global sort reads its input twice; the rows are made once.
+    kept, at = storage.written(lines, "generated-lines")
+    storage.write_text_file(kept.orderBy("seq").select("line"), path, header)
+    storage.remove(rows.sparkSession, at)

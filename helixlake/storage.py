@@ -175,6 +175,7 @@ def write_text_file(lines: DataFrame, path: str, before: str = "", after: str =
     spark = lines.sparkSession
     parts = f"{path}.parts-{uuid.uuid4().hex}"
     lines.write.option("lineSep", line_end).text(parts)
+    release(spark)  # the sort's shuffle, before the parts are copied
     own = [f"{parts}/{name}" for name in names(spark, parts) if name.startswith("part-")]
     write_bytes(spark, f"{parts}/before", before.encode())
     write_bytes(spark, f"{parts}/behind", after.encode())
